@@ -28,6 +28,7 @@ def build_session(master: str | None = None, app: str = "tessera",
     parts = shuffle_partitions or int(cpus)
     b = (SparkSession.builder.master(master).appName(app)
          .config("spark.ui.enabled", "false")
+         .config("spark.ui.showConsoleProgress", "false")
          .config("spark.sql.shuffle.partitions", str(parts))
          .config("spark.default.parallelism", str(parts))
          .config("spark.sql.adaptive.enabled", "true")
