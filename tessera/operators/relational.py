@@ -90,3 +90,27 @@ def bucket_split(df: DataFrame, key: Column, buckets: dict[str, tuple[int, int]]
         cond = (b >= lo) & (b < hi)
         expr = F.when(cond, F.lit(label)) if expr is None else expr.when(cond, F.lit(label))
     return df.withColumn(name, expr)
+
+
+def global_row_number(df: DataFrame, order: list[str], parts: int | None = None,
+                      name: str = "rank") -> DataFrame:
+    """Rank of every row in a total order (1-based), without a window over
+    the whole table in one task.
+
+    Range partitioning puts each contiguous key range in its own partition
+    (equal keys land together); the rows before each partition come from a
+    table with one row per partition; inside a partition an ordinary
+    window numbers the rows.  The partition id is fixed by a checkpoint so
+    both uses see the same assignment.
+    """
+    from .iterate import cut
+    spark = df.sparkSession
+    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    r = cut(df.repartitionByRange(parts, *order).withColumn("_pid", F.spark_partition_id()))
+    per = r.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
+    off = F.broadcast(per.select("_pid", F.coalesce(F.sum("_n").over(
+        Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off")))
+    local = F.row_number().over(Window.partitionBy("_pid").orderBy(*order))
+    return (r.withColumn("_local", local).join(off, "_pid")
+            .withColumn(name, (F.col("_off") + F.col("_local")).cast("long"))
+            .drop("_pid", "_local", "_off"))
