@@ -213,3 +213,23 @@ def tfidf(docs: DataFrame, doc_col: str, text_col: str, min_doc_freq: int = 2,
     idf = F.when(F.col("df") >= min_doc_freq,
                  F.log((m + F.lit(1.0)) / (F.col("df") + F.lit(1.0)))).otherwise(F.lit(0.0))
     return tf.join(dfreq, "term").select("doc", "term", "tf", (F.col("tf") * idf).alias("tfidf"))
+
+
+def hashed_tfidf(docs: DataFrame, doc_col: str, text_col: str, num_features: int = 1 << 20,
+                 min_doc_freq: int = 2, pattern: str = WHITESPACE) -> DataFrame:
+    """ML13b in long (sparse) form: ``(doc, bucket, tf, tfidf)``.
+
+    The bucket is ``pmod(murmur3(term, seed 42), num_features)`` — Spark's
+    SQL ``hash`` is the same function the ML HashingTF applies to a
+    string term — so the rows equal the non-zeros of HashingTF + IDF
+    without ever building a dense 2^20 vector.
+    """
+    tf = term_frequencies(docs, doc_col, text_col, pattern)
+    b = (tf.groupBy("doc", F.pmod(F.hash("term"), F.lit(num_features)).alias("bucket"))
+         .agg(F.sum("tf").cast("double").alias("tf")))
+    b = cut(b)
+    m = docs.agg(F.count(F.lit(1))).scalar()
+    dfreq = b.groupBy("bucket").agg(F.count(F.lit(1)).alias("df"))
+    idf = F.when(F.col("df") >= min_doc_freq,
+                 F.log((m + F.lit(1.0)) / (F.col("df") + F.lit(1.0)))).otherwise(F.lit(0.0))
+    return b.join(dfreq, "bucket").select("doc", "bucket", "tf", (F.col("tf") * idf).alias("tfidf"))

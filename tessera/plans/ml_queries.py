@@ -252,3 +252,87 @@ def tfidf_labelled(spark, sf):
             .join(agg, F.col("doc_id") == F.col("doc"), "left")
             .select("doc_id", "label", F.coalesce("n_terms", F.lit(0)).alias("n_terms"),
                     sig(F.coalesce("norm", F.lit(0.0)), 9).alias("norm")))
+
+
+# ------------------------------------------------------------------ ML estimators (rows-only checks)
+
+def _ratings(t):
+    from .relational import ratings
+    return ratings(t).select(F.col("user").cast("int").alias("user"), F.col("item").cast("int").alias("item"),
+                             "rating", "bucket")
+
+
+@register("tree_cls")
+def tree_cls(spark, sf):
+    """ML4: 10-class tree (gini, depth 5, 100 bins) on the embeddings."""
+    from ..operators.models import tree_classifier
+    pts = _points(Tables(spark, sf)).join(Tables(spark, sf).embeddings.select("vec_id", "label"), "vec_id")
+    _, err = tree_classifier(pts.select(F.col("label").cast("double").alias("label"), "features"))
+    return err
+
+
+@register("tree_reg")
+def tree_reg(spark, sf):
+    """ML5: regression tree for the line price from quantity, discount, tax
+    and the part's retail price."""
+    from ..operators.models import tree_regressor
+    t = Tables(spark, sf)
+    d = (t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey"))
+         .select(F.col("l_extendedprice").alias("label"),
+                 F.array("l_quantity", "l_discount", "l_tax", "p_retailprice").alias("features")))
+    _, out = tree_regressor(d)
+    return out
+
+
+@register("als_fit")
+def als_fit(spark, sf):
+    """ML7: ALS rank 10, 3 iterations, lambda 0.01; training MSE."""
+    from ..operators.models import als
+    r = _ratings(Tables(spark, sf))
+    m = als(r, rank=10, iters=3, reg=0.01)
+    p = m.transform(r)
+    return p.agg(F.avg((F.col("prediction") - F.col("rating")) ** 2).alias("mse"),
+                 F.count(F.lit(1)).alias("scored"))
+
+
+@register("als_grid")
+def als_grid(spark, sf):
+    """ML8: ranks {8, 12} x lambda {0.1} x 10 iterations on the 60/20/20
+    bucket split; best by validation RMSE, its test RMSE and the gain over
+    the train-mean baseline."""
+    from ..operators.models import als_grid as grid
+    r = _ratings(Tables(spark, sf))
+    b = F.col("bucket")
+    return grid(r.filter(b < 6), r.filter((b >= 6) & (b < 8)), r.filter(b >= 8))
+
+
+@register("kmeans_parallel")
+def kmeans_parallel(spark, sf):
+    """ML10: K-means|| (k=10, seed 127) assignments of the embeddings."""
+    from ..operators.models import kmeans_parallel as kp
+    _, assigned, _ = kp(_points(Tables(spark, sf)), k=K, seed=127)
+    return assigned.select("vec_id", "cluster")
+
+
+@register("kmeans_parallel_cost")
+def kmeans_parallel_cost(spark, sf):
+    from ..operators.models import kmeans_parallel as kp
+    _, _, cost = kp(_points(Tables(spark, sf)), k=K, seed=127)
+    return cost
+
+
+@register("pca_project")
+def pca_project(spark, sf):
+    """ML11: PCA fit (k=50 of the 64 embedding dimensions) + projection."""
+    from ..operators.models import pca_project as pp
+    _, proj = pp(_points(Tables(spark, sf)), 50)
+    return proj.select("vec_id", "projected")
+
+
+@register("hashing_tfidf")
+def hashing_tfidf(spark, sf):
+    """ML13b: hashed TF-IDF (2^20 buckets, minDocFreq 2) per document:
+    non-zero buckets and L1 norm."""
+    x = L.hashed_tfidf(Tables(spark, sf).documents, "doc_id", "text")
+    return x.groupBy(F.col("doc").alias("doc_id")).agg(
+        F.count_if(F.col("tfidf") != 0).alias("nnz"), F.sum("tfidf").alias("l1"))
