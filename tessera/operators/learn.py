@@ -219,13 +219,13 @@ def hashed_tfidf(docs: DataFrame, doc_col: str, text_col: str, num_features: int
                  min_doc_freq: int = 2, pattern: str = WHITESPACE) -> DataFrame:
     """ML13b in long (sparse) form: ``(doc, bucket, tf, tfidf)``.
 
-    The bucket is ``pmod(murmur3(term, seed 42), num_features)`` — Spark's
-    SQL ``hash`` is the same function the ML HashingTF applies to a
-    string term — so the rows equal the non-zeros of HashingTF + IDF
-    without ever building a dense 2^20 vector.
+    The bucket is ``hashCode(term) mod num_features`` (non-negative), the
+    hashing of the original RDD-based HashingTF, computed JVM-side; rows are
+    the non-zeros of the hashed vectors, so no dense 2^20 vector is built.
     """
+    from ..functions.columns import java_hash_code
     tf = term_frequencies(docs, doc_col, text_col, pattern)
-    b = (tf.groupBy("doc", F.pmod(F.hash("term"), F.lit(num_features)).alias("bucket"))
+    b = (tf.groupBy("doc", F.pmod(java_hash_code("term"), F.lit(num_features)).alias("bucket"))
          .agg(F.sum("tf").cast("double").alias("tf")))
     b = cut(b)
     m = docs.agg(F.count(F.lit(1))).scalar()

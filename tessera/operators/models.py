@@ -112,8 +112,9 @@ def pca_project(points: DataFrame, k: int):
 def hashing_tfidf(docs: DataFrame, tokens_col: str, num_features: int = 1 << 20,
                   min_doc_freq: int = 2) -> DataFrame:
     """ML13b with the ML estimators: HashingTF + IDF(minDocFreq); adds the
-    sparse ``tfidf`` vector column.  (The long form in
-    ``learn.hashed_tfidf`` gives the same non-zeros as rows.)"""
+    sparse ``tfidf`` vector column (Spark ML's Murmur3 term hashing; the
+    long form in ``learn.hashed_tfidf`` keeps the original String.hashCode
+    bucketing and never materialises vectors)."""
     tf = HashingTF(inputCol=tokens_col, outputCol="tfv", numFeatures=num_features).transform(docs)
     idf = IDF(inputCol="tfv", outputCol="tfidf", minDocFreq=min_doc_freq).fit(tf)
     return idf.transform(tf).drop("tfv")

@@ -329,10 +329,18 @@ def pca_project(spark, sf):
     return proj.select("vec_id", "projected")
 
 
-@register("hashing_tfidf")
+@register("hashing_tfidf", _TFIDF_SQL.split("  m as")[0].replace("tf as (", "tf0 as (") + """
+  hb as (select doc, ((""" + "cast(list_reduce(list_transform(string_split(term, ''), lambda c: cast(unicode(c) as bigint)),"
+    " lambda h, c: ((h*31 + c + 2147483648) % 4294967296 + 4294967296) % 4294967296 - 2147483648, cast(0 as bigint)) as integer)"
+    + """ % 1048576) + 1048576) % 1048576 bucket, sum(tf)::double tf from tf0 group by all),
+  m as (select count(*) m from documents),
+  df as (select bucket, count(*) df from hb group by bucket),
+  x as (select hb.doc, hb.tf * case when df >= 2 then ln((m + 1.0::double) / (df + 1.0::double)) else 0.0 end tfidf
+        from hb join df on df.bucket = hb.bucket, m)
+select doc doc_id, count(*) filter (where tfidf <> 0) nnz, cast(printf('%.8e', sum(tfidf)) as double) l1 from x group by doc""")
 def hashing_tfidf(spark, sf):
     """ML13b: hashed TF-IDF (2^20 buckets, minDocFreq 2) per document:
     non-zero buckets and L1 norm."""
     x = L.hashed_tfidf(Tables(spark, sf).documents, "doc_id", "text")
     return x.groupBy(F.col("doc").alias("doc_id")).agg(
-        F.count_if(F.col("tfidf") != 0).alias("nnz"), F.sum("tfidf").alias("l1"))
+        F.count_if(F.col("tfidf") != 0).alias("nnz"), sig(F.sum("tfidf"), 9).alias("l1"))

@@ -64,8 +64,8 @@ def parse_edge_list(lines: DataFrame, canonical: bool = False) -> DataFrame:
     body = lines.filter(~F.col("value").startswith("#") &
                         (F.length(F.trim("value")) > 0))
     p = F.split(F.trim(F.col("value")), r"\s+")
-    e = body.select(p.getItem(0).cast("long").alias("src"),
-                    p.getItem(1).cast("long").alias("dst"))
+    e = body.select(p.getItem(0).try_cast("long").alias("src"),
+                    p.getItem(1).try_cast("long").alias("dst")).dropna()
     if canonical:
         e = e.select(F.least("src", "dst").alias("src"),
                      F.greatest("src", "dst").alias("dst"))
@@ -85,7 +85,7 @@ def parse_dense_vectors(lines: DataFrame, sep: str = r"\s+",
     """SRC7: numbers separated by ``sep``.  Lines with fewer than ``min_dims``
     numbers are dropped (the reference silently substitutes a constant point;
     we never invent data)."""
-    nums = F.transform(F.split(F.trim("value"), sep), lambda s: s.cast("double"))
+    nums = F.transform(F.split(F.trim("value"), sep), lambda s: s.try_cast("double"))
     ok = F.size(F.filter(nums, lambda x: x.isNotNull())) == F.size(nums)
     return (lines.filter(F.length(F.trim("value")) > 0)
                  .select(nums.alias("features"))
