@@ -9,7 +9,7 @@ from ..operators import report as R
 from ..operators import sortbench as S
 from ..operators.learn import WHITESPACE
 from ..operators.relational import global_row_number
-from ..sources.tables import Tables
+from ..sources.tables import Tables, spread
 
 Q = {}
 SQL = {}
@@ -41,7 +41,7 @@ where length(token) > 0""")
 def token_sort(spark, sf):
     """TS5 / SRT1: every whitespace token of every document in one global
     order (token, then document), with its rank."""
-    d = Tables(spark, sf).documents
+    d = spread(Tables(spark, sf).documents)
     tok = (d.select("doc_id", F.explode(F.split("text", WHITESPACE)).alias("token"))
            .filter(F.length("token") > 0))
     return global_row_number(tok, ["token", "doc_id"]).select("token", "doc_id", "rank")
@@ -51,7 +51,7 @@ def lineitem_records(t: Tables):
     """100-byte sort records derived from lineitem: key = first 10 bytes of
     SHA-256 of the row's ids, value = 90 bytes of SHA-512 ‖ SHA-256."""
     ids = F.concat_ws("|", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
-    return t.lineitem.select(
+    return spread(t.lineitem).select(
         F.substring(F.unhex(F.sha2(ids, 256)), 1, S.KEY_LEN).alias("key"),
         F.substring(F.concat(F.unhex(F.sha2(ids, 512)), F.unhex(F.sha2(ids, 256))), 1, S.VALUE_LEN)
         .alias("value"))
@@ -86,7 +86,7 @@ def _review_blocks(t: Tables):
     """Review blocks built from sales lines: 8 ``key: value`` fields, a line
     without ':' in line-6 blocks (skipped), and line-7 blocks missing the
     summary (7 fields, dropped)."""
-    li = t.lineitem.select("l_orderkey", "l_partkey", "l_linenumber", "l_quantity")
+    li = spread(t.lineitem.select("l_orderkey", "l_partkey", "l_linenumber", "l_quantity"))
     o = t.orders.select("o_orderkey", "o_custkey", "o_orderdate")
     j = li.join(o, F.col("l_orderkey") == F.col("o_orderkey"))
     secs = F.unix_seconds(F.col("o_orderdate").cast("timestamp")).cast("string")
@@ -124,13 +124,13 @@ _PAGE_SQL = r"""with p as (select page_id,
 @register("page_corpus", _PAGE_SQL + f"""select page_id, category || ' :::: ' || title || ' ' || text line
 from p where length(text) >= {PAGE_MIN_CHARS}""")
 def page_corpus(spark, sf):
-    return P.page_corpus(Tables(spark, sf).pages, PAGE_MIN_CHARS)
+    return P.page_corpus(spread(Tables(spark, sf).pages), PAGE_MIN_CHARS)
 
 
 @register("page_counts", _PAGE_SQL + f"""select count(*) pages, count(*) filter (where length(text) >= {PAGE_MIN_CHARS}) big_pages,
   count(*) filter (where length(text) >= {PAGE_MIN_CHARS} and length(category) > 0) with_category from p""")
 def page_counts(spark, sf):
-    return P.page_counters(Tables(spark, sf).pages, PAGE_MIN_CHARS)
+    return P.page_counters(spread(Tables(spark, sf).pages), PAGE_MIN_CHARS)
 
 
 # ------------------------------------------------------------------ reporting
@@ -143,7 +143,7 @@ def event_log_lines(t: Tables):
     event (type, stage, timing and metrics from the event's fields; error
     events carry no metrics), a completed-stage record per stage, and the
     application start and end."""
-    e = t.events
+    e = spread(t.events)
     ms = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000).cast("long")
     fin = ms + F.floor(F.col("value") * 100).cast("long")
     method = (F.when(F.col("event_type") == "purchase", "Hadoop")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import dec, java_hash_code, sig
 from ..operators.relational import bucket_split, subtract_all_equal, top_n_per_group
 from ..sources import text as txt
-from ..sources.tables import Tables
+from ..sources.tables import Tables, spread
 from .graphs import user_next, user_next_sql
 
 Q = {}
@@ -353,7 +353,7 @@ def top_items_per_customer(spark, sf):
 select case when l_returnflag='R' then 1.0::double else 0.0::double end label,
        l_quantity f0, l_discount f1, l_tax f2 from lineitem""")
 def labelled_point_parse(spark, sf):
-    li = Tables(spark, sf).lineitem.withColumn(
+    li = spread(Tables(spark, sf).lineitem).withColumn(
         "y", F.when(F.col("l_returnflag") == "R", 1.0).otherwise(0.0))
     lines = txt.format_labeled_points(li, "y", ["l_quantity", "l_discount", "l_tax"])
     p = txt.parse_labeled_points(lines)
@@ -364,7 +364,7 @@ def labelled_point_parse(spark, sf):
 select l_linenumber iid, l_orderkey oid, l_partkey gid, l_quantity gnum,
        l_extendedprice price, cast(l_suppkey as double) gstore from lineitem""")
 def delimited_parse(spark, sf):
-    li = Tables(spark, sf).lineitem
+    li = spread(Tables(spark, sf).lineitem)
     lines = li.select(F.concat_ws(
         "|", "l_linenumber", F.col("l_orderkey").cast("double").cast("string"), "l_partkey",
         "l_quantity", "l_extendedprice", F.col("l_suppkey").cast("double").cast("string")

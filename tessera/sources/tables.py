@@ -43,3 +43,20 @@ class Tables:
     def list_tables(self) -> list[str]:
         """SRC3 ``show tables`` on the session catalog."""
         return sorted(t.name for t in self.spark.catalog.listTables())
+
+
+def spread(df: DataFrame, target: int | None = None) -> DataFrame:
+    """Spread a CPU-heavy input over the cluster's cores.
+
+    A scan yields one task per file split; a table stored as a few large
+    row groups gives fewer tasks than cores, and per-row work (tokenising,
+    regex, hashing) then runs on a handful of threads.  When that happens
+    the rows are dealt round-robin to ``target`` partitions (default: the
+    cluster's parallelism); on a real cluster reading many splits the scan
+    already has enough partitions and this is a no-op, so it never adds a
+    shuffle at scale.
+    """
+    target = target or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
