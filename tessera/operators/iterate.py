@@ -33,3 +33,13 @@ class Loop:
         if force or self.i % self.every == 0:
             return cut(df)
         return df
+
+
+def cut_to_table(df: DataFrame) -> DataFrame:
+    """Write ``df`` as Parquet into the shared checkpoint folder and read it
+    back: a fresh relation with no lineage (columnar, compressed, and its
+    columns get new identities, which self-joins of loop state need)."""
+    from ..session import scratch_path
+    path = scratch_path(df.sparkSession, "state")
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

@@ -178,3 +178,18 @@ def q_pregel_sssp(spark, sf):
 select v.id, coalesce(t.c, 0) triangles from v left join t on t.id = v.id""")
 def triangles(spark, sf):
     return G.triangle_count(user_next(Tables(spark, sf)))
+
+
+@register("svdpp")
+def svdpp(spark, sf):
+    """SVD++ (rank 50, 1 iteration, gammas 0.007/0.007/0.005/0.015,
+    predictions clamped to [0, 5]) on customer→part ratings (quantity/10);
+    reports the training mean squared error as the reference does."""
+    from ..operators.svdpp import SvdConf, svd_plus_plus, training_error
+    from .graphs import PART_OFFSET
+    from .relational import ratings
+    r = ratings(Tables(spark, sf)).select(F.col("user").alias("src"),
+                                          (F.col("item") + F.lit(PART_OFFSET)).alias("dst"), "rating")
+    v, u = svd_plus_plus(r, SvdConf())
+    return training_error(v, r, F.col("id") >= PART_OFFSET).select(
+        "mse", F.lit(u).alias("mean"), F.lit(r.count()).alias("edges"))
