@@ -38,13 +38,14 @@ def _multiplier(kind: str, margin: Column, y: Column) -> Column:
 
 def sgd(data: DataFrame, kind: str, num_iter: int, dim: int, step: float = 1.0,
         reg: float = 0.0, tol: float = 0.0, features: str = "features",
-        label: str = "label") -> list[float]:
-    """Gradient descent with the full batch each step: zero start, step size
-    ``step / sqrt(t)``, optional L2 shrink ``w *= 1 - step_t * reg`` before
-    the gradient step, optional stop when the weights move by less than
-    ``tol * max(|w|, 1)``.  Returns the weight vector."""
+        label: str = "label", w0: list[float] | None = None) -> list[float]:
+    """Gradient descent with the full batch each step: start at ``w0``
+    (zeros), step size ``step / sqrt(t)``, optional L2 shrink
+    ``w *= 1 - step_t * reg`` before the gradient step, optional stop when
+    the weights move by less than ``tol * max(|w|, 1)``.  Returns the
+    weight vector."""
     x, y = F.col(features), F.col(label).cast("double")
-    w = [0.0] * dim
+    w = list(w0) if w0 is not None else [0.0] * dim
     for t in range(1, num_iter + 1):
         wl = F.array(*[F.lit(float(v)) for v in w])
         m = _multiplier(kind, vec_dot(wl, x), y)

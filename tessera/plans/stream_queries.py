@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators.relational import top_n_per_group
-from ..sources.tables import Tables
+from ..sources.tables import Tables, spread
 from ..streaming import pageviews as PV
 from ..streaming import words as W
 from ..streaming.runner import run_to_table, table_stream
@@ -150,3 +150,61 @@ def st_top_tags(spark, sf):
         top = top_n_per_group(c, ["w_start"], [F.col("n").desc(), F.col("tag")], 10).drop("rank")
         out = top if out is None else out.unionByName(top)
     return out.select("span", "w_start", "tag", "n")
+
+
+ONLINE_STEPS = 3
+ONLINE_STEP_SIZE = 0.1
+ONLINE_YEARS = range(1990, 2011)
+
+
+@register("st_logreg", None)
+def st_logreg(spark, sf):
+    """ML16: streaming logistic regression.  The returned-line labelled
+    points of lineitem arrive one ship year per micro-batch (a file per
+    year, in time order); each batch runs 3 gradient steps (step 0.1/sqrt(t))
+    from the current weights.  Result: the final weights ``(j, w)``."""
+    from ..operators.learn import weights_frame
+    from ..session import scratch_path
+    from ..streaming.online import streaming_sgd
+    from .ml_queries import DIM
+    t = Tables(spark, sf)
+    years = t.lineitem.select(F.year("l_shipdate").alias("y"))
+    base = scratch_path(spark, "online-src")
+    li = spread(t.lineitem)
+    full = li.select(F.year("l_shipdate").alias("y"),
+                     F.when(F.col("l_returnflag") == "R", 1.0).otherwise(0.0).alias("label"),
+                     F.array(F.lit(1.0), F.col("l_quantity") / 50.0, F.col("l_discount") * 10.0,
+                             F.col("l_tax") * 10.0).alias("features"))
+    ys = sorted(r["y"] for r in years.distinct().collect())  # a handful of years
+    for y in ys:
+        # one file per year so that a micro-batch is exactly one year
+        full.filter(F.col("y") == y).drop("y").coalesce(1).write.parquet(f"{base}/y{y}")
+    schema = spark.read.parquet(f"{base}/y{ys[0]}").schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/*")
+    w, _ = streaming_sgd(stream, DIM, "logistic", ONLINE_STEPS, ONLINE_STEP_SIZE)
+    return weights_frame(spark, [r["w"] for r in w.orderBy("j").collect()])
+
+
+def _online_sql() -> str:
+    import math
+    from .ml_queries import _mult_sql
+    s = """with d as (select year(l_shipdate) yr, case when l_returnflag='R' then 1.0::double else 0.0::double end y,
+  1.0::double x0, l_quantity/50.0::double x1, l_discount*10.0::double x2, l_tax*10.0::double x3 from lineitem),
+  w0 as materialized (select 0.0::double w0, 0.0::double w1, 0.0::double w2, 0.0::double w3)"""
+    k = 0
+    for yr in ONLINE_YEARS:
+        for t in range(1, ONLINE_STEPS + 1):
+            k += 1
+            st = repr(ONLINE_STEP_SIZE / math.sqrt(t))
+            m = _mult_sql("logistic", f"w{k-1}")
+            s += (f",\n  g{k} as materialized (select " +
+                  ", ".join(f"coalesce(sum({m} * x{j}) / nullif(count(*), 0), 0.0) g{j}" for j in range(4)) +
+                  f" from (select * from d where yr = {yr}) t, w{k-1})")
+            s += (f",\n  w{k} as materialized (select " +
+                  ", ".join(f"w{k-1}.w{j} - {st}::double * g{k}.g{j} w{j}" for j in range(4)) +
+                  f" from w{k-1}, g{k})")
+    s += "\n" + " union all ".join(f"select {j}::int j, round(w{k}.w{j}, 9) w from w{k}" for j in range(4))
+    return s
+
+
+SQL["st_logreg"] = _online_sql()
