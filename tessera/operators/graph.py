@@ -283,7 +283,7 @@ def pregel_sssp(edges: DataFrame, source: int) -> DataFrame:
 # Label propagation (G8), strongly connected components
 # --------------------------------------------------------------------------
 
-def label_propagation(edges: DataFrame, max_steps: int = 20, cut_every: int = 2) -> DataFrame:
+def label_propagation(edges: DataFrame, max_steps: int = 20, cut_every: int = 5) -> DataFrame:
     """Synchronous label propagation for ``max_steps`` rounds.  Each edge
     carries labels both ways (a self-loop counts twice); the new label is
     the most frequent neighbour label, ties to the lowest label; a vertex

@@ -56,7 +56,9 @@ def spread(df: DataFrame, target: int | None = None) -> DataFrame:
     already has enough partitions and this is a no-op, so it never adds a
     shuffle at scale.
     """
-    target = target or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
-    return df
+    try:
+        target = target or df.sparkSession.sparkContext.defaultParallelism
+        parts = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - no RDD view (e.g. a Connect session): leave as is
+        return df
+    return df.repartition(target) if parts < target else df
