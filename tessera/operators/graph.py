@@ -3,12 +3,12 @@ where needed, ``vertices(id, ...)``.
 
 GraphX has no Python API, so every algorithm is a loop of joins and
 aggregates.  Per-vertex state is small next to the edge table, which is
-hash-partitioned once by its join key and then reused by every iteration
-(its partitioning survives the checkpoint), so each step shuffles only the
-vertex state and the messages.  Messages are combined map-side (partial
+hash-partitioned once by its join key and persisted for the loop (the
+cache keeps the partitioning), so each step shuffles only the vertex state
+and the messages, never the edges.  Messages are combined map-side (partial
 aggregation) before they are shuffled, which keeps high-degree vertices from
-funnelling all their messages into one task.  Lineage is cut with reliable
-checkpoints (``iterate.Loop``).
+funnelling all their messages into one task.  The evolving vertex state is
+cut with reliable checkpoints (``iterate.Loop``).
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from typing import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .iterate import Loop, cut
+from .iterate import Loop, cut, hold
 
 INF = float("inf")
 
@@ -54,7 +54,7 @@ def _weighted_links(edges: DataFrame) -> DataFrame:
     links = (edges.join(deg, "src")
              .select("src", "dst", (F.lit(1.0) / F.col("deg")).alias("w"))
              .repartition(_parts(edges), "src"))
-    return cut(links)
+    return hold(links)
 
 
 def page_rank_simple(edges: DataFrame, max_iter: int = 10, damping: float = 0.85,
@@ -73,6 +73,7 @@ def page_rank_simple(edges: DataFrame, max_iter: int = 10, damping: float = 0.85
                    .agg(F.sum(F.col("rank") * F.col("w")).alias("s")))
         ranks = contrib.select("id", (F.lit(1 - damping) + F.lit(damping) * F.col("s")).alias("rank"))
         ranks = loop.step(ranks, force=(i == max_iter - 1))
+    links.unpersist()
     return ranks
 
 
@@ -81,12 +82,14 @@ def page_rank_static(edges: DataFrame, num_iter: int = 10, reset: float = 0.15,
     """Every vertex kept; ``rank = reset + (1-reset) * sum`` with a
     missing sum read as 0; start value 1.0; no final normalisation."""
     links = _weighted_links(edges.select("src", "dst"))
-    verts = cut(vertices_of(edges).repartition(_parts(edges), "id"))
+    verts = hold(vertices_of(edges).repartition(_parts(edges), "id"))
     ranks = verts.withColumn("rank", F.lit(start))
     loop = Loop(cut_every)
     for i in range(num_iter):
         ranks = _static_step(links, verts, ranks, reset)
         ranks = loop.step(ranks, force=(i == num_iter - 1))
+    links.unpersist()
+    verts.unpersist()
     return ranks
 
 
@@ -104,7 +107,7 @@ def page_rank_until(edges: DataFrame, tol: float = 1e-6, reset: float = 0.15,
     """Dynamic PageRank — iterate the static step until no vertex moves
     by more than ``tol`` (one small aggregate per step decides)."""
     links = _weighted_links(edges.select("src", "dst"))
-    verts = cut(vertices_of(edges).repartition(_parts(edges), "id"))
+    verts = hold(vertices_of(edges).repartition(_parts(edges), "id"))
     ranks = cut(verts.withColumn("rank", F.lit(1.0)))
     for _ in range(max_iter):
         new = cut(_static_step(links, verts, ranks, reset))
@@ -113,6 +116,8 @@ def page_rank_until(edges: DataFrame, tol: float = 1e-6, reset: float = 0.15,
         ranks = new
         if delta is None or delta <= tol:
             break
+    links.unpersist()
+    verts.unpersist()
     return ranks
 
 
@@ -175,8 +180,8 @@ def landmark_hops(edges: DataFrame, landmarks: list[int], max_iter: int = 10_000
     """Hop count from every vertex *to* each landmark along edge
     direction (a BFS from each landmark over reversed edges).  Unreachable
     pairs are absent.  Only the frontier moves each round."""
-    rev = cut(edges.select(F.col("dst").alias("v"), F.col("src").alias("w")).distinct()
-              .repartition(_parts(edges), "v"))
+    rev = hold(edges.select(F.col("dst").alias("v"), F.col("src").alias("w")).distinct()
+               .repartition(_parts(edges), "v"))
     spark = edges.sparkSession
     seed = spark.createDataFrame([(int(l), int(l)) for l in landmarks], "id long, landmark long")
     seen = cut(rev.select(F.col("v").alias("id")).union(rev.select(F.col("w").alias("id")))
@@ -194,6 +199,7 @@ def landmark_hops(edges: DataFrame, landmarks: list[int], max_iter: int = 10_000
             break
         seen = cut(seen.unionByName(nxt))
         frontier = nxt
+    rev.unpersist()
     return seen
 
 
@@ -203,7 +209,7 @@ def sssp(edges: DataFrame, source: int, weight: str | None = None,
     absent), every vertex reported (infinity when unreachable).
     Bellman-Ford restricted to the vertices whose distance just improved."""
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
-    e = cut(edges.select("src", "dst", w.alias("w")).repartition(_parts(edges), "src"))
+    e = hold(edges.select("src", "dst", w.alias("w")).repartition(_parts(edges), "src"))
     verts = vertices_of(edges)
     dist = cut(verts.select("id", F.when(F.col("id") == source, 0.0)
                             .otherwise(F.lit(INF)).alias("dist")))
@@ -219,6 +225,7 @@ def sssp(edges: DataFrame, source: int, weight: str | None = None,
         dist = cut(dist.join(improved.withColumnRenamed("dist", "nd"), "id", "left")
                    .select("id", F.coalesce("nd", "dist").alias("dist")))
         frontier = improved
+    e.unpersist()
     return dist
 
 
@@ -241,8 +248,8 @@ def pregel(vertices: DataFrame, edges: DataFrame, initial_msg,
     only vertices that received a message are updated and only edges out of
     them send.  Stops when no message is sent.
     """
-    e = cut(edges.select("src", "dst", F.col("attr").alias("eattr"))
-            .repartition(_parts(edges), "src"))
+    e = hold(edges.select("src", "dst", F.col("attr").alias("eattr"))
+             .repartition(_parts(edges), "src"))
     v = cut(vertices.select("id", vprog(F.col("attr"), F.lit(initial_msg)).alias("attr")))
     changed = v
     for _ in range(max_iter):
@@ -263,6 +270,7 @@ def pregel(vertices: DataFrame, edges: DataFrame, initial_msg,
         changed = cut(upd)
         v = cut(v.join(changed.withColumnRenamed("attr", "nattr"), "id", "left")
                 .select("id", F.coalesce("nattr", "attr").alias("attr")))
+    e.unpersist()
     return v
 
 
@@ -286,23 +294,25 @@ def pregel_sssp(edges: DataFrame, source: int) -> DataFrame:
 def label_propagation(edges: DataFrame, max_steps: int = 20, cut_every: int = 5) -> DataFrame:
     """Synchronous label propagation for ``max_steps`` rounds.  Each edge
     carries labels both ways (a self-loop counts twice); the new label is
-    the most frequent neighbour label, ties to the lowest label; a vertex
-    without neighbours keeps its label."""
+    the most frequent neighbour label, ties to the lowest label.  (Vertices
+    come from the edge list, so every vertex has a neighbour.)"""
     e = edges.select("src", "dst")
-    both = cut(e.union(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-               .repartition(_parts(edges), "src"))
+    both = hold(e.union(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+                .repartition(_parts(edges), "src"))
     verts = vertices_of(edges)
     lab = verts.select("id", F.col("id").alias("label"))
     loop = Loop(cut_every)
     for i in range(max_steps):
         counts = (both.join(lab, both.src == lab.id)
                   .groupBy(F.col("dst").alias("v"), "label").agg(F.count(F.lit(1)).alias("c")))
-        best = (counts.groupBy("v")
-                .agg(F.max(F.struct(F.col("c"), (-F.col("label")).alias("nl"))).alias("b"))
-                .select(F.col("v").alias("id"), (-F.col("b.nl")).alias("nlabel")))
-        lab = (lab.join(best, "id", "left")
-               .select("id", F.coalesce("nlabel", "label").alias("label")))
+        # every vertex has an edge and edges carry labels both ways, so every
+        # vertex receives messages: the new labels need no join with the old
+        # ones, and the plan between cuts stays linear
+        lab = (counts.groupBy("v")
+               .agg(F.max(F.struct(F.col("c"), (-F.col("label")).alias("nl"))).alias("b"))
+               .select(F.col("v").alias("id"), (-F.col("b.nl")).alias("label")))
         lab = loop.step(lab, force=(i == max_steps - 1))
+    both.unpersist()
     return lab
 
 

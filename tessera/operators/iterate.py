@@ -9,6 +9,7 @@ every earlier iteration.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
 from ..session import checkpoint_root
@@ -43,3 +44,14 @@ def cut_to_table(df: DataFrame) -> DataFrame:
     path = scratch_path(df.sparkSession, "state")
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def hold(df: DataFrame) -> DataFrame:
+    """Keep a loop-invariant input (an edge table hash-partitioned by its
+    join key) for the whole loop: persisted in memory and on disk, so every
+    iteration joins against it without shuffling it again (the cache keeps
+    the partitioning, a checkpoint would not).  Its lineage is short — one
+    shuffle from the source — so a lost block is cheap to rebuild."""
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    df.count()
+    return df
