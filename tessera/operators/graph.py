@@ -44,17 +44,60 @@ def partition_edges(edges: DataFrame, n: int | None = None) -> DataFrame:
     return edges.repartition(n or _parts(edges), "src", "dst")
 
 
+# --------------------------------------------------------------------------
+# Loop-invariant edges, partitioned by their join key with hot keys salted
+# --------------------------------------------------------------------------
+
+class KeyedEdges:
+    """An edge table held for a whole loop, hash-partitioned by
+    ``(key, salt)``.
+
+    A vertex that owns more than ~1/(2P) of the edges (P = shuffle
+    partitions) would put a large share of every iteration's work in one
+    task; its edges are split over ``ceil(deg / cap)`` salt buckets by a
+    hash of the other endpoint, and its state row is replicated to each of
+    its buckets when joined.  The fan-out table lists only such hot
+    vertices — at most 2P rows by construction — so broadcasting it is
+    size-safe.  Cold vertices keep salt 0.
+    """
+
+    def __init__(self, edges: DataFrame, key: str, other: str, parts: int | None = None):
+        self.key = key
+        parts = parts or _parts(edges)
+        total = edges.count()
+        cap = max(1, total // (2 * parts))
+        deg = edges.groupBy(key).agg(F.count(F.lit(1)).alias("_c"))
+        self.fan = hold(deg.filter(F.col("_c") > cap).select(
+            F.col(key).alias("_fid"), F.ceil(F.col("_c") / cap).cast("int").alias("_n")))
+        e = (edges.join(F.broadcast(self.fan), F.col(key) == F.col("_fid"), "left")
+             .withColumn("_salt", F.when(F.col("_n").isNull(), F.lit(0))
+                         .otherwise(F.pmod(F.xxhash64(F.col(other)), F.col("_n")).cast("int")))
+             .drop("_fid", "_n"))
+        self.df = hold(e.repartition(parts, key, "_salt"))
+
+    def join_state(self, state: DataFrame, id_col: str = "id") -> DataFrame:
+        """Inner join of the edges with per-vertex rows ``state`` on
+        ``key == id_col`` (each hot vertex's rows fanned out to its salts)."""
+        s = (state.join(F.broadcast(self.fan), F.col(id_col) == F.col("_fid"), "left")
+             .withColumn("_ssalt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_n"), F.lit(1)) - 1)))
+             .drop("_fid", "_n"))
+        return (self.df.join(s, (F.col(self.key) == F.col(id_col)) & (F.col("_salt") == F.col("_ssalt")))
+                .drop("_salt", "_ssalt"))
+
+    def unpersist(self) -> None:
+        self.df.unpersist()
+        self.fan.unpersist()
+
+
 # --------------------------------------------------------------------------
 # PageRank family
 # --------------------------------------------------------------------------
 
-def _weighted_links(edges: DataFrame) -> DataFrame:
-    """``(src, dst, w = 1/outdeg(src))`` partitioned by src, written once."""
+def _weighted_links(edges: DataFrame) -> KeyedEdges:
+    """``(src, dst, w = 1/outdeg(src))`` held for the loop, keyed by src."""
     deg = edges.groupBy("src").agg(F.count(F.lit(1)).alias("deg"))
-    links = (edges.join(deg, "src")
-             .select("src", "dst", (F.lit(1.0) / F.col("deg")).alias("w"))
-             .repartition(_parts(edges), "src"))
-    return hold(links)
+    links = edges.join(deg, "src").select("src", "dst", (F.lit(1.0) / F.col("deg")).alias("w"))
+    return KeyedEdges(links, "src", "dst")
 
 
 def page_rank_simple(edges: DataFrame, max_iter: int = 10, damping: float = 0.85,
@@ -65,10 +108,10 @@ def page_rank_simple(edges: DataFrame, max_iter: int = 10, damping: float = 0.85
     pass nothing on.  ``max_iter <= 0`` means 10."""
     max_iter = max_iter if max_iter > 0 else 10
     links = _weighted_links(edges.select("src", "dst").distinct())
-    ranks = links.select(F.col("src").alias("id")).distinct().withColumn("rank", F.lit(1.0))
+    ranks = links.df.select(F.col("src").alias("id")).distinct().withColumn("rank", F.lit(1.0))
     loop = Loop(cut_every)
     for i in range(max_iter):
-        contrib = (links.join(ranks, links.src == ranks.id)
+        contrib = (links.join_state(ranks)
                    .groupBy(F.col("dst").alias("id"))
                    .agg(F.sum(F.col("rank") * F.col("w")).alias("s")))
         ranks = contrib.select("id", (F.lit(1 - damping) + F.lit(damping) * F.col("s")).alias("rank"))
@@ -94,7 +137,7 @@ def page_rank_static(edges: DataFrame, num_iter: int = 10, reset: float = 0.15,
 
 
 def _static_step(links, verts, ranks, reset):
-    contrib = (links.join(ranks, links.src == ranks.id)
+    contrib = (links.join_state(ranks)
                .groupBy(F.col("dst").alias("cid"))
                .agg(F.sum(F.col("rank") * F.col("w")).alias("s")))
     return (verts.join(contrib, verts.id == contrib.cid, "left")
@@ -180,17 +223,16 @@ def landmark_hops(edges: DataFrame, landmarks: list[int], max_iter: int = 10_000
     """Hop count from every vertex *to* each landmark along edge
     direction (a BFS from each landmark over reversed edges).  Unreachable
     pairs are absent.  Only the frontier moves each round."""
-    rev = hold(edges.select(F.col("dst").alias("v"), F.col("src").alias("w")).distinct()
-               .repartition(_parts(edges), "v"))
+    rev = KeyedEdges(edges.select(F.col("dst").alias("v"), F.col("src").alias("w")).distinct(), "v", "w")
     spark = edges.sparkSession
     seed = spark.createDataFrame([(int(l), int(l)) for l in landmarks], "id long, landmark long")
-    seen = cut(rev.select(F.col("v").alias("id")).union(rev.select(F.col("w").alias("id")))
+    seen = cut(rev.df.select(F.col("v").alias("id")).union(rev.df.select(F.col("w").alias("id")))
                .distinct().join(seed, "id").select("id", "landmark", F.lit(0).alias("hops")))
     frontier = seen
     d = 0
     while d < max_iter:
         d += 1
-        nxt = (frontier.join(rev, frontier.id == rev.v)
+        nxt = (rev.join_state(frontier)
                .select(F.col("w").alias("id"), "landmark").distinct()
                .join(seen, ["id", "landmark"], "left_anti")
                .withColumn("hops", F.lit(d)))
@@ -209,13 +251,13 @@ def sssp(edges: DataFrame, source: int, weight: str | None = None,
     absent), every vertex reported (infinity when unreachable).
     Bellman-Ford restricted to the vertices whose distance just improved."""
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
-    e = hold(edges.select("src", "dst", w.alias("w")).repartition(_parts(edges), "src"))
+    e = KeyedEdges(edges.select("src", "dst", w.alias("w")), "src", "dst")
     verts = vertices_of(edges)
     dist = cut(verts.select("id", F.when(F.col("id") == source, 0.0)
                             .otherwise(F.lit(INF)).alias("dist")))
     frontier = dist.filter(F.col("dist") < INF)
     for _ in range(max_iter):
-        cand = (frontier.join(e, frontier.id == e.src)
+        cand = (e.join_state(frontier)
                 .groupBy(F.col("dst").alias("id"))
                 .agg(F.min(F.col("dist") + F.col("w")).alias("cand")))
         improved = cut(cand.join(dist, "id").filter(F.col("cand") < F.col("dist"))
@@ -248,13 +290,11 @@ def pregel(vertices: DataFrame, edges: DataFrame, initial_msg,
     only vertices that received a message are updated and only edges out of
     them send.  Stops when no message is sent.
     """
-    e = hold(edges.select("src", "dst", F.col("attr").alias("eattr"))
-             .repartition(_parts(edges), "src"))
+    e = KeyedEdges(edges.select("src", "dst", F.col("attr").alias("eattr")), "src", "dst")
     v = cut(vertices.select("id", vprog(F.col("attr"), F.lit(initial_msg)).alias("attr")))
     changed = v
     for _ in range(max_iter):
-        trip = (changed.select(F.col("id").alias("sid"), F.col("attr").alias("sattr"))
-                .join(e, F.col("sid") == F.col("src"))
+        trip = (e.join_state(changed.select(F.col("id").alias("sid"), F.col("attr").alias("sattr")), "sid")
                 .join(v.select(F.col("id").alias("did"), F.col("attr").alias("dattr")),
                       F.col("dst") == F.col("did")))
         msg = send_to_dst(F.col("sattr"), F.col("eattr"), F.col("dattr"))
@@ -297,13 +337,12 @@ def label_propagation(edges: DataFrame, max_steps: int = 20, cut_every: int = 5)
     the most frequent neighbour label, ties to the lowest label.  (Vertices
     come from the edge list, so every vertex has a neighbour.)"""
     e = edges.select("src", "dst")
-    both = hold(e.union(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-                .repartition(_parts(edges), "src"))
+    both = KeyedEdges(e.union(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))), "src", "dst")
     verts = vertices_of(edges)
     lab = verts.select("id", F.col("id").alias("label"))
     loop = Loop(cut_every)
     for i in range(max_steps):
-        counts = (both.join(lab, both.src == lab.id)
+        counts = (both.join_state(lab)
                   .groupBy(F.col("dst").alias("v"), "label").agg(F.count(F.lit(1)).alias("c")))
         # every vertex has an edge and edges carry labels both ways, so every
         # vertex receives messages: the new labels need no join with the old

@@ -49,10 +49,25 @@ def tree_regressor(df: DataFrame, depth: int = 5, bins: int = 100, seed: int = 1
     return m, out
 
 
+def dense_ids(ratings: DataFrame, col: str) -> DataFrame:
+    """Map a 64-bit id column onto 0..n-1 ints (ALS keeps ids as ints).
+
+    When every id already fits an int it is cast in place; otherwise the
+    distinct ids get their rank in a distributed global sort and are joined
+    back (the original id stays in ``<col>_id``)."""
+    from .relational import global_row_number
+    lo, hi = ratings.agg(F.min(col), F.max(col)).first()
+    if lo is None or (lo >= 0 and hi <= 2**31 - 1):
+        return ratings.withColumn(col, F.col(col).cast("int"))
+    ids = global_row_number(ratings.select(col).distinct(), [col], name="_ix")
+    return (ratings.join(ids, col).withColumnRenamed(col, f"{col}_id")
+            .withColumn(col, (F.col("_ix") - 1).cast("int")).drop("_ix"))
+
+
 def als(ratings: DataFrame, rank: int = 10, iters: int = 3, reg: float = 0.01, seed: int = 7,
         implicit: bool = False):
-    """ML7: ALS factorisation of ``(user, item, rating)``; cold-start rows
-    are dropped when scoring."""
+    """ML7: ALS factorisation of ``(user, item, rating)`` (int ids, see
+    :func:`dense_ids`); cold-start rows are dropped when scoring."""
     est = ALS(rank=rank, maxIter=iters, regParam=reg, userCol="user", itemCol="item",
               ratingCol="rating", seed=seed, coldStartStrategy="drop", implicitPrefs=implicit)
     return est.fit(ratings)

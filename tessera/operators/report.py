@@ -88,3 +88,36 @@ def run_report(runs: DataFrame) -> DataFrame:
     return runs.select("type", "start", dur.alias("duration_s"), size.alias("size_mb"),
                        F.when(dur > 0, size / dur).alias("throughput_mb_s"),
                        F.when(F.col("failed"), "FAILED").otherwise("OK").alias("status"))
+
+
+class PhaseTimer:
+    """SNK7: wall-clock seconds of the phases of a job (``load``,
+    ``training``, ``test``), reported as the reference's one-line JSON
+    ``{"loadTime":..,"trainingTime":..,"testTime":..}`` or as a one-row
+    DataFrame.  Each phase should end with an action, or it measures only
+    plan construction."""
+
+    def __init__(self):
+        import time
+        self._now = time.perf_counter
+        self.times: dict[str, float] = {}
+
+    def phase(self, name: str):
+        timer = self
+
+        class _Ctx:
+            def __enter__(self):
+                self.t0 = timer._now()
+
+            def __exit__(self, *exc):
+                timer.times[name] = round(timer._now() - self.t0, 3)
+                return False
+        return _Ctx()
+
+    def json(self) -> str:
+        import json
+        return json.dumps({f"{k}Time": v for k, v in self.times.items()}, separators=(",", ":"))
+
+    def frame(self, spark) -> DataFrame:
+        return spark.createDataFrame([tuple(self.times.values())],
+                                     ", ".join(f"{k}_s double" for k in self.times))

@@ -257,9 +257,9 @@ def tfidf_labelled(spark, sf):
 # ------------------------------------------------------------------ ML estimators (rows-only checks)
 
 def _ratings(t):
+    from ..operators.models import dense_ids
     from .relational import ratings
-    return ratings(t).select(F.col("user").cast("int").alias("user"), F.col("item").cast("int").alias("item"),
-                             "rating", "bucket")
+    return dense_ids(dense_ids(ratings(t), "user"), "item")
 
 
 @register("tree_cls")

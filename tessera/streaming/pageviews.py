@@ -77,6 +77,14 @@ def popular_users(events: DataFrame, users: DataFrame) -> DataFrame:
     return j.groupBy("c_name").agg(F.count(F.lit(1)).alias("n"))
 
 
+def marked(ratio: str = "ratio", threshold: float = 0.05, fmt: str = "%.4f"):
+    """FN12: the ratio as text, wrapped in ``**`` when above ``threshold``
+    (how the reference highlights zip codes with too many errors)."""
+    r = F.col(ratio)
+    txt = F.format_string(fmt, r)
+    return F.when(r > threshold, F.concat(F.lit("**"), txt, F.lit("**"))).otherwise(txt)
+
+
 METRICS = {
     "pageCounts": page_counts,
     "slidingPageCounts": sliding_counts,

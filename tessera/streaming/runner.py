@@ -67,3 +67,11 @@ def run_to_table(df: DataFrame, mode: str = "complete",
     if mode == "complete" and per_batch is None:
         return spark.read.parquet(f"{base}/out/e{max(epochs):09d}")
     return spark.read.parquet(*[f"{base}/out/e{e:09d}" for e in sorted(set(epochs))])
+
+
+def head_per_batch(df: DataFrame, n: int = 10, order: list[str] | None = None) -> DataFrame:
+    """SNK4 / SRT5: the first ``n`` rows of every micro-batch (ordered by
+    ``order`` so the pick is deterministic), with the batch id."""
+    def first(b: DataFrame, epoch: int) -> DataFrame:
+        return (b.orderBy(*order) if order else b).limit(n)
+    return run_to_table(df, per_batch=first)

@@ -162,3 +162,60 @@ def test_lognormal_graph_is_deterministic(spark):
     b = G.lognormal_graph(spark, 50, seed=3, partitions=2)
     assert rows(a) == rows(b)
     assert all(0 <= r["dst"] < 50 for r in a.collect())
+
+
+def _pr_simple_py(pairs, steps):
+    e = sorted(set(pairs))
+    out = defaultdict(list)
+    for a, b in e:
+        out[a].append(b)
+    ranks = {a: 1.0 for a in out}
+    for _ in range(steps):
+        s = defaultdict(float)
+        for a, r in ranks.items():
+            for b in out.get(a, []):
+                s[b] += r / len(out[a])
+        ranks = {b: 0.15 + 0.85 * x for b, x in s.items()}
+    return ranks
+
+
+def _lpa_py(pairs, steps):
+    nb = defaultdict(list)
+    for a, b in pairs:
+        nb[b].append(a)
+        nb[a].append(b)
+    lab = {v: v for v in nb}
+    for _ in range(steps):
+        new = {}
+        for v in nb:
+            c = defaultdict(int)
+            for u in nb[v]:
+                c[lab[u]] += 1
+            new[v] = min(c, key=lambda k: (-c[k], k))
+        lab = new
+    return lab
+
+
+def test_hub_is_salted_and_results_exact(spark):
+    rng = random.Random(8)
+    pairs = [(0, i) for i in range(1, 400)] + [(i, 0) for i in range(1, 50)] + \
+            [(rng.randrange(1, 60), rng.randrange(1, 60)) for _ in range(60)]
+    e = edges(spark, pairs)
+    ke = G.KeyedEdges(e, "src", "dst", parts=4)
+    fan = {r["_fid"]: r["_n"] for r in ke.fan.collect()}
+    assert 0 in fan and fan[0] > 1 and len(fan) <= 8
+    salts = {r["_salt"] for r in ke.df.filter("src = 0").select("_salt").collect()}
+    assert len(salts) > 1
+    ke.unpersist()
+    got = dict(rows(G.page_rank_simple(e, 5)))
+    want = _pr_simple_py(pairs, 5)
+    assert set(got) == set(want)
+    for k in want:
+        assert got[k] == pytest.approx(want[k])
+    assert dict(rows(G.label_propagation(e, 3))) == _lpa_py(pairs, 3)
+    fwd = defaultdict(set)
+    for a, b in pairs:
+        fwd[a].add(b)
+    d = _bfs(fwd, 0)
+    verts = {v for p in pairs for v in p}
+    assert dict(rows(G.sssp(e, 0))) == {v: float(d.get(v, float("inf"))) for v in verts}

@@ -135,3 +135,12 @@ def test_tree_and_pca_run(spark):
     assert err.first()["training_error"] < 0.1
     _, proj = M.pca_project(df, 2)
     assert len(proj.first()["projected"]) == 2
+
+
+def test_dense_ids(spark):
+    df = spark.createDataFrame([(5_000_000_000, 1.0), (7, 2.0), (5_000_000_000, 3.0)], "user long, rating double")
+    d = M.dense_ids(df, "user")
+    got = sorted((r["user_id"], r["user"]) for r in d.collect())
+    assert got == [(7, 0), (5_000_000_000, 1), (5_000_000_000, 1)]
+    small = M.dense_ids(spark.createDataFrame([(3, 1.0)], "user long, rating double"), "user")
+    assert small.schema["user"].dataType.simpleString() == "int"
