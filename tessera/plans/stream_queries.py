@@ -176,11 +176,23 @@ def st_logreg(spark, sf):
                      F.array(F.lit(1.0), F.col("l_quantity") / 50.0, F.col("l_discount") * 10.0,
                              F.col("l_tax") * 10.0).alias("features"))
     ys = sorted(r["y"] for r in years.distinct().collect())  # a handful of years
+    files = spark.sparkContext.defaultParallelism
     for y in ys:
-        # one file per year so that a micro-batch is exactly one year
-        full.filter(F.col("y") == y).drop("y").coalesce(1).write.parquet(f"{base}/y{y}")
+        # each year as `files` balanced files, years written one after
+        # another: the file source takes files in modification order, so with
+        # maxFilesPerTrigger = files every micro-batch is exactly one year
+        full.filter(F.col("y") == y).drop("y").repartition(files).write.parquet(f"{base}/y{y}")
+    written = {len(spark.read.parquet(f"{base}/y{y}").inputFiles()) for y in ys}
+    if written != {files}:
+        # some year had too few rows to fill every file (tiny inputs only):
+        # one file per year keeps the batch = year boundary exact
+        base = scratch_path(spark, "online-src")
+        files = 1
+        for y in ys:
+            full.filter(F.col("y") == y).drop("y").coalesce(1).write.parquet(f"{base}/y{y}")
     schema = spark.read.parquet(f"{base}/y{ys[0]}").schema
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/*")
+    stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", files)
+              .parquet(f"{base}/*"))
     w, _ = streaming_sgd(stream, DIM, "logistic", ONLINE_STEPS, ONLINE_STEP_SIZE)
     return weights_frame(spark, [r["w"] for r in w.orderBy("j").collect()])
 
