@@ -14,25 +14,43 @@ from ..operators.learn import sgd
 from ..session import scratch_path
 
 
+def _last_weights(spark, base: str):
+    """Weights committed by the latest finished batch under ``base``, if any."""
+    try:
+        w = spark.read.parquet(f"{base}/weights/*").orderBy(F.col("batch").desc()).limit(1).collect()
+    except Exception:  # noqa: BLE001 - nothing committed yet
+        return None, -1
+    return (json.loads(w[0]["w"]), w[0]["batch"]) if w else (None, -1)
+
+
 def streaming_sgd(train: DataFrame, dim: int, kind: str = "logistic", num_iter: int = 1,
                   step: float = 0.1, reg: float = 0.0, test: DataFrame | None = None,
-                  max_files_per_batch: int | None = None):
+                  state_dir: str | None = None):
     """Train on a streaming DataFrame of ``(label, features)``.  Returns
     ``(weights, per_batch)``: the final weights as rows ``(j, w)`` and, when
     ``test`` (a static labelled set) is given, the error rate on it after
-    every batch as ``(batch, error_rate)``."""
+    every batch as ``(batch, error_rate)``.
+
+    ``state_dir`` (in the shared folder) holds the stream checkpoint and the
+    weights of every committed batch; a query restarted on the same folder
+    resumes from the last committed weights, and a replayed batch is not
+    applied twice."""
     spark = train.sparkSession
-    base = scratch_path(spark, "online")
-    state = {"w": [0.0] * dim}
+    base = state_dir or scratch_path(spark, "online")
+    w0, last = _last_weights(spark, base)
+    state = {"w": w0 or [0.0] * dim, "last": last}
     history = []
 
     def on_batch(bdf: DataFrame, epoch: int) -> None:
+        if epoch <= state["last"]:
+            return  # already applied before a restart
         b = bdf.persist()
         if b.limit(1).count():
             state["w"] = sgd(b, kind, num_iter, dim, step=step, reg=reg, w0=state["w"])
         b.unpersist()
         spark.createDataFrame([(epoch, json.dumps(state["w"]))], "batch long, w string") \
             .write.mode("overwrite").parquet(f"{base}/weights/b{epoch:09d}")
+        state["last"] = epoch
         if test is not None:
             wl = F.array(*[F.lit(float(v)) for v in state["w"]])
             score = F.aggregate(F.zip_with(wl, F.col("features"), lambda a, x: a * x),

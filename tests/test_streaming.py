@@ -103,3 +103,26 @@ def test_grep_union(spark):
     b = docs.filter(F.col("lang") != "en")
     n = W.grep_count([a, b], "text", "the").first()[0]
     assert n == docs.filter(F.col("text").contains("the")).count()
+
+
+def test_streaming_sgd_resumes(spark, tmp_path):
+    from tessera.streaming.online import streaming_sgd
+    d = str(tmp_path / "pts")
+    import time
+    rows_ = [(1.0, [1.0, 0.5]), (0.0, [1.0, -0.5])]
+    for i in range(3):
+        spark.createDataFrame(rows_ * (i + 1), "label double, features array<double>").coalesce(1) \
+            .write.parquet(f"{d}/f{i}")
+        time.sleep(1.1)
+    schema = "label double, features array<double>"
+
+    def stream(n):
+        return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{d}/*")
+
+    state = str(tmp_path / "state")
+    w_full, _ = streaming_sgd(stream(3), 2, num_iter=2, state_dir=state)
+    # a second run on the same state folder finds every batch committed
+    w_again, _ = streaming_sgd(stream(3), 2, num_iter=2, state_dir=state)
+    assert rows(w_full) == rows(w_again)
+    w_fresh, _ = streaming_sgd(stream(3), 2, num_iter=2)
+    assert rows(w_full) == rows(w_fresh)
