@@ -61,10 +61,16 @@ class KeyedEdges:
     size-safe.  Cold vertices keep salt 0.
     """
 
+    EDGES_PER_PARTITION = 1_000_000
+
     def __init__(self, edges: DataFrame, key: str, other: str, parts: int | None = None):
         self.key = key
-        parts = parts or _parts(edges)
         total = edges.count()
+        if not parts:
+            # ~1M edges per partition, at least one per core, at most the
+            # configured shuffle partitions
+            cores = edges.sparkSession.sparkContext.defaultParallelism
+            parts = min(_parts(edges), max(cores, -(-total // self.EDGES_PER_PARTITION)))
         cap = max(1, total // (2 * parts))
         deg = edges.groupBy(key).agg(F.count(F.lit(1)).alias("_c"))
         self.fan = hold(deg.filter(F.col("_c") > cap).select(
