@@ -3,7 +3,7 @@ texts, plus the seeded synthetic generators used in tests."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import java_hash_code
@@ -70,14 +70,15 @@ def page_counters(pages: DataFrame, min_chars: int = 100) -> DataFrame:
 # --------------------------------------------------------------------------
 
 def labeled_points(spark: SparkSession, rows: int, dim: int, kind: str = "logistic",
-                   seed: int = 42, noise: float = 0.1, parts: int | None = None) -> DataFrame:
+                   seed: int = 42, noise: float = 0.1, parts: int | None = None,
+                   weight_seed: int = 1) -> DataFrame:
     """PREP3: ``label double, features array<double>``; x uniform in [-1, 1];
     the label is the sign (svm/logistic) or the value (linear) of a fixed
     random weight vector applied to x, plus Gaussian noise."""
     r = spark.range(0, rows, numPartitions=parts) if parts else spark.range(0, rows)
     xs = [F.rand(seed + j) * 2 - 1 for j in range(dim)]
     import random
-    rng = random.Random(94720)
+    rng = random.Random(weight_seed)
     w = [rng.gauss(0, 1) for _ in range(dim)]
     df = r.select(F.array(*xs).alias("features"))
     y = F.aggregate(F.zip_with("features", F.array(*[F.lit(v) for v in w]), lambda a, b: a * b),
@@ -89,14 +90,28 @@ def labeled_points(spark: SparkSession, rows: int, dim: int, kind: str = "logist
     return df.select(lab.alias("label"), "features")
 
 
+# The page-view distribution of the streaming example
+# generator (value, probability).
+PAGES = [("http://foo.com/", 0.7), ("http://foo.com/news", 0.2), ("http://foo.com/contact", 0.1)]
+HTTP_STATUSES = [(200, 0.95), (404, 0.05)]
+ZIP_CODES = [(94709, 0.5), (94117, 0.5)]
+USERS = 100
+
+
+def _draw(u, table):
+    """Categorical draw from ``[(value, p)]`` with a uniform column ``u``."""
+    expr, acc = None, 0.0
+    for value, prob in table[:-1]:
+        acc += prob
+        expr = F.when(u < acc, F.lit(value)) if expr is None else expr.when(u < acc, F.lit(value))
+    last = F.lit(table[-1][0])
+    return last if expr is None else expr.otherwise(last)
+
+
 def page_views(spark: SparkSession, rows: int, seed: int = 7) -> DataFrame:
-    """PREP4: weighted draws — page 70/20/10 %, status 95/5 %, 2 zip codes,
-    users 1..100."""
+    """PREP4: weighted draws of page, status and zip code, users 1..100."""
     r = spark.range(0, rows)
-    u1, u2, u3 = F.rand(seed), F.rand(seed + 1), F.rand(seed + 2)
-    page = (F.when(u1 < 0.7, "http://foo.com/").when(u1 < 0.9, "http://foo.com/news")
-            .otherwise("http://foo.com/contact"))
-    status = F.when(u2 < 0.95, 200).otherwise(404)
-    zipc = F.when(u3 < 0.5, 94709).otherwise(94117)
-    user = (F.floor(F.rand(seed + 3) * 100) + 1).cast("int")
-    return r.select(page.alias("url"), status.alias("status"), zipc.alias("zip"), user.alias("user"))
+    user = (F.floor(F.rand(seed + 3) * USERS) + 1).cast("int")
+    return r.select(_draw(F.rand(seed), PAGES).alias("url"),
+                    _draw(F.rand(seed + 1), HTTP_STATUSES).alias("status"),
+                    _draw(F.rand(seed + 2), ZIP_CODES).alias("zip"), user.alias("user"))

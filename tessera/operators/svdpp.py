@@ -23,6 +23,9 @@ from .iterate import cut_to_table as cut
 
 @dataclass
 class SvdConf:
+    # The benchmark's SVD++ configuration (rank, iterations,
+    # prediction clamp, learning rates gamma1/gamma2 and regularisation
+    # gamma6/gamma7).
     rank: int = 50
     max_iters: int = 1
     min_val: float = 0.0

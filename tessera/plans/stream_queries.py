@@ -91,6 +91,7 @@ def st_word_count(spark, sf):
     return run_to_table(W.word_counts(table_stream(spark, sf, "documents")), "complete")
 
 
+# Initial state of the running word count example.
 SEED = [("hello", 1), ("world", 1)]
 
 
