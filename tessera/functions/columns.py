@@ -81,3 +81,30 @@ def literal_vectors(rows: list[list[float]]) -> Column:
 
 def sigmoid(z: Column) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
+
+
+# --------------------------------------------------------------------------
+# Time-zone-free conversions between TIMESTAMP_NTZ and epoch instants
+# --------------------------------------------------------------------------
+
+_EPOCH_NTZ = "1970-01-01 00:00:00"
+
+
+def ntz_micros(ts: Column | str) -> Column:
+    """Microseconds since 1970-01-01 of a TIMESTAMP_NTZ, read as UTC wall
+    clock — independent of the session time zone (a plain cast to
+    TIMESTAMP would shift by the session's offset)."""
+    ts = F.col(ts) if isinstance(ts, str) else ts
+    return F.timestamp_diff("MICROSECOND", F.lit(_EPOCH_NTZ).cast("timestamp_ntz"), ts)
+
+
+def ntz_to_instant(ts: Column | str) -> Column:
+    """TIMESTAMP_NTZ → TIMESTAMP at the same UTC wall clock (what event-time
+    windows and watermarks need), whatever the session time zone is."""
+    return F.timestamp_micros(ntz_micros(ts))
+
+
+def instant_to_ntz(ts: Column | str) -> Column:
+    """Inverse of :func:`ntz_to_instant`."""
+    ts = F.col(ts) if isinstance(ts, str) else ts
+    return F.timestamp_add("MICROSECOND", F.unix_micros(ts), F.lit(_EPOCH_NTZ).cast("timestamp_ntz"))

@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.columns import ntz_micros
+
 # The subset of the listener event-log schema the summary reads.
 EVENT_LOG_SCHEMA = T.StructType([
     T.StructField("Event", T.StringType()),
@@ -82,8 +84,9 @@ def event_log_summary(ev: DataFrame) -> DataFrame:
 def run_report(runs: DataFrame) -> DataFrame:
     """RPT1: per run ``(type, start, duration_s, size_mb, throughput_mb_s,
     status)`` from ``(type, start, end, bytes, failed)`` rows."""
-    dur = (F.unix_micros(F.col("end").cast("timestamp")) -
-           F.unix_micros(F.col("start").cast("timestamp"))) / 1e6
+    micros = (lambda c: ntz_micros(c)) if dict(runs.dtypes).get("start") == "timestamp_ntz" \
+        else (lambda c: F.unix_micros(F.col(c)))
+    dur = (micros("end") - micros("start")) / 1e6
     size = F.col("bytes") / (1024.0 * 1024.0)
     return runs.select("type", "start", dur.alias("duration_s"), size.alias("size_mb"),
                        F.when(dur > 0, size / dur).alias("throughput_mb_s"),

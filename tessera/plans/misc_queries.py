@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.columns import ntz_micros
 from ..operators import prep as P
 from ..operators import report as R
 from ..operators import sortbench as S
@@ -96,7 +97,7 @@ def _review_blocks(t: Tables):
     li = spread(t.lineitem.select("l_orderkey", "l_partkey", "l_linenumber", "l_quantity"))
     o = t.orders.select("o_orderkey", "o_custkey", "o_orderdate")
     j = li.join(o, F.col("l_orderkey") == F.col("o_orderkey"))
-    secs = F.unix_seconds(F.col("o_orderdate").cast("timestamp")).cast("string")
+    secs = F.floor(ntz_micros("o_orderdate") / 1_000_000).cast("long").cast("string")
     lines = [
         F.concat(F.lit("product/productId: B"), F.col("l_partkey").cast("string")),
         F.concat(F.lit("review/userId: A"), F.col("o_custkey").cast("string")),
@@ -151,7 +152,7 @@ def event_log_lines(t: Tables):
     events carry no metrics), a completed-stage record per stage, and the
     application start and end."""
     e = spread(t.events)
-    ms = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000).cast("long")
+    ms = F.floor(ntz_micros("ts") / 1000).cast("long")
     fin = ms + F.floor(F.col("value") * 100).cast("long")
     method = (F.when(F.col("event_type") == "purchase", "Hadoop")
               .when(F.col("event_type") == "view", "Memory")

@@ -13,17 +13,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import instant_to_ntz, ntz_to_instant
+
 ZIPS = 20
 
 
 def event_time(df: DataFrame) -> DataFrame:
-    """``ts`` is TIMESTAMP_NTZ; watermarks need TIMESTAMP (session zone UTC)."""
-    return df.withColumn("et", F.col("ts").cast("timestamp"))
+    """``ts`` is TIMESTAMP_NTZ; watermarks need TIMESTAMP.  The wall clock is
+    read as UTC whatever the session time zone, so windows align to the
+    epoch exactly as in the oracle."""
+    return df.withColumn("et", ntz_to_instant("ts"))
 
 
 def _window_cols():
-    return [F.col("window.start").cast("timestamp_ntz").alias("w_start"),
-            F.col("window.end").cast("timestamp_ntz").alias("w_end")]
+    return [instant_to_ntz(F.col("window.start")).alias("w_start"),
+            instant_to_ntz(F.col("window.end")).alias("w_end")]
 
 
 def page_counts(events: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import instant_to_ntz
 from ..operators.learn import WHITESPACE
 from .pageviews import event_time
 
@@ -73,4 +74,4 @@ def tag_counts(events: DataFrame, length: str, slide: str | None = None) -> Data
     e = event_time(events).withColumn("tag", F.get_json_object("props", "$.k").cast("long"))
     w = F.window("et", length, slide) if slide else F.window("et", length)
     a = e.filter(F.col("tag").isNotNull()).groupBy(w, "tag").agg(F.count(F.lit(1)).alias("n"))
-    return a.select(F.col("window.start").cast("timestamp_ntz").alias("w_start"), "tag", "n")
+    return a.select(instant_to_ntz(F.col("window.start")).alias("w_start"), "tag", "n")
