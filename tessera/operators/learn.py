@@ -113,8 +113,9 @@ def exact_auc(df: DataFrame, score: Column, label: Column, parts: int | None = N
     w = Window.partitionBy("pid").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
     loc = r.withColumn("below", F.coalesce(F.sum("neg").over(w), F.lit(0.0)))
     j = loc.join(off, "pid")
-    return j.agg((F.sum(F.col("pos") * (F.col("off") + F.col("below") + 0.5 * F.col("neg")))
-                  / (F.sum("pos") * F.sum("neg"))).alias("auc"))
+    # null, not an error, when one class is absent
+    return j.agg(F.try_divide(F.sum(F.col("pos") * (F.col("off") + F.col("below") + 0.5 * F.col("neg"))),
+                              F.sum("pos") * F.sum("neg")).alias("auc"))
 
 
 # --------------------------------------------------------------------------

@@ -118,4 +118,4 @@ def training_error(vertices: DataFrame, edges: DataFrame, items: Column) -> Data
     """The reference's report: the items' summed squared errors divided by
     the number of rating edges (the training mean squared error)."""
     n = edges.agg(F.count(F.lit(1))).scalar()
-    return vertices.filter(items).agg((F.sum("n") / n).alias("mse"))
+    return vertices.filter(items).agg(F.try_divide(F.sum("n"), n).alias("mse"))

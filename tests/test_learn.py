@@ -144,3 +144,8 @@ def test_dense_ids(spark):
     assert got == [(7, 0), (5_000_000_000, 1), (5_000_000_000, 1)]
     small = M.dense_ids(spark.createDataFrame([(3, 1.0)], "user long, rating double"), "user")
     assert small.schema["user"].dataType.simpleString() == "int"
+
+
+def test_auc_one_class_is_null(spark):
+    df = spark.createDataFrame([(1.0, 1.0), (2.0, 1.0)], "s double, y double")
+    assert L.exact_auc(df, F.col("s"), F.col("y")).first()[0] is None
