@@ -14,6 +14,40 @@ import uuid
 from pyspark.sql import SparkSession
 
 
+# Settings for large clusters (e.g. ~1000 executors reading ~100 TB).  Shuffle
+# partitions start high and AQE coalesces them towards the advisory size, so
+# every reduce task handles ~256 MB whatever the query's selectivity; skewed
+# join partitions beyond 4x the median (and 512 MB) are split; file splits of
+# 256 MB keep scan tasks large enough to amortise scheduling; runtime
+# broadcasts stay under a fixed 64 MB so no broadcast grows with the data.
+CLUSTER_CONF = {
+    "spark.sql.shuffle.partitions": "20000",
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "512m",
+    "spark.sql.files.maxPartitionBytes": "256m",
+    "spark.sql.autoBroadcastJoinThreshold": "64m",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "64m",
+    "spark.sql.session.timeZone": "UTC",
+    "spark.ui.enabled": "false",
+}
+
+
+def cluster_session(app: str = "tessera", extra: dict | None = None) -> SparkSession:
+    """Session for a real cluster: master, executors and the shared
+    ``spark.checkpoint.dir`` come from the submitting environment; only the
+    query-planning settings above are applied."""
+    b = SparkSession.builder.appName(app)
+    for k, v in {**CLUSTER_CONF, **(extra or {})}.items():
+        b = b.config(k, v)
+    spark = b.getOrCreate()
+    checkpoint_root(spark)
+    return spark
+
+
 def build_session(master: str | None = None, app: str = "tessera",
                   shuffle_partitions: int | None = None,
                   extra: dict | None = None) -> SparkSession:
