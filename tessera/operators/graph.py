@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from typing import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,50 +50,77 @@ def partition_edges(edges: DataFrame, n: int | None = None) -> DataFrame:
 # --------------------------------------------------------------------------
 
 class KeyedEdges:
-    """An edge table held for a whole loop, hash-partitioned by
-    ``(key, salt)``.
-
-    A vertex that owns more than ~1/(2P) of the edges (P = shuffle
-    partitions) would put a large share of every iteration's work in one
-    task; its edges are split over ``ceil(deg / cap)`` salt buckets by a
-    hash of the other endpoint, and its state row is replicated to each of
-    its buckets when joined.  The fan-out table lists only such hot
-    vertices — at most 2P rows by construction — so broadcasting it is
-    size-safe.  Cold vertices keep salt 0.
+    """An edge table held for a whole loop, hash-partitioned by its join key
+    (and a salt for hot keys).
+
+    A vertex that owns more than ~1/(2P) of the edges (P = partitions) would
+    put a large share of every iteration's work in one task; its edges are
+    split over ``ceil(deg / cap)`` salt buckets by a hash of the other
+    endpoint, and its state row is replicated to each of its buckets when
+    joined.  At most 2P vertices can be hot, so the fan-out is bounded: with
+    no hot vertex the table is simply keyed (no salt at all); with up to
+    ``LITERAL_FANOUT`` hot vertices the fan-out travels in the plan as a
+    literal map; beyond that it is a broadcast table of at most 2P rows.
     """
 
     EDGES_PER_PARTITION = 1_000_000
+    LITERAL_FANOUT = 1000
 
     def __init__(self, edges: DataFrame, key: str, other: str, parts: int | None = None):
         self.key = key
-        total = edges.count()
+        # the input is usually a lazy plan (a derived graph): compute it once
+        edges = edges.persist(StorageLevel.MEMORY_AND_DISK)
+        deg = edges.groupBy(key).agg(F.count(F.lit(1)).alias("_c"))
+        total, top = deg.agg(F.sum("_c"), F.max("_c")).first()  # one pass: size and largest degree
+        total, top = total or 0, top or 0
         if not parts:
             # ~1M edges per partition, at least one per core, at most the
             # configured shuffle partitions
             cores = edges.sparkSession.sparkContext.defaultParallelism
             parts = min(_parts(edges), max(cores, -(-total // self.EDGES_PER_PARTITION)))
+        self.parts = parts
         cap = max(1, total // (2 * parts))
-        deg = edges.groupBy(key).agg(F.count(F.lit(1)).alias("_c"))
-        self.fan = hold(deg.filter(F.col("_c") > cap).select(
-            F.col(key).alias("_fid"), F.ceil(F.col("_c") / cap).cast("int").alias("_n")))
-        e = (edges.join(F.broadcast(self.fan), F.col(key) == F.col("_fid"), "left")
-             .withColumn("_salt", F.when(F.col("_n").isNull(), F.lit(0))
-                         .otherwise(F.pmod(F.xxhash64(F.col(other)), F.col("_n")).cast("int")))
-             .drop("_fid", "_n"))
+        self.n_hot = 0
+        if top > cap:
+            fan = cut(deg.filter(F.col("_c") > cap).select(
+                F.col(key).alias("_fid"), F.ceil(F.col("_c") / cap).cast("int").alias("_n")))
+            self.n_hot = fan.count()
+            self.fan = fan
+        if self.n_hot == 0:
+            self.df = hold(edges.repartition(parts, key))
+            edges.unpersist()
+            return
+        if self.n_hot <= self.LITERAL_FANOUT:
+            rows = fan.collect()  # at most LITERAL_FANOUT rows
+            lit_map = F.create_map(*[x for r in rows for x in (F.lit(r["_fid"]), F.lit(r["_n"]))])
+            self._nsalt = lambda c: F.coalesce(F.element_at(lit_map, c), F.lit(1))
+            n = self._nsalt(F.col(key))
+            e = edges.withColumn("_salt", F.pmod(F.xxhash64(F.col(other)), n).cast("int"))
+        else:
+            self._nsalt = None
+            e = (edges.join(F.broadcast(fan), F.col(key) == F.col("_fid"), "left")
+                 .withColumn("_salt", F.when(F.col("_n").isNull(), F.lit(0))
+                             .otherwise(F.pmod(F.xxhash64(F.col(other)), F.col("_n")).cast("int")))
+                 .drop("_fid", "_n"))
         self.df = hold(e.repartition(parts, key, "_salt"))
+        edges.unpersist()
 
     def join_state(self, state: DataFrame, id_col: str = "id") -> DataFrame:
         """Inner join of the edges with per-vertex rows ``state`` on
         ``key == id_col`` (each hot vertex's rows fanned out to its salts)."""
-        s = (state.join(F.broadcast(self.fan), F.col(id_col) == F.col("_fid"), "left")
-             .withColumn("_ssalt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_n"), F.lit(1)) - 1)))
-             .drop("_fid", "_n"))
+        if self.n_hot == 0:
+            return self.df.join(state, F.col(self.key) == F.col(id_col))
+        if self._nsalt is not None:
+            s = state.withColumn("_ssalt", F.explode(F.sequence(F.lit(0), self._nsalt(F.col(id_col)) - 1)))
+        else:
+            s = (state.join(F.broadcast(self.fan), F.col(id_col) == F.col("_fid"), "left")
+                 .withColumn("_ssalt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_n"), F.lit(1)) - 1)))
+                 .drop("_fid", "_n"))
         return (self.df.join(s, (F.col(self.key) == F.col(id_col)) & (F.col("_salt") == F.col("_ssalt")))
                 .drop("_salt", "_ssalt"))
 
     def unpersist(self) -> None:
         self.df.unpersist()
-        self.fan.unpersist()
 
 
 # --------------------------------------------------------------------------
@@ -131,7 +159,7 @@ def page_rank_static(edges: DataFrame, num_iter: int = 10, reset: float = 0.15,
     """Every vertex kept; ``rank = reset + (1-reset) * sum`` with a
     missing sum read as 0; start value 1.0; no final normalisation."""
     links = _weighted_links(edges.select("src", "dst"))
-    verts = hold(vertices_of(edges).repartition(_parts(edges), "id"))
+    verts = hold(vertices_of(edges).repartition(links.parts, "id"))
     ranks = verts.withColumn("rank", F.lit(start))
     loop = Loop(cut_every)
     for i in range(num_iter):
@@ -156,7 +184,7 @@ def page_rank_until(edges: DataFrame, tol: float = 1e-6, reset: float = 0.15,
     """Dynamic PageRank — iterate the static step until no vertex moves
     by more than ``tol`` (one small aggregate per step decides)."""
     links = _weighted_links(edges.select("src", "dst"))
-    verts = hold(vertices_of(edges).repartition(_parts(edges), "id"))
+    verts = hold(vertices_of(edges).repartition(links.parts, "id"))
     ranks = cut(verts.withColumn("rank", F.lit(1.0)))
     for _ in range(max_iter):
         new = cut(_static_step(links, verts, ranks, reset))

@@ -203,10 +203,20 @@ def test_hub_is_salted_and_results_exact(spark):
     e = edges(spark, pairs)
     ke = G.KeyedEdges(e, "src", "dst", parts=4)
     fan = {r["_fid"]: r["_n"] for r in ke.fan.collect()}
-    assert 0 in fan and fan[0] > 1 and len(fan) <= 8
+    assert 0 in fan and fan[0] > 1 and len(fan) <= 8 and ke.n_hot == len(fan)
     salts = {r["_salt"] for r in ke.df.filter("src = 0").select("_salt").collect()}
     assert len(salts) > 1
     ke.unpersist()
+    # the broadcast fan-out form gives the same edges per salt
+    G.KeyedEdges.LITERAL_FANOUT, old = 0, G.KeyedEdges.LITERAL_FANOUT
+    try:
+        kb = G.KeyedEdges(e, "src", "dst", parts=4)
+        assert rows(kb.df) == rows(G.KeyedEdges(e, "src", "dst", parts=4).df)
+        assert G.KeyedEdges(edges(spark, [(1, 2), (2, 3), (3, 1)]), "src", "dst", parts=1).n_hot == 0
+        st = spark.createDataFrame([(0, 1.0), (5, 2.0)], "id long, r double")
+        assert rows(kb.join_state(st), "src", "dst") == sorted((a, b) for a, b in pairs if a in (0, 5))
+    finally:
+        G.KeyedEdges.LITERAL_FANOUT = old
     got = dict(rows(G.page_rank_simple(e, 5)))
     want = _pr_simple_py(pairs, 5)
     assert set(got) == set(want)
