@@ -405,6 +405,13 @@ def _min_label_forward(e: DataFrame, verts: DataFrame) -> DataFrame:
         changed = imp
 
 
+def _union_all(pieces: list[DataFrame]) -> DataFrame:
+    out = pieces[0]
+    for p in pieces[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def strongly_connected_components(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
     """Strongly connected components, label = lowest id in the component.
 
@@ -412,24 +419,23 @@ def strongly_connected_components(edges: DataFrame, max_rounds: int = 10_000) ->
     or out-edge (singletons), (2) colour each vertex with the smallest id
     that reaches it, (3) from each colour root walk backwards inside its
     colour — the vertices reached form the root's component.  Assigned
-    vertices are removed and the loop repeats on the rest.
+    vertices are removed and the loop repeats on the rest.  Results and
+    BFS frontiers are kept as unions of already-materialised pieces, so a
+    round never recomputes an earlier one.
     """
     e = cut(edges.select("src", "dst").filter(F.col("src") != F.col("dst")).distinct())
     remaining = cut(vertices_of(edges))
-    result = None
+    pieces: list[DataFrame] = []
     for _ in range(max_rounds):
-        if remaining.limit(1).count() == 0:
-            break
         # (1) trim vertices without in- or out-edges among the remaining ones
         while True:
             outs = e.select(F.col("src").alias("id")).distinct()
             ins = e.select(F.col("dst").alias("id")).distinct()
             keep = cut(remaining.join(outs, "id", "left_semi").join(ins, "id", "left_semi"))
-            trimmed = remaining.join(keep, "id", "left_anti").select("id", F.col("id").alias("scc"))
-            trimmed = cut(trimmed)
+            trimmed = cut(remaining.join(keep, "id", "left_anti").select("id", F.col("id").alias("scc")))
             if trimmed.limit(1).count() == 0:
                 break
-            result = trimmed if result is None else cut(result.unionByName(trimmed))
+            pieces.append(trimmed)
             remaining = keep
             e = cut(e.join(keep.withColumnRenamed("id", "src"), "src", "left_semi")
                     .join(keep.withColumnRenamed("id", "dst"), "dst", "left_semi"))
@@ -442,23 +448,23 @@ def strongly_connected_components(edges: DataFrame, max_rounds: int = 10_000) ->
                  .join(col.select(F.col("id").alias("dst"), F.col("c").alias("cd")), "dst")
                  .filter(F.col("cs") == F.col("cd"))
                  .select("src", "dst", F.col("cs").alias("c")))
-        found = cut(col.filter(F.col("id") == F.col("c")).select("id", F.col("c").alias("scc")))
-        frontier = found
+        frontier = cut(col.filter(F.col("id") == F.col("c")).select("id", F.col("c").alias("scc")))
+        found = [frontier]
         while True:
-            nxt = (frontier.join(ce, frontier.id == ce.dst)
-                   .filter(F.col("c") == F.col("scc"))
-                   .select(F.col("src").alias("id"), "scc").distinct()
-                   .join(found, "id", "left_anti"))
-            nxt = cut(nxt)
+            nxt = cut(frontier.join(ce, frontier.id == ce.dst)
+                      .filter(F.col("c") == F.col("scc"))
+                      .select(F.col("src").alias("id"), "scc").distinct()
+                      .join(_union_all(found), "id", "left_anti"))
             if nxt.limit(1).count() == 0:
                 break
-            found = cut(found.unionByName(nxt))
+            found.append(nxt)
             frontier = nxt
-        result = found if result is None else cut(result.unionByName(found))
-        remaining = cut(remaining.join(found, "id", "left_anti"))
+        done = cut(_union_all(found))
+        pieces.append(done)
+        remaining = cut(remaining.join(done, "id", "left_anti"))
         e = cut(e.join(remaining.withColumnRenamed("id", "src"), "src", "left_semi")
                 .join(remaining.withColumnRenamed("id", "dst"), "dst", "left_semi"))
-    return result
+    return _union_all(pieces) if pieces else remaining.select("id", F.col("id").alias("scc"))
 
 
 # --------------------------------------------------------------------------
