@@ -11,10 +11,11 @@ from __future__ import annotations
 
 import math
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import literal_vectors, sigmoid, vec_dot, vec_sqdist
+from ..functions.columns import literal_vectors, sigmoid, vec_sqdist
 from .iterate import cut
 
 # --------------------------------------------------------------------------
@@ -47,8 +48,7 @@ def sgd(data: DataFrame, kind: str, num_iter: int, dim: int, step: float = 1.0,
     x, y = F.col(features), F.col(label).cast("double")
     w = list(w0) if w0 is not None else [0.0] * dim
     for t in range(1, num_iter + 1):
-        wl = F.array(*[F.lit(float(v)) for v in w])
-        m = _multiplier(kind, vec_dot(wl, x), y)
+        m = _multiplier(kind, margin(w, features), y)
         row = data.agg(F.count(F.lit(1)).alias("n"),
                        *[F.sum(m * x[j]).alias(f"g{j}") for j in range(dim)]).first()
         n = row["n"]
@@ -72,8 +72,14 @@ def weights_frame(spark, w: list[float], places: int = 9) -> DataFrame:
 
 
 def margin(w: list[float], features: str = "features") -> Column:
-    """ML15: raw score x·w of a linear model."""
-    return vec_dot(F.array(*[F.lit(float(v)) for v in w]), F.col(features))
+    """ML15: raw score x·w of a linear model, unrolled into plain column
+    arithmetic (one product per weight) so it stays inside whole-stage code
+    generation; summed in index order."""
+    x = F.col(features)
+    out = F.lit(0.0)
+    for j, v in enumerate(w):
+        out = out + F.lit(float(v)) * x[j]
+    return out
 
 
 def mse(df: DataFrame, pred: Column, label: str = "label") -> DataFrame:
@@ -123,6 +129,8 @@ def exact_auc(df: DataFrame, score: Column, label: Column, parts: int | None = N
 # --------------------------------------------------------------------------
 
 def _assign(points: DataFrame, centres: list[list[float]], features: str, places: int) -> DataFrame:
+    # the K centres are one array literal (kept out of the generated code, so
+    # a new set of centres each step does not trigger a recompilation)
     cl = literal_vectors(centres)
     d = F.transform(cl, lambda c: F.round(vec_sqdist(F.col(features), c), places))
     return (points.withColumn("_d", d)
@@ -138,7 +146,9 @@ def kmeans_lloyd(points: DataFrame, init: list[list[float]], num_iter: int,
     that receives no point keeps its position.  Returns the centres."""
     centres = [list(map(float, c)) for c in init]
     dim = len(centres[0])
-    pts = cut(points.select(features))
+    # the points do not change between steps (the centres travel as
+    # literals), so the lineage does not grow: keep them, no checkpoint
+    pts = points.select(features).persist(StorageLevel.MEMORY_AND_DISK)
     for _ in range(num_iter):
         a = _assign(pts, centres, features, places)
         rows = (a.groupBy("cluster")
@@ -146,6 +156,7 @@ def kmeans_lloyd(points: DataFrame, init: list[list[float]], num_iter: int,
                 .collect())  # at most K rows: the model, not the data
         for r in rows:
             centres[r["cluster"]] = [float(r[f"c{j}"]) for j in range(dim)]
+    pts.unpersist()
     return centres
 
 
