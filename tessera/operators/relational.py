@@ -77,7 +77,8 @@ def top_n_per_group(df: DataFrame, group: list[str], order: list[Column],
     """
     w = Window.partitionBy(*group).orderBy(*order)
     return (df.withColumn(rank_col, F.row_number().over(w))
-              .filter(F.col(rank_col) <= n))
+              .filter(F.col(rank_col) <= n)
+              .withColumn(rank_col, F.col(rank_col).cast("long")))
 
 
 def bucket_split(df: DataFrame, key: Column, buckets: dict[str, tuple[int, int]],
