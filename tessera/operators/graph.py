@@ -412,14 +412,17 @@ def _union_all(pieces: list[DataFrame]) -> DataFrame:
     return out
 
 
-def strongly_connected_components(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+def strongly_connected_components(edges: DataFrame, max_rounds: int = 10_000,
+                                  trim_passes: int = 10_000) -> DataFrame:
     """Strongly connected components, label = lowest id in the component.
 
     Colouring algorithm: repeatedly (1) peel vertices with no remaining in-
     or out-edge (singletons), (2) colour each vertex with the smallest id
     that reaches it, (3) from each colour root walk backwards inside its
     colour — the vertices reached form the root's component.  Assigned
-    vertices are removed and the loop repeats on the rest.  Results and
+    vertices are removed and the loop repeats on the rest.  Trimming runs
+    to a fixpoint by default (``trim_passes`` can cap it: colouring finds
+    the singletons too, but needs more rounds for them).  Results and
     BFS frontiers are kept as unions of already-materialised pieces, so a
     round never recomputes an earlier one.
     """
@@ -428,7 +431,7 @@ def strongly_connected_components(edges: DataFrame, max_rounds: int = 10_000) ->
     pieces: list[DataFrame] = []
     for _ in range(max_rounds):
         # (1) trim vertices without in- or out-edges among the remaining ones
-        while True:
+        for _ in range(trim_passes):
             outs = e.select(F.col("src").alias("id")).distinct()
             ins = e.select(F.col("dst").alias("id")).distinct()
             keep = cut(remaining.join(outs, "id", "left_semi").join(ins, "id", "left_semi"))
