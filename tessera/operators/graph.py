@@ -390,15 +390,18 @@ def label_propagation(edges: DataFrame, max_steps: int = 20, cut_every: int = 5)
 
 
 def _min_label_forward(e: DataFrame, verts: DataFrame) -> DataFrame:
-    """colour(v) = smallest id that reaches v (within the given edges)."""
+    """colour(v) = smallest id that reaches v (within the given edges); the
+    edges are held keyed by source for the whole propagation."""
+    ke = KeyedEdges(e, "src", "dst")
     col = cut(verts.select("id", F.col("id").alias("c")))
     changed = col
     while True:
-        cand = (changed.join(e, changed.id == e.src)
+        cand = (ke.join_state(changed)
                 .groupBy(F.col("dst").alias("id")).agg(F.min("c").alias("nc")))
         imp = cut(cand.join(col, "id").filter(F.col("nc") < F.col("c"))
                   .select("id", F.col("nc").alias("c")))
         if imp.limit(1).count() == 0:
+            ke.unpersist()
             return col
         col = cut(col.join(imp.withColumnRenamed("c", "n"), "id", "left")
                   .select("id", F.coalesce("n", "c").alias("c")))
@@ -447,14 +450,14 @@ def strongly_connected_components(edges: DataFrame, max_rounds: int = 10_000,
         # (2) forward colouring
         col = _min_label_forward(e, remaining)
         # (3) backward closure from each root inside its colour
-        ce = cut(e.join(col.select(F.col("id").alias("src"), F.col("c").alias("cs")), "src")
-                 .join(col.select(F.col("id").alias("dst"), F.col("c").alias("cd")), "dst")
-                 .filter(F.col("cs") == F.col("cd"))
-                 .select("src", "dst", F.col("cs").alias("c")))
+        ce = KeyedEdges(e.join(col.select(F.col("id").alias("src"), F.col("c").alias("cs")), "src")
+                        .join(col.select(F.col("id").alias("dst"), F.col("c").alias("cd")), "dst")
+                        .filter(F.col("cs") == F.col("cd"))
+                        .select("src", "dst", F.col("cs").alias("c")), "dst", "src")
         frontier = cut(col.filter(F.col("id") == F.col("c")).select("id", F.col("c").alias("scc")))
         found = [frontier]
         while True:
-            nxt = cut(frontier.join(ce, frontier.id == ce.dst)
+            nxt = cut(ce.join_state(frontier)
                       .filter(F.col("c") == F.col("scc"))
                       .select(F.col("src").alias("id"), "scc").distinct()
                       .join(_union_all(found), "id", "left_anti"))
@@ -462,6 +465,7 @@ def strongly_connected_components(edges: DataFrame, max_rounds: int = 10_000,
                 break
             found.append(nxt)
             frontier = nxt
+        ce.unpersist()
         done = cut(_union_all(found))
         pieces.append(done)
         remaining = cut(remaining.join(done, "id", "left_anti"))
