@@ -37,7 +37,8 @@ def streaming_sgd(train: DataFrame, dim: int, kind: str = "logistic", num_iter:
     applied twice."""
     spark = train.sparkSession
     base = state_dir or scratch_path(spark, "online")
-    w0, last = _last_weights(spark, base)
+    # only a caller-given folder can hold earlier batches (a fresh one is empty)
+    w0, last = _last_weights(spark, base) if state_dir else (None, -1)
     state = {"w": w0 or [0.0] * dim, "last": last}
     history = []
 
