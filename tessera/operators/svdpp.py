@@ -91,16 +91,19 @@ def svd_plus_plus(edges: DataFrame, conf: SvdConf = SvdConf(), seed: int = 0):
             "id", "v1", F.when(F.col("y").isNotNull(), _axpy(F.col("n"), F.col("y"), F.col("v1")))
             .otherwise(F.col("v2")).alias("v2"), "b", "n"))
         # phase 2: gradient messages along every rating edge
-        t = triplets(v)
         g2, g7, err = F.lit(conf.gamma2), F.lit(conf.gamma7), F.col("err")
+        t = triplets(v).withColumn(
+            "upd_y", F.zip_with("q", "y", lambda q, y: (err * F.col("nu") * q - g7 * y) * g2))
         upd_p = F.zip_with("q", "p", lambda q, p: (err * q - g7 * p) * g2)
         upd_q = F.zip_with("z", "q", lambda z, q: (err * z - g7 * q) * g2)
-        upd_y = F.zip_with("q", "y", lambda q, y: (err * F.col("nu") * q - g7 * y) * g2)
-        to_src = t.select(F.col("src").alias("id"), upd_p.alias("m1"), upd_y.alias("m2"),
-                          ((err - F.lit(conf.gamma6) * F.col("bu")) * F.lit(conf.gamma1)).alias("m3"))
-        to_dst = t.select(F.col("dst").alias("id"), upd_q.alias("m1"), upd_y.alias("m2"),
-                          ((err - F.lit(conf.gamma6) * F.col("bi")) * F.lit(conf.gamma1)).alias("m3"))
-        msgs = _vsum(to_src.unionByName(to_dst), "id", ["m1", "m2"], ["m3"], r)
+        # both endpoint messages come out of one pass over the triplets
+        both = t.select(F.explode(F.array(
+            F.struct(F.col("src").alias("id"), upd_p.alias("m1"), F.col("upd_y").alias("m2"),
+                     ((err - F.lit(conf.gamma6) * F.col("bu")) * F.lit(conf.gamma1)).alias("m3")),
+            F.struct(F.col("dst").alias("id"), upd_q.alias("m1"), F.col("upd_y").alias("m2"),
+                     ((err - F.lit(conf.gamma6) * F.col("bi")) * F.lit(conf.gamma1)).alias("m3"))
+        )).alias("m")).select("m.*")
+        msgs = _vsum(both, "id", ["m1", "m2"], ["m3"], r)
         v = cut(v.join(msgs, "id", "left").select(
             "id",
             F.coalesce(F.zip_with("v1", "m1", lambda a, b: a + b), F.col("v1")).alias("v1"),
