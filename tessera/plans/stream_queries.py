@@ -176,7 +176,7 @@ def st_logreg(spark, sf):
                      F.when(F.col("l_returnflag") == "R", 1.0).otherwise(0.0).alias("label"),
                      F.array(F.lit(1.0), F.col("l_quantity") / 50.0, F.col("l_discount") * 10.0,
                              F.col("l_tax") * 10.0).alias("features"))
-    ys = sorted(r["y"] for r in years.distinct().collect())  # a handful of years
+    ys = sorted(r["y"] for r in years.distinct().collect())  # one row per ship year (a handful)
     files = spark.sparkContext.defaultParallelism
     for y in ys:
         # each year as `files` balanced files, years written one after
