@@ -49,7 +49,7 @@ def st_page_counts(spark, sf):
 
 @register("st_sliding", _windows_sql(10, 2, "event_type", "event_type", "count(*) n"))
 def st_sliding(spark, sf):
-    return run_to_table(PV.sliding_counts(_events(spark, sf)), "complete")
+    return run_to_table(PV.sliding_counts(_events(spark, sf)), "update", keys=["w_start", "w_end", "event_type"])
 
 
 @register("st_sliding_append", "with m as (select max(ts) mx from events), r as (" +
@@ -65,7 +65,7 @@ def st_sliding_append(spark, sf):
     "count(*) filter (where event_type = 'error') / count(*) ratio, "
     "count(*) filter (where event_type = 'error') / count(*) > 0.05 flag"))
 def st_error_rate(spark, sf):
-    return run_to_table(PV.error_rate_per_zip(_events(spark, sf)), "complete")
+    return run_to_table(PV.error_rate_per_zip(_events(spark, sf)), "update", keys=["w_start", "w_end", "zip"])
 
 
 @register("st_active_users", """with e as (select *, time_bucket(interval '2 days', ts, timestamp '1970-01-01') b from events),
@@ -79,7 +79,8 @@ def st_active_users(spark, sf):
 @register("st_popular_users", """select c_name, count(*) n from events join customer on c_custkey = user_id
 group by c_name""")
 def st_popular_users(spark, sf):
-    return run_to_table(PV.popular_users(_events(spark, sf), Tables(spark, sf).customer), "complete")
+    return run_to_table(PV.popular_users(_events(spark, sf), Tables(spark, sf).customer), "update",
+                        keys=["c_name"])
 
 
 _WORDS_SQL = r"""with w as (select unnest(regexp_split_to_array(text, '[ \t\n\r\f\x0B]+')) word from documents)
@@ -88,7 +89,7 @@ select word, count(*) n from w where length(word) > 0 group by word"""
 
 @register("st_word_count", _WORDS_SQL)
 def st_word_count(spark, sf):
-    return run_to_table(W.word_counts(table_stream(spark, sf, "documents")), "complete")
+    return run_to_table(W.word_counts(table_stream(spark, sf, "documents")), "update", keys=["word"])
 
 
 # Initial state of the running word count example.
@@ -99,7 +100,7 @@ SEED = [("hello", 1), ("world", 1)]
           ", ".join(f"('{w}', {n})" for w, n in SEED) +
           ") v(word, n)) select word, sum(n)::bigint n from (select * from c union all select * from s) u group by word")
 def st_running_words(spark, sf):
-    counts = run_to_table(W.word_counts(table_stream(spark, sf, "documents")), "complete")
+    counts = run_to_table(W.word_counts(table_stream(spark, sf, "documents")), "update", keys=["word"])
     seed = spark.createDataFrame(SEED, "word string, n long")
     return W.with_initial_state(counts, seed)
 
@@ -122,7 +123,7 @@ def st_grep(spark, sf):
   row_number() over (order by n desc, user_id) rank from (select user_id, count(*) n from events group by user_id) a) b
 where rank <= 10""")
 def st_heavy_hitters(spark, sf):
-    c = run_to_table(W.key_counts(_events(spark, sf), "user_id"), "complete")
+    c = run_to_table(W.key_counts(_events(spark, sf), "user_id"), "update", keys=["user_id"])
     return top_n_per_group(c.withColumn("g", F.lit(0)), ["g"],
                            [F.col("n").desc(), F.col("user_id")], 10).drop("g")
 

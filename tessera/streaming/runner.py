@@ -38,22 +38,28 @@ def dir_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet",
 
 
 def run_to_table(df: DataFrame, mode: str = "complete",
-                 per_batch=None) -> DataFrame:
+                 per_batch=None, keys: list[str] | None = None) -> DataFrame:
     """Run ``df`` (a streaming DataFrame) with ``trigger(availableNow)`` and
     return its result.
 
     * ``complete``: the last epoch holds the whole answer;
+    * ``update`` (needs ``keys``): each epoch writes only the groups it
+      changed — the output per batch stays proportional to the batch, not to
+      the state — and the answer is the latest row per key;
     * ``append``: the union of all epochs;
     * ``per_batch(batch_df, epoch) -> DataFrame``: SNK5, a callback applied
       to every micro-batch; its outputs are unioned with a ``batch`` column.
     """
+    if mode == "update" and not keys:
+        raise ValueError("update mode needs the group keys")
     spark = df.sparkSession
     base = scratch_path(spark, "stream")
     epochs: list[int] = []
 
     def sink(bdf: DataFrame, epoch: int) -> None:
-        out = bdf if per_batch is None else per_batch(bdf, epoch).withColumn(
-            "batch", F.lit(epoch).cast("long"))
+        out = bdf if per_batch is None else per_batch(bdf, epoch)
+        if per_batch is not None or mode == "update":
+            out = out.withColumn("batch", F.lit(epoch).cast("long"))
         out.write.mode("overwrite").parquet(f"{base}/out/e{epoch:09d}")
         epochs.append(epoch)
 
@@ -66,7 +72,12 @@ def run_to_table(df: DataFrame, mode: str = "complete",
         return spark.createDataFrame([], df.schema)
     if mode == "complete" and per_batch is None:
         return spark.read.parquet(f"{base}/out/e{max(epochs):09d}")
-    return spark.read.parquet(*[f"{base}/out/e{e:09d}" for e in sorted(set(epochs))])
+    out = spark.read.parquet(*[f"{base}/out/e{e:09d}" for e in sorted(set(epochs))])
+    if mode == "update" and per_batch is None:
+        vals = [c for c in df.columns if c not in keys]
+        latest = out.groupBy(*keys).agg(F.max_by(F.struct(*vals), F.col("batch")).alias("_v"))
+        return latest.select(*keys, *[F.col(f"_v.{c}").alias(c) for c in vals])
+    return out
 
 
 def head_per_batch(df: DataFrame, n: int = 10, order: list[str] | None = None) -> DataFrame:

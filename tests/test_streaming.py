@@ -126,3 +126,9 @@ def test_streaming_sgd_resumes(spark, tmp_path):
     assert rows(w_full) == rows(w_again)
     w_fresh, _ = streaming_sgd(stream(3), 2, num_iter=2)
     assert rows(w_full) == rows(w_fresh)
+
+
+def test_update_mode_equals_complete(spark, event_dir):
+    u = run_to_table(PV.sliding_counts(_stream(spark, event_dir)), "update", keys=["w_start", "w_end", "event_type"])
+    c = run_to_table(PV.sliding_counts(_stream(spark, event_dir)), "complete")
+    assert rows(u) == rows(c.select(*u.columns))
