@@ -9,7 +9,7 @@ import __spark_entry__ as E
 from conftest import SF_SMALL
 
 RELATIONAL = ["rel_count", "rel_count_filtered", "rel_select_price", "rel_join_count", "rel_workload",
-              "returns_by_store", "frequent_items", "max_customer_sales", "best_customers",
+              "returns_by_store", "returns_by_store_correlated", "frequent_items", "max_customer_sales", "best_customers",
               "final_cross_channel", "outer_to_inner_equiv", "split_counts", "user_item_counts",
               "anti_subtract", "top_items_per_customer", "labelled_point_parse", "delimited_parse",
               "java_hash_code", "split_stats", "covariance", "tfidf_terms", "binary_range_bucket",
