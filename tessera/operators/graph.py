@@ -92,7 +92,9 @@ class KeyedEdges:
             return
         if self.n_hot <= self.LITERAL_FANOUT:
             rows = fan.collect()  # at most LITERAL_FANOUT rows
-            lit_map = F.create_map(*[x for r in rows for x in (F.lit(r["_fid"]), F.lit(r["_n"]))])
+            ktype = edges.schema[key].dataType
+            lit_map = F.create_map(*[x for r in rows for x in (F.lit(r["_fid"]).cast(ktype),
+                                                               F.lit(int(r["_n"])).cast("int"))])
             self._nsalt = lambda c: F.coalesce(F.element_at(lit_map, c), F.lit(1))
             n = self._nsalt(F.col(key))
             e = edges.withColumn("_salt", F.pmod(F.xxhash64(F.col(other)), n).cast("int"))
