@@ -101,14 +101,14 @@ def global_row_number(df: DataFrame, order: list[str], parts: int | None = None,
     Range partitioning puts each contiguous key range in its own partition
     (equal keys land together); the rows before each partition come from a
     table with one row per partition; inside a partition an ordinary
-    window numbers the rows.  Both uses read one persisted copy of the
-    range-partitioned rows, so they see the same partition ids (a lost
-    block is recomputed from the same partitioner, not re-sampled).
+    window numbers the rows.  The partition id is written with the rows
+    (a checkpoint in the shared folder), so both uses see the same
+    assignment, and no cache is left pinned on the executors.
     """
+    from .iterate import cut
     spark = df.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    r = (df.repartitionByRange(parts, *order).withColumn("_pid", F.spark_partition_id())
-         .persist(StorageLevel.MEMORY_AND_DISK))
+    r = cut(df.repartitionByRange(parts, *order).withColumn("_pid", F.spark_partition_id()))
     per = r.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     off = F.broadcast(per.select("_pid", F.coalesce(F.sum("_n").over(
         Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off")))
