@@ -50,12 +50,35 @@ def token_sort(spark, sf):
 
 def lineitem_records(t: Tables):
     """100-byte sort records derived from lineitem: key = first 10 bytes of
-    SHA-256 of the row's ids, value = 90 bytes of SHA-512 ‖ SHA-256."""
+    SHA-256 of the row's ids, value = first 90 bytes of the SHA-256 digests
+    of the ids suffixed with |1, |2 and |3."""
     ids = F.concat_ws("|", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
+    dig = lambda sfx: F.unhex(F.sha2(F.concat(ids, F.lit(sfx)), 256))
     return spread(t.lineitem).select(
         F.substring(F.unhex(F.sha2(ids, 256)), 1, S.KEY_LEN).alias("key"),
-        F.substring(F.concat(F.unhex(F.sha2(ids, 512)), F.unhex(F.sha2(ids, 256))), 1, S.VALUE_LEN)
-        .alias("value"))
+        F.substring(F.concat(dig("|1"), dig("|2"), dig("|3")), 1, S.VALUE_LEN).alias("value"))
+
+
+def _crc32_sql(byte_list: str) -> str:
+    """CRC-32 (IEEE, reflected polynomial 0xEDB88320) of a list of byte
+    values, bit by bit, for the DuckDB oracle (which has no crc32)."""
+    return (f"xor(list_reduce({byte_list}, lambda c, b: list_reduce(range(8), lambda c2, k: "
+            f"case when (c2 & 1) = 1 then xor(c2 >> 1, 3988292384) else c2 >> 1 end, xor(c, b)), "
+            f"4294967295), 4294967295)")
+
+
+def _hex_bytes_sql(hex_expr: str, n: int) -> str:
+    return f"list_transform(range({n}), lambda i: ('0x' || substr({hex_expr}, 2*i + 1, 2))::bigint)"
+
+
+_TERASORT_SQL = f"""with r as (select concat_ws('|', l_orderkey, l_partkey, l_suppkey, l_linenumber) ids from lineitem),
+  h as (select substr(sha256(ids), 1, 20) k,
+          substr(sha256(ids), 1, 20) || substr(sha256(ids || '|1') || sha256(ids || '|2') || sha256(ids || '|3'), 1, 180) kv
+        from r)
+select count(*) records, cast(sum({_crc32_sql(_hex_bytes_sql('k', 10))}) as decimal(38,0)) checksum,
+  cast(sum({_crc32_sql(_hex_bytes_sql('kv', 100))}) as decimal(38,0)) full_checksum,
+  {RANGE_PARTS}::bigint partitions, 0::bigint violations,
+  count(*) records_in, cast(sum({_crc32_sql(_hex_bytes_sql('k', 10))}) as decimal(38,0)) checksum_in from h"""
 
 
 @register("binary_range_bucket", f"""select least(floor(('0x' || substr(sha256(concat_ws('|', l_orderkey, l_partkey,
@@ -69,7 +92,7 @@ def binary_range_bucket(spark, sf):
         F.count(F.lit(1)).alias("n"))
 
 
-@register("terasort_valid")
+@register("terasort_valid", _TERASORT_SQL)
 def terasort_valid(spark, sf):
     """TS2 + TS4 + SRC13/SNK2: write the lineitem records as 100-byte binary
     files, read them back, range-sort, write the sorted files, and validate
