@@ -7,17 +7,25 @@ from pyspark.sql import functions as F
 
 from ..operators.iterate import cut_to_table
 from ..sources.tables import load
-from . import quality, secrets, shards
+from . import packing, quality, reuse, secrets, shards
 
 
 def op4_jump_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.op4_jump_hash(spark, load(spark, sf_dir, "documents"))
 
 
+def op7_chunk_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reuse.encode_documents(load(spark, sf_dir, "documents"))
+
+
 def op8_trigram_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_documents(load(spark, sf_dir, "documents"))
 
 
+def op9_tiered_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(load(spark, sf_dir, "documents"))
+
+
 def op10_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = cut_to_table(quality.text_stats(load(spark, sf_dir, "documents")))
     rules = quality.fit_list(stats, load(spark, sf_dir, "labels"))
@@ -26,5 +34,6 @@ def op10_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("base_failed"), F.col("kept"))
 
 
-QUERIES = {f.__name__: f for f in (op4_jump_hash, op8_trigram_secrets, op10_decision_list)}
+QUERIES = {f.__name__: f for f in (
+    op4_jump_hash, op7_chunk_reuse, op8_trigram_secrets, op9_tiered_packing, op10_decision_list)}
 ORACLES: dict[str, str] = {}

@@ -13,11 +13,11 @@ table gives no rows; other input columns are ignored.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.iterate import cut_to_table
 from . import textops as T
+from .prefix import prefix_sums
 
 _LCG = 2862933555777941757  # fixed value of the published algorithm
 
@@ -57,39 +57,9 @@ def assign(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col:
 
 
 def with_slots(rows: DataFrame, order: str = "doc_id", shard: str = "shard") -> DataFrame:
-    """Adds ``slot``: the row's gapless place in its shard, by ``order``.
-
-    The rows are range-partitioned and sorted by ``order`` and numbered within
-    (partition, shard) as they stream past; the counts per (partition, shard)
-    give each partition's first slot.  The numbered rows are written before
-    they are counted, so a lost executor cannot renumber them."""
-    def number(batches):
-        seen: dict[int, int] = {}
-        for b in batches:
-            s = b.column("_s").to_numpy(zero_copy_only=False)
-            o = np.argsort(s, kind="stable")
-            ids, first, count = np.unique(s[o], return_index=True, return_counts=True)
-            local = np.empty(len(s), np.int64)
-            local[o] = np.arange(len(s)) - np.repeat(first, count)
-            base = np.array([seen.get(int(i), 0) for i in ids], np.int64)
-            local[o] += np.repeat(base, count)
-            for i, n in zip(ids, count):
-                seen[int(i)] = seen.get(int(i), 0) + int(n)
-            yield T.batch([*b.schema.names[:-1], "_local"], [*b.columns[:-1], local])
-
-    cols = rows.columns
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    part = (rows.repartitionByRange(F.col(order).asc_nulls_first()).sortWithinPartitions(F.col(order).asc_nulls_first())
-            .withColumn("_part", F.spark_partition_id())
-            .select(*cols, "_part", F.col(shard).cast("int").alias("_s"))
-            .mapInArrow(number, f"{fields}, _part int, _local long"))
-    done = cut_to_table(part)
-    before = Window.partitionBy(shard).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    base = (done.groupBy("_part", shard).agg(F.count(F.lit(1)).alias("_n"))
-            .withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-            .select(F.col("_part").alias("_bp"), F.col(shard).alias("_bs"), "_base"))
-    return (done.join(base, (F.col("_part") == F.col("_bp")) & (F.col(shard) == F.col("_bs")))
-            .select(*cols, (F.col("_local") + F.col("_base")).alias("slot")))
+    """Adds ``slot``: the row's gapless place in its shard, by ``order``."""
+    one = rows.withColumn("_one", F.lit(1))
+    return prefix_sums(one, [("slot", shard, "_one")], order).drop("_one")
 
 
 def op4_jump_hash(spark, docs: DataFrame, shards: int = 16) -> DataFrame:
