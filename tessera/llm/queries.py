@@ -7,7 +7,12 @@ from pyspark.sql import functions as F
 
 from ..operators.iterate import cut_to_table
 from ..sources.tables import load
-from . import packing, quality, reuse, secrets, shards
+from . import langmix, packing, quality, reuse, secrets, shards
+
+
+def op3_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    return langmix.predict(docs, langmix.fit(docs))
 
 
 def op4_jump_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,5 +40,5 @@ def op10_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op4_jump_hash, op7_chunk_reuse, op8_trigram_secrets, op9_tiered_packing, op10_decision_list)}
+    op3_language_mixture, op4_jump_hash, op7_chunk_reuse, op8_trigram_secrets, op9_tiered_packing, op10_decision_list)}
 ORACLES: dict[str, str] = {}
