@@ -7,7 +7,12 @@ from pyspark.sql import functions as F
 
 from ..operators.iterate import cut_to_table
 from ..sources.tables import load
-from . import langmix, packing, quality, reuse, secrets, shards
+from . import langmix, packing, pii, quality, reuse, secrets, shards
+
+
+def op2_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    return pii.find(docs, pii.fit(docs))
 
 
 def op3_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,5 +45,5 @@ def op10_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op3_language_mixture, op4_jump_hash, op7_chunk_reuse, op8_trigram_secrets, op9_tiered_packing, op10_decision_list)}
+    op2_skip_chain_pii, op3_language_mixture, op4_jump_hash, op7_chunk_reuse, op8_trigram_secrets, op9_tiered_packing, op10_decision_list)}
 ORACLES: dict[str, str] = {}

@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.iterate import cut_to_table
 from . import textops as T
 from .tokens import Encoder
 
@@ -95,10 +96,19 @@ def build_dictionary(docs: DataFrame, tokenizer: str | None = None, limit: int =
     the task that its hash falls to.  At most limit * CHUNK_BYTES bytes of
     text, and as many of ids, come to the driver."""
     spark = docs.sparkSession
-    best = (chunk_counts(docs, text_col).filter("n > 1").orderBy(F.col("n") * F.col("size") - F.col("size"), "h", ascending=False)
-            .limit(limit).select("h").toPandas()["h"].to_numpy(dtype=np.int64))
-    if not len(best):
+    saved = cut_to_table(chunk_counts(docs, text_col).filter("n > 1").withColumn("saved", (F.col("n") - 1) * F.col("size")))
+    # the least saving that at most ``limit`` chunks reach, from a histogram of
+    # its logarithm (a few hundred rows), so that no task sends a top list
+    bin_ = F.floor(F.log2("saved") * 16).cast("int")
+    least, total = None, 0
+    for r in sorted(saved.groupBy(bin_.alias("bin")).count().collect(), key=lambda r: -r.bin):
+        total += r["count"]
+        if total > limit:
+            break
+        least = r.bin
+    if least is None:
         return {}
+    best = saved.filter(bin_ >= least).select("h").toPandas()["h"].to_numpy(dtype=np.int64)
     wanted = spark.sparkContext.broadcast(np.sort(best))
 
     def find(batches):
