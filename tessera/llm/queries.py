@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.iterate import cut_to_table
 from ..sources.tables import load
-from . import imatch, langmix, packing, pii, quality, reuse, secrets, shards
+from . import imatch, langmix, packing, pii, quality, reuse, secrets, shards, warc
 
 
 def op2_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +24,10 @@ def op4_jump_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.op4_jump_hash(spark, load(spark, sf_dir, "documents"))
 
 
+def op5_boundary_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(load(spark, sf_dir, "pages"))
+
+
 def op6_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.compare_with_next(load(spark, sf_dir, "documents"))
 
@@ -49,5 +53,5 @@ def op10_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_skip_chain_pii, op3_language_mixture, op4_jump_hash, op6_imatch, op7_chunk_reuse, op8_trigram_secrets, op9_tiered_packing, op10_decision_list)}
+    op2_skip_chain_pii, op3_language_mixture, op4_jump_hash, op5_boundary_chain, op6_imatch, op7_chunk_reuse, op8_trigram_secrets, op9_tiered_packing, op10_decision_list)}
 ORACLES: dict[str, str] = {}
