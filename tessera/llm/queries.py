@@ -7,7 +7,11 @@ from pyspark.sql import functions as F
 
 from ..operators.iterate import cut_to_table
 from ..sources.tables import load
-from . import imatch, langmix, packing, pii, quality, reuse, secrets, shards, warc
+from . import imatch, jaccard, langmix, packing, pii, quality, reuse, secrets, shards, warc
+
+
+def op1_parity_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(load(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 def op2_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,5 +57,32 @@ def op10_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_skip_chain_pii, op3_language_mixture, op4_jump_hash, op5_boundary_chain, op6_imatch, op7_chunk_reuse, op8_trigram_secrets, op9_tiered_packing, op10_decision_list)}
-ORACLES: dict[str, str] = {}
+    op1_parity_jaccard, op2_skip_chain_pii, op3_language_mixture, op4_jump_hash, op5_boundary_chain, op6_imatch, op7_chunk_reuse, op8_trigram_secrets, op9_tiered_packing, op10_decision_list)}
+
+ORACLES: dict[str, str] = {
+    "op1_parity_jaccard": r"""
+with recursive words as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') as w
+  from documents),
+shingle as (
+  select distinct doc_id, unnest(
+    case when len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')]
+         else [array_to_string(w[i:i + 3], ' ') for i in range(1, len(w) - 2)] end) as s
+  from words),
+size as (select doc_id, count(*) as n from shingle group by doc_id),
+shared as (
+  select a.doc_id as a, b.doc_id as b, count(*) as k
+  from shingle a join shingle b on a.s = b.s and a.doc_id < b.doc_id group by 1, 2),
+link as (
+  select a, b from shared join size x on x.doc_id = a join size y on y.doc_id = b
+  where 100 * k >= 85 * (x.n + y.n - k)),
+edge as (select a, b from link union all select b, a from link),
+reach as (
+  select doc_id as id, doc_id as c from documents
+  union
+  select edge.b, reach.c from reach join edge on reach.id = edge.a),
+low as (select id, min(c) as component_id from reach group by id)
+select d.doc_id, cast(coalesce(size.n, 0) as bigint) as n_shingles, low.component_id
+from documents d left join size on size.doc_id = d.doc_id join low on low.id = d.doc_id""",
+}
