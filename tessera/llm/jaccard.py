@@ -1,11 +1,12 @@
 """N-gram Jaccard join by parity sketches (operator 1).
 
-A document's set holds its distinct 4-word shingles.  Two documents link when
-100 * |intersection| >= 85 * |union|, which for sizes a and b is the same as
+A document's set holds its distinct k-word shingles (4 by default).  Two
+documents link when |intersection| >= s * |union| (s is 0.85 by default), which
+for sizes a and b is the same as
 
-    |symmetric difference| <= 15 * (a + b) / 185.
+    |symmetric difference| <= (1 - s) * (a + b) / (1 + s).
 
-Size bands.  Linked sets' sizes differ by a factor of 1 / 0.85 at most, so with
+Size bands.  Linked sets' sizes differ by a factor of 1 / s at most, so with
 bands of that ratio a set meets partners in its own band, the one below and the
 one above.  A join level belongs to the smaller partner's band; each set takes
 part in its own band's level and in the one below.
@@ -32,8 +33,8 @@ that may link is either verified or already connected, and nothing is capped.
 Verification compares the shingle sets of the two texts.
 
 Edge cases: a null text, or one without words, has an empty set, links with
-nothing and is its own component; a text of 1 to 3 words has its word sequence
-as its one shingle; repeated ids count as one vertex: their texts are linked
+nothing and is its own component; a text of fewer than k words has its word
+sequence as its one shingle; repeated ids count as one vertex: their texts are linked
 each on its own, and the result has a row per input row; null ids get a null
 component and link nothing; an empty table gives no rows; other input columns
 are ignored.
@@ -51,53 +52,61 @@ from ..operators.iterate import cut_to_table
 from . import textops as T
 
 SHINGLE = 4
-NUM, DEN = 15, 185  # symmetric difference <= NUM * (a + b) / DEN
+PERCENT = 85
 BLOCK = 2048
 
 _SEED = np.uint64(0xD1B54A32D192ED03)
 
 
-def _bands(top: int = 1 << 40) -> np.ndarray:
-    """First size of every band: s, then ceil(s / 0.85)."""
-    s, out = 1, []
-    while s < top:
-        out.append(s)
-        s = -(-s * 100 // 85)
-    return np.array(out, dtype=np.int64)
+class Law:
+    """Which sets link, and what follows for size bands and sketches."""
 
+    def __init__(self, percent: int = PERCENT):
+        if not 50 <= percent <= 100:
+            raise ValueError("a similarity of 50 to 100 per cent")
+        self.percent = percent
+        bands, s = [], 1
+        while s < 1 << 40:
+            bands.append(s)
+            s = max(s + 1, -(-s * 100 // percent))
+            if percent > 99 and s > 1 << 20:
+                break
+        self.bands = np.array(bands, dtype=np.int64)
 
-BANDS = _bands()
+    def links(self, na, nb, both):
+        return (both > 0) & (100 * both >= self.percent * (na + nb - both))
 
+    def may_link(self, na, nb, distance):
+        """Whether sets of these sizes may differ in as little as ``distance``."""
+        return (100 + self.percent) * distance <= (100 - self.percent) * (na + nb)
 
-def band_of(n: np.ndarray) -> np.ndarray:
-    return np.searchsorted(BANDS, n, side="right") - 1
+    def band_of(self, n: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.bands, n, side="right") - 1
 
+    def most_difference(self, level: np.ndarray) -> np.ndarray:
+        """Largest symmetric difference of a linked pair whose smaller set has a
+        shingles and lies in band ``level``: (1 - s) (a + a / s) / (1 + s) for
+        similarity s, that is (1 - s) a / s."""
+        return (100 - self.percent) * (self.bands[level + 1] - 1) // self.percent
 
-def most_difference(level: np.ndarray) -> np.ndarray:
-    """Largest symmetric difference of a linked pair whose smaller set lies in
-    band ``level``: 15 * (a + a / 0.85) / 185 = 3 a / 17."""
-    return 3 * (BANDS[level + 1] - 1) // 17
+    def parts_of(self, level: np.ndarray) -> np.ndarray:
+        d = self.most_difference(level)
+        return d + 1 + np.maximum(d > 0, d // 16)
 
+    def sketch_bits(self, level: np.ndarray) -> np.ndarray:
+        """Bits of the sketch at a level: a power of two, at least twice the size."""
+        return 1 << np.ceil(np.log2(np.maximum(2 * self.bands[level + 1], 64))).astype(np.int64)
 
-def parts_of(level: np.ndarray) -> np.ndarray:
-    d = most_difference(level)
-    return d + 1 + np.maximum(d > 0, d // 16)
 
-
-def sketch_bits(level: np.ndarray) -> np.ndarray:
-    """Bits of the sketch at a level: a power of two, at least twice the size."""
-    return 1 << np.ceil(np.log2(np.maximum(2 * BANDS[level + 1], 64))).astype(np.int64)
-
-
-def level_keys(first: np.ndarray, h: np.ndarray, shift: int) -> tuple[np.ndarray, np.ndarray]:
+def level_keys(law: Law, first: np.ndarray, h: np.ndarray, shift: int) -> tuple[np.ndarray, np.ndarray]:
     """(set, key) at the level ``shift`` bands below each set's own."""
     n = np.diff(first)
     sets = np.flatnonzero(n > 0)
-    sets = sets[band_of(n[sets]) >= shift]
+    sets = sets[law.band_of(n[sets]) >= shift]
     if not len(sets):
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    level = band_of(n[sets]) - shift
-    m, d = parts_of(level), most_difference(level)
+    level = law.band_of(n[sets]) - shift
+    m, d = law.parts_of(level), law.most_difference(level)
     owner = np.repeat(np.arange(len(sets)), n[sets])
     take = np.concatenate([[0], np.cumsum(n[sets])])
     x = h[np.repeat(first[sets] - take[:-1], n[sets]) + np.arange(take[-1])]
@@ -140,11 +149,6 @@ def fold(sketch: np.ndarray, size: int) -> np.ndarray:
     return sketch
 
 
-def may_link(na, nb, distance) -> np.ndarray:
-    """Whether sets of these sizes may differ in as little as ``distance``."""
-    return DEN * distance <= NUM * (na + nb)
-
-
 def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
@@ -161,20 +165,20 @@ def _fingerprints(first: np.ndarray, h: np.ndarray) -> np.ndarray:
     return out
 
 
-def set_table(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def set_table(docs: DataFrame, law: Law, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n (set size), g (set fingerprint), sketch."""
     def task(batches):
         for b in T.pieces(batches, "text"):
             first, h = T.Words(b.column("text"), lower=True).shingles(shingle)
             n = np.diff(first)
-            bits = sketch_bits(band_of(np.maximum(n, 1)))
+            bits = law.sketch_bits(law.band_of(np.maximum(n, 1)))
             sk = [bit_sketch(h[first[i]:first[i + 1]], int(bits[i])).tobytes() if n[i] else None for i in range(len(n))]
             yield T.batch(["doc_id", "n", "g", "sketch"], [b.column("doc_id"), n.astype(np.int64), _fingerprints(first, h).view(np.int64), pa.array(sk, pa.binary())])
 
     return _source(docs, id_col, text_col).mapInArrow(task, "doc_id long, n long, g long, sketch binary")
 
 
-def shared_keys(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shared_keys(docs: DataFrame, law: Law, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(key, g, centre) of all keys that at least two different sets share; the
     centre is one of the key's sets, a random one for each key.
 
@@ -192,7 +196,7 @@ def shared_keys(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id",
             new &= np.array([int(x) not in seen for x in g], bool) & (np.diff(first) > 0)
             seen.update(g[new].tolist())
             for shift in (0, 1):
-                who, key = level_keys(first, h, shift)
+                who, key = level_keys(law, first, h, shift)
                 ok = new[who]
                 yield T.batch(["key", "g"], [key[ok].view(np.int64), g[who[ok]]])
 
@@ -236,7 +240,7 @@ def star_pairs(keys: DataFrame) -> DataFrame:
             .select(F.least("g", "centre").alias("a"), F.greatest("g", "centre").alias("b")).distinct())
 
 
-def sketch_filter(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def sketch_filter(pairs: DataFrame, sets: DataFrame, law: Law) -> DataFrame:
     """The pairs (a, b) whose bit sketches permit a link."""
     def task(batches):
         for b in batches:
@@ -245,14 +249,14 @@ def sketch_filter(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 x, y = np.frombuffer(sa, np.uint8), np.frombuffer(sb, np.uint8)
                 size = min(len(x), len(y))
                 distance = int(np.bitwise_count(fold(x, size) ^ fold(y, size)).sum())
-                ok.append(bool(may_link(na, nb, distance)))
+                ok.append(bool(law.may_link(na, nb, distance)))
             yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     side = lambda x: sets.select(F.col("g").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "na", "sa", "b", "nb", "sb").mapInArrow(task, "a long, b long")
 
 
-def verify(pairs: DataFrame, sets: DataFrame, docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def verify(pairs: DataFrame, sets: DataFrame, docs: DataFrame, law: Law, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The pairs (a, b) of set fingerprints whose sets link, by comparing the
     texts of one document of either class."""
     def task(batches):
@@ -269,8 +273,7 @@ def verify(pairs: DataFrame, sets: DataFrame, docs: DataFrame, shingle: int = SH
                 e, w = every[order], who[order]
                 twice = w[1:][(e[1:] == e[:-1]) & (w[1:] == w[:-1])]
                 both = np.bincount(twice, minlength=len(na))
-                ok = 100 * both >= 85 * (na + nb - both)
-                yield b.select(["a", "b"]).filter(pa.array(ok & (both > 0)))
+                yield b.select(["a", "b"]).filter(pa.array(law.links(na, nb, both)))
 
     reps = sets.select("g", "doc_id")
     text = _source(docs, id_col, text_col).withColumnRenamed("text", "t")
@@ -290,7 +293,7 @@ def _of_set(shingle: int):
     return task
 
 
-def cross_pairs(keys: DataFrame, sets: DataFrame, comp: DataFrame, block: int = BLOCK) -> DataFrame:
+def cross_pairs(keys: DataFrame, sets: DataFrame, comp: DataFrame, law: Law, block: int = BLOCK) -> DataFrame:
     """(a, b): pairs of one key but of different components whose bit sketches
     permit a link.
 
@@ -308,11 +311,11 @@ def cross_pairs(keys: DataFrame, sets: DataFrame, comp: DataFrame, block: int =
             for s, e in zip(cuts, cuts[1:]):
                 part = b.slice(s, e - s)
                 if held and (held[-1].column("key")[0] != part.column("key")[0] or held[-1].column("j")[0] != part.column("j")[0]):
-                    yield from _search_block(held)
+                    yield from _search_block(held, law)
                     held = []
                 held.append(part)
         if held:
-            yield from _search_block(held)
+            yield from _search_block(held, law)
 
     labelled = cut_to_table(keys.join(comp, "g"))
     count = labelled.groupBy("key", "c").agg(F.count(F.lit(1)).alias("k"))
@@ -328,7 +331,7 @@ def cross_pairs(keys: DataFrame, sets: DataFrame, comp: DataFrame, block: int =
     return (dealt.repartition("key", "j").sortWithinPartitions("key", "j").mapInArrow(search, "a long, b long").distinct())
 
 
-def _search_block(held: list[pa.RecordBatch]):
+def _search_block(held: list[pa.RecordBatch], law: Law):
     t = pa.Table.from_batches(held)
     g, c, n, own = (t.column(x).to_numpy() for x in ("g", "c", "n", "at_home"))
     raw = [np.frombuffer(x, np.uint8) for x in t.column("sketch").to_pylist()]
@@ -341,7 +344,7 @@ def _search_block(held: list[pa.RecordBatch]):
     for i in rest:
         distance = np.bitwise_count(sk ^ sk[i]).sum(axis=1, dtype=np.int64)
         # two copied members are searched in the home block of one of them
-        ok = (c != c[i]) & may_link(n, n[i], distance) & (own | own[i])
+        ok = (c != c[i]) & law.may_link(n, n[i], distance) & (own | own[i])
         hit = np.flatnonzero(ok)
         out_a.append(np.minimum(g[hit], g[i]))
         out_b.append(np.maximum(g[hit], g[i]))
@@ -357,19 +360,20 @@ def components(sets: DataFrame, links: DataFrame) -> DataFrame:
     return cc.select(F.col("id").alias("g"), F.col("component").alias("c"))
 
 
-def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable by links), and
     n_copies, the number of documents with an equal set."""
-    members = cut_to_table(set_table(docs, shingle, id_col, text_col))
+    law = Law(percent)
+    members = cut_to_table(set_table(docs, law, shingle, id_col, text_col))
     sets = cut_to_table(members.filter("n > 0").groupBy("g").agg(
         F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.first("sketch").alias("sketch"), F.count(F.lit(1)).alias("n_copies")))
-    keys = cut_to_table(shared_keys(docs, shingle, id_col, text_col))
-    near = cut_to_table(sketch_filter(star_pairs(keys), sets))
-    links = cut_to_table(verify(near, sets, docs, shingle, id_col, text_col))
+    keys = cut_to_table(shared_keys(docs, law, shingle, id_col, text_col))
+    near = cut_to_table(sketch_filter(star_pairs(keys), sets, law))
+    links = cut_to_table(verify(near, sets, docs, law, shingle, id_col, text_col))
     first = components(sets, links)
     comp = cut_to_table(sets.select("g").join(first, "g", "left").select("g", F.coalesce("c", "g").alias("c")))
-    more = cut_to_table(cross_pairs(keys, sets, comp).join(near, ["a", "b"], "left_anti"))
-    late = cut_to_table(verify(more, sets, docs, shingle, id_col, text_col))
+    more = cut_to_table(cross_pairs(keys, sets, comp, law).join(near, ["a", "b"], "left_anti"))
+    late = cut_to_table(verify(more, sets, docs, law, shingle, id_col, text_col))
     # the links between components join those components
     lab = lambda x: comp.select(F.col("g").alias(x), F.col("c").alias(f"c{x}"))
     across = late.join(lab("a"), "a").join(lab("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")).filter("a <> b").distinct()
@@ -382,3 +386,15 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "d
             .select("doc_id", F.col("n").alias("n_shingles"),
                     F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"),
                     F.coalesce("n_copies", F.lit(1)).alias("n_copies")))
+
+
+def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents that are their component's smallest id, with all their
+    columns; of rows with equal id and text one stays, rows without an id all
+    stay."""
+    keep = (jaccard_components(docs, shingle, percent, id_col, text_col).filter("component_id = doc_id")
+            .select(F.col("doc_id").alias("_kept_id")).distinct())
+    keep = cut_to_table(keep)
+    named = docs.join(keep, F.col(id_col).cast("long") == F.col("_kept_id"), "left_semi")
+    one = named.withColumn("_text_hash", F.xxhash64(text_col)).dropDuplicates([id_col, "_text_hash"]).drop("_text_hash")
+    return one.unionByName(docs.filter(F.col(id_col).isNull()))

@@ -10,14 +10,17 @@ from tessera.llm import jaccard as J
 from tessera.llm import queries
 
 
-def shingles(text):
+LAW = J.Law()
+
+
+def shingles(text, n=4):
     w = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
-    return {tuple(w[i:i + 4]) for i in range(len(w) - 3)} if len(w) > 3 else {tuple(w)} if w else set()
+    return {tuple(w[i:i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} if w else set()
 
 
-def brute(rows):
+def brute(rows, n=4, percent=85):
     """doc_id -> (set size, smallest id reachable by links); ids are unique."""
-    sets = {i: shingles(t) for i, t in rows}
+    sets = {i: shingles(t, n) for i, t in rows}
     root = {i: i for i in sets}
 
     def find(i):
@@ -30,7 +33,7 @@ def brute(rows):
         for b in ids:
             if a < b and sets[a] and sets[b]:
                 k = len(sets[a] & sets[b])
-                if 100 * k >= 85 * (len(sets[a]) + len(sets[b]) - k):
+                if 100 * k >= percent * (len(sets[a]) + len(sets[b]) - k):
                     x, y = find(a), find(b)
                     root[max(x, y)] = min(x, y)
     return {i: (len(sets[i]), find(i)) for i in ids}
@@ -72,6 +75,16 @@ def test_near_copies_equal_brute_force(spark):
     assert result(J.jaccard_components(d)) == brute(rows)
 
 
+def test_other_similarity_and_shingle_length(spark):
+    rows = [(i, t) for i, t in enumerate(near_copies(2))]
+    d = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, g string")
+    want = brute(rows, 5, 80)
+    assert result(J.jaccard_components(d, 5, 80)) == want
+    one = J.keep_one(d.union(d.limit(9)))
+    assert one.columns == d.columns
+    assert sorted(r.doc_id for r in one.collect()) == sorted(i for i, (_, c) in want.items() if c == i)
+
+
 def test_edge_cases_equal_brute_force(spark, docs, empty):
     rows = {r.doc_id: r.text for r in docs.collect() if r.doc_id is not None}
     out = J.jaccard_components(docs)
@@ -107,7 +120,7 @@ def test_pigeonhole_guarantee():
         k, u = n - drop, n + len(b) - (n - drop)
         if not len(b) or 100 * k < 85 * u:
             continue
-        keys = [set().union(*(J.level_keys(np.array([0, len(x)]), np.sort(x), s)[1].tolist() for s in (0, 1))) for x in (a, b)]
+        keys = [set().union(*(J.level_keys(LAW, np.array([0, len(x)]), np.sort(x), s)[1].tolist() for s in (0, 1))) for x in (a, b)]
         assert keys[0] & keys[1]
 
 
@@ -124,10 +137,10 @@ def test_sketch_distance_is_a_lower_bound():
 def test_search_blocks_find_the_same_pairs(spark):
     rows = [(i, t) for i, t in enumerate(near_copies(9))]
     d = spark.createDataFrame(rows, "doc_id long, text string")
-    sets = J.cut_to_table(J.set_table(d).filter("n > 0").dropDuplicates(["g"]))
-    keys = J.cut_to_table(J.shared_keys(d))
+    sets = J.cut_to_table(J.set_table(d, LAW).filter("n > 0").dropDuplicates(["g"]))
+    keys = J.cut_to_table(J.shared_keys(d, LAW))
     comp = sets.select("g", J.F.col("g").alias("c"))
-    pairs = lambda block: {(r.a, r.b) for r in J.cross_pairs(keys, sets, comp, block).collect()}
+    pairs = lambda block: {(r.a, r.b) for r in J.cross_pairs(keys, sets, comp, LAW, block).collect()}
     big, small = pairs(2048), pairs(3)
     assert big == small and len(big) > 10
 
