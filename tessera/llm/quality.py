@@ -20,7 +20,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
+from ..operators.iterate import cut_to_table
 from . import textops as T
 
 SYMBOLS = b"#*$%&|<>"
@@ -106,14 +108,18 @@ def text_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return src.mapInArrow(task, f"doc_id {kind}, " + ", ".join(f"{c} long" for c in COUNTS))
 
 
-def base_failed(s: dict[str, Column] | None = None) -> Column:
-    c = s or {k: F.col(k) for k in COUNTS}
+def counts(prefix: str = "") -> dict[str, Column]:
+    return {k: F.col(prefix + k) for k in COUNTS}
+
+
+def base_failed(c: dict[str, Column] | None = None) -> Column:
+    c = c or counts()
     return (c["n_words"] < 10) | (100 * c["n_repeat_words"] > 20 * c["n_words"])
 
 
-def features() -> dict[str, Column]:
+def features(c: dict[str, Column] | None = None) -> dict[str, Column]:
     """Size-free ratios of the statistics, as Spark columns."""
-    c = {k: F.col(k).cast("double") for k in COUNTS}
+    c = {k: v.cast("double") for k, v in (c or counts()).items()}
     per = lambda a, b: c[a] / F.greatest(c[b], F.lit(1.0))
     return {
         "n_words": c["n_words"],
@@ -229,16 +235,18 @@ def fit_list(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_
              sample_rows: int = SAMPLE_ROWS) -> DecisionList:
     """Learn a list from labelled statistics (label 0: bad, 1: good).
 
-    At most ``sample_rows`` labelled rows, those with the smallest id hash,
-    come to the driver; rows that the base rule rejects are left out, since
-    the list only has to judge the others."""
+    About ``sample_rows`` labelled rows at most, by a hash of their ids, come
+    to the driver; rows that the base rule rejects are left out, since the
+    list only has to judge the others."""
     lab = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).alias("_label")) \
         .filter("doc_id is not null and _label is not null").groupBy("doc_id").agg(F.min("_label").alias("_label"))
     f = features()
-    rows = (stats.filter(~base_failed()).join(lab, "doc_id")
-            .select(F.xxhash64("doc_id").alias("_h"), (F.col("_label") == 0).alias("_bad"),
-                    *(c.alias(f"_{n}") for n, c in f.items()))
-            .orderBy("_h").limit(sample_rows).toPandas())
+    known = stats.filter(~base_failed()).join(lab, "doc_id").withColumn("_h", F.xxhash64("doc_id"))
+    n = known.count()
+    if n > sample_rows:
+        known = known.filter(F.pmod(F.col("_h"), F.lit(1 << 30)) < F.lit((1 << 30) * sample_rows // n))
+    rows = known.select("_h", (F.col("_label") == 0).alias("_bad"), *(c.alias(f"_{n}") for n, c in f.items())).toPandas()
+    rows = rows.sort_values(list(rows.columns), kind="stable")
     if rows.empty:
         return DecisionList([])
     x = {n: rows[f"_{n}"].to_numpy(dtype=float) for n in f}
@@ -249,3 +257,21 @@ def judge(stats: DataFrame, rules: DecisionList) -> DataFrame:
     """Adds ``base_failed`` and ``kept`` to a table of statistics."""
     failed = base_failed()
     return stats.withColumns({"base_failed": failed, "kept": ~failed & rules.keep_expr()})
+
+
+def filter_kept(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents that the base rule and a list learned from ``labels``
+    keep, with all their columns; statistics and verdict are computed where the
+    rows lie."""
+    mark = "_quality_"
+
+    def task(batches):
+        for b in T.pieces(batches, text_col):
+            stats = count_texts(b.column(text_col))
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(stats[c]) for c in COUNTS)],
+                                             names=[*b.schema.names, *(mark + c for c in COUNTS)])
+
+    rules = fit_list(cut_to_table(text_stats(docs, id_col, text_col)), labels)
+    own = counts(mark)
+    schema = StructType([*docs.schema.fields, *(StructField(mark + c, LongType()) for c in COUNTS)])
+    return docs.mapInArrow(task, schema).filter(~base_failed(own) & rules.keep_expr(features(own))).select(*docs.columns)

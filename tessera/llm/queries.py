@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,7 +57,7 @@ def op10_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("base_failed"), F.col("kept"))
 
 
-QUERIES = {f.__name__: f for f in (
+QUERIES = {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (
     op1_parity_jaccard, op2_skip_chain_pii, op3_language_mixture, op4_jump_hash, op5_boundary_chain, op6_imatch, op7_chunk_reuse, op8_trigram_secrets, op9_tiered_packing, op10_decision_list)}
 
 ORACLES: dict[str, str] = {
