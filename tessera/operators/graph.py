@@ -13,13 +13,14 @@ cut with reliable checkpoints (``iterate.Loop``).
 
 from __future__ import annotations
 
+import itertools
 from typing import Callable
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .iterate import Loop, cut, hold
+from .iterate import Loop, cut, hold, rounds
 
 INF = float("inf")
 
@@ -33,12 +34,6 @@ def vertices_of(edges: DataFrame) -> DataFrame:
             .union(edges.select(F.col("dst").alias("id"))).distinct())
 
 
-def canonical(edges: DataFrame) -> DataFrame:
-    """SRC4 ``canonicalOrientation``: every edge rewritten to src < dst."""
-    return edges.select(F.least("src", "dst").alias("src"),
-                        F.greatest("src", "dst").alias("dst"))
-
-
 def partition_edges(edges: DataFrame, n: int | None = None) -> DataFrame:
     """Vertex-cut style placement — hash on both endpoints so a hub's
     edges spread over all partitions."""
@@ -57,19 +52,16 @@ class KeyedEdges:
     put a large share of every iteration's work in one task; its edges are
     split over ``ceil(deg / cap)`` salt buckets by a hash of the other
     endpoint, and its state row is replicated to each of its buckets when
-    joined.  At most 2P vertices can be hot, so the fan-out is bounded: with
-    no hot vertex the table is simply keyed (no salt at all); with up to
-    ``LITERAL_FANOUT`` hot vertices the fan-out travels in the plan as a
-    literal map; beyond that it is a broadcast table of at most 2P rows.
+    joined.  At most 2P vertices can be hot, so the fan-out, a broadcast table
+    of hot vertices, is bounded.  The input is cut first: a lost block of the
+    held table is rebuilt from written data.
     """
 
     EDGES_PER_PARTITION = 1_000_000
-    LITERAL_FANOUT = 1000
 
     def __init__(self, edges: DataFrame, key: str, other: str, parts: int | None = None):
         self.key = key
-        # the input is usually a lazy plan (a derived graph): compute it once
-        edges = edges.persist(StorageLevel.MEMORY_AND_DISK)
+        edges = cut(edges)  # usually a lazy plan (a derived graph): compute it once
         deg = edges.groupBy(key).agg(F.count(F.lit(1)).alias("_c"))
         total, top = deg.agg(F.sum("_c"), F.max("_c")).first()  # one pass: size and largest degree
         total, top = total or 0, top or 0
@@ -80,44 +72,26 @@ class KeyedEdges:
             parts = min(_parts(edges), max(cores, -(-total // self.EDGES_PER_PARTITION)))
         self.parts = parts
         cap = max(1, total // (2 * parts))
-        self.n_hot = 0
+        self.fan = None
         if top > cap:
-            fan = cut(deg.filter(F.col("_c") > cap).select(
+            self.fan = cut(deg.filter(F.col("_c") > cap).select(
                 F.col(key).alias("_fid"), F.ceil(F.col("_c") / cap).cast("int").alias("_n")))
-            self.n_hot = fan.count()
-            self.fan = fan
-        if self.n_hot == 0:
-            self.df = hold(edges.repartition(parts, key))
-            edges.unpersist()
-            return
-        if self.n_hot <= self.LITERAL_FANOUT:
-            rows = fan.collect()  # at most LITERAL_FANOUT rows
-            ktype = edges.schema[key].dataType
-            lit_map = F.create_map(*[x for r in rows for x in (F.lit(r["_fid"]).cast(ktype),
-                                                               F.lit(int(r["_n"])).cast("int"))])
-            self._nsalt = lambda c: F.coalesce(F.element_at(lit_map, c), F.lit(1))
-            n = self._nsalt(F.col(key))
-            e = edges.withColumn("_salt", F.pmod(F.xxhash64(F.col(other)), n).cast("int"))
-        else:
-            self._nsalt = None
-            e = (edges.join(F.broadcast(fan), F.col(key) == F.col("_fid"), "left")
+            e = (edges.join(F.broadcast(self.fan), F.col(key) == F.col("_fid"), "left")
                  .withColumn("_salt", F.when(F.col("_n").isNull(), F.lit(0))
                              .otherwise(F.pmod(F.xxhash64(F.col(other)), F.col("_n")).cast("int")))
                  .drop("_fid", "_n"))
-        self.df = hold(e.repartition(parts, key, "_salt"))
-        edges.unpersist()
+            self.df = hold(e.repartition(parts, key, "_salt"))
+        else:
+            self.df = hold(edges.repartition(parts, key))
 
     def join_state(self, state: DataFrame, id_col: str = "id") -> DataFrame:
         """Inner join of the edges with per-vertex rows ``state`` on
         ``key == id_col`` (each hot vertex's rows fanned out to its salts)."""
-        if self.n_hot == 0:
+        if self.fan is None:
             return self.df.join(state, F.col(self.key) == F.col(id_col))
-        if self._nsalt is not None:
-            s = state.withColumn("_ssalt", F.explode(F.sequence(F.lit(0), self._nsalt(F.col(id_col)) - 1)))
-        else:
-            s = (state.join(F.broadcast(self.fan), F.col(id_col) == F.col("_fid"), "left")
-                 .withColumn("_ssalt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_n"), F.lit(1)) - 1)))
-                 .drop("_fid", "_n"))
+        s = (state.join(F.broadcast(self.fan), F.col(id_col) == F.col("_fid"), "left")
+             .withColumn("_ssalt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_n"), F.lit(1)) - 1)))
+             .drop("_fid", "_n"))
         return (self.df.join(s, (F.col(self.key) == F.col(id_col)) & (F.col("_salt") == F.col("_ssalt")))
                 .drop("_salt", "_ssalt"))
 
@@ -129,11 +103,25 @@ class KeyedEdges:
 # PageRank family
 # --------------------------------------------------------------------------
 
-def _weighted_links(edges: DataFrame) -> KeyedEdges:
-    """``(src, dst, w = 1/outdeg(src))`` held for the loop, keyed by src."""
-    deg = edges.groupBy("src").agg(F.count(F.lit(1)).alias("deg"))
-    links = edges.join(deg, "src").select("src", "dst", (F.lit(1.0) / F.col("deg")).alias("w"))
-    return KeyedEdges(links, "src", "dst")
+class _Links:
+    """Edges held for the loop, keyed by src, and each vertex's share per
+    out-edge.  The share is kept per vertex, so a hub's edges never meet its
+    degree in one task."""
+
+    def __init__(self, edges: DataFrame):
+        self.edges = KeyedEdges(edges.select("src", "dst"), "src", "dst")
+        self.parts = self.edges.parts
+        self.share = hold(cut(self.edges.df.groupBy(F.col("src").alias("id")).agg((F.lit(1.0) / F.count(F.lit(1))).alias("w")))
+                          .repartition(self.parts, "id"))
+
+    def sums(self, ranks: DataFrame) -> DataFrame:
+        """(id, s): the rank that each vertex receives along its in-edges."""
+        sent = self.share.join(ranks, "id").select(F.col("id").alias("_sid"), (F.col("rank") * F.col("w")).alias("_sent"))
+        return self.edges.join_state(sent, "_sid").groupBy(F.col("dst").alias("id")).agg(F.sum("_sent").alias("s"))
+
+    def unpersist(self) -> None:
+        self.edges.unpersist()
+        self.share.unpersist()
 
 
 def page_rank_simple(edges: DataFrame, max_iter: int = 10, damping: float = 0.85,
@@ -143,14 +131,11 @@ def page_rank_simple(edges: DataFrame, max_iter: int = 10, damping: float = 0.85
     over in-links, an inner join, so ids without in-links drop out and sinks
     pass nothing on.  ``max_iter <= 0`` means 10."""
     max_iter = max_iter if max_iter > 0 else 10
-    links = _weighted_links(edges.select("src", "dst").distinct())
-    ranks = links.df.select(F.col("src").alias("id")).distinct().withColumn("rank", F.lit(1.0))
+    links = _Links(edges.select("src", "dst").distinct())
+    ranks = links.share.select("id", F.lit(1.0).alias("rank"))
     loop = Loop(cut_every)
     for i in range(max_iter):
-        contrib = (links.join_state(ranks)
-                   .groupBy(F.col("dst").alias("id"))
-                   .agg(F.sum(F.col("rank") * F.col("w")).alias("s")))
-        ranks = contrib.select("id", (F.lit(1 - damping) + F.lit(damping) * F.col("s")).alias("rank"))
+        ranks = links.sums(ranks).select("id", (F.lit(1 - damping) + F.lit(damping) * F.col("s")).alias("rank"))
         ranks = loop.step(ranks, force=(i == max_iter - 1))
     links.unpersist()
     return ranks
@@ -160,7 +145,7 @@ def page_rank_static(edges: DataFrame, num_iter: int = 10, reset: float = 0.15,
                      cut_every: int = 3, start: float = 1.0) -> DataFrame:
     """Every vertex kept; ``rank = reset + (1-reset) * sum`` with a
     missing sum read as 0; start value 1.0; no final normalisation."""
-    links = _weighted_links(edges.select("src", "dst"))
+    links = _Links(edges)
     verts = hold(vertices_of(edges).repartition(links.parts, "id"))
     ranks = verts.withColumn("rank", F.lit(start))
     loop = Loop(cut_every)
@@ -173,22 +158,21 @@ def page_rank_static(edges: DataFrame, num_iter: int = 10, reset: float = 0.15,
 
 
 def _static_step(links, verts, ranks, reset):
-    contrib = (links.join_state(ranks)
-               .groupBy(F.col("dst").alias("cid"))
-               .agg(F.sum(F.col("rank") * F.col("w")).alias("s")))
+    contrib = links.sums(ranks).withColumnRenamed("id", "cid")
     return (verts.join(contrib, verts.id == contrib.cid, "left")
             .select("id", (F.lit(reset) + F.lit(1 - reset) *
                            F.coalesce(F.col("s"), F.lit(0.0))).alias("rank")))
 
 
 def page_rank_until(edges: DataFrame, tol: float = 1e-6, reset: float = 0.15,
-                    max_iter: int = 1000) -> DataFrame:
+                    max_iter: int | None = None) -> DataFrame:
     """Dynamic PageRank — iterate the static step until no vertex moves
-    by more than ``tol`` (one small aggregate per step decides)."""
-    links = _weighted_links(edges.select("src", "dst"))
+    by more than ``tol`` (one small aggregate per step decides).  More than
+    ``max_iter`` steps, where given, are an error."""
+    links = _Links(edges)
     verts = hold(vertices_of(edges).repartition(links.parts, "id"))
     ranks = cut(verts.withColumn("rank", F.lit(1.0)))
-    for _ in range(max_iter):
+    for _ in rounds(max_iter, "page_rank_until"):
         new = cut(_static_step(links, verts, ranks, reset))
         delta = (new.alias("n").join(ranks.alias("o"), "id")
                  .agg(F.max(F.abs(F.col("n.rank") - F.col("o.rank")))).first()[0])
@@ -216,26 +200,27 @@ def ranks_named(ranks: DataFrame, names: DataFrame, id_col: str, name_col: str)
 # Connected components (G6): alternating large-star / small-star
 # --------------------------------------------------------------------------
 
-def connected_components(edges: DataFrame, max_iter: int = 200) -> DataFrame:
+def connected_components(edges: DataFrame, max_iter: int | None = None) -> DataFrame:
     """Undirected components, label = smallest vertex id.
 
     Alternating large-star / small-star rounds (Kiveris et al., SoCC 2014):
     each round is two aggregates and two joins over the edge list, and the
     number of rounds grows with log(n), not with the graph diameter.  Stops
     when the edges form stars (no edge ends at a vertex that itself has a
-    smaller neighbour).
+    smaller neighbour).  The smallest neighbours are cut before they are
+    joined, so that AQE can split the root of a giant component.
     """
     verts = vertices_of(edges)
     e = (edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v"))
          .filter(F.col("u") != F.col("v")).distinct())
     e = cut(e)
-    for _ in range(max_iter):
+    for _ in rounds(max_iter, "connected_components"):
         both = e.select(F.col("u").alias("a"), F.col("v").alias("b")).union(
             e.select(F.col("v").alias("a"), F.col("u").alias("b")))
-        m = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("ma"))
+        m = cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("ma")))
         large = (both.filter(F.col("b") > F.col("a")).join(m, "a")
                  .select(F.col("b").alias("u"), F.col("ma").alias("v")).distinct())
-        m2 = large.groupBy("u").agg(F.min("v").alias("mu"))
+        m2 = cut(large.groupBy("u").agg(F.min("v").alias("mu")))
         small = (large.join(m2, "u").select(F.col("v").alias("x"), F.col("mu").alias("y"))
                  .union(m2.select(F.col("u").alias("x"), F.col("mu").alias("y")))
                  .filter(F.col("x") != F.col("y"))
@@ -255,7 +240,7 @@ def connected_components(edges: DataFrame, max_iter: int = 200) -> DataFrame:
 # Frontier BFS: landmark hops (G10) and single-source shortest paths
 # --------------------------------------------------------------------------
 
-def landmark_hops(edges: DataFrame, landmarks: list[int], max_iter: int = 10_000) -> DataFrame:
+def landmark_hops(edges: DataFrame, landmarks: list[int], max_iter: int | None = None) -> DataFrame:
     """Hop count from every vertex *to* each landmark along edge
     direction (a BFS from each landmark over reversed edges).  Unreachable
     pairs are absent.  Only the frontier moves each round."""
@@ -264,25 +249,24 @@ def landmark_hops(edges: DataFrame, landmarks: list[int], max_iter: int = 10_000
     seed = spark.createDataFrame([(int(l), int(l)) for l in landmarks], "id long, landmark long")
     seen = cut(rev.df.select(F.col("v").alias("id")).union(rev.df.select(F.col("w").alias("id")))
                .distinct().join(seed, "id").select("id", "landmark", F.lit(0).alias("hops")))
-    frontier = seen
-    d = 0
-    while d < max_iter:
-        d += 1
-        nxt = (rev.join_state(frontier)
-               .select(F.col("w").alias("id"), "landmark").distinct()
-               .join(seen, ["id", "landmark"], "left_anti")
-               .withColumn("hops", F.lit(d)))
-        nxt = cut(nxt)
+    pieces, frontier = [seen], seen
+    for d in rounds(max_iter, "landmark_hops"):
+        nxt = cut(rev.join_state(frontier)
+                  .select(F.col("w").alias("id"), "landmark").distinct()
+                  .join(_union_all(pieces), ["id", "landmark"], "left_anti")
+                  .withColumn("hops", F.lit(d + 1)))
         if nxt.limit(1).count() == 0:
             break
-        seen = cut(seen.unionByName(nxt))
+        pieces.append(nxt)
+        if len(pieces) > 16:  # merged now and then, not rewritten every round
+            pieces = [cut(_union_all(pieces))]
         frontier = nxt
     rev.unpersist()
-    return seen
+    return _union_all(pieces)
 
 
 def sssp(edges: DataFrame, source: int, weight: str | None = None,
-         max_iter: int = 10_000) -> DataFrame:
+         max_iter: int | None = None) -> DataFrame:
     """Single-source shortest paths, min-plus over ``weight`` (1.0 when
     absent), every vertex reported (infinity when unreachable).
     Bellman-Ford restricted to the vertices whose distance just improved."""
@@ -292,7 +276,7 @@ def sssp(edges: DataFrame, source: int, weight: str | None = None,
     dist = cut(verts.select("id", F.when(F.col("id") == source, 0.0)
                             .otherwise(F.lit(INF)).alias("dist")))
     frontier = dist.filter(F.col("dist") < INF)
-    for _ in range(max_iter):
+    for _ in rounds(max_iter, "sssp"):
         cand = (e.join_state(frontier)
                 .groupBy(F.col("dst").alias("id"))
                 .agg(F.min(F.col("dist") + F.col("w")).alias("cand")))
@@ -316,7 +300,7 @@ def pregel(vertices: DataFrame, edges: DataFrame, initial_msg,
            send_to_dst: Callable[[Column, Column, Column], Column | None],
            merge: Callable[[Column], Column] = F.min,
            active: Callable[[Column, Column, Column], Column] | None = None,
-           max_iter: int = 10_000) -> DataFrame:
+           max_iter: int | None = None, reads_dst: bool = True) -> DataFrame:
     """Pregel over ``vertices(id, attr)`` and ``edges(src, dst, attr)``.
 
     ``vprog(attr, msg)`` → new vertex attribute; ``send_to_dst(src_attr,
@@ -324,14 +308,19 @@ def pregel(vertices: DataFrame, edges: DataFrame, initial_msg,
     gated by ``active(...)``; ``merge`` is an aggregate over messages (min,
     sum, ...).  Super-step 0 applies ``initial_msg`` everywhere; afterwards
     only vertices that received a message are updated and only edges out of
-    them send.  Stops when no message is sent.
+    them send.  Stops when no message is sent.  With ``reads_dst=False`` (the
+    message uses no destination attribute) no triplet is shuffled to its
+    destination; only combined messages are.
     """
     e = KeyedEdges(edges.select("src", "dst", F.col("attr").alias("eattr")), "src", "dst")
     v = cut(vertices.select("id", vprog(F.col("attr"), F.lit(initial_msg)).alias("attr")))
     changed = v
-    for _ in range(max_iter):
-        trip = (e.join_state(changed.select(F.col("id").alias("sid"), F.col("attr").alias("sattr")), "sid")
-                .join(v.select(F.col("id").alias("did"), F.col("attr").alias("dattr")),
+    for _ in rounds(max_iter, "pregel"):
+        trip = e.join_state(changed.select(F.col("id").alias("sid"), F.col("attr").alias("sattr")), "sid")
+        if not reads_dst:
+            trip = trip.withColumn("dattr", F.lit(None).cast(v.schema["attr"].dataType))
+        else:
+            trip = (trip.join(v.select(F.col("id").alias("did"), F.col("attr").alias("dattr")),
                       F.col("dst") == F.col("did")))
         msg = send_to_dst(F.col("sattr"), F.col("eattr"), F.col("dattr"))
         if active is not None:
@@ -417,8 +406,8 @@ def _union_all(pieces: list[DataFrame]) -> DataFrame:
     return out
 
 
-def strongly_connected_components(edges: DataFrame, max_rounds: int = 10_000,
-                                  trim_passes: int = 10_000) -> DataFrame:
+def strongly_connected_components(edges: DataFrame, max_rounds: int | None = None,
+                                  trim_passes: int | None = None) -> DataFrame:
     """Strongly connected components, label = lowest id in the component.
 
     Colouring algorithm: repeatedly (1) peel vertices with no remaining in-
@@ -426,17 +415,18 @@ def strongly_connected_components(edges: DataFrame, max_rounds: int = 10_000,
     that reaches it, (3) from each colour root walk backwards inside its
     colour — the vertices reached form the root's component.  Assigned
     vertices are removed and the loop repeats on the rest.  Trimming runs
-    to a fixpoint by default (``trim_passes`` can cap it: colouring finds
-    the singletons too, but needs more rounds for them).  Results and
+    to a fixpoint by default (``trim_passes`` can end it earlier: colouring
+    finds the singletons too, but needs more rounds for them).  More than
+    ``max_rounds`` rounds, where given, are an error.  Results and
     BFS frontiers are kept as unions of already-materialised pieces, so a
     round never recomputes an earlier one.
     """
     e = cut(edges.select("src", "dst").filter(F.col("src") != F.col("dst")).distinct())
     remaining = cut(vertices_of(edges))
     pieces: list[DataFrame] = []
-    for _ in range(max_rounds):
+    for _ in rounds(max_rounds, "strongly_connected_components"):
         # (1) trim vertices without in- or out-edges among the remaining ones
-        for _ in range(trim_passes):
+        for _ in itertools.count() if trim_passes is None else range(trim_passes):
             outs = e.select(F.col("src").alias("id")).distinct()
             ins = e.select(F.col("dst").alias("id")).distinct()
             keep = cut(remaining.join(outs, "id", "left_semi").join(ins, "id", "left_semi"))
@@ -487,14 +477,14 @@ def triangle_count(edges: DataFrame) -> DataFrame:
     Edges are oriented from lower to higher (degree, id) rank, which bounds
     every vertex's out-degree by sqrt(2m); the wedge join u→v→w then has at
     most O(m^1.5) rows no matter how skewed the degrees are, and a hub's
-    many in-edges meet only its few out-edges (AQE splits the hub's
-    partition of the larger side if it is still skewed).
+    many in-edges meet only its few out-edges.  Degrees are cut before they
+    are joined to the edges, so that AQE can split a hub's partition.
     """
     und = (edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"))
            .filter(F.col("a") != F.col("b")).distinct())
     und = cut(und)
-    deg = (und.select(F.col("a").alias("id")).union(und.select(F.col("b").alias("id")))
-           .groupBy("id").agg(F.count(F.lit(1)).alias("d")))
+    deg = cut(und.select(F.col("a").alias("id")).union(und.select(F.col("b").alias("id")))
+              .groupBy("id").agg(F.count(F.lit(1)).alias("d")))
     ranked = (und.join(deg.select(F.col("id").alias("a"), F.col("d").alias("da")), "a")
               .join(deg.select(F.col("id").alias("b"), F.col("d").alias("db")), "b"))
     a_first = (F.col("da") < F.col("db")) | ((F.col("da") == F.col("db")) & (F.col("a") < F.col("b")))

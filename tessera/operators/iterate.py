@@ -9,6 +9,9 @@ every earlier iteration.
 
 from __future__ import annotations
 
+import weakref
+from collections.abc import Iterator
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
@@ -36,6 +39,23 @@ class Loop:
         return df
 
 
+def rounds(limit: int | None, what: str) -> Iterator[int]:
+    """Rounds of a loop that breaks at its fixpoint.  Without a limit they go
+    on; with one, exceeding it is an error, never an unfinished answer."""
+    n = 0
+    while limit is None or n < limit:
+        yield n
+        n += 1
+    raise RuntimeError(f"{what}: not finished after {limit} rounds")
+
+
+def join_plain(big: DataFrame, side: DataFrame, on) -> DataFrame:
+    """Inner join with a grouped side of one row per key, which is written
+    first.  AQE splits a hot key's partition only where both sides of the join
+    are plain shuffles; below an aggregate it cannot."""
+    return big.join(cut_to_table(side), on)
+
+
 def cut_to_table(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet into the shared checkpoint folder and read it
     back: a fresh relation with no lineage (columnar, compressed, and its
@@ -43,15 +63,31 @@ def cut_to_table(df: DataFrame) -> DataFrame:
     from ..session import scratch_path
     path = scratch_path(df.sparkSession, "state")
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    out = df.sparkSession.read.parquet(path)
+    _PATHS[id(out)] = path
+    weakref.finalize(out, _PATHS.pop, id(out), None)
+    return out
+
+
+_PATHS: dict[int, str] = {}
+
+
+def release(df: DataFrame) -> None:
+    """Delete a table made by ``cut_to_table`` that nothing will read again (a
+    superseded loop state)."""
+    path = _PATHS.pop(id(df), None)
+    if path is not None:
+        jvm, sc = df.sparkSession._jvm, df.sparkSession.sparkContext
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def hold(df: DataFrame) -> DataFrame:
     """Keep a loop-invariant input (an edge table hash-partitioned by its
     join key) for the whole loop: persisted in memory and on disk, so every
     iteration joins against it without shuffling it again (the cache keeps
-    the partitioning, a checkpoint would not).  Its lineage is short — one
-    shuffle from the source — so a lost block is cheap to rebuild."""
+    the partitioning, a checkpoint would not).  Hand it a cut table, so that a
+    lost block is rebuilt by one shuffle of written data."""
     df = df.persist(StorageLevel.MEMORY_AND_DISK)
     df.count()
     return df

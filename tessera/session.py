@@ -32,6 +32,7 @@ CLUSTER_CONF = {
     "spark.sql.autoBroadcastJoinThreshold": "64m",
     "spark.sql.adaptive.autoBroadcastJoinThreshold": "64m",
     "spark.sql.session.timeZone": "UTC",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",  # superseded loop states go
     "spark.ui.enabled": "false",
 }
 
@@ -73,6 +74,7 @@ def build_session(master: str | None = None, app: str = "tessera",
          .config("spark.driver.memory", os.environ.get("TESSERA_DRIVER_MEM", "16g"))
          .config("spark.driver.bindAddress", "127.0.0.1")
          .config("spark.driver.host", "127.0.0.1")
+         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
          .config("spark.sql.streaming.forceDeleteTempCheckpointLocation", "true"))
     for k, v in (extra or {}).items():
         b = b.config(k, v)
@@ -85,8 +87,10 @@ def build_session(master: str | None = None, app: str = "tessera",
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared checkpoint folder of this session.
 
-    Read from ``spark.checkpoint.dir`` (or the context's checkpoint dir);
-    only when neither is set do we create a local one (tests, laptops).
+    Read from ``spark.checkpoint.dir`` (or the context's checkpoint dir).
+    When neither is set, a session on a local master gets a folder of its own
+    (tests, laptops); on a cluster that is an error, because executors would
+    not see a folder on the driver's disk.
     """
     sc = spark.sparkContext
     d = sc.getCheckpointDir()
@@ -95,6 +99,8 @@ def checkpoint_root(spark: SparkSession) -> str:
     conf = sc.getConf().get("spark.checkpoint.dir", None) or \
         spark.conf.get("spark.checkpoint.dir", None)
     if not conf:
+        if not sc.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         conf = tempfile.mkdtemp(prefix="tessera-ckpt-")
     sc.setCheckpointDir(conf)
     return sc.getCheckpointDir() or conf

@@ -203,20 +203,14 @@ def test_hub_is_salted_and_results_exact(spark):
     e = edges(spark, pairs)
     ke = G.KeyedEdges(e, "src", "dst", parts=4)
     fan = {r["_fid"]: r["_n"] for r in ke.fan.collect()}
-    assert 0 in fan and fan[0] > 1 and len(fan) <= 8 and ke.n_hot == len(fan)
+    assert 0 in fan and fan[0] > 1 and len(fan) <= 8
     salts = {r["_salt"] for r in ke.df.filter("src = 0").select("_salt").collect()}
     assert len(salts) > 1
     ke.unpersist()
-    # the broadcast fan-out form gives the same edges per salt
-    G.KeyedEdges.LITERAL_FANOUT, old = 0, G.KeyedEdges.LITERAL_FANOUT
-    try:
-        kb = G.KeyedEdges(e, "src", "dst", parts=4)
-        assert rows(kb.df) == rows(G.KeyedEdges(e, "src", "dst", parts=4).df)
-        assert G.KeyedEdges(edges(spark, [(1, 2), (2, 3), (3, 1)]), "src", "dst", parts=1).n_hot == 0
-        st = spark.createDataFrame([(0, 1.0), (5, 2.0)], "id long, r double")
-        assert rows(kb.join_state(st), "src", "dst") == sorted((a, b) for a, b in pairs if a in (0, 5))
-    finally:
-        G.KeyedEdges.LITERAL_FANOUT = old
+    kb = G.KeyedEdges(e, "src", "dst", parts=4)
+    assert G.KeyedEdges(edges(spark, [(1, 2), (2, 3), (3, 1)]), "src", "dst", parts=1).fan is None
+    st = spark.createDataFrame([(0, 1.0), (5, 2.0)], "id long, r double")
+    assert rows(kb.join_state(st), "src", "dst") == sorted((a, b) for a, b in pairs if a in (0, 5))
     got = dict(rows(G.page_rank_simple(e, 5)))
     want = _pr_simple_py(pairs, 5)
     assert set(got) == set(want)
@@ -229,3 +223,40 @@ def test_hub_is_salted_and_results_exact(spark):
     d = _bfs(fwd, 0)
     verts = {v for p in pairs for v in p}
     assert dict(rows(G.sssp(e, 0))) == {v: float(d.get(v, float("inf"))) for v in verts}
+
+
+def test_loops_finish_or_raise(spark):
+    """A bound that is too small is an error, not an unfinished answer."""
+    path = edges(spark, [(i, i + 1) for i in range(40)])
+    ring = edges(spark, [(i, (i + 1) % 12) for i in range(12)] + [(20, 21), (21, 20)])
+    for run in (lambda n: G.connected_components(path, n), lambda n: G.sssp(path, 0, max_iter=n),
+                lambda n: G.landmark_hops(path, [40], n), lambda n: G.page_rank_until(ring.union(path), max_iter=n),
+                lambda n: G.strongly_connected_components(ring, n)):
+        with pytest.raises(RuntimeError, match="not finished after 1 rounds"):
+            run(1).count()
+    assert {r.component for r in G.connected_components(path).collect()} == {0}
+    assert {r.hops for r in G.landmark_hops(path, [40]).collect()} == set(range(41))
+    assert {(r.id, r.scc) for r in G.strongly_connected_components(ring).collect()} == {(i, 0) for i in range(12)} | {(20, 20), (21, 20)}
+
+
+def test_hot_key_join_can_be_split(spark):
+    """With a cut side the skewed partition of the hot key is split."""
+    from pyspark.sql import functions as F
+
+    from tessera.operators.iterate import join_plain
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "2k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "2k", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        big = spark.range(0, 40_000, 1, 8).select(F.when(F.col("id") % 3 > 0, F.lit(7)).otherwise(F.col("id")).alias("k"), "id")
+        out = join_plain(big, big.groupBy("k").count(), "k")
+        assert out.agg(F.count("*")).first()[0] == 40_000
+        out.write.format("noop").mode("overwrite").save()
+        q = out.toPandas()
+        assert "skew=true" in out._jdf.queryExecution().executedPlan().toString() and len(q) == 40_000
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
