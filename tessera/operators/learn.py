@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import literal_vectors, sigmoid, vec_sqdist
-from .iterate import cut
+from .iterate import cut, cut_to_table, join_plain
 
 # --------------------------------------------------------------------------
 # Full-batch gradient descent (ML1-ML3)
@@ -100,25 +100,34 @@ def exact_auc(df: DataFrame, score: Column, label: Column, parts: int | None = N
     """AUC = P(score_pos > score_neg) + P(equal)/2, exactly (ties averaged).
 
     Rows are first reduced to one row per distinct score with its positive
-    and negative counts; the distinct scores are range-partitioned so each
-    partition holds a contiguous score range; inside a partition a window
-    gives the negatives below each score, and the negatives in all lower
-    partitions come from a table of one row per partition.  No step
-    gathers the scores in one task.
+    and negative counts; the distinct scores are range-partitioned and sorted,
+    so a running sum over a task's batches gives the negatives below each
+    score in its partition, and the negatives in all lower partitions come
+    from a table of one row per partition.  One shuffle beside the reduction;
+    no step gathers the scores in one task.
     """
-    spark = df.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     g = (df.select(score.cast("double").alias("s"), label.cast("double").alias("y"))
          .groupBy("s").agg(F.sum("y").alias("pos"), F.sum(1.0 - F.col("y")).alias("neg")))
-    r = cut(g.repartitionByRange(parts, "s").withColumn("pid", F.spark_partition_id()))
+    ranged = g.repartitionByRange(parts, "s") if parts else g.repartitionByRange("s")
+
+    def below(batches):
+        import numpy as np
+        import pyarrow as pa
+        total = 0.0
+        for b in batches:
+            neg = b.column("neg").to_numpy(zero_copy_only=False)
+            run = total + np.cumsum(neg)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(run - neg)], names=[*b.schema.names, "below"])
+            total = float(run[-1]) if len(run) else total
+
+    r = cut(ranged.sortWithinPartitions("s").withColumn("pid", F.spark_partition_id()).select("pid", "pos", "neg")
+            .mapInArrow(below, "pid int, pos double, neg double, below double"))
     per = r.groupBy("pid").agg(F.sum("neg").alias("pneg"))
     # one row per partition: a bounded table, broadcast by construction
     off = F.broadcast(per.select("pid", F.coalesce(
         F.sum("pneg").over(Window.orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)),
         F.lit(0.0)).alias("off")))
-    w = Window.partitionBy("pid").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    loc = r.withColumn("below", F.coalesce(F.sum("neg").over(w), F.lit(0.0)))
-    j = loc.join(off, "pid")
+    j = r.join(off, "pid")
     # null, not an error, when one class is absent
     return j.agg(F.try_divide(F.sum(F.col("pos") * (F.col("off") + F.col("below") + 0.5 * F.col("neg"))),
                               F.sum("pos") * F.sum("neg")).alias("auc"))
@@ -128,15 +137,26 @@ def exact_auc(df: DataFrame, score: Column, label: Column, parts: int | None = N
 # Lloyd's K-means (ML9, AGG22)
 # --------------------------------------------------------------------------
 
+def _nearest(centres: list[list[float]], places: int):
+    """Vectorised assignment: (distance, centre) of a column of points."""
+    def task(col):
+        import numpy as np
+        import pandas as pd
+        x = np.stack(col.to_numpy()) if len(col) else np.zeros((0, len(centres[0])))
+        d = np.empty((len(x), len(centres)))
+        for k, c in enumerate(centres):  # in index order, as a sum of squares over the dimensions
+            d[:, k] = np.round(((x - np.asarray(c)) ** 2).cumsum(axis=1)[:, -1], places) if x.shape[1] else 0.0
+        best = d.argmin(axis=1) if len(x) else np.zeros(0, int)
+        return pd.DataFrame({"dist": d[np.arange(len(x)), best], "cluster": best.astype("int32")})
+
+    return F.pandas_udf(task, "dist double, cluster int")
+
+
 def _assign(points: DataFrame, centres: list[list[float]], features: str, places: int) -> DataFrame:
-    # the K centres are one array literal (kept out of the generated code, so
-    # a new set of centres each step does not trigger a recompilation)
-    cl = literal_vectors(centres)
-    d = F.transform(cl, lambda c: F.round(vec_sqdist(F.col(features), c), places))
-    return (points.withColumn("_d", d)
-            .withColumn("dist", F.array_min("_d"))
-            .withColumn("cluster", (F.array_position("_d", F.col("dist")) - 1).cast("int"))
-            .drop("_d"))
+    # Arrow batches and numpy: array lambdas would run interpreted, K x dim
+    # boxed steps a row
+    return (points.withColumn("_n", _nearest(centres, places)(F.col(features)))
+            .withColumns({"dist": F.col("_n.dist"), "cluster": F.col("_n.cluster")}).drop("_n"))
 
 
 def kmeans_lloyd(points: DataFrame, init: list[list[float]], num_iter: int,
@@ -167,9 +187,8 @@ def kmeans_assign(points: DataFrame, centres: list[list[float]], features: str =
 
 def wssse(points: DataFrame, centres: list[list[float]], features: str = "features") -> DataFrame:
     """AGG22: within-set sum of squared distances to the nearest centre."""
-    cl = literal_vectors(centres)
-    d = F.array_min(F.transform(cl, lambda c: vec_sqdist(F.col(features), c)))
-    return points.agg(F.sum(d).alias("wssse"))
+    near = points.select(_nearest(centres, 17)(F.col(features)).alias("n"))
+    return near.agg(F.sum("n.dist").alias("wssse"))
 
 
 # --------------------------------------------------------------------------
@@ -219,13 +238,15 @@ def term_frequencies(docs: DataFrame, doc_col: str, text_col: str,
 def tfidf(docs: DataFrame, doc_col: str, text_col: str, min_doc_freq: int = 2,
           pattern: str = WHITESPACE) -> DataFrame:
     """ML13: ``tfidf = tf * ln((m + 1) / (df + 1))``, 0 for terms in fewer
-    than ``min_doc_freq`` documents; ``m`` counts every document."""
-    tf = term_frequencies(docs, doc_col, text_col, pattern)
+    than ``min_doc_freq`` documents; ``m`` counts every document.  Document
+    frequencies are cut before they are joined, so that AQE can split the rows
+    of a term that every document holds."""
+    tf = cut_to_table(term_frequencies(docs, doc_col, text_col, pattern))
     m = docs.agg(F.count(F.lit(1))).scalar()
     dfreq = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.when(F.col("df") >= min_doc_freq,
                  F.log((m + F.lit(1.0)) / (F.col("df") + F.lit(1.0)))).otherwise(F.lit(0.0))
-    return tf.join(dfreq, "term").select("doc", "term", "tf", (F.col("tf") * idf).alias("tfidf"))
+    return join_plain(tf, dfreq, "term").select("doc", "term", "tf", (F.col("tf") * idf).alias("tfidf"))
 
 
 def hashed_tfidf(docs: DataFrame, doc_col: str, text_col: str, num_features: int = 1 << 20,
@@ -237,11 +258,12 @@ def hashed_tfidf(docs: DataFrame, doc_col: str, text_col: str, num_features: int
     the non-zeros of the hashed vectors, so no dense 2^20 vector is built.
     """
     from ..functions.columns import java_hash_code
-    tf = term_frequencies(docs, doc_col, text_col, pattern)
-    b = (tf.groupBy("doc", F.pmod(java_hash_code("term"), F.lit(num_features)).alias("bucket"))
-         .agg(F.sum("tf").cast("double").alias("tf")))
+    tf = cut_to_table(term_frequencies(docs, doc_col, text_col, pattern))
+    # each distinct term is hashed once
+    terms = tf.select("term").distinct().withColumn("bucket", F.pmod(java_hash_code("term"), F.lit(num_features)))
+    b = cut_to_table(join_plain(tf, terms, "term").groupBy("doc", "bucket").agg(F.sum("tf").cast("double").alias("tf")))
     m = docs.agg(F.count(F.lit(1))).scalar()
     dfreq = b.groupBy("bucket").agg(F.count(F.lit(1)).alias("df"))
     idf = F.when(F.col("df") >= min_doc_freq,
                  F.log((m + F.lit(1.0)) / (F.col("df") + F.lit(1.0)))).otherwise(F.lit(0.0))
-    return b.join(dfreq, "bucket").select("doc", "bucket", "tf", (F.col("tf") * idf).alias("tfidf"))
+    return join_plain(b, dfreq, "bucket").select("doc", "bucket", "tf", (F.col("tf") * idf).alias("tfidf"))

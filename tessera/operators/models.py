@@ -1,6 +1,6 @@
 """Model training through Spark ML estimators (distributed trainers):
 decision trees (ML4/ML5), ALS and its grid search (ML7/ML8), K-means||
-(ML10), PCA (ML11) and hashed TF-IDF (ML13b).  Each returns DataFrames —
+(ML10) and PCA (ML11).  Each returns DataFrames —
 metrics as one-row tables, predictions as columns."""
 
 from __future__ import annotations
@@ -8,7 +8,7 @@ from __future__ import annotations
 import math
 
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import IDF, PCA, HashingTF
+from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.recommendation import ALS
 from pyspark.ml.regression import DecisionTreeRegressor
@@ -21,7 +21,7 @@ def _vec(df: DataFrame, features: str = "features") -> DataFrame:
     return df.withColumn("fv", array_to_vector(F.col(features)))
 
 
-def tree_classifier(df: DataFrame, num_classes: int = 10, depth: int = 5, bins: int = 100,
+def tree_classifier(df: DataFrame, depth: int = 5, bins: int = 100,
                     impurity: str = "gini", seed: int = 1) -> tuple[object, DataFrame]:
     """ML4: decision tree classifier on ``label, features array``; returns the
     model and the training error (share of rows predicted wrong)."""
@@ -31,7 +31,7 @@ def tree_classifier(df: DataFrame, num_classes: int = 10, depth: int = 5, bins:
     pred = m.transform(d)
     err = pred.agg(F.avg((F.col("prediction") != F.col("label")).cast("double")).alias("training_error"),
                    F.lit(m.depth).alias("depth"), F.lit(m.numNodes).alias("nodes"),
-                   F.lit(num_classes).alias("num_classes"))
+                   F.lit(m.numClasses).alias("num_classes"))
     return m, err
 
 
@@ -52,13 +52,10 @@ def tree_regressor(df: DataFrame, depth: int = 5, bins: int = 100, seed: int = 1
 def dense_ids(ratings: DataFrame, col: str) -> DataFrame:
     """Map a 64-bit id column onto 0..n-1 ints (ALS keeps ids as ints).
 
-    When every id already fits an int it is cast in place; otherwise the
-    distinct ids get their rank in a distributed global sort and are joined
-    back (the original id stays in ``<col>_id``)."""
+    The distinct ids get their rank in a distributed global sort and are
+    joined back; the original id is kept in ``<col>_id``.  The schema is the
+    same whatever the ids are."""
     from .relational import global_row_number
-    lo, hi = ratings.agg(F.min(col), F.max(col)).first()
-    if lo is None or (lo >= 0 and hi <= 2**31 - 1):
-        return ratings.withColumn(col, F.col(col).cast("int"))
     ids = global_row_number(ratings.select(col).distinct(), [col], name="_ix")
     return (ratings.join(ids, col).withColumnRenamed(col, f"{col}_id")
             .withColumn(col, (F.col("_ix") - 1).cast("int")).drop("_ix"))
@@ -67,15 +64,23 @@ def dense_ids(ratings: DataFrame, col: str) -> DataFrame:
 def als(ratings: DataFrame, rank: int = 10, iters: int = 3, reg: float = 0.01, seed: int = 7,
         implicit: bool = False):
     """ML7: ALS factorisation of ``(user, item, rating)`` (int ids, see
-    :func:`dense_ids`); cold-start rows are dropped when scoring."""
+    :func:`dense_ids`).  Unknown users and items score NaN, see :func:`score`."""
     est = ALS(rank=rank, maxIter=iters, regParam=reg, userCol="user", itemCol="item",
-              ratingCol="rating", seed=seed, coldStartStrategy="drop", implicitPrefs=implicit)
+              ratingCol="rating", seed=seed, coldStartStrategy="nan", implicitPrefs=implicit)
     return est.fit(ratings)
 
 
-def rmse(model, data: DataFrame) -> float | None:
-    p = model.transform(data)
-    v = p.agg(F.avg((F.col("prediction") - F.col("rating")) ** 2)).first()[0]
+def score(model, data: DataFrame, default: float) -> DataFrame:
+    """JN6: every row of ``data`` with the prediction for its (user, item),
+    joined on both columns; a pair that the model cannot score (an unseen user
+    or item) gets ``default``, so every row is scored."""
+    p = model.transform(data.select("user", "item").distinct())
+    return (data.join(p, ["user", "item"])
+            .withColumn("prediction", F.when(F.isnan("prediction"), F.lit(default)).otherwise(F.col("prediction"))))
+
+
+def rmse(model, data: DataFrame, default: float) -> float | None:
+    v = score(model, data, default).agg(F.avg((F.col("prediction") - F.col("rating")) ** 2)).first()[0]
     return None if v is None else math.sqrt(v)
 
 
@@ -83,21 +88,22 @@ def als_grid(train: DataFrame, valid: DataFrame, test: DataFrame, ranks=(8, 12),
              iters=(10,), seed: int = 7) -> DataFrame:
     """ML8: train every (rank, lambda, iterations) on the train split, score
     the validation split, keep the best; report its test RMSE and the gain
-    over predicting the train mean.  One row per configuration."""
+    over predicting the mean of train and validation.  All errors are over all
+    rows of their split.  One row per configuration."""
     spark = train.sparkSession
+    mu = train.select("rating").unionByName(valid.select("rating")).agg(F.avg("rating")).first()[0]
     rows = []
     best = None
     for r in ranks:
         for lam in regs:
             for it in iters:
                 m = als(train, r, it, lam, seed)
-                v = rmse(m, valid)
+                v = rmse(m, valid, mu)
                 rows.append([r, lam, it, v])
                 if v is not None and (best is None or v < best[0]):
                     best = (v, m, len(rows) - 1)
-    mu = train.agg(F.avg("rating")).first()[0]
     base = test.agg(F.sqrt(F.avg((F.col("rating") - F.lit(mu)) ** 2))).first()[0]
-    test_rmse = rmse(best[1], test) if best else None
+    test_rmse = rmse(best[1], test, mu) if best else None
     out = []
     for i, (r, lam, it, v) in enumerate(rows):
         is_best = best is not None and i == best[2]
@@ -122,14 +128,3 @@ def pca_project(points: DataFrame, k: int):
     d = _vec(points)
     m = PCA(k=k, inputCol="fv", outputCol="pv").fit(d)
     return m, m.transform(d).select(*points.columns, vector_to_array("pv").alias("projected"))
-
-
-def hashing_tfidf(docs: DataFrame, tokens_col: str, num_features: int = 1 << 20,
-                  min_doc_freq: int = 2) -> DataFrame:
-    """ML13b with the ML estimators: HashingTF + IDF(minDocFreq); adds the
-    sparse ``tfidf`` vector column (Spark ML's Murmur3 term hashing; the
-    long form in ``learn.hashed_tfidf`` keeps the original String.hashCode
-    bucketing and never materialises vectors)."""
-    tf = HashingTF(inputCol=tokens_col, outputCol="tfv", numFeatures=num_features).transform(docs)
-    idf = IDF(inputCol="tfv", outputCol="tfidf", minDocFreq=min_doc_freq).fit(tf)
-    return idf.transform(tf).drop("tfv")

@@ -1,5 +1,5 @@
 """Generic relational building blocks (caching, set difference, top-n,
-bucket splits, bounded broadcast).
+bucket splits, global ranks).
 """
 
 from __future__ import annotations
@@ -49,14 +49,6 @@ def stage(df: DataFrame, name: str, level: str = "NONE",
     return df
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast ``df`` only after proving it has at most ``max_rows`` rows;
-    beyond the bound the plain (shuffle) join is kept.  ``limit(max_rows+1)``
-    stops the count early on big inputs."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
 def subtract_all_equal(left: DataFrame, right: DataFrame) -> DataFrame:
     """JN10 / SET2: RDD ``subtract`` — drop every left row that equals some
     right row (all duplicates go), keep the rest with multiplicity.  A
@@ -95,24 +87,21 @@ def bucket_split(df: DataFrame, key: Column, buckets: dict[str, tuple[int, int]]
 
 def global_row_number(df: DataFrame, order: list[str], parts: int | None = None,
                       name: str = "rank") -> DataFrame:
-    """Rank of every row in a total order (1-based), without a window over
-    the whole table in one task.
-
-    Range partitioning puts each contiguous key range in its own partition
-    (equal keys land together); the rows before each partition come from a
-    table with one row per partition; inside a partition an ordinary
-    window numbers the rows.  The partition id is written with the rows
-    (a checkpoint in the shared folder), so both uses see the same
-    assignment, and no cache is left pinned on the executors.
+    """Rank of every row in a total order (1-based), by one range shuffle.
+
+    Range partitioning puts each contiguous key range in its own partition,
+    where the rows are sorted; ``monotonically_increasing_id`` then holds the
+    partition in its high bits and the local rank in its low 33.  The rows are
+    written with that id (a checkpoint in the shared folder), and the rows
+    before each partition come from a table with one row per partition.
     """
     from .iterate import cut
-    spark = df.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    r = cut(df.repartitionByRange(parts, *order).withColumn("_pid", F.spark_partition_id()))
-    per = r.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
+    ranged = df.repartitionByRange(parts, *order) if parts else df.repartitionByRange(*order)
+    r = cut(ranged.sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id()))
+    part = F.shiftright("_m", 33)
+    per = r.groupBy(part.alias("_pid")).agg(F.count(F.lit(1)).alias("_n"))
     off = F.broadcast(per.select("_pid", F.coalesce(F.sum("_n").over(
         Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off")))
-    local = F.row_number().over(Window.partitionBy("_pid").orderBy(*order))
-    return (r.withColumn("_local", local).join(off, "_pid")
-            .withColumn(name, (F.col("_off") + F.col("_local")).cast("long"))
-            .drop("_pid", "_local", "_off"))
+    return (r.withColumn("_pid", part).join(off, "_pid")
+            .withColumn(name, F.col("_off") + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)) + 1)
+            .drop("_pid", "_m", "_off"))

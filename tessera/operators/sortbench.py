@@ -101,9 +101,10 @@ def generate(spark: SparkSession, records: int, parts: int) -> DataFrame:
 
 def total_sort(df: DataFrame, parts: int | None = None, key: str = "key") -> DataFrame:
     """TS2 / SRT2: one range-partitioning shuffle (bounds sampled from the
-    data), then a sort inside each partition."""
-    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartitionByRange(parts, F.col(key)).sortWithinPartitions(key)
+    data), then a sort inside each partition; without ``parts`` the number of
+    partitions follows the shuffle settings and AQE's partition size."""
+    ranged = df.repartitionByRange(parts, F.col(key)) if parts else df.repartitionByRange(F.col(key))
+    return ranged.sortWithinPartitions(key)
 
 
 def range_bucket(key: Column, parts: int) -> Column:
@@ -120,37 +121,41 @@ def validate(sorted_df: DataFrame, key: str = "key", value: str = "value") -> Da
     violations)``.
 
     Per partition (no shuffle: the statistics are taken where the rows
-    lie): record count, sum of CRC-32 of the keys, first and last key and
-    the number of adjacent pairs out of order.  Then across partitions
-    (one row each): every partition must start at or after the previous
-    one's last key.  Sums are decimal(38,0), wide enough for any 128-bit
-    total the benchmark can reach.
+    lie): record count, sums of CRC-32, first and last key and the number of
+    adjacent pairs out of order, by Arrow batches (whole-column comparisons of
+    neighbouring keys).  Then across partitions (one row each): every
+    partition must start at or after the previous one's last key.  Sums are
+    decimal(38,0), wide enough for any 128-bit total the benchmark can reach.
     """
     tagged = sorted_df.select(
         F.spark_partition_id().alias("pid"), F.col(key).alias("k"),
         F.crc32(F.col(key)).alias("crc"),
         F.crc32(F.concat(F.col(key), F.col(value))).alias("crc_full"))
 
-    def per_part(it):
-        import pandas as pd
-        state = {}
-        for pdf in it:
-            for pid, k, crc, crcf in zip(pdf["pid"], pdf["k"], pdf["crc"], pdf["crc_full"]):
-                s = state.get(pid)
-                kb = bytes(k)
-                if s is None:
-                    state[pid] = s = {"n": 0, "sum": 0, "sumf": 0, "first": kb, "last": kb, "bad": 0}
-                elif kb < s["last"]:
-                    s["bad"] += 1
-                s["n"] += 1
-                s["sum"] += int(crc)
-                s["sumf"] += int(crcf)
-                s["last"] = kb
-        rows = [(int(p), s["n"], str(s["sum"]), str(s["sumf"]), s["first"], s["last"], s["bad"])
-                for p, s in state.items()]
-        yield pd.DataFrame(rows, columns=["pid", "n", "sum", "sumf", "first", "last", "bad"])
-
-    stats = tagged.mapInPandas(
+    def per_part(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+        pid = first = last = None
+        n = total = full = bad = 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            k = b.column("k")
+            if first is None:
+                pid, first = b.column("pid")[0].as_py(), k[0].as_py()
+            elif k[0].as_py() < last:
+                bad += 1
+            bad += pc.sum(pc.less(k.slice(1), k.slice(0, len(k) - 1))).as_py() or 0
+            last = k[len(k) - 1].as_py()
+            n += b.num_rows
+            total += pc.sum(b.column("crc")).as_py()
+            full += pc.sum(b.column("crc_full")).as_py()
+        if n:
+            yield pa.RecordBatch.from_pydict({
+                "pid": pa.array([pid], pa.int32()), "n": [n], "sum": [str(total)], "sumf": [str(full)],
+                "first": pa.array([first], pa.binary()), "last": pa.array([last], pa.binary()), "bad": [bad]})
+
+    stats = tagged.mapInArrow(
         per_part, "pid int, n long, sum string, sumf string, first binary, last binary, bad long")
     # one row per partition from here on
     w = Window.orderBy("pid")

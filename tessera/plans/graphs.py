@@ -57,16 +57,21 @@ def view_buy_sql() -> str:
 PART_OFFSET = 1 << 40
 
 
-def order_part(t: Tables, flag: str = "R", min_qty: float = 45.0) -> DataFrame:
-    """Bipartite order–part graph of large returned lines: an edge per
-    (order, part) with ``l_returnflag = flag`` and ``l_quantity >= min_qty``.
+def order_part(t: Tables, flag: str | None = None, min_qty: float | None = None) -> DataFrame:
+    """Bipartite order–part graph: an edge per (order, part) of lineitem, or of
+    its lines with ``l_returnflag = flag`` and ``l_quantity >= min_qty``.
     Parts bought in one order end up in one component without ever listing
     the pairs of parts inside the order."""
-    li = t.lineitem.filter((F.col("l_returnflag") == flag) & (F.col("l_quantity") >= min_qty))
+    li = t.lineitem
+    if flag is not None:
+        li = li.filter(F.col("l_returnflag") == flag)
+    if min_qty is not None:
+        li = li.filter(F.col("l_quantity") >= min_qty)
     return li.select(F.col("l_orderkey").alias("src"),
                      (F.col("l_partkey") + F.lit(PART_OFFSET)).alias("dst")).distinct()
 
 
-def order_part_sql(flag: str = "R", min_qty: float = 45.0) -> str:
+def order_part_sql(flag: str | None = None, min_qty: float | None = None) -> str:
+    where = " and ".join(["true"] + [f"l_returnflag = '{flag}'"] * (flag is not None) + [f"l_quantity >= {min_qty}"] * (min_qty is not None))
     return f"""with order_part as (select distinct l_orderkey src, l_partkey + {PART_OFFSET} dst
-      from lineitem where l_returnflag = '{flag}' and l_quantity >= {min_qty})"""
+      from lineitem where {where})"""

@@ -257,17 +257,19 @@ def tfidf_labelled(spark, sf):
 # ------------------------------------------------------------------ ML estimators (rows-only checks)
 
 def _ratings(t):
+    from ..operators.iterate import cut_to_table
     from ..operators.models import dense_ids
     from .relational import ratings
-    return dense_ids(dense_ids(ratings(t), "user"), "item")
+    return cut_to_table(dense_ids(dense_ids(ratings(t), "user"), "item"))
 
 
 @register("tree_cls")
 def tree_cls(spark, sf):
     """ML4: 10-class tree (gini, depth 5, 100 bins) on the embeddings."""
     from ..operators.models import tree_classifier
-    pts = _points(Tables(spark, sf)).join(Tables(spark, sf).embeddings.select("vec_id", "label"), "vec_id")
-    _, err = tree_classifier(pts.select(F.col("label").cast("double").alias("label"), "features"))
+    pts = Tables(spark, sf).embeddings.select(F.col("label").cast("double").alias("label"),
+                                              F.transform("embedding", lambda x: x.cast("double")).alias("features"))
+    _, err = tree_classifier(pts)
     return err
 
 
@@ -287,10 +289,10 @@ def tree_reg(spark, sf):
 @register("als_fit")
 def als_fit(spark, sf):
     """ML7: ALS rank 10, 3 iterations, lambda 0.01; training MSE."""
-    from ..operators.models import als
+    from ..operators.models import als, score
     r = _ratings(Tables(spark, sf))
     m = als(r, rank=10, iters=3, reg=0.01)
-    p = m.transform(r)
+    p = score(m, r, 0.0)  # every pair was trained on
     return p.agg(F.avg((F.col("prediction") - F.col("rating")) ** 2).alias("mse"),
                  F.count(F.lit(1)).alias("scored"))
 

@@ -8,10 +8,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators.relational import top_n_per_group
-from ..sources.tables import Tables, spread
+from ..session import scratch_path
+from ..sources.tables import Tables
 from ..streaming import pageviews as PV
 from ..streaming import words as W
-from ..streaming.runner import run_to_table, table_stream
+from ..streaming.runner import dir_stream, run_to_table, table_stream
 
 Q = {}
 SQL = {}
@@ -26,6 +27,11 @@ def register(name, sql=None):
     return deco
 
 
+# State older than this behind the latest event is dropped.  Files of a folder
+# may arrive in any order of event time, so it is far longer than a window.
+STATE_DELAY = "365 days"
+
+
 def _events(spark, sf):
     return table_stream(spark, sf, "events")
 
@@ -49,7 +55,7 @@ def st_page_counts(spark, sf):
 
 @register("st_sliding", _windows_sql(10, 2, "event_type", "event_type", "count(*) n"))
 def st_sliding(spark, sf):
-    return run_to_table(PV.sliding_counts(_events(spark, sf)), "update", keys=["w_start", "w_end", "event_type"])
+    return run_to_table(PV.sliding_counts(_events(spark, sf), watermark=STATE_DELAY), "update", keys=["w_start", "w_end", "event_type"])
 
 
 @register("st_sliding_append", "with m as (select max(ts) mx from events), r as (" +
@@ -65,7 +71,7 @@ def st_sliding_append(spark, sf):
     "count(*) filter (where event_type = 'error') / count(*) ratio, "
     "count(*) filter (where event_type = 'error') / count(*) > 0.05 flag"))
 def st_error_rate(spark, sf):
-    return run_to_table(PV.error_rate_per_zip(_events(spark, sf)), "update", keys=["w_start", "w_end", "zip"])
+    return run_to_table(PV.error_rate_per_zip(_events(spark, sf), watermark=STATE_DELAY), "update", keys=["w_start", "w_end", "zip"])
 
 
 @register("st_active_users", """with e as (select *, time_bucket(interval '2 days', ts, timestamp '1970-01-01') b from events),
@@ -100,9 +106,11 @@ SEED = [("hello", 1), ("world", 1)]
           ", ".join(f"('{w}', {n})" for w, n in SEED) +
           ") v(word, n)) select word, sum(n)::bigint n from (select * from c union all select * from s) u group by word")
 def st_running_words(spark, sf):
-    counts = run_to_table(W.word_counts(table_stream(spark, sf, "documents")), "update", keys=["word"])
+    path = scratch_path(spark, "seed")
     seed = spark.createDataFrame(SEED, "word string, n long")
-    return W.with_initial_state(counts, seed)
+    seed.write.parquet(path)
+    docs = table_stream(spark, sf, "documents")
+    return run_to_table(W.running_counts(docs, dir_stream(spark, path, seed.schema)), "update", keys=["word"])
 
 
 @register("st_mod10", "select event_id % 10 bucket, count(*) n from events group by 1")
@@ -124,7 +132,8 @@ def st_grep(spark, sf):
 where rank <= 10""")
 def st_heavy_hitters(spark, sf):
     c = run_to_table(W.key_counts(_events(spark, sf), "user_id"), "update", keys=["user_id"])
-    return top_n_per_group(c.withColumn("g", F.lit(0)), ["g"],
+    top = c.orderBy(F.col("n").desc(), "user_id").limit(10)
+    return top_n_per_group(top.withColumn("g", F.lit(0)), ["g"],
                            [F.col("n").desc(), F.col("user_id")], 10).drop("g")
 
 
@@ -147,7 +156,7 @@ def st_top_tags(spark, sf):
     reference's 60 s / 10 s windows, scaled to the table's time span)."""
     out = None
     for span in (6, 1):
-        c = run_to_table(W.tag_counts(_events(spark, sf), f"{span} days", "1 day"), "complete")
+        c = run_to_table(W.tag_counts(_events(spark, sf), f"{span} days", "1 day", STATE_DELAY), "update", keys=["w_start", "tag"])
         c = c.withColumn("span", F.lit(span))
         top = top_n_per_group(c, ["w_start"], [F.col("n").desc(), F.col("tag")], 10).drop("rank")
         out = top if out is None else out.unionByName(top)
@@ -161,42 +170,27 @@ ONLINE_YEARS = range(1990, 2011)
 
 @register("st_logreg", None)
 def st_logreg(spark, sf):
-    """ML16: streaming logistic regression.  The returned-line labelled
-    points of lineitem arrive one ship year per micro-batch (a file per
-    year, in time order); each batch runs 3 gradient steps (step 0.1/sqrt(t))
-    from the current weights.  Result: the final weights ``(j, w)``."""
+    """ML16: streaming logistic regression.  Each ship year of lineitem, in
+    order, is a micro-batch of returned-line labelled points: a file stream of
+    the table with the year as a date range, which reaches the scan.  Each
+    batch runs 3 gradient steps (step 0.1/sqrt(t)) from the weights so far.
+    Result: the final weights ``(j, w)``."""
+    import datetime
+
     from ..operators.learn import weights_frame
-    from ..session import scratch_path
     from ..streaming.online import streaming_sgd
     from .ml_queries import DIM
-    t = Tables(spark, sf)
-    years = t.lineitem.select(F.year("l_shipdate").alias("y"))
-    base = scratch_path(spark, "online-src")
-    li = spread(t.lineitem)
-    full = li.select(F.year("l_shipdate").alias("y"),
-                     F.when(F.col("l_returnflag") == "R", 1.0).otherwise(0.0).alias("label"),
-                     F.array(F.lit(1.0), F.col("l_quantity") / 50.0, F.col("l_discount") * 10.0,
-                             F.col("l_tax") * 10.0).alias("features"))
-    ys = sorted(r["y"] for r in years.distinct().collect())  # one row per ship year (a handful)
-    files = spark.sparkContext.defaultParallelism
-    for y in ys:
-        # each year as `files` balanced files, years written one after
-        # another: the file source takes files in modification order, so with
-        # maxFilesPerTrigger = files every micro-batch is exactly one year
-        full.filter(F.col("y") == y).drop("y").repartition(files).write.parquet(f"{base}/y{y}")
-    written = {len(spark.read.parquet(f"{base}/y{y}").inputFiles()) for y in ys}
-    if written != {files}:
-        # some year had too few rows to fill every file (tiny inputs only):
-        # one file per year keeps the batch = year boundary exact
-        base = scratch_path(spark, "online-src")
-        files = 1
-        for y in ys:
-            full.filter(F.col("y") == y).drop("y").coalesce(1).write.parquet(f"{base}/y{y}")
-    schema = spark.read.parquet(f"{base}/y{ys[0]}").schema
-    stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", files)
-              .parquet(f"{base}/*"))
-    w, _ = streaming_sgd(stream, DIM, "logistic", ONLINE_STEPS, ONLINE_STEP_SIZE)
-    return weights_frame(spark, [r["w"] for r in w.orderBy("j").collect()])
+    years = Tables(spark, sf).lineitem.agg(F.min(F.year("l_shipdate")), F.max(F.year("l_shipdate"))).first()
+    w = [0.0] * DIM
+    for y in range(years[0], years[1] + 1) if years[0] is not None else ():
+        day = lambda k: F.lit(datetime.date(k, 1, 1))
+        points = (table_stream(spark, sf, "lineitem").filter((F.col("l_shipdate") >= day(y)) & (F.col("l_shipdate") < day(y + 1)))
+                  .select(F.when(F.col("l_returnflag") == "R", 1.0).otherwise(0.0).alias("label"),
+                          F.array(F.lit(1.0), F.col("l_quantity") / 50.0, F.col("l_discount") * 10.0,
+                                  F.col("l_tax") * 10.0).alias("features")))
+        rows, _ = streaming_sgd(points, DIM, "logistic", ONLINE_STEPS, ONLINE_STEP_SIZE, start=w)
+        w = [r["w"] for r in rows.orderBy("j").collect()]
+    return weights_frame(spark, w)
 
 
 def _online_sql() -> str:

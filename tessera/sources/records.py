@@ -121,7 +121,7 @@ class _Writer(DataSourceArrowWriter):
         filesystem, root = _fs(self.path)
         ctx = TaskContext.get()
         pid = ctx.partitionId() if ctx else 0
-        name = f"part-{pid:05d}-{uuid.uuid4().hex[:8]}"
+        name = f"part-{pid:010d}-{uuid.uuid4().hex[:8]}"
         filesystem.create_dir(f"{root}/_temporary", recursive=True)
         tmp, final = f"{root}/_temporary/{name}", f"{root}/{name}"
         with filesystem.open_output_stream(tmp) as out:
@@ -140,7 +140,12 @@ class _Writer(DataSourceArrowWriter):
         return _Written(tmp, final)
 
     def commit(self, messages):
+        from pyarrow import fs as pafs
         filesystem, root = _fs(self.path)
+        if self.overwrite:  # earlier records go once the new ones are complete
+            for f in filesystem.get_file_info(pafs.FileSelector(root, recursive=False)):
+                if f.type == pafs.FileType.File:
+                    filesystem.delete_file(f.path)
         for m in messages:
             if m is not None:
                 filesystem.move(m.tmp, m.final)

@@ -48,10 +48,13 @@ def sliding_counts(events: DataFrame, length: str = "10 days", slide: str = "2 d
 
 
 def error_rate_per_zip(events: DataFrame, length: str = "30 days", slide: str = "2 days",
-                       threshold: float = 0.05) -> DataFrame:
+                       threshold: float = 0.05, watermark: str | None = None) -> DataFrame:
     """ST3: share of error events per zip code and window, flagged above
     ``threshold`` (the reference marks those lines with ``**``)."""
-    e = event_time(events).withColumn("zip", F.pmod("user_id", F.lit(ZIPS)))
+    e = event_time(events)
+    if watermark:
+        e = e.withWatermark("et", watermark)
+    e = e.withColumn("zip", F.pmod("user_id", F.lit(ZIPS)))
     a = e.groupBy(F.window("et", length, slide), "zip").agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(F.col("event_type") == "error").alias("errors"))
@@ -89,6 +92,7 @@ def marked(ratio: str = "ratio", threshold: float = 0.05, fmt: str = "%.4f"):
     return F.when(r > threshold, F.concat(F.lit("**"), txt, F.lit("**"))).otherwise(txt)
 
 
+# The metric names of the stream's command line.
 METRICS = {
     "pageCounts": page_counts,
     "slidingPageCounts": sliding_counts,

@@ -18,14 +18,18 @@ from ..sources.tables import table_path
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str,
                  max_files_per_trigger: int | None = None) -> DataFrame:
-    """SRC17: a table's Parquet file(s) as a file stream (schema taken from
-    the files, as a stream needs it up front)."""
-    schema = spark.read.parquet(table_path(sf_dir, name)).schema
-    r = (spark.readStream.schema(schema)
-         .option("pathGlobFilter", f"{name}.parquet"))
+    """SRC17: a table, a folder of Parquet files or one file, as a file stream
+    (schema taken from the files, as a stream needs it up front; a missing
+    table is an error)."""
+    path = table_path(sf_dir, name)
+    schema = spark.read.parquet(path).schema
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory():
+        path = f"{path[:-1]}[{path[-1]}]"  # the file source takes folders or patterns; this one is the file's own name
+    r = spark.readStream.schema(schema)
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
-    return r.parquet(sf_dir)
+    return r.parquet(path)
 
 
 def dir_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet",
@@ -54,25 +58,26 @@ def run_to_table(df: DataFrame, mode: str = "complete",
         raise ValueError("update mode needs the group keys")
     spark = df.sparkSession
     base = scratch_path(spark, "stream")
-    epochs: list[int] = []
+    last = -1
 
     def sink(bdf: DataFrame, epoch: int) -> None:
+        nonlocal last
         out = bdf if per_batch is None else per_batch(bdf, epoch)
         if per_batch is not None or mode == "update":
             out = out.withColumn("batch", F.lit(epoch).cast("long"))
         out.write.mode("overwrite").parquet(f"{base}/out/e{epoch:09d}")
-        epochs.append(epoch)
+        last = max(last, epoch)
 
     q = (df.writeStream.outputMode("append" if per_batch is not None else mode)
          .foreachBatch(sink)
          .option("checkpointLocation", f"{base}/chk")
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    if not epochs:
-        return spark.createDataFrame([], df.schema)
+    if last < 0:
+        raise RuntimeError("the stream found no input")
     if mode == "complete" and per_batch is None:
-        return spark.read.parquet(f"{base}/out/e{max(epochs):09d}")
-    out = spark.read.parquet(*[f"{base}/out/e{e:09d}" for e in sorted(set(epochs))])
+        return spark.read.parquet(f"{base}/out/e{last:09d}")
+    out = spark.read.parquet(f"{base}/out/e*")
     if mode == "update" and per_batch is None:
         vals = [c for c in df.columns if c not in keys]
         latest = out.groupBy(*keys).agg(F.max_by(F.struct(*vals), F.col("batch")).alias("_v"))

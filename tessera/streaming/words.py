@@ -19,12 +19,13 @@ def word_counts(docs: DataFrame, text_col: str = "text", pattern: str = WHITESPA
     return w.filter(F.length("word") > 0).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
-def with_initial_state(counts: DataFrame, seed: DataFrame, key: str = "word") -> DataFrame:
-    """ST8: running counts that start from an initial state ``(key, n)``:
-    the state is added to the counts of the stream (keys only in the seed
-    keep their seed value)."""
-    return (counts.select(key, "n").unionByName(seed.select(key, "n"))
-            .groupBy(key).agg(F.sum("n").alias("n")))
+def running_counts(docs: DataFrame, seed: DataFrame, text_col: str = "text", pattern: str = WHITESPACE) -> DataFrame:
+    """ST8: running word counts that start from an initial state ``(word, n)``.
+    The state enters the same aggregation as the words (a stream of its own
+    when the documents are one), so it is part of the query's state and
+    survives a restart with it."""
+    w = docs.select(F.explode(F.split(F.col(text_col), pattern)).alias("word"), F.lit(1).cast("long").alias("n"))
+    return w.filter(F.length("word") > 0).unionByName(seed.select("word", "n")).groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def mod_buckets(df: DataFrame, col: str, modulus: int = 10) -> DataFrame:
@@ -69,9 +70,11 @@ def distinct_hll(df: DataFrame, key: str, lg_k: int = 12) -> DataFrame:
     return df.agg(F.hll_sketch_estimate(F.hll_sketch_agg(F.col(key), lg_k)).alias("n_estimate"))
 
 
-def tag_counts(events: DataFrame, length: str, slide: str | None = None) -> DataFrame:
-    """ST13: tag (``props.k``) counts per window."""
-    e = event_time(events).withColumn("tag", F.get_json_object("props", "$.k").cast("long"))
+def tag_counts(events: DataFrame, length: str, slide: str | None = None, watermark: str | None = None) -> DataFrame:
+    """ST13: tag (``props.k``) counts per window; state older than the
+    watermark goes."""
+    e = event_time(events)
+    e = (e.withWatermark("et", watermark) if watermark else e).withColumn("tag", F.get_json_object("props", "$.k").cast("long"))
     w = F.window("et", length, slide) if slide else F.window("et", length)
     a = e.filter(F.col("tag").isNotNull()).groupBy(w, "tag").agg(F.count(F.lit(1)).alias("n"))
     return a.select(instant_to_ntz(F.col("window.start")).alias("w_start"), "tag", "n")

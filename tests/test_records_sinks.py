@@ -44,3 +44,10 @@ def test_pairs_text_and_sampling(spark, tmp_path):
     assert 850 < a < 950 and a == sinks.bernoulli_sample(big, 0.9, 11).count()
     t = sinks.take_random(big, 7, 42)
     assert t.count() == 7 and rows(t) == rows(sinks.take_random(big, 7, 42))
+
+
+def test_overwrite_replaces_earlier_records(spark, tmp_path):
+    p = str(tmp_path / "records")
+    for n in (1000, 300):
+        write_records(S.generate(spark, n, 3), p)
+    assert read_records(spark, p).count() == 300

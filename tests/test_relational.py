@@ -44,13 +44,6 @@ def test_bucket_split(spark):
     assert counts == {"train": 12, "validation": 4, "test": 4}
 
 
-def test_bounded_broadcast_only_when_small(spark):
-    small = spark.range(5)
-    big = spark.range(100)
-    assert "broadcast" in R.bounded_broadcast(small, 10).join(big, "id")._jdf.queryExecution().toString().lower()
-    assert R.bounded_broadcast(big, 10) is big
-
-
 def test_global_row_number_matches_sort(spark):
     df = spark.createDataFrame([(i % 7, i) for i in range(200)], "a int, b int")
     out = R.global_row_number(df, ["a", "b"], parts=5)
