@@ -86,4 +86,33 @@ reach as (
 low as (select id, min(c) as component_id from reach group by id)
 select d.doc_id, cast(coalesce(size.n, 0) as bigint) as n_shingles, low.component_id
 from documents d left join size on size.doc_id = d.doc_id join low on low.id = d.doc_id""",
+    "op4_jump_hash": r"""
+with recursive step(doc_id, n, k, b, j) as (
+  select doc_id, n, ((coalesce(doc_id, 0)::hugeint % 18446744073709551616) + 18446744073709551616) % 18446744073709551616,
+         cast(-1 as bigint), cast(0 as bigint) from documents, (values (16), (17)) v(n)
+  union all
+  select doc_id, n, kk, j, cast(floor((j + 1) * (2147483648::double / (kk // 8589934592 + 1)::double)) as bigint)
+  from (select *, (k * 2862933555777941757 + 1) % 18446744073709551616 as kk from step where j < n) s),
+place as (select doc_id, n, b as shard from step where j >= n),
+crc as (
+  select [list_reduce(range(8), lambda a, k: case when (a & 1) = 1 then xor(a >> 1, 3988292384) else a >> 1 end, i::bigint) for i in range(256)] as t),
+bytes as (
+  select doc_id, [('0x' || substr(h, 2 * i + 1, 2))::bigint for i in range(length(h) // 2)] as c
+  from (select doc_id, hex(encode(coalesce(text, ''))) as h from documents) x)
+select d.doc_id, cast(len(c) + 1 as bigint) as size,
+  cast(xor(coalesce(list_reduce(c, lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1]), 4294967295), 4294967295), 4294967295) as bigint) as text_crc32,
+  'key' as law, cast(p.shard as integer) as shard,
+  row_number() over (partition by p.shard order by d.doc_id) - 1 as slot, cast(q.shard as integer) as grown_shard
+from crc, documents d join bytes on bytes.doc_id = d.doc_id
+join place p on p.doc_id = d.doc_id and p.n = 16 join place q on q.doc_id = d.doc_id and q.n = 17""",
+    "op5_boundary_chain": r"""
+with payload as (
+  select page_id, octet_length(encode(coalesce(html, ''))) as size, sha1(coalesce(html, '')) as x from pages),
+first as (select x, size, min(page_id) as low from payload group by all)
+select page_id, cast(p.size as bigint) as payload_bytes,
+  array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + cast((('0x' || substr(p.x, 1 + 5 * (i // 4), 5))::bigint >> cast(15 - 5 * (i % 4) as integer)) & 31 as integer), 1) for i in range(32)], '') as payload_digest,
+  case when page_id <> low then 'revisit' else 'response' end as record_type,
+  case when page_id <> low then low end as refers_to
+from payload p join first f on f.x = p.x and f.size = p.size""",
 }
