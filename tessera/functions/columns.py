@@ -1,7 +1,9 @@
 """Column functions built from Spark's JVM-side expressions only.
 
-Nothing here runs Python per row: each helper returns a ``Column`` that stays
-inside whole-stage code generation.
+Nothing here runs Python per row.  Helpers over arrays use lambda functions
+(``transform``, ``zip_with``, ``aggregate``), which Spark interprets outside
+whole-stage code generation; the hot loops that used them work on Arrow
+batches instead (``learn._nearest``).
 """
 
 from __future__ import annotations
@@ -47,11 +49,6 @@ def sig(x: Column | str, digits: int = 9) -> Column:
     return F.format_string(f"%.{digits - 1}e", x).cast("double")
 
 
-def rnd(x: Column | str, places: int = 6) -> Column:
-    x = F.col(x) if isinstance(x, str) else x
-    return F.round(x.cast("double"), places)
-
-
 def dec(x: Column | str, p: int = 12, s: int = 2) -> Column:
     """Exact money arithmetic: decimals sum without rounding drift."""
     x = F.col(x) if isinstance(x, str) else x

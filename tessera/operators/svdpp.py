@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .iterate import cut_to_table as cut
+from .iterate import release
 
 
 @dataclass
@@ -87,9 +88,11 @@ def svd_plus_plus(edges: DataFrame, conf: SvdConf = SvdConf(), seed: int = 0):
         # phase 1: users' v2 = p + n * sum of their items' y
         ysum = _vsum(e.join(v.select(F.col("id").alias("dst"), F.col("v2").alias("y")), "dst"),
                      "src", ["y"], [], r)
+        before = v
         v = cut(v.join(ysum.withColumnRenamed("src", "id"), "id", "left").select(
             "id", "v1", F.when(F.col("y").isNotNull(), _axpy(F.col("n"), F.col("y"), F.col("v1")))
             .otherwise(F.col("v2")).alias("v2"), "b", "n"))
+        release(before)
         # phase 2: gradient messages along every rating edge
         g2, g7, err = F.lit(conf.gamma2), F.lit(conf.gamma7), F.col("err")
         t = triplets(v).withColumn(
@@ -104,11 +107,13 @@ def svd_plus_plus(edges: DataFrame, conf: SvdConf = SvdConf(), seed: int = 0):
                      ((err - F.lit(conf.gamma6) * F.col("bi")) * F.lit(conf.gamma1)).alias("m3"))
         )).alias("m")).select("m.*")
         msgs = _vsum(both, "id", ["m1", "m2"], ["m3"], r)
+        before = v
         v = cut(v.join(msgs, "id", "left").select(
             "id",
             F.coalesce(F.zip_with("v1", "m1", lambda a, b: a + b), F.col("v1")).alias("v1"),
             F.coalesce(F.zip_with("v2", "m2", lambda a, b: a + b), F.col("v2")).alias("v2"),
             (F.col("b") + F.coalesce("m3", F.lit(0.0))).alias("b"), "n"))
+        release(before)
     # final pass: squared training error summed on each item
     t = triplets(v)
     se = t.groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("err") * F.col("err")).alias("se"))

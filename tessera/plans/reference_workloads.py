@@ -51,8 +51,7 @@ def run_all(spark, parts: int) -> dict:
     with t.phase("load"):
         d = _data(spark, SVM["rows"], SVM["dim"], "svm", parts)
         b = F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(SVM["seed"])), F.lit(100))
-        d = d.withColumn("b", b).persist(StorageLevel.MEMORY_AND_DISK)
-        d.count()
+        cached, d = d, d.withColumn("b", b)
         train = d.filter(F.col("b") < int(SVM["train_fraction"] * 100))
         test = d.filter(F.col("b") >= int(SVM["train_fraction"] * 100))
     with t.phase("training"):
@@ -60,7 +59,7 @@ def run_all(spark, parts: int) -> dict:
     with t.phase("test"):
         L.exact_auc(test, L.margin(w), F.col("label")).first()
     out.update({f"svm_{k}": v for k, v in t.times.items()})
-    d.unpersist()
+    cached.unpersist()
 
     t = PhaseTimer()
     with t.phase("load"):

@@ -215,44 +215,46 @@ class CrossChannel:
                         "l_partkey", "o_custkey"))
 
     def final(self) -> DataFrame:
-        fst = self.frequent_items().select("item_sk")
-        bsc = self.best_customers().select("ck")
-        j = (self.feb_sales().join(fst, F.col("l_partkey") == F.col("item_sk"))
-             .join(bsc, F.col("o_custkey") == F.col("ck")))
+        popular = self.frequent_items().select("item_sk")
+        best = self.best_customers().select("ck")
+        j = (self.feb_sales().join(popular, F.col("l_partkey") == F.col("item_sk"))
+             .join(best, F.col("o_custkey") == F.col("ck")))
         return j.agg(F.sum("sales").cast("double").alias("total"),
                      F.count(F.lit(1)).alias("n"))
 
 
-_Q4_CTES = """
-with ss as (select * from lineitem join orders on l_orderkey=o_orderkey where l_linestatus='F'),
-     cs as (select * from lineitem join orders on l_orderkey=o_orderkey where l_linestatus='O'),
-     fst as (select substr(p_name,1,30) itemdesc, p_partkey item_sk,
-                    cast(year(o_orderdate)*100+month(o_orderdate) as bigint) d, count(*) cnt
-             from ss join part on l_partkey=p_partkey where year(o_orderdate) in (1997,1997+1,1997+2,1997+3)
-             group by substr(p_name,1,30), p_partkey, year(o_orderdate)*100+month(o_orderdate) having count(*)>{mc}),
-     mss as (select max(v) m from (select o_custkey, sum(cast(l_quantity as decimal(12,2))*cast(l_extendedprice as decimal(12,2))) v from ss
-             where year(o_orderdate) in (1997,1998,1999,2000) group by o_custkey) x),
-     bsc as (select o_custkey ck, sum(cast(l_quantity as decimal(12,2))*cast(l_extendedprice as decimal(12,2))) v from ss group by o_custkey
-             having sum(cast(l_quantity as decimal(12,2))*cast(l_extendedprice as decimal(12,2))) > 0.5*(select m from mss)),
-     tb1 as (select cast(l_quantity as decimal(12,2))*cast(l_extendedprice as decimal(12,2)) sales, l_partkey, o_custkey from cs
-             where year(o_orderdate)=2000 and month(o_orderdate)=2)
+_CROSS_SQL = """
+with sale as (
+  select l_partkey as part, o_custkey as customer, l_linestatus as channel, date_trunc('month', o_orderdate) as month,
+         o_orderdate >= date '1997-01-01' and o_orderdate < date '2001-01-01' as in_period,
+         cast(l_quantity as decimal(12,2)) * cast(l_extendedprice as decimal(12,2)) as amount
+  from lineitem join orders on o_orderkey = l_orderkey),
+popular as (
+  select left(p_name, 30) as itemdesc, part as item_sk, cast(strftime(month, '%Y%m') as bigint) as d,
+         count(*) filter (channel = 'F' and in_period) as cnt
+  from sale join part on p_partkey = part group by all having count(*) filter (channel = 'F' and in_period) > {mc}),
+spender as (
+  select customer, sum(amount) filter (channel = 'F') as v, sum(amount) filter (channel = 'F' and in_period) as v_period
+  from sale group by customer),
+target as (select max(v_period) as m from spender),
+big_spender as (select customer as ck, v from spender cross join target where v > 0.5 * m),
+february as (select part, customer, amount from sale where channel = 'O' and month = date '2000-02-01')
 """
+_CROSS_TOTAL = """
+select cast(sum(amount) as double) total, count(*) n
+from february join popular on item_sk = part join big_spender on ck = customer"""
 
-register("frequent_items", _Q4_CTES.format(mc=2) + "select itemdesc, item_sk, d, cnt from fst")(
+register("frequent_items", _CROSS_SQL.format(mc=2) + "select itemdesc, item_sk, d, cnt from popular")(
     lambda spark, sf: CrossChannel(Tables(spark, sf)).frequent_items())
-register("max_customer_sales", _Q4_CTES.format(mc=2) + "select cast(m as double) m from mss")(
+register("max_customer_sales", _CROSS_SQL.format(mc=2) + "select cast(m as double) m from target")(
     lambda spark, sf: CrossChannel(Tables(spark, sf)).max_customer_sales()
     .select(F.col("m").cast("double").alias("m")))
-register("best_customers", _Q4_CTES.format(mc=2) + "select ck, cast(v as double) v from bsc")(
+register("best_customers", _CROSS_SQL.format(mc=2) + "select ck, cast(v as double) v from big_spender")(
     lambda spark, sf: CrossChannel(Tables(spark, sf)).best_customers()
     .select("ck", F.col("v").cast("double").alias("v")))
-register("final_cross_channel", _Q4_CTES.format(mc=2) + """
-select cast(sum(sales) as double) total, count(*) n from tb1, fst, bsc
-where tb1.l_partkey=fst.item_sk and tb1.o_custkey=bsc.ck""")(
+register("final_cross_channel", _CROSS_SQL.format(mc=2) + _CROSS_TOTAL)(
     lambda spark, sf: CrossChannel(Tables(spark, sf)).final())
-register("final_cross_channel_gt1", _Q4_CTES.format(mc=1) + """
-select cast(sum(sales) as double) total, count(*) n from tb1, fst, bsc
-where tb1.l_partkey=fst.item_sk and tb1.o_custkey=bsc.ck""")(
+register("final_cross_channel_gt1", _CROSS_SQL.format(mc=1) + _CROSS_TOTAL)(
     lambda spark, sf: CrossChannel(Tables(spark, sf), min_count=1).final())
 
 

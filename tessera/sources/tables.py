@@ -48,17 +48,12 @@ class Tables:
 def spread(df: DataFrame, target: int | None = None) -> DataFrame:
     """Spread a CPU-heavy input over the cluster's cores.
 
-    A scan yields one task per file split; a table stored as a few large
-    row groups gives fewer tasks than cores, and per-row work (tokenising,
-    regex, hashing) then runs on a handful of threads.  When that happens
-    the rows are dealt round-robin to ``target`` partitions (default: the
-    cluster's parallelism); on a real cluster reading many splits the scan
-    already has enough partitions and this is a no-op, so it never adds a
-    shuffle at scale.
+    A scan yields one task per file split, and a file of one row group cannot
+    be split.  When a scan has fewer splits than there are cores, the rows are
+    dealt round-robin to ``target`` partitions (default: the cluster's
+    parallelism).  That is a shuffle of the selected columns: select before
+    spreading.  With more splits than cores (a smaller
+    ``spark.sql.files.maxPartitionBytes`` gives more) nothing happens.
     """
-    try:
-        target = target or df.sparkSession.sparkContext.defaultParallelism
-        parts = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - no RDD view (e.g. a Connect session): leave as is
-        return df
-    return df.repartition(target) if parts < target else df
+    target = target or df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
