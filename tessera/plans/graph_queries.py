@@ -117,17 +117,27 @@ def components(spark, sf):
     return G.connected_components(order_part(Tables(spark, sf)))
 
 
-@register("scc", view_buy_sql() + """,
-  reach as (with recursive reach(a, b) as (select src, dst from view_buy
-     union select r.a, e.dst from reach r join view_buy e on e.src = r.b) select * from reach),
-  v as (select src id from view_buy union select dst from view_buy)
+def _scc_sql(graph: str) -> str:
+    return f""",
+  reach as (with recursive reach(a, b) as (select src, dst from {graph}
+     union select r.a, e.dst from reach r join {graph} e on e.src = r.b) select * from reach),
+  v as (select src id from {graph} union select dst from {graph})
 select v.id, least(v.id, coalesce(min(r1.b), v.id)) scc from v
 left join reach r1 on r1.a = v.id and exists (select 1 from reach r2 where r2.a = r1.b and r2.b = v.id)
-group by v.id""")
+group by v.id"""
+
+
+@register("scc", view_buy_sql() + _scc_sql("view_buy"))
 def scc(spark, sf):
     return G.strongly_connected_components(view_buy(Tables(spark, sf)))
 
 
+@register("scc_user_next", user_next_sql() + _scc_sql("user_next"))
+def scc_user_next(spark, sf):
+    """G7 over all steps from a user to the next one."""
+    return G.strongly_connected_components(user_next(Tables(spark, sf)))
+
+
 @register("lpa_20", _lpa_ctes(LPA_STEPS) + f"\nselect id, label from p{LPA_STEPS}")
 def lpa_20(spark, sf):
     return G.label_propagation(user_next(Tables(spark, sf)), LPA_STEPS)
