@@ -165,7 +165,7 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                 ids, zs = [held[0], *ids], [held[1], *zs]
             held = (ids[-1], zs[-1])
             at = 0
-            while at < len(ids) - 1:  # about 2 MB of text at a time
+            while at < len(ids) - 1:  # about 1 MB of text at a time
                 texts, size = [unpack(zs[at])], 0
                 while at + len(texts) < len(ids) and size < T.PIECE_BYTES:
                     texts.append(unpack(zs[at + len(texts)]))

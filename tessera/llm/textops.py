@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-PIECE_BYTES = 1 << 21
+PIECE_BYTES = 1 << 20
 
 _PRIME = 0x9E3779B97F4A7C15
 _U = np.uint64
