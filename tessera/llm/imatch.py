@@ -42,7 +42,6 @@ from . import textops as T
 LOW, HIGH = 0.001, 0.2  # share of documents that hold a term of the lexicon
 SUBSETS = 60
 _RATES = (32, 128, 512)  # one term in so many belongs to a sub-lexicon; a third of them each
-EMPTY = "-" * 8
 
 _SEEDS = T.mix(np.arange(1, SUBSETS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _LIMITS = np.array([(1 << 64) // _RATES[k * len(_RATES) // SUBSETS] for k in range(SUBSETS)], dtype=np.uint64)
@@ -101,8 +100,11 @@ def fingerprints(col: pa.Array, band: np.ndarray) -> np.ndarray:
     return out
 
 
-def as_text(signatures: np.ndarray) -> str:
-    return "".join(f"{x:08x}" if x else EMPTY for x in signatures.tolist())
+def packed(signatures: np.ndarray) -> pa.Array:
+    """Fingerprints as bytes, four a signature (zero where there is none); their
+    hexadecimal form is the text that queries return."""
+    wide = signatures.astype(">u4")
+    return pa.array([row.tobytes() for row in wide], pa.binary())
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -112,8 +114,11 @@ def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(either > 0, same / np.maximum(either, 1), 1.0)
 
 
-_FIELDS = [("n_chars", LongType()), ("edited_sha256", StringType()), ("fingerprint", StringType()),
-           ("edited_fingerprint", StringType()), ("near_edited", DoubleType()), ("near_next", DoubleType())]
+_FIELDS = [("n_chars", LongType()), ("edited_sha256", StringType()), ("fingerprint", BinaryType()),
+           ("edited_fingerprint", BinaryType()), ("near_edited", DoubleType()), ("near_next", DoubleType())]
+
+
+_ARROW = {"long": pa.int64(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary()}
 
 
 def _compare(ids: list, texts: list[str], following: list[str], band: np.ndarray, id_type: pa.DataType):
@@ -125,7 +130,7 @@ def _compare(ids: list, texts: list[str], following: list[str], band: np.ndarray
     own, other, nxt = (fingerprints(pa.array(x, pa.string()), band) for x in (texts, edited, following))
     return [pa.array(ids, id_type), pa.array([len(t) for t in texts], pa.int64()),
             pa.array([hashlib.sha256(t.encode()).hexdigest() for t in edited], pa.string()),
-            pa.array(list(map(as_text, own)), pa.string()), pa.array(list(map(as_text, other)), pa.string()),
+            packed(own), packed(other),
             pa.array(likeness(own, other)), pa.array(likeness(own, nxt))]
 
 
@@ -139,7 +144,7 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     names = ["doc_id", *(n for n, _ in _FIELDS)]
 
     def squeeze(batches):
-        z = zstandard.ZstdCompressor(level=1)
+        z = zstandard.ZstdCompressor(level=3)
         for b in batches:
             yield T.batch(["doc_id", "z"], [b.column("doc_id"), pa.array([z.compress((t or "").encode()) for t in b.column("text").to_pylist()], pa.binary())])
 
@@ -151,7 +156,7 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         row leave their texts for the join with the neighbours."""
         held, part, kind = None, None, None
         edge = lambda what, row: T.batch([*names, "edge", "part", "z"], [
-            pa.array([row[0]], kind), *(pa.nulls(1, pa.int64() if c == "n_chars" else pa.float64() if c.startswith("near") else pa.string()) for c, _ in _FIELDS),
+            pa.array([row[0]], kind), *(pa.nulls(1, _ARROW[t.typeName()]) for _, t in _FIELDS),
             pa.array([what]), pa.array([part], pa.int32()), pa.array([row[1]], pa.binary())])
         for b in batches:
             if not b.num_rows:
@@ -193,10 +198,11 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     swept = cut_to_table(src.mapInArrow(sweep, schema))
     edges = swept.filter("edge is not null")
     parts = sorted(r.part for r in edges.filter("edge = 'first'").select("part").collect())  # one number per task
+    shown = [F.lower(F.hex(n)).alias(n) if n.endswith("fingerprint") else F.col(n) for n in names]
     if not parts:
-        return swept.select(*names)
+        return swept.select(*shown)
     after = spark.createDataFrame(list(zip(parts, parts[1:] + parts[:1])), "part int, following int")
     last = edges.filter("edge = 'last'").select("doc_id", "z", "part").join(after, "part")
     first = edges.filter("edge = 'first'").select(F.col("part").alias("following"), F.col("z").alias("z2"))
     joins = last.join(first, "following").select("doc_id", "z", "z2").mapInArrow(meet, StructType(schema.fields[:len(names)]))
-    return swept.filter("edge is null").select(*names).unionByName(joins)
+    return swept.filter("edge is null").select(*names).unionByName(joins).select(*shown)
