@@ -63,7 +63,7 @@ def test_encoder_on_every_code_point():
     tok, enc = Tokenizer.from_file(default_path()), Encoder()
     points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
     for k in range(0, len(points), 128):
-        t = " ".join(f"a{chr(c)}b 1{chr(c)}{chr(c)} .{chr(c)}\n{chr(c)} x" for c in points[k:k + 128])
+        t = " ".join(f"a{chr(c)}1 {chr(c)}" for c in points[k:k + 128])
         assert enc.encode(t).tolist() == tok.encode(t, add_special_tokens=False).ids, hex(points[k])
 
 
