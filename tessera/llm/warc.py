@@ -18,8 +18,9 @@ file's start would meet; only the records on their chains are kept.
 Edge cases: a null payload is empty, a null URL leaves out its header, line
 breaks in URLs are percent-encoded; a null page id is written as such and read
 back as null, and counts as the largest; rows with the same smallest id and
-payload are all responses; bytes after a broken record are not read; an empty
-table gives no rows; other input columns are ignored.
+payload are all responses; headers may have any length; an archive whose chain
+does not end at its last byte is an error; an empty table gives no rows; other
+input columns are ignored.
 """
 
 from __future__ import annotations
@@ -42,8 +43,7 @@ BLOCK = 1 << 20  # bytes of an archive that a task follows as one piece of chain
 DATE = "1970-01-01T00:00:00Z"
 
 _MAGIC = re.compile(rb"WARC/1\.[01]\r\n")
-_FIELD = re.compile(rb"([A-Za-z0-9-]+):[ \t]*([^\r\n]*)\r\n")
-_HEADER_BYTES = 1 << 16  # longest header that is looked for
+_FIELD = re.compile(rb"([A-Za-z0-9-]++):[ \t]*+([^\r\n]*+)\r\n")
 _URN = "urn:x-page:"
 # Digits of conv() in base 32 and of the base32 alphabet.
 _CONV = "0123456789ABCDEFGHIJKLMNOPQRSTUV"
@@ -102,7 +102,7 @@ def _parse(data: bytes, at: int):
     m = _MAGIC.match(data, at)
     pos, fields = m.end(), {}
     while data[pos:pos + 2] != b"\r\n":
-        f = _FIELD.match(data, pos, at + _HEADER_BYTES)
+        f = _FIELD.match(data, pos)
         if not f:
             return None
         fields[f[1].lower()] = f[2]
@@ -110,22 +110,32 @@ def _parse(data: bytes, at: int):
     return pos + 2, fields
 
 
-def candidates(data: bytes) -> dict[int, tuple[int, int, dict]]:
-    """offset -> (successor's offset, offset of the block, header fields) for
-    each place that looks like a whole record: followed by the end of the
-    archive or by another magic."""
+def candidates(data: bytes) -> dict[int, tuple[int, int]]:
+    """offset -> (successor's offset, offset of the block) for each place that
+    looks like a whole record: followed by the end of the archive or by another
+    magic.  Places inside one header share its lines, which are read once."""
     out = {}
+    known: dict[int, tuple | None] = {}  # line of a header -> (its end, last length's line and value)
     for m in _MAGIC.finditer(data):
-        got = _parse(data, m.start())
-        if got and got[1].get(b"content-length", b"").isdigit():
-            end = got[0] + int(got[1][b"content-length"])
+        if m.end() not in known:
+            lines, pos, length = [m.end()], m.end(), (-1, b"")
+            while f := _FIELD.match(data, pos):
+                if f[1].lower() == b"content-length":
+                    length = (pos, f[2])
+                pos = f.end()
+                lines.append(pos)
+            known.update(dict.fromkeys(lines, (pos + 2, *length) if data[pos:pos + 2] == b"\r\n" else None))
+        got = known[m.end()]
+        if got and got[1] >= m.end() and got[2].isdigit() and len(got[2]) < 19:
+            end = got[0] + int(got[2])
             if data[end:end + 4] == b"\r\n\r\n" and (end + 4 == len(data) or _MAGIC.match(data, end + 4)):
-                out[m.start()] = (end + 4, got[0], got[1])
+                out[m.start()] = (end + 4, got[0])
     return out
 
 
 def _row(data: bytes, at: int, places: dict, keep_payload: bool):
-    end, block, f = places[at]
+    end, block = places[at]
+    f = _parse(data, at)[1]
     number = lambda x: int(x) if x and re.fullmatch(rb"-?[0-9]+", x) else None
     ident = lambda x: number(x.strip(b"<>").removeprefix(_URN.encode())) if x else None
     kind = f.get(b"warc-type", b"").decode("ascii", "replace")
@@ -145,7 +155,8 @@ _COLUMNS = "archive string, entry long, leave long, at long, page_id long, url s
 
 def _follow(data: bytes, keep_payload: bool, block: int):
     """Rows of every chain piece: from each place where a chain can enter a
-    block to where it leaves it; the piece's last row names the exit."""
+    block to where it leaves it; the piece's last row names the exit.  The
+    archive's end is a piece without a record that leads to itself."""
     places = candidates(data)
     entries = {0} | {n for at, (n, *_) in places.items() if n // block != at // block}
     for entry in sorted(entries & places.keys()):
@@ -157,6 +168,7 @@ def _follow(data: bytes, keep_payload: bool, block: int):
             if last:
                 break
             at = nxt
+    yield (len(data), len(data), *[None] * 8)
 
 
 def reachable(edges: DataFrame) -> DataFrame:
@@ -183,7 +195,8 @@ def reachable(edges: DataFrame) -> DataFrame:
 def read_archives(spark: SparkSession, path: str, payload: bool = False, block: int = BLOCK) -> DataFrame:
     """The records of all archives under ``path``: archive, at, page_id, url,
     record_type, payload_bytes, payload_digest (of the payload read, or the
-    header's for revisits), refers_to and, if asked for, the payload."""
+    header's for revisits), refers_to and, if asked for, the payload.  An
+    archive that cannot be followed to its end is an error."""
     names = [c.split()[0] for c in _COLUMNS.split(", ")]
 
     def scan(batches):
@@ -199,7 +212,10 @@ def read_archives(spark: SparkSession, path: str, payload: bool = False, block:
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*part-*").load(path).select("path", "content")
     rows = cut_to_table(files.mapInArrow(scan, _COLUMNS))
     good = reachable(rows.filter("leave is not null").select("archive", "entry", "leave"))
-    return rows.join(good, ["archive", "entry"], "left_semi").drop("entry", "leave", *([] if payload else ["payload"]))
+    torn = rows.filter("at is null").join(good, ["archive", "entry"], "left_anti").select("archive").limit(5).collect()
+    if torn:
+        raise ValueError(f"records do not lead to the end of {', '.join(r.archive for r in torn)}")
+    return rows.filter("at is not null").join(good, ["archive", "entry"], "left_semi").drop("entry", "leave", *([] if payload else ["payload"]))
 
 
 def round_trip(pages: DataFrame, least: int = 0) -> DataFrame:

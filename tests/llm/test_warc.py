@@ -80,3 +80,34 @@ def test_given_table_and_empty(spark):
     p = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     assert got(W.round_trip(p)) == want([(r.page_id, r.html or "") for r in p.collect()])
     assert W.round_trip(p.limit(0)).count() == 0
+
+
+def test_headers_of_any_length(spark, tmp_path):
+    """A record with a url of over 64 KB keeps its place in the chain."""
+    rows = [(i, "data:," + "x" * 200_000 if i == 7 else f"http://h/{i}", f"<p>{i}</p>") for i in range(20)]
+    p = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    assert got(W.round_trip(p)) == want([(i, h) for i, _, h in rows])
+    W.write_archives(p, str(tmp_path / "archives"))
+    assert sorted((r.page_id, r.url) for r in W.read_archives(spark, str(tmp_path / "archives")).collect()) == [(i, u) for i, u, _ in rows]
+
+
+@pytest.mark.parametrize("at", [0, 10])
+def test_torn_archive_is_an_error(spark, tmp_path, at):
+    W.write_archives(spark.range(20).selectExpr("id page_id", "'u' url", "string(id) html").coalesce(1), str(tmp_path / "archives"))
+    f = next((tmp_path / "archives").glob("part-*"))
+    data = gzip.decompress(f.read_bytes())
+    starts = [m.start() for m in W._MAGIC.finditer(data)]
+    (tmp_path / "torn").mkdir()
+    (tmp_path / "torn" / "part-0").write_bytes(data[:starts[at]] + data[starts[at]:].replace(b"Content-Length: ", b"Content-Length: 9", 1))
+    with pytest.raises(ValueError, match="part-0"):
+        W.read_archives(spark, str(tmp_path / "torn"))
+
+
+def test_places_inside_one_header_cost_linear_time():
+    import time
+    t = time.time()
+    lines = b"A: WARC/1.1\r\n" * 100_000
+    data = b"WARC/1.1\r\n" + lines + b"Content-Length: 2\r\n\r\nok\r\n\r\n"
+    assert len(W.candidates(data)) == 100_001 and not W.candidates(b"WARC/1.1\r\n" + lines)
+    assert W.candidates(b"WARC/1.1\r\nContent-Length: 2\r\nA: WARC/1.1\r\n\r\nok\r\n\r\n").keys() == {0}
+    assert time.time() - t < 20
