@@ -8,11 +8,13 @@ Potentials:
 * node: a softmax over binary shape features,
 * chain: between neighbouring mentions, by how often labels follow each other,
 * skip: between successive mentions with the same or a similar value (same
-  local part, same last nine digits), rewarding equal labels.
+  local part, same last nine digits), and between each candidate and the nearest
+  base mention of its value, rewarding equal labels.
 
-Base mentions are observed; loopy sum-product message passing finds the
-marginals of the candidates, so a number that is a phone once is a phone where
-it is written another way in the same document.  A candidate whose most likely
+Base mentions are observed; loopy sum-product message passing, run until the
+messages stand still, finds the marginals of the candidates, so a number that is
+a phone once is a phone wherever and however often it is written another way in
+the same document.  A candidate whose most likely
 label is a kind of personal data becomes a span of that kind.
 
 All potentials are estimated from counts of (features, label), label pairs and
@@ -43,7 +45,7 @@ KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
 FEATURES = ("at_sign", "plus", "dots3", "round", "dash", "space", "letters",
             "digits7_8", "digits9_15", "digits13_19", "luhn", "spelled_at")
-ROUNDS = 20  # message passing ends earlier once messages stand still
+STILL = 1e-3  # messages that would move less than this stand still
 LEAST = 0.5  # marginal that a candidate's label needs
 
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -173,14 +175,22 @@ def mentions(text: str):
 
 
 def _skips(nodes) -> list[tuple[int, int]]:
-    """Successive nodes with equal keys: one edge a node, not all pairs."""
-    last: dict[str, int] = {}
-    out = []
+    """Successive nodes with equal keys, and each candidate with the nearest
+    base mention of its key: at most two edges a node, not all pairs."""
+    groups: dict[str, list[int]] = {}
     for i, x in enumerate(nodes):
-        if x[4] in last:
-            out.append((last[x[4]], i))
-        last[x[4]] = i
-    return out
+        groups.setdefault(x[4], []).append(i)
+    out = set()
+    for own in groups.values():
+        out.update(zip(own, own[1:]))
+        base = [i for i in own if nodes[i][2] >= 0]
+        k = 0
+        for i in own if base else ():
+            while k + 1 < len(base) and abs(base[k + 1] - i) < abs(base[k] - i):
+                k += 1
+            if nodes[i][2] < 0:
+                out.add((min(i, base[k]), max(i, base[k])))
+    return sorted(out)
 
 
 class Field:
@@ -216,7 +226,8 @@ class Field:
         return bits @ self.weights
 
     def marginals(self, nodes) -> np.ndarray:
-        """Loopy sum-product over chain and skip edges, all edges at once."""
+        """Loopy sum-product over chain and skip edges, all edges at once, until
+        the messages stand still.  Messages that swing get smaller steps."""
         k = len(LABELS)
         local = self.node(np.array([x[3] for x in nodes]))
         seen = np.array([x[2] for x in nodes])
@@ -232,19 +243,25 @@ class Field:
         back = np.concatenate([np.arange(len(edge)) + len(edge), np.arange(len(edge))])
         msg = np.zeros((len(src), k))
         belief = local
-        for _ in range(ROUNDS if len(src) else 0):
+        step, rounds, calm = 0.5, 0, 100 + 4 * len(nodes)  # (a message crosses an edge a round)
+        while len(src):
             cavity = belief[src] - msg[back]
             joint = cavity[:, :, None] + pot
             top = joint.max(axis=1, keepdims=True)
             new = (top + np.log(np.exp(joint - top).sum(axis=1, keepdims=True)))[:, 0]
             new -= new.max(axis=1, keepdims=True)
-            new = 0.5 * (new + msg)
+            new[seen[dst] >= 0] = 0.0  # no number of messages moves an observed label
             moved = np.abs(new - msg).max()
-            msg = new
+            msg = msg + step * (new - msg)
             belief = local.copy()
             np.add.at(belief, dst, msg)
-            if moved < 1e-3:
+            if moved < STILL:
                 break
+            rounds += 1
+            if rounds == calm:
+                step, rounds, calm = step / 2, 0, 2 * calm
+                if step < 0.01:
+                    raise RuntimeError(f"messages between {len(nodes)} mentions do not stand still")
         p = np.exp(belief - belief.max(axis=1, keepdims=True))
         return p / p.sum(axis=1, keepdims=True)
 

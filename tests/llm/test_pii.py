@@ -95,3 +95,35 @@ def test_edge_cases(spark, docs, empty, field):
     assert time.time() - t < 60
     assert P.find(empty, field).count() == 0
     assert P.fit(empty).spans("+1 (974) 555-3436, 1 974 555 3436")[0] == [("phone", 0, 17)]
+
+
+@pytest.mark.parametrize("repeats", [1, 10, 30, 300])
+@pytest.mark.parametrize("first", [True, False])
+def test_every_repeat_of_a_base_value_is_labelled(field, repeats, first):
+    phone, mail = "+1 (974) 555-3436", "bob.smith@mail.example.com"
+    again = [f"then 1 974 555 3436 or order {8812345678 + 13 * i} and bob.smith (at) mail.example.com" for i in range(repeats)]
+    text = " ".join([f"{phone} {mail}", *again] if first else [*again, f"{phone} {mail}"])
+    base, every = field.spans(text)
+    got = [text[s:e] for _, s, e in every]
+    assert len(base) == 2 and len(every) == 2 + 2 * repeats
+    assert got.count("1 974 555 3436") == got.count("bob.smith (at) mail.example.com") == repeats
+
+
+def test_repeats_without_others_between(field):
+    for n in (10, 30, 300):
+        text = "+1 (974) 555-3436 " + "x 1 974 555 3436 " * n
+        assert [k for k, *_ in field.spans(text)[1]] == ["phone"] * (n + 1)
+        assert field.spans("x 1 974 555 3436 " * n) == ([], [])
+
+
+def test_skips_tie_each_candidate_to_its_nearest_base_mention():
+    import random
+    rng = random.Random(3)
+    for _ in range(300):
+        nodes = [(i, i + 1, rng.choice([-1, -1, 4]), 0, rng.choice("ab")) for i in range(rng.randint(0, 12))]
+        edges = P._skips(nodes)
+        assert len(edges) == len(set(edges)) <= 2 * len(nodes)
+        for i, x in enumerate(nodes):
+            far = [abs(i - j) for j, y in enumerate(nodes) if y[2] >= 0 and y[4] == x[4]]
+            if x[2] < 0 and far:
+                assert min(far) in [abs(a - b) for a, b in edges if i in (a, b) and nodes[a + b - i][2] >= 0]
