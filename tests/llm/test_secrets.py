@@ -70,3 +70,41 @@ def test_redaction_keeps_columns_and_clean_rows(docs):
 
 def test_empty_table(empty):
     assert S.scan_documents(empty).count() == 0 and S.redact(empty).count() == 0
+
+
+def cleaned(spark, texts):
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    return [r.text for r in S.redact(rows).orderBy("doc_id").collect()]
+
+
+def test_redaction_leaves_no_part_of_a_private_key(spark):
+    import base64
+    import random
+    raw = base64.b64encode(random.Random(2).randbytes(1190)).decode()
+    lines = [raw[i:i + 64] for i in range(0, len(raw), 64)]
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    head = ["Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-128-CBC,0123456789ABCDEF", ""]
+    forms = [sep.join([begin, *x, *y]) for sep in ("\n", "\r\n", "\\n", " ", "\n    ", "\n> ", '\\n" +\n"') for x in (lines, head + lines if "\n" in sep else lines) for y in ([end], [])]
+    forms += [begin + raw + end, begin + "\n" + raw, begin + "\n" + "\n".join(lines[:3]) + "\nMII"]
+    for form, out in zip(forms, cleaned(spark, [f"see\n{f}" for f in forms])):
+        assert out == "see\n[private_key]", (form, out)
+    out = cleaned(spark, [f"a\n{f}\n\nb c d\n{f}\n-- e" for f in forms[:1]])
+    assert out == ["a\n[private_key]\n\nb c d\n[private_key]\n-- e"]
+    two = "\n".join([begin, *lines, begin, *lines, end, "text stays"])
+    assert cleaned(spark, [two]) == ["[private_key]\n[private_key]\ntext stays"]
+    assert cleaned(spark, [f"the line {begin} starts a key, we say"]) == ["the line [private_key] starts a key, we say"]
+
+
+def test_long_slack_token_goes_whole(spark):
+    assert cleaned(spark, ["x xoxb-" + "1a-" * 60 + "Z y"]) == ["x [slack] y"]
+
+
+def test_many_begin_lines_cost_linear_time():
+    import time
+
+    import pyarrow as pa
+    begin = "-----BEGIN PRIVATE KEY-----"
+    t = time.time()
+    for text in (f"{begin}\n" * 20_000, f"A: {begin}\n" * 20_000, f"{begin} " + "a" * 500_000 + "-", f"{begin}" + "- " * 300_000, f"{begin}\n" + "A:b\n" * 100_000):
+        assert S.Scanner().scan(pa.array([text]))[0]
+    assert time.time() - t < 20
