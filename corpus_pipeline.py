@@ -4,8 +4,8 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 as Parquet and read again as the next stage's ``docs``.  All but the last keep
 the columns of ``documents``:
 
-1. ``language``: documents without a language that explains half of their
-   words go,
+1. ``language``: documents go in which the learned languages together explain
+   less than half of the words,
 2. ``quality``: documents that fail the base rule or the learned decision list
    go,
 3. ``near_duplicates``: of every group of documents that link (five-word

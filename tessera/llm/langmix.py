@@ -90,10 +90,17 @@ class Model:
         self.other = -np.log(BUCKETS)
 
     def predict(self, col: pa.Array) -> tuple[list[str], np.ndarray]:
+        """Per text the language with the largest share, and that share."""
+        return self.mixtures(col)[:2]
+
+    def mixtures(self, col: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Per text the language with the largest share, that share, and the
+        sum of all learned languages' shares (the uniform component has the
+        rest)."""
         g = Grams(col)
-        names, score = ["und"] * g.n, np.zeros(g.n)
+        names, score, known = ["und"] * g.n, np.zeros(g.n), np.zeros(g.n)
         if not self.langs or not len(g.start):
-            return names, score
+            return names, score, known
         count = np.bincount(g.doc, minlength=g.n)
         use = np.flatnonzero(count)
         k = len(self.langs)
@@ -129,8 +136,8 @@ class Model:
         letters = [any(map(str.isalpha, col[int(i)].as_py())) for i in use]
         for j, i in enumerate(use):
             if letters[j]:
-                names[i], score[i] = self.langs[pick[j]], best_share[j, pick[j]]
-        return names, np.clip(score, 0.0, 1.0)
+                names[i], score[i], known[i] = self.langs[pick[j]], best_share[j, pick[j]], best_share[j, :k].sum()
+        return names, np.clip(score, 0.0, 1.0), np.clip(known, 0.0, 1.0)
 
 
 def _em(like: np.ndarray, row: np.ndarray, first: np.ndarray, n: np.ndarray, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -188,13 +195,13 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 
 def filter_known(docs: DataFrame, least: float = 0.5, text_col: str = "text") -> DataFrame:
-    """Documents in which one learned language explains at least ``least`` of
-    the words; all columns and rows that stay are unchanged."""
+    """Documents in which the learned languages together explain at least
+    ``least`` of the words; all columns and rows that stay are unchanged."""
     model = docs.sparkSession.sparkContext.broadcast(fit(docs))
 
     def task(batches):
         for b in T.pieces(batches, text_col):
-            names, score = model.value.predict(b.column(text_col))
-            yield b.filter(pa.array([n != "und" and s >= least for n, s in zip(names, score)]))
+            names, _, known = model.value.mixtures(b.column(text_col))
+            yield b.filter(pa.array([n != "und" and s >= least for n, s in zip(names, known)]))
 
     return docs.mapInArrow(task, docs.schema)

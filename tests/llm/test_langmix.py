@@ -73,3 +73,17 @@ def test_edge_cases(spark, docs, empty, model):
 def test_long_unknown_script_is_rejected(spark, model):
     names, score = model.predict(pa.array(["русский текст " * 5000, "漢字かな交じり文 " * 30]))
     assert (score < 0.5).all()
+
+
+def test_mixtures_of_known_languages_are_kept(spark):
+    """Even mixes stay; text that no learned language explains goes."""
+    d = spark.read.parquet(SF)
+    text = {r.lang: r.text.split()[:120] for r in d.filter("n_chars > 3000").collect()}
+    langs = sorted(text)
+    mix = lambda names: " ".join(w for x in names for w in text[x])
+    more = [(-1, mix(langs[:2])), (-2, mix(langs[:3])), (-3, "русский текст " * 200),
+            (-4, mix(langs[:2]) + " q7 zz9x" * 20), (-5, mix(langs[:1]) + " русский текст" * 180)]
+    assert len(langs) >= 3
+    rows = spark.createDataFrame([(i, t, None) for i, t in more], "doc_id long, text string, lang string")
+    kept = L.filter_known(d.select("doc_id", "text", "lang").union(rows)).filter("doc_id < 0").collect()
+    assert sorted(r.doc_id for r in kept) == [-4, -2, -1]
