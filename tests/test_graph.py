@@ -3,7 +3,7 @@ from collections import defaultdict, deque
 
 import pytest
 
-from conftest import rows
+from support import rows
 from tessera.operators import graph as G
 
 

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows
+from support import rows
 from tessera.operators import learn as L
 from tessera.operators import models as M
 

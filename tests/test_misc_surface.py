@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL, rows
+from support import SF_SMALL, rows
 from tessera.operators import graph as G
 from tessera.operators.report import PhaseTimer
 from tessera.sources import text as T

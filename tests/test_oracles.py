@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
-from conftest import SF_SMALL
+from support import SF_SMALL
 from tessera.sources.tables import TABLES, table_path
 
 QUERIES = E.queries()

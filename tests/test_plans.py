@@ -6,7 +6,7 @@ import io
 import pytest
 
 import __spark_entry__ as E
-from conftest import SF_SMALL
+from support import SF_SMALL
 
 RELATIONAL = ["rel_count", "rel_count_filtered", "rel_select_price", "rel_join_count", "rel_workload",
               "returns_by_store", "returns_by_store_correlated", "frequent_items", "max_customer_sales", "best_customers",

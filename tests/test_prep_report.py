@@ -1,6 +1,6 @@
 import json
 
-from conftest import rows
+from support import rows
 from tessera.functions.columns import java_hash_code
 from tessera.operators import prep as P
 from tessera.operators import report as R

@@ -2,7 +2,7 @@ import os
 
 import pytest
 
-from conftest import rows
+from support import rows
 from tessera.operators import sortbench as S
 from tessera.sources import sinks
 from tessera.sources.records import read_records, write_records

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows
+from support import rows
 from tessera.operators import relational as R
 
 

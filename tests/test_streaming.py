@@ -4,7 +4,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL, rows
+from support import SF_SMALL, rows
 from tessera.sources.tables import load
 from tessera.streaming import pageviews as PV
 from tessera.streaming import words as W

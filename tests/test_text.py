@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from conftest import rows
+from support import rows
 from tessera.functions.columns import java_hash_code
 from tessera.sources import text as T
 
