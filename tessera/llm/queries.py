@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators.iterate import cut_to_table
 from ..sources.tables import load
-from . import imatch, jaccard, langmix, packing, pii, quality, reuse, secrets, shards, warc
+from . import imatch, jaccard, langmix, packing, phrases, pii, quality, reuse, secrets, shards, warc
 
 
 def op1_parity_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,8 +57,12 @@ def op10_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("base_failed"), F.col("kept"))
 
 
+def op11_stripes_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine(load(spark, sf_dir, "documents"))
+
+
 QUERIES = {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (
-    op1_parity_jaccard, op2_skip_chain_pii, op3_language_mixture, op4_jump_hash, op5_boundary_chain, op6_imatch, op7_chunk_reuse, op8_trigram_secrets, op9_tiered_packing, op10_decision_list)}
+    op1_parity_jaccard, op2_skip_chain_pii, op3_language_mixture, op4_jump_hash, op5_boundary_chain, op6_imatch, op7_chunk_reuse, op8_trigram_secrets, op9_tiered_packing, op10_decision_list, op11_stripes_phrases)}
 
 ORACLES: dict[str, str] = {
     "op1_parity_jaccard": r"""
@@ -115,4 +119,33 @@ select page_id, cast(p.size as bigint) as payload_bytes,
   case when page_id <> low then 'revisit' else 'response' end as record_type,
   case when page_id <> low then low end as refers_to
 from payload p join first f on f.x = p.x and f.size = p.size""",
+    "op11_stripes_phrases": r"""
+with piece as (
+  select coalesce(lang, 'und') as lang, regexp_extract_all(unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') as w
+  from documents),
+pos as (select lang, w, unnest(range(1, len(w) + 1)) as i from piece),
+gram as (
+  select lang, k, w[i] as x, case when k > 1 then w[i + 1] end as y, case when k > 2 then w[i + 2] end as z, count(*) as a
+  from pos, (values (1), (2), (3)) s(k) where i + k - 1 <= len(w) group by all),
+size as (select lang, sum(a) as n from gram where k = 1 group by lang),
+one as (select lang, x, a from gram where k = 1),
+two as (select lang, x, y, a from gram where k = 2 and a >= 10),
+three as (select lang, x, y, z, a from gram where k = 3 and a >= 10),
+cut as (
+  select t.lang, t.x || ' ' || t.y as phrase, t.a, 1 as k, p.a as l, q.a as r
+  from two t join one p on p.lang = t.lang and p.x = t.x join one q on q.lang = t.lang and q.x = t.y
+  where not exists (select 1 from three u where u.lang = t.lang and 100 * u.a >= 50 * t.a
+                    and ((u.x = t.x and u.y = t.y) or (u.y = t.x and u.z = t.y)))
+  union all
+  select t.lang, t.x || ' ' || t.y || ' ' || t.z, t.a, 1, p.a, q.a
+  from three t join one p on p.lang = t.lang and p.x = t.x join two q on q.lang = t.lang and q.x = t.y and q.y = t.z
+  union all
+  select t.lang, t.x || ' ' || t.y || ' ' || t.z, t.a, 2, p.a, q.a
+  from three t join two p on p.lang = t.lang and p.x = t.x and p.y = t.y join one q on q.lang = t.lang and q.x = t.z),
+scored as (select *, cast(1000000::hugeint * a * a // (l::hugeint * r) as bigint) as score from cut),
+lowest as (select * from scored qualify row_number() over (partition by lang, phrase order by score, k) = 1),
+ranked as (select *, row_number() over (partition by lang order by score desc, a desc, encode(phrase)) as rank from lowest)
+select lang, rank, phrase, cast(a as bigint) as a, cast(l as bigint) as l, cast(r as bigint) as r, cast(n as bigint) as n, score
+from ranked join size using (lang) where rank <= 2000""",
 }
