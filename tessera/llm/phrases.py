@@ -76,16 +76,6 @@ class Run:
         self.linked[:-1] = (doc[1:] == doc[:-1]) & (breaks[self.start[1:]] == breaks[self.end[:-1]])
 
 
-def _gather(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
-    """The strings at [start, end) of ``data``."""
-    size = end - start
-    ends = np.cumsum(size)
-    at = np.repeat(start - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)
-    offsets = np.zeros(len(size) + 1, np.int32)
-    offsets[1:] = ends
-    return pa.Array.from_buffers(pa.string(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(data[at].tobytes())])
-
-
 def _stripes(runs: list[Run], hot: dict[int, int]):
     """Combined stripes of some slices, as rows."""
     base = np.cumsum([0, *(len(r.data) for r in runs)])
@@ -121,7 +111,7 @@ def _stripes(runs: list[Run], hot: dict[int, int]):
         ends = np.append(at[1:], len(one))
         where = first[one[at] - 1] + low
         yield T.batch(["h", "shard", "lang", "word", "nexts", "counts"], [
-            p[at].view(np.int64), shard[at], names.take(pa.array(lang[where])), _gather(data, start[where], end[where]),
+            p[at].view(np.int64), shard[at], names.take(pa.array(lang[where])), S.gather(data, start[where], end[where]),
             S.as_binary(nexts.ravel(), ends * 2), S.as_binary(count, ends)])
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators.iterate import cut_to_table
 from ..sources.tables import load
-from . import imatch, jaccard, langmix, packing, phrases, pii, quality, reuse, secrets, shards, warc
+from . import divergence, imatch, jaccard, langmix, packing, phrases, pii, quality, reuse, secrets, shards, warc
 
 
 def op1_parity_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,8 +61,12 @@ def op11_stripes_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.mine(load(spark, sf_dir, "documents"))
 
 
+def op13_skyband_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(load(spark, sf_dir, "documents"))
+
+
 QUERIES = {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (
-    op1_parity_jaccard, op2_skip_chain_pii, op3_language_mixture, op4_jump_hash, op5_boundary_chain, op6_imatch, op7_chunk_reuse, op8_trigram_secrets, op9_tiered_packing, op10_decision_list, op11_stripes_phrases)}
+    op1_parity_jaccard, op2_skip_chain_pii, op3_language_mixture, op4_jump_hash, op5_boundary_chain, op6_imatch, op7_chunk_reuse, op8_trigram_secrets, op9_tiered_packing, op10_decision_list, op11_stripes_phrases, op13_skyband_divergence)}
 
 ORACLES: dict[str, str] = {
     "op1_parity_jaccard": r"""
@@ -148,4 +152,33 @@ lowest as (select * from scored qualify row_number() over (partition by lang, ph
 ranked as (select *, row_number() over (partition by lang order by score desc, a desc, encode(phrase)) as rank from lowest)
 select lang, rank, phrase, cast(a as bigint) as a, cast(l as bigint) as l, cast(r as bigint) as r, cast(n as bigint) as n, score
 from ranked join size using (lang) where rank <= 2000""",
+    "op13_skyband_divergence": r"""
+with d as (
+  select row_number() over () as i, coalesce(text, '') as text, coalesce(lang, '') as lang, coalesce(source, '') as source from documents),
+word as (
+  select i, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                    '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term from d),
+per_doc as (select lang, source, term, i, count(*) as n from word group by all),
+kept as (select lang, term, sum(n) as total from per_doc group by lang, term having count(*) >= 3),
+cnt as (select p.lang, p.source, p.term, sum(p.n) as n from per_doc p join kept k on k.lang = p.lang and k.term = p.term group by all),
+grp as (select distinct lang, source from d),
+v as (select l.lang, count(k.term) as v, coalesce(sum(k.total), 0) as n from (select distinct lang from d) l left join kept k on k.lang = l.lang group by l.lang),
+gn as (select g.lang, g.source, coalesce(sum(c.n), 0) as n from grp g left join cnt c on c.lang = g.lang and c.source = g.source group by all),
+share as (
+  select g.lang, g.source, k.term, coalesce(c.n, 0) as c,
+         cast(1 + (1000000000::hugeint * (coalesce(c.n, 0) + 1)) // (g.n + v.v) as hugeint) as p,
+         cast(1 + (1000000000::hugeint * (k.total + 1)) // (v.n + v.v) as hugeint) as q
+  from gn g join v on v.lang = g.lang join kept k on k.lang = g.lang left join cnt c on c.lang = g.lang and c.source = g.source and c.term = k.term),
+pairs as (
+  select a.lang, a.source, b.source as item, sum((a.p - b.p) * (a.p - b.p) // b.p) as value
+  from share a join share b on b.lang = a.lang and b.term = a.term and b.source <> a.source group by all),
+pair as (
+  select a.lang, a.source, 'pair' as part, b.source as item, cast(coalesce(p.value, 0) as bigint) as value
+  from grp a join grp b on b.lang = a.lang and b.source <> a.source left join pairs p on p.lang = a.lang and p.source = a.source and p.item = b.source),
+term as (
+  select lang, source, 'term' as part, term as item, cast((p - q) * (p - q) // q as bigint) as value from share where c > 0 and p > q),
+ranked as (
+  select *, cast(row_number() over (partition by lang, source, part order by value desc, encode(item)) as integer) as rank
+  from (select * from pair union all select * from term) x)
+select lang, source, part, item, value, rank from ranked where part = 'pair' or rank <= 200""",
 }

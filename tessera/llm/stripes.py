@@ -92,6 +92,16 @@ def starts(*columns: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
+def gather(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
+    """The strings at [start, end) of ``data``."""
+    size = end - start
+    ends = np.cumsum(size)
+    at = np.repeat(start - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)
+    offsets = np.zeros(len(size) + 1, np.int32)
+    offsets[1:] = ends
+    return pa.Array.from_buffers(pa.string(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(data[at].tobytes())])
+
+
 def as_binary(values: np.ndarray, ends: np.ndarray) -> pa.Array:
     """A binary column whose rows are consecutive parts of ``values``; row i
     ends before entry ends[i]."""
@@ -112,10 +122,11 @@ def entries(col: pa.Array, dtype) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data.tobytes(), dtype), np.diff(off) // np.dtype(dtype).itemsize
 
 
-def by_key(batches, keys: list[str], weight: str, limit: int):
+def by_key(batches, keys: list[str], weight: str, limit: int, compact=None):
     """Cut batches that are sorted by ``keys`` into tables of whole key groups
     with about ``limit`` bytes of the binary column ``weight`` (one key's
-    rows stay together)."""
+    rows stay together).  Rows of one key that pass the limit go through
+    ``compact``, which may merge them, so that their number does not count."""
     held: list[pa.RecordBatch] = []
     size, enough = 0, limit
     for b in batches:
@@ -137,6 +148,10 @@ def by_key(batches, keys: list[str], weight: str, limit: int):
             yield t.slice(0, int(at[-1]))
             held = t.slice(int(at[-1])).to_batches()
             size, enough = sum(x.column(weight).nbytes for x in held), limit
+        elif compact is not None and t.num_rows > 1:
+            held = compact(t).to_batches()
+            size = sum(x.column(weight).nbytes for x in held)
+            enough = max(limit, 2 * size)
         else:
             enough = 2 * size
     if held:
