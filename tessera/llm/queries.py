@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators.iterate import cut_to_table
 from ..sources.tables import load
-from . import divergence, imatch, jaccard, langmix, packing, phrases, pii, quality, reuse, secrets, shards, warc
+from . import backoff, divergence, imatch, jaccard, langmix, packing, phrases, pii, quality, reuse, secrets, shards, warc
 
 
 def op1_parity_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,8 +65,13 @@ def op13_skyband_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(load(spark, sf_dir, "documents"))
 
 
+def op12_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backoff.score(load(spark, sf_dir, "documents")).withColumns(
+        {c: F.round(c, 6) for c in ("base_score", "score")})
+
+
 QUERIES = {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (
-    op1_parity_jaccard, op2_skip_chain_pii, op3_language_mixture, op4_jump_hash, op5_boundary_chain, op6_imatch, op7_chunk_reuse, op8_trigram_secrets, op9_tiered_packing, op10_decision_list, op11_stripes_phrases, op13_skyband_divergence)}
+    op1_parity_jaccard, op2_skip_chain_pii, op3_language_mixture, op4_jump_hash, op5_boundary_chain, op6_imatch, op7_chunk_reuse, op8_trigram_secrets, op9_tiered_packing, op10_decision_list, op11_stripes_phrases, op13_skyband_divergence, op12_backoff_automaton)}
 
 ORACLES: dict[str, str] = {
     "op1_parity_jaccard": r"""
@@ -181,4 +186,29 @@ ranked as (
   select *, cast(row_number() over (partition by lang, source, part order by value desc, encode(item)) as integer) as rank
   from (select * from pair union all select * from term) x)
 select lang, source, part, item, value, rank from ranked where part = 'pair' or rank <= 200""",
+    "op12_backoff_automaton": r"""
+with crc as (
+  select [list_reduce(range(8), lambda a, k: case when (a & 1) = 1 then xor(a >> 1, 3988292384) else a >> 1 end, i::bigint) for i in range(256)] as t),
+doc as (
+  select row_number() over () as i, doc_id, coalesce(xor(list_reduce(
+      [('0x' || substr(hex(encode(doc_id::varchar)), 2 * j + 1, 2))::bigint for j in range(length(doc_id::varchar))],
+      lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1]), 4294967295), 4294967295) % 5 = 1, false) as held_out,
+    list_append(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                   '[^\x20\x09-\x0D]+'), ' ') as w
+  from documents, crc),
+tok as (select i, doc_id is not null and not held_out as learn, w[j] as y, case when j = 1 then '' else w[j - 1] end as x
+        from (select *, unnest(range(1, len(w) + 1)) as j from doc) d),
+two as (select x, y, count(*) as c from tok where learn group by all),
+one as (select y, sum(c) as c from two group by y),
+state as (select x, sum(c) as c, count(*) as t from two group by x),
+size as (select coalesce(sum(c), 0) as n, count(*) as v from one),
+step as (
+  select k.i, coalesce(o.c, 0) as c, (coalesce(o.c, 0) + 0.5::double) / (n + 0.5::double * (v + 1)) as p, s.c as sc, s.t as st, p2.c as pc, n
+  from tok k cross join size left join one o on o.y = k.y left join state s on s.x = k.x left join two p2 on p2.x = k.x and p2.y = k.y),
+total as (
+  select i, count(*) as n_tokens, count(*) filter (where c > 0) as n_known, any_value(n) as n, fsum(log10(p)) as base_score,
+         fsum(log10(case when pc is not null then (pc + st * p) / (sc + st) when sc is not null then st * p / (sc + st) else p end)) as score
+  from step group by i)
+select doc_id, held_out, n_tokens, n_known, cast(n as bigint) as train_tokens, round(base_score, 6) as base_score, round(score, 6) as score
+from doc join total using (i)""",
 }
