@@ -9,13 +9,20 @@ while each raises the log-likelihood by more than ``PENALTY`` * log(words); the
 prediction is the language with the largest share, the share is the score.
 
 Words of a whole Arrow slice are handled together, so EM steps are a few array
-operations for thousands of documents at once.
+operations for thousands of documents at once.  A document's steps go on until
+no share moves by more than ``TOLERANCE``; documents that stand still leave the
+arrays.  EM over all languages bounds what any further language can add, so
+further sets are tried only where that bound exceeds the penalty.
 
 Edge cases: a text that is null or has no letter, or any text when no training
 row exists, is ``und`` with score 0; equal shares go to the first language in
 alphabetical order; a row with a null id is predicted but not learned from
 (held_out false, as its remainder is unknown); repeated rows count repeatedly;
-an empty table gives no rows; other input columns are ignored.
+an empty table gives no rows; other input columns are ignored.  ``filter_known``
+drops texts that are null or have no letter, since nothing in them is known;
+without any learned language it keeps every row, as there is nothing to judge
+by.  More than ``MOST_LANGUAGES`` different labels are an error: the model has
+BUCKETS numbers for each.
 """
 
 from __future__ import annotations
@@ -25,12 +32,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.iterate import cut_to_table
 from . import textops as T
 
 BUCKETS = 1 << 16
 SMOOTHING = 0.1
-STEPS = 12
+TOLERANCE = 1e-6  # EM stops for a document when no share moves by more
 PENALTY = 2.0
+MOST_LANGUAGES = 256
 
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
@@ -110,26 +119,26 @@ class Model:
         ll[:, k] = self.other * (g.end - g.start)
         top = ll.max(axis=1, keepdims=True)
         like = np.exp(ll - top)
-        first = np.searchsorted(g.doc, use)
         row = np.repeat(np.arange(len(use)), count[use])
         n = count[use].astype(float)
-        everything = np.ones((len(use), k + 1), bool)
-        share, _ = _em(like, row, first, n, everything)
+        share, most = _em(like, row, n)
         order = np.argsort(-share[:, :k], axis=1, kind="stable")
-        rank = np.empty_like(order)
-        np.put_along_axis(rank, order, np.arange(k)[None, :], axis=1)
         best_share, best = np.zeros((len(use), k + 1)), np.full(len(use), -np.inf)
+        price = PENALTY * np.log(n + 1)
         live = np.arange(len(use))
         for size in range(1, k + 1):  # languages join while they pay
-            allowed = np.concatenate([rank[live] < size, np.ones((len(live), 1), bool)], axis=1)
-            words = np.isin(row, live) if len(live) < len(use) else slice(None)
-            sub = row[words]
-            at = np.searchsorted(live, sub)
-            share, fit = _em(like[words], at, np.searchsorted(at, np.arange(len(live))), n[live], allowed)
-            worth = fit - PENALTY * size * np.log(n[live] + 1)
-            better = worth > best[live]
-            best[live[better]], best_share[live[better]] = worth[better], share[better]
-            live = live[better]
+            at = np.flatnonzero(np.isin(row, live)) if len(live) < len(use) else np.arange(len(row))
+            own = np.searchsorted(live, row[at])
+            columns = np.concatenate([order[live, :size], np.full((len(live), 1), k)], axis=1)
+            share, fit = _em(np.take_along_axis(like[at], columns[own], axis=1), own, n[live])
+            better = fit - size * price[live] > best[live]
+            up = live[better]
+            best[up] = fit[better] - size * price[up]
+            filled = np.zeros((len(up), k + 1))
+            np.put_along_axis(filled, columns[better], share[better], axis=1)
+            best_share[up] = filled
+            # no set beats the fit of all languages, and each further language costs the price
+            live = up[most[up] - fit[better] > price[up]]
             if not len(live):
                 break
         pick = best_share[:, :k].argmax(axis=1)
@@ -140,16 +149,31 @@ class Model:
         return names, np.clip(score, 0.0, 1.0), np.clip(known, 0.0, 1.0)
 
 
-def _em(like: np.ndarray, row: np.ndarray, first: np.ndarray, n: np.ndarray, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Shares of the allowed components in each document and the documents'
-    log-likelihoods (up to a constant per word)."""
-    share = allowed / allowed.sum(axis=1, keepdims=True)
-    for _ in range(STEPS):
-        r = like * share[row]
-        r /= np.maximum(r.sum(axis=1, keepdims=True), 1e-300)
-        share = np.add.reduceat(r, first, axis=0) / n[:, None]
-    total = (like * share[row]).sum(axis=1)
-    return share, np.add.reduceat(np.log(np.maximum(total, 1e-300)), first)
+def _em(like: np.ndarray, row: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Shares of the components (columns of ``like``, a row per word) in each
+    document, and the documents' log-likelihoods (up to a constant per word)."""
+    docs, parts = len(n), like.shape[1]
+    share = np.full((docs, parts), 1.0 / parts)
+    live, words, own = np.arange(docs), like, row
+    while len(live):
+        first = np.searchsorted(own, np.arange(len(live)))
+        size = n[live, None]
+        now = share[live]
+        while True:
+            part = now[own]
+            whole = np.maximum(np.einsum("ij,ij->i", words, part), 1e-300)
+            r = words * part / whole[:, None]
+            new = np.add.reduceat(r, first, axis=0) / size
+            still = np.abs(new - now).max(axis=1) <= TOLERANCE
+            now = new
+            if 4 * still.sum() >= len(live) or still.all():
+                break
+        share[live] = now
+        go = ~still
+        keep = go[own]
+        live, words, own = live[go], words[keep], (np.cumsum(go) - 1)[own[keep]]
+    total = np.einsum("ij,ij->i", like, share[row])
+    return share, np.add.reduceat(np.log(np.maximum(total, 1e-300)), np.searchsorted(row, np.arange(docs)))
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
@@ -169,10 +193,13 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
             at = np.flatnonzero(c)
             yield T.batch(["lang", "bucket", "n"], [pa.array([name] * len(at), pa.string()), at.astype(np.int32), c[at]])
 
-    rows = (docs.filter(training(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-            .select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
-            .mapInArrow(task, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas())
-    langs = sorted(set(rows["lang"]))
+    known = (docs.filter(training(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+             .select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")))
+    counted = cut_to_table(known.mapInArrow(task, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")))
+    langs = sorted(r.lang for r in counted.select("lang").distinct().limit(MOST_LANGUAGES + 1).collect())
+    if len(langs) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages in {lang_col}")
+    rows = counted.toPandas()
     counts = np.zeros((len(langs), BUCKETS))
     counts[[langs.index(x) for x in rows["lang"]], rows["bucket"]] = rows["n"]
     return Model(langs, counts)
@@ -194,10 +221,15 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     return src.mapInArrow(task, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
 
 
-def filter_known(docs: DataFrame, least: float = 0.5, text_col: str = "text") -> DataFrame:
+def filter_known(docs: DataFrame, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Documents in which the learned languages together explain at least
-    ``least`` of the words; all columns and rows that stay are unchanged."""
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs))
+    ``least`` of the words; all columns and rows that stay are unchanged.
+    Texts that are null or have no letter go; if no language could be learned
+    (no training row has a label and a text) every row stays."""
+    learned = fit(docs, id_col, text_col, lang_col)
+    if not learned.langs:
+        return docs
+    model = docs.sparkSession.sparkContext.broadcast(learned)
 
     def task(batches):
         for b in T.pieces(batches, text_col):

@@ -1,3 +1,4 @@
+import math
 import zlib
 
 import numpy as np
@@ -87,3 +88,67 @@ def test_mixtures_of_known_languages_are_kept(spark):
     rows = spark.createDataFrame([(i, t, None) for i, t in more], "doc_id long, text string, lang string")
     kept = L.filter_known(d.select("doc_id", "text", "lang").union(rows)).filter("doc_id < 0").collect()
     assert sorted(r.doc_id for r in kept) == [-4, -2, -1]
+
+
+def scalar(model, text):
+    """Mixture inference of one text, word by word: EM over lists of numbers,
+    all sets in the order of the shares, thousands of steps."""
+    g = L.Grams(pa.array([text]))
+    k = len(model.langs)
+    logs = [[float(g.word_scores(model.logp[i])[w]) for i in range(k)] + [model.other * float(g.end[w] - g.start[w])] for w in range(len(g.start))]
+
+    def em(allowed):
+        share = {j: 1 / len(allowed) for j in allowed}
+        like = [{j: math.exp(row[j] - max(row)) for j in allowed} for row in logs]
+        for _ in range(3000):
+            new = dict.fromkeys(allowed, 0.0)
+            for w in like:
+                total = max(sum(share[j] * w[j] for j in allowed), 1e-300)
+                for j in allowed:
+                    new[j] += share[j] * w[j] / total / len(like)
+            moved, share = max(abs(new[j] - share[j]) for j in allowed), new
+            if moved < 1e-9:
+                break
+        return share, sum(math.log(max(sum(share[j] * w[j] for j in allowed), 1e-300)) for w in like)
+
+    first, _ = em([*range(k), k])
+    order = sorted(range(k), key=lambda j: (-round(first[j], 5), j))
+    best, out = -math.inf, None
+    for size in range(1, k + 1):
+        share, fit = em([*order[:size], k])
+        worth = fit - L.PENALTY * size * math.log(len(logs) + 1)
+        if worth <= best:
+            break
+        best, out = worth, share
+    pick = max((j for j in out if j < k), key=lambda j: (out[j], -j))
+    return model.langs[pick], out[pick]
+
+
+def test_mixtures_equal_scalar_inference(spark, model):
+    rows = spark.read.parquet(SF).filter("n_chars between 60 and 1500").orderBy("doc_id").limit(60).collect()
+    half = lambda t: " ".join(t.split()[:40])
+    texts = [r.text for r in rows[:40]] + [half(a.text) + " " + half(b.text) for a, b in zip(rows[40:50], rows[50:])]
+    names, score = model.predict(pa.array(texts))
+    for text, name, s in zip(texts, names, score):
+        want, share = scalar(model, text)
+        assert abs(share - s) < 2e-3 and (name == want or abs(share - s) < 1e-4), (text, name, want, s, share)
+
+
+def test_without_a_learned_language_nothing_is_dropped(spark, docs):
+    unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert L.filter_known(unlabelled).count() == docs.count()
+    held = docs.filter(F.crc32(F.col("doc_id").cast("string")) % 4 == 2)
+    assert held.count() and L.filter_known(held).count() == held.count()
+
+
+def test_filter_known_with_other_column_names(spark):
+    d = spark.read.parquet(SF).select(F.col("doc_id").alias("i"), F.col("text").alias("body"), F.col("lang").alias("l"))
+    more = spark.createDataFrame([(-1, None, "en"), (-2, "12 34 !", "en")], "i long, body string, l string")
+    kept = L.filter_known(d.union(more), id_col="i", text_col="body", lang_col="l")
+    assert kept.columns == ["i", "body", "l"] and kept.count() > 900 and kept.filter("i < 0").count() == 0
+
+
+def test_too_many_languages_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(L, "MOST_LANGUAGES", 2)
+    with pytest.raises(ValueError, match="languages"):
+        L.fit(spark.read.parquet(SF))
