@@ -1,10 +1,10 @@
 """BPE encoding with content-defined chunk reuse (operator 7).
 
 Texts are cut where a rolling hash of the last bytes meets a mask, so equal
-passages have equal chunks wherever they stand.  The chunks that repeat most
-across documents (a bounded dictionary: ``DICTIONARY`` chunks of at most
-``CHUNK_BYTES``) are encoded once and sent to every task.  A document is then
-put together from dictionary chunks and freshly encoded stretches.
+passages have equal chunks wherever they stand.  The chunks whose repeats save
+most across all documents (exactly the ``DICTIONARY`` best, ties by hash, of at
+most ``CHUNK_BYTES`` each) are encoded once and sent to every task.  A document
+is then put together from dictionary chunks and freshly encoded stretches.
 
 Tokens near a chunk's edge depend on its neighbours.  So a chunk lends only the
 ids between its first and its last certain token boundary (a single space
@@ -90,26 +90,65 @@ def chunk_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return rows.groupBy("h").agg(F.sum("n").alias("n"), F.max("size").alias("size"))
 
 
+def best_chunks(saved: DataFrame, limit: int) -> np.ndarray:
+    """The hashes of the ``limit`` rows (h, saved) that save most, ties to the
+    smaller hash.  The threshold is narrowed by histograms of ``saved``, then of
+    the hashes at it: each is a few thousand rows at most, and only rows of the
+    answer and of one last narrow range come to the driver, not a list a task."""
+    cells = 4096
+
+    def narrow(rows: DataFrame, name: str, low: int, high: int, need: int):
+        """(first, last) of ranges of ``name``, best first: taken whole, and the
+        one where the limit falls (at most ``limit`` rows, or one value)."""
+        taken, step = [], -(-(high - low + 1) // cells)
+        while True:
+            cell = F.expr(f"cast((cast({name} as decimal(20,0)) - {low}) div {step} as int)")
+            count = {r.cell: r["count"] for r in rows.filter(F.col(name).between(low, high)).groupBy(cell.alias("cell")).count().collect()}
+            for c in sorted(count):
+                first, last = low + c * step, min(high, low + (c + 1) * step - 1)
+                if count[c] > need:
+                    break
+                taken.append((first, last))
+                need -= count[c]
+            else:
+                return taken, None, need
+            if not need:
+                return taken, None, 0
+            if first == last or count[c] <= limit:
+                return taken, (first, last, count[c]), need
+            low, high, step = first, last, -(-(last - first + 1) // cells)
+
+    rows = saved.select("h", (-F.col("saved")).alias("cost"))
+    span = rows.agg(F.min("cost").alias("low"), F.max("cost").alias("high")).first()
+    if span.low is None or not limit:
+        return np.zeros(0, np.int64)
+    taken, edge, need = narrow(rows, "cost", span.low, span.high, limit)
+    inside = F.lit(False)
+    if taken:
+        inside = F.col("cost").between(taken[0][0], taken[-1][1])
+    got = [rows.filter(inside).select("h")]
+    if edge:
+        tied = rows.filter(F.col("cost").between(*edge[:2]))
+        if edge[2] > limit:  # one cost that too many chunks share: the smallest hashes
+            spans, last, need = narrow(tied, "h", -(1 << 63), (1 << 63) - 1, need)
+            if spans:
+                got.append(tied.filter(F.col("h").between(spans[0][0], spans[-1][1])).select("h"))
+            tied = tied.filter(F.col("h").between(*last[:2])) if last else tied.limit(0)
+        got.append(tied.orderBy("cost", "h").limit(need).select("h"))
+    return np.sort(np.array([r.h for part in got for r in part.collect()], dtype=np.int64))
+
+
 def build_dictionary(docs: DataFrame, tokenizer: str | None = None, limit: int = DICTIONARY, text_col: str = "text") -> dict[bytes, tuple[int, int, bytes]]:
     """chunk bytes -> (first and last certain boundary, ids between), for the
     ``limit`` chunks whose repeats save most bytes.  Each is encoded once, by
     the task that its hash falls to.  At most limit * CHUNK_BYTES bytes of
-    text, and as many of ids, come to the driver."""
+    text, and an id for each byte at the very worst, come to the driver."""
     spark = docs.sparkSession
     saved = cut_to_table(chunk_counts(docs, text_col).filter("n > 1").withColumn("saved", (F.col("n") - 1) * F.col("size")))
-    # the least saving that at most ``limit`` chunks reach, from a histogram of
-    # its logarithm (a few hundred rows), so that no task sends a top list
-    bin_ = F.floor(F.log2("saved") * 16).cast("int")
-    least, total = None, 0
-    for r in sorted(saved.groupBy(bin_.alias("bin")).count().collect(), key=lambda r: -r.bin):
-        total += r["count"]
-        if total > limit:
-            break
-        least = r.bin
-    if least is None:
+    best = best_chunks(saved, limit)
+    if not len(best):
         return {}
-    best = saved.filter(bin_ >= least).select("h").toPandas()["h"].to_numpy(dtype=np.int64)
-    wanted = spark.sparkContext.broadcast(np.sort(best))
+    wanted = spark.sparkContext.broadcast(best)
 
     def find(batches):
         seen = set()

@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 import pyarrow as pa
 from tokenizers import Tokenizer
@@ -13,11 +14,11 @@ def want(text, tok):
     return (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest())
 
 
-def check(docs):
+def check(docs, **how):
     tok = Tokenizer.from_file(default_path())
     key = lambda r: -1 if r.doc_id is None else r.doc_id
     exp = sorted((key(r), *want(r.text, tok)) for r in docs.collect())
-    got = sorted((key(r), r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in R.encode_documents(docs).collect())
+    got = sorted((key(r), r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in R.encode_documents(docs, **how).collect())
     assert got == exp
 
 
@@ -69,3 +70,25 @@ def test_encoder_on_every_code_point():
 
 def test_empty_table(empty):
     assert R.encode_documents(empty).count() == 0
+
+
+def test_exactly_the_best_chunks(spark):
+    rng = random.Random(5)
+    rows = [(rng.getrandbits(64) - (1 << 63), rng.choice([1, 2, 2, 3, 700, 10**12 + rng.randrange(50)])) for _ in range(6000)]
+    df = spark.createDataFrame(rows, "h long, saved long").repartition(3)
+    order = [h for h, _ in sorted(rows, key=lambda r: (-r[1], r[0]))]
+    for limit in (0, 1, 7, 999, 1000, 3000, 5999, 6000, 10_000):
+        assert R.best_chunks(df, limit).tolist() == sorted(order[:limit])
+    assert R.best_chunks(df.limit(0), 5).tolist() == []
+
+
+def test_equal_savings_still_fill_the_dictionary(spark):
+    """More chunks of one saving than the dictionary holds: it is full, not empty."""
+    rng = random.Random(6)
+    text = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(7)) for _ in range(600))
+    texts = [text() for _ in range(12)] * 2
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    assert len(R.build_dictionary(df, limit=5)) == 5
+    check(df, limit=5)
+    assert R.build_dictionary(df, limit=0) == {}
+    check(df, limit=0)
