@@ -171,46 +171,46 @@ def _holds(rule, x) -> np.ndarray:
     return ok
 
 
-def _cuts(v: np.ndarray, n: int = 64) -> np.ndarray:
-    """Candidate thresholds: midpoints between neighbouring quantiles."""
-    q = np.unique(np.quantile(v, np.linspace(0, 1, n + 1)))
-    return (q[1:] + q[:-1]) / 2
-
-
-def learn_list(x: dict[str, np.ndarray], bad: np.ndarray, grow: np.ndarray,
-               max_rules: int = 16, max_terms: int = 4, min_bad: int = 5,
-               min_precision: float = 0.9) -> DecisionList:
+def _best_cut(x: dict[str, np.ndarray], inside: np.ndarray, bad: np.ndarray, min_bad: int):
+    """The threshold (name, op, value) of the largest information gain over all
+    midpoints between neighbouring values, or None."""
+    b = bad[inside]
+    p0, all0 = int(b.sum()), len(b)
+    best, term = 1e-9, None
+    for name, v in x.items():
+        order = np.argsort(v[inside], kind="stable")
+        vs, low = v[inside][order], np.cumsum(b[order])
+        at = np.flatnonzero(vs[1:] > vs[:-1])
+        below = (at + 1, low[at])
+        for op, size, p in (("<=", *below), (">", all0 - below[0], p0 - below[1])):
+            with np.errstate(divide="ignore", invalid="ignore"):
+                gain = np.where(p >= min_bad, p * (np.log2(p / size) - math.log2(p0 / all0)), 0.0)
+            if len(gain) and gain.max() > best:
+                i = int(gain.argmax())
+                best, term = float(gain[i]) + 1e-9, (name, op, float((vs[at[i]] + vs[at[i] + 1]) / 2))
+    return term
+
+
+def learn_list(x: dict[str, np.ndarray], bad: np.ndarray, grow: np.ndarray, min_bad: int = 5, min_precision: float = 0.9) -> DecisionList:
     """Sequential covering on rows ``x`` labelled ``bad``; rows with ``grow``
     grow rules, the others prune and judge them.
 
     A rule is grown by adding the threshold of the largest information gain
-    until it covers no good row; its last terms are then cut while that does
-    not lower (bad - good) / (bad + good) on the pruning rows.  Covering ends
-    at the first rule that is not precise enough on the pruning rows."""
+    until it covers no good row or no threshold with ``min_bad`` bad rows gains
+    anything; its last terms are then cut while that does not lower
+    (bad - good) / (bad + good) on the pruning rows.  Covering ends when fewer
+    than ``min_bad`` bad rows are left, or at the first rule that is less
+    precise on the pruning rows than ``min_precision``."""
     left = np.ones(len(bad), bool)
     rules = []
-    while len(rules) < max_rules and (bad & left & grow).sum() >= min_bad:
+    while (bad & left & grow).sum() >= min_bad:
         rule, inside = [], left & grow
-        while len(rule) < max_terms and (inside & ~bad).any():
-            p0, n0 = (inside & bad).sum(), (inside & ~bad).sum()
-            best = (0.0, None, None)
-            for name, v in x.items():
-                vi, bi = v[inside], bad[inside]
-                order = np.argsort(vi, kind="stable")
-                vs, cum = vi[order], np.cumsum(bi[order])
-                for t in _cuts(vi):
-                    k = int(np.searchsorted(vs, t, side="right"))
-                    p_low = int(cum[k - 1]) if k else 0
-                    for op, p, n in (("<=", p_low, k - p_low), (">", p0 - p_low, n0 - (k - p_low))):
-                        if p < min_bad or p + n == p0 + n0:
-                            continue
-                        gain = p * (math.log2(p / (p + n)) - math.log2(p0 / (p0 + n0)))
-                        if gain > best[0] + 1e-9:
-                            best = (gain, (name, op, float(t)), None)
-            if best[1] is None:
+        while (inside & ~bad).any():
+            term = _best_cut(x, inside, bad, min_bad)
+            if term is None:
                 break
-            rule.append(best[1])
-            inside = inside & _holds([best[1]], x)
+            rule.append(term)
+            inside = inside & _holds([term], x)
         if not rule:
             break
         hold = left & ~grow
