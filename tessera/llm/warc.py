@@ -5,9 +5,12 @@ Writing: every page becomes one WARC/1.1 record.  Of pages with equal payloads
 of at least ``least`` bytes the one with the smallest id is a response and the
 others are revisits without a payload.  Records are built by column expressions
 and written by the text sink in gzip-compressed archives of at most
-``RECORDS_PER_ARCHIVE`` records.
+``ARCHIVE_BYTES`` uncompressed: records are written in a few classes of size,
+each with as many records an archive as its largest ones allow, and records
+over ``ARCHIVE_BYTES`` have archives of their own.
 
-Reading: a task takes an archive and finds every place that looks like a record
+Reading: a task holds one archive at a time (so at most ``ARCHIVE_BYTES``, or
+one larger record) and finds every place that looks like a record
 (the magic, a header, a length, a proper end); payloads may hold such places
 too.  Each is an edge to the place after its end.  An archive is divided into
 blocks; the task follows the edges inside a block from every place where a
@@ -16,8 +19,9 @@ starting at offset 0 of every archive, finds the entries that a reader from the
 file's start would meet; only the records on their chains are kept.
 
 Edge cases: a null payload is empty, a null URL leaves out its header, line
-breaks in URLs are percent-encoded; a null page id is written as such and read
-back as null, and counts as the largest; rows with the same smallest id and
+breaks in URLs are percent-encoded; ids are written as text, percent-encoded,
+and read back as the type asked for (an id that is none is an error); a null
+page id is written as such and read back as null, and counts as the largest; rows with the same smallest id and
 payload are all responses; headers may have any length; an archive whose chain
 does not end at its last byte is an error; an empty table gives no rows; other
 input columns are ignored.
@@ -29,6 +33,8 @@ import base64
 import gzip
 import hashlib
 import re
+from itertools import batched
+from urllib.parse import unquote_plus
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -38,13 +44,14 @@ from ..operators.iterate import cut, cut_to_table
 from ..session import scratch_path
 from . import textops as T
 
-RECORDS_PER_ARCHIVE = 4096
+ARCHIVE_BYTES = 64 << 20  # uncompressed bytes of an archive
+RECORDS_PER_ARCHIVE = 4096  # of the smallest records
 BLOCK = 1 << 20  # bytes of an archive that a task follows as one piece of chain
 DATE = "1970-01-01T00:00:00Z"
 
 _MAGIC = re.compile(rb"WARC/1\.[01]\r\n")
 _FIELD = re.compile(rb"([A-Za-z0-9-]++):[ \t]*+([^\r\n]*+)\r\n")
-_URN = "urn:x-page:"
+_URN, _NO_ID = "urn:x-page:", "urn:x-no-page"
 # Digits of conv() in base 32 and of the base32 alphabet.
 _CONV = "0123456789ABCDEFGHIJKLMNOPQRSTUV"
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -76,7 +83,7 @@ def with_revisits(pages: DataFrame, least: int = 0, id_col: str = "page_id", pay
 def record_text() -> Column:
     """One record over the columns of ``with_revisits``, short of its last
     line break."""
-    urn = lambda c: F.concat(F.lit(f"<{_URN}"), F.coalesce(F.col(c).cast("string"), F.lit("null")), F.lit(">\r\n"))
+    urn = lambda c: F.coalesce(F.concat(F.lit(f"<{_URN}"), F.url_encode(F.col(c).cast("string")), F.lit(">\r\n")), F.lit(f"<{_NO_ID}>\r\n"))
     again = F.col("refers_to").isNotNull()
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("size").cast("string"), F.lit("\r\n\r\n"))
     url = F.regexp_replace(F.regexp_replace("url", "\r", "%0D"), "\n", "%0A")
@@ -91,10 +98,25 @@ def record_text() -> Column:
         F.lit("\r\n\r\n"), http, F.when(again, F.lit("")).otherwise(F.col("html")), F.lit("\r\n"))
 
 
-def write_archives(pages: DataFrame, path: str, least: int = 0, **columns) -> None:
+def size_class(archive_bytes: int, url: str = "url", payload: str = "html") -> Column:
+    """0 to 3 by a record's largest possible size: class k holds records up to
+    archive_bytes / 4096 * 16**k bytes, the last one all larger ones too."""
+    size = F.coalesce(F.octet_length(F.col(payload).cast("string")), F.lit(0)).cast("long") + 3 * F.coalesce(F.octet_length(F.col(url).cast("string")), F.lit(0)).cast("long") + 1024
+    out = F.lit(3)
+    for k in (2, 1, 0):
+        out = F.when(size <= archive_bytes // RECORDS_PER_ARCHIVE * 16**k, F.lit(k)).otherwise(out)
+    return out
+
+
+def write_archives(pages: DataFrame, path: str, least: int = 0, archive_bytes: int = ARCHIVE_BYTES,
+                   id_col: str = "page_id", payload_col: str = "html", url_col: str = "url") -> None:
     """Write a WARC record per page into archives under ``path``."""
-    (with_revisits(pages, least, **columns).select(record_text().alias("value"))
-     .write.option("lineSep", "\r\n").option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_ARCHIVE).text(path))
+    classes = [r.k for r in pages.select(size_class(archive_bytes, url_col, payload_col).alias("k")).distinct().orderBy("k").collect()] or [0]
+    records = with_revisits(pages, least, id_col, payload_col, url_col)
+    for k in classes:
+        own = records if len(classes) == 1 else records.filter(size_class(archive_bytes) == k)
+        (own.select(record_text().alias("value")).write.mode("error" if k == classes[0] else "append")
+         .option("lineSep", "\r\n").option("compression", "gzip").option("maxRecordsPerFile", max(1, RECORDS_PER_ARCHIVE >> 4 * k)).text(path))
 
 
 def _parse(data: bytes, at: int):
@@ -136,8 +158,7 @@ def candidates(data: bytes) -> dict[int, tuple[int, int]]:
 def _row(data: bytes, at: int, places: dict, keep_payload: bool):
     end, block = places[at]
     f = _parse(data, at)[1]
-    number = lambda x: int(x) if x and re.fullmatch(rb"-?[0-9]+", x) else None
-    ident = lambda x: number(x.strip(b"<>").removeprefix(_URN.encode())) if x else None
+    ident = lambda x: unquote_plus(x[1 + len(_URN):-1].decode()) if x and x.startswith(f"<{_URN}".encode()) else None
     kind = f.get(b"warc-type", b"").decode("ascii", "replace")
     split = data.find(b"\r\n\r\n", block, end - 4)
     payload = data[split + 4:end - 4] if split >= 0 else b""
@@ -150,7 +171,7 @@ def _row(data: bytes, at: int, places: dict, keep_payload: bool):
             ident(f.get(b"warc-refers-to")), payload if keep_payload else None)
 
 
-_COLUMNS = "archive string, entry long, leave long, at long, page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary"
+_COLUMNS = "archive string, entry long, leave long, at long, page_id string, url string, record_type string, payload_bytes long, payload_digest string, refers_to string, payload binary"
 
 
 def _follow(data: bytes, keep_payload: bool, block: int):
@@ -192,21 +213,21 @@ def reachable(edges: DataFrame) -> DataFrame:
     return seen
 
 
-def read_archives(spark: SparkSession, path: str, payload: bool = False, block: int = BLOCK) -> DataFrame:
+def read_archives(spark: SparkSession, path: str, payload: bool = False, block: int = BLOCK, id_type: str = "long") -> DataFrame:
     """The records of all archives under ``path``: archive, at, page_id, url,
     record_type, payload_bytes, payload_digest (of the payload read, or the
     header's for revisits), refers_to and, if asked for, the payload.  An
-    archive that cannot be followed to its end is an error."""
+    archive that cannot be followed to its end is an error, and so is an id
+    that is no ``id_type``."""
     names = [c.split()[0] for c in _COLUMNS.split(", ")]
 
     def scan(batches):
         for b in batches:
             for name, raw in zip(b.column("path"), b.column("content")):
                 data = gzip.decompress(raw.as_py()) if name.as_py().endswith(".gz") else raw.as_py()
-                rows = list(_follow(data, payload, block))
-                for i in range(0, len(rows), 1000):
-                    cols = list(zip(*rows[i:i + 1000]))
-                    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
+                for rows in batched(_follow(data, payload, block), 256 if payload else 1000):
+                    cols = list(zip(*rows))
+                    types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.binary()]
                     yield T.batch(names, [pa.array([name.as_py()] * len(cols[0]), pa.string()), *(pa.array(c, t) for c, t in zip(cols, types))])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*part-*").load(path).select("path", "content")
@@ -215,12 +236,13 @@ def read_archives(spark: SparkSession, path: str, payload: bool = False, block:
     torn = rows.filter("at is null").join(good, ["archive", "entry"], "left_anti").select("archive").limit(5).collect()
     if torn:
         raise ValueError(f"records do not lead to the end of {', '.join(r.archive for r in torn)}")
-    return rows.filter("at is not null").join(good, ["archive", "entry"], "left_semi").drop("entry", "leave", *([] if payload else ["payload"]))
+    kept = rows.filter("at is not null").join(good, ["archive", "entry"], "left_semi").drop("entry", "leave", *([] if payload else ["payload"]))
+    return kept.withColumns({c: F.col(c).cast(id_type) for c in ("page_id", "refers_to")})
 
 
-def round_trip(pages: DataFrame, least: int = 0) -> DataFrame:
+def round_trip(pages: DataFrame, least: int = 0, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Write ``pages`` to archives in the shared folder and read them back."""
     spark = pages.sparkSession
     path = scratch_path(spark, "warc")
-    write_archives(pages, path, least)
-    return read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    write_archives(pages, path, least, archive_bytes)
+    return read_archives(spark, path, id_type=pages.schema["page_id"].dataType.simpleString()).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

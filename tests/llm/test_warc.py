@@ -1,6 +1,7 @@
 import base64
 import gzip
 import hashlib
+import random
 
 import pytest
 
@@ -111,3 +112,31 @@ def test_places_inside_one_header_cost_linear_time():
     assert len(W.candidates(data)) == 100_001 and not W.candidates(b"WARC/1.1\r\n" + lines)
     assert W.candidates(b"WARC/1.1\r\nContent-Length: 2\r\nA: WARC/1.1\r\n\r\nok\r\n\r\n").keys() == {0}
     assert time.time() - t < 20
+
+
+def test_archives_are_bounded_by_bytes(spark, tmp_path):
+    """Pages of up to several MB under a small bound: an archive over it holds
+    one record."""
+    rng = random.Random(8)
+    rows = [(i, "u", chr(97 + i % 26) * rng.choice([3, 900, 20_000, 300_000, 5_000_000])) for i in range(160)]
+    p = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)
+    bound = 1 << 20
+    W.write_archives(p, str(tmp_path / "archives"), archive_bytes=bound)
+    sizes = []
+    for f in (tmp_path / "archives").glob("part-*"):
+        data = gzip.decompress(f.read_bytes())
+        n = len(W.candidates(data))
+        sizes.append((len(data), n))
+        assert len(data) <= bound or n == 1
+    assert sum(n for _, n in sizes) == 160 and any(s > bound for s, _ in sizes) and any(n > 1 for _, n in sizes)
+    assert got(W.round_trip(p, archive_bytes=bound)) == want([(i, h) for i, _, h in rows])
+
+
+def test_ids_keep_their_type(spark, tmp_path):
+    ids = ["a b", "null", "", "7", "x>\r\ny", "é%41", None]
+    p = spark.createDataFrame([(x, "u", f"p{i}") for i, x in enumerate(ids)] + [("z", "u", "p0")], "page_id string, url string, html string")
+    out = {r.page_id: r for r in W.round_trip(p).collect()}
+    assert out.keys() == {*ids, "z"} and out["z"].refers_to == "a b" and out["z"].record_type == "revisit"
+    W.write_archives(p, str(tmp_path / "archives"))
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT|cast"):
+        W.read_archives(spark, str(tmp_path / "archives")).collect()
