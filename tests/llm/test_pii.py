@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 
 from tessera.llm import pii as P
@@ -127,3 +128,37 @@ def test_skips_tie_each_candidate_to_its_nearest_base_mention():
             far = [abs(i - j) for j, y in enumerate(nodes) if y[2] >= 0 and y[4] == x[4]]
             if x[2] < 0 and far:
                 assert min(far) in [abs(a - b) for a, b in edges if i in (a, b) and nodes[a + b - i][2] >= 0]
+
+
+def test_messages_that_swing_do_not_end_the_job(field, monkeypatch):
+    """With no round counted as still, the averaged beliefs decide."""
+    text = "+1 (974) 555-3436 " + "x 1 974 555 3436 y 12.34.56 z " * 5
+    nodes = P.mentions(text)[1]
+    want = field.marginals(nodes)
+    monkeypatch.setattr(P, "STILL", -1.0)
+    got = field.marginals(nodes)
+    assert np.allclose(got.sum(axis=1), 1) and np.abs(got - want).max() < 0.01
+
+
+def test_skip_edges_against_enumeration(field):
+    """Without chain potentials the skip edges of these texts form trees, on
+    which sum-product is exact."""
+    import copy
+    import itertools
+    own = copy.copy(field)
+    own.chain = np.zeros_like(field.chain)
+    for text in ("+1 (974) 555-3436 or 1 974 555 3436", "1 974 555 3436 mail bob.s@mail.example.com then +1 (974) 555-3436 and bob.s (at) mail.example.com",
+                 "1 974 555 3436 x 1 974 555 3436 y 44 1234567 z 44 1234567"):
+        nodes = P.mentions(text)[1]
+        free = [i for i, x in enumerate(nodes) if x[2] < 0]
+        assert free
+        local, skips = own.node(np.array([x[3] for x in nodes])), P._skips(nodes)
+        total = np.zeros((len(nodes), len(P.LABELS)))
+        for labels in itertools.product(range(len(P.LABELS)), repeat=len(free)):
+            y = [x[2] for x in nodes]
+            for i, lab in zip(free, labels):
+                y[i] = lab
+            w = np.exp(sum(local[i, y[i]] for i in free) + sum(own.skip for a, b in skips if y[a] == y[b]))
+            for i in range(len(nodes)):
+                total[i, y[i]] += w
+        assert np.allclose(own.marginals(nodes), total / total.sum(axis=1, keepdims=True), atol=5e-3), text
