@@ -25,9 +25,10 @@ Candidates.  Equal sets are one class, joined by a fingerprint.  Within a
 bucket of equal keys a member is compared with the bucket's centre only (a
 different random member for each key), not with all others; verified links form
 components.  Buckets that still hold several components are then searched for
-pairs of different components whose bit sketches permit a link; these searches
-run in blocks of ``BLOCK`` members, in which the largest component's members
-each lie in one block and the others are copied to all blocks.  So every pair
+pairs of different components whose bit sketches permit a link.  A bucket's
+members are dealt into blocks of about ``BLOCK``, its largest component's apart
+from the others', and every pair of blocks that may hold such a pair is a group
+of its own, so a task holds two blocks however large the bucket is.  Every pair
 that may link is either verified or already connected, and nothing is capped.
 
 Verification compares the shingle sets of the two texts.
@@ -293,15 +294,41 @@ def _of_set(shingle: int):
     return task
 
 
+def deal_blocks(labelled: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(key, j, side, g, c): the members of every key that holds several
+    components, dealt into pairs of blocks ``j``.
+
+    The members of a key's largest component are dealt into blocks of about
+    ``block`` by hash, and so are the others.  The largest component needs no
+    search in itself, so the pairs are: each of its blocks (side 0) with each
+    block of others (side 1), each two blocks of others (sides 0 and 1), and
+    each block of others with itself (side 2)."""
+    count = labelled.groupBy("key", "c").agg(F.count(F.lit(1)).alias("k"))
+    # (of two sets one is the centre, so that pair has been verified)
+    most = cut_to_table(count.groupBy("key").agg(F.max(F.struct("k", "c")).alias("top"), F.sum("k").alias("size"), F.count(F.lit(1)).alias("cs"))
+                        .filter("cs > 1 and size > 2")
+                        .select("key", F.col("top.c").alias("top"), F.ceil(F.col("top.k") / block).cast("long").alias("tops"),
+                                F.ceil((F.col("size") - F.col("top.k")) / block).cast("long").alias("rest")))
+    code = lambda x, y: x * F.lit(1 << 31) + y
+    pair = lambda j, side: F.struct(j.alias("j"), F.lit(side).alias("side") if isinstance(side, int) else side.alias("side"))
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    home = F.col("home")
+    of_top = F.transform(upto("rest"), lambda y: pair(code(home, y), 0))
+    of_rest = F.concat(F.transform(upto("tops"), lambda x: pair(code(x, home), 1)),
+                       F.transform(upto("rest"), lambda x: pair(-F.lit(1) - code(F.least(x, home), F.greatest(x, home)),
+                                                                F.when(x == home, 2).when(home < x, 0).otherwise(1))))
+    is_top = F.col("c") == F.col("top")
+    return (labelled.join(most, "key")
+            .withColumn("home", F.pmod(F.xxhash64("g"), F.when(is_top, F.col("tops")).otherwise(F.col("rest"))))
+            .withColumn("to", F.explode(F.when(is_top, of_top).otherwise(of_rest)))
+            .select("key", "to.j", "to.side", "g", "c"))
+
+
 def cross_pairs(keys: DataFrame, sets: DataFrame, comp: DataFrame, law: Law, block: int = BLOCK) -> DataFrame:
     """(a, b): pairs of one key but of different components whose bit sketches
-    permit a link.
-
-    A key's members are dealt over blocks: those of its largest component to
-    one block each, the others to every block, so each pair of different
-    components meets in a block of bounded size."""
+    permit a link, searched in pairs of blocks (``deal_blocks``)."""
     def search(batches):
-        """Streams blocks sorted by (key, block) and searches each."""
+        """Streams pairs of blocks sorted by (key, j) and searches each."""
         held: list[pa.RecordBatch] = []
         for b in batches:
             if not b.num_rows:
@@ -311,43 +338,39 @@ def cross_pairs(keys: DataFrame, sets: DataFrame, comp: DataFrame, law: Law, blo
             for s, e in zip(cuts, cuts[1:]):
                 part = b.slice(s, e - s)
                 if held and (held[-1].column("key")[0] != part.column("key")[0] or held[-1].column("j")[0] != part.column("j")[0]):
-                    yield from _search_block(held, law)
+                    yield from _search_blocks(held, law)
                     held = []
                 held.append(part)
         if held:
-            yield from _search_block(held, law)
+            yield from _search_blocks(held, law)
 
-    labelled = cut_to_table(keys.join(comp, "g"))
-    count = labelled.groupBy("key", "c").agg(F.count(F.lit(1)).alias("k"))
-    # (of two sets one is the centre, so that pair has been verified)
-    most = cut_to_table(count.groupBy("key").agg(F.max(F.struct("k", "c")).alias("top"), F.sum("k").alias("size"), F.count(F.lit(1)).alias("cs"))
-                        .filter("cs > 1 and size > 2").select("key", F.col("top.c").alias("top"), F.ceil(F.col("size") / block).cast("int").alias("blocks")))
-    home = F.pmod(F.xxhash64("g"), F.col("blocks")).cast("int")
-    dealt = (labelled.join(most, "key")
-             .withColumn("home", home)
-             .withColumn("j", F.explode(F.when(F.col("c") == F.col("top"), F.array("home")).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))))
-             .join(sets.select("g", "n", "sketch"), "g")
-             .select("key", "j", "g", "c", "n", "sketch", (F.col("home") == F.col("j")).alias("at_home")))
+    dealt = deal_blocks(cut_to_table(keys.join(comp, "g")), block).join(sets.select("g", "n", "sketch"), "g").select("key", "j", "side", "g", "c", "n", "sketch")
     return (dealt.repartition("key", "j").sortWithinPartitions("key", "j").mapInArrow(search, "a long, b long").distinct())
 
 
-def _search_block(held: list[pa.RecordBatch], law: Law):
+def _search_blocks(held: list[pa.RecordBatch], law: Law):
     t = pa.Table.from_batches(held)
-    g, c, n, own = (t.column(x).to_numpy() for x in ("g", "c", "n", "at_home"))
+    g, c, n, side = (t.column(x).to_numpy() for x in ("g", "c", "n", "side"))
+    if side[0] != 2 and (side == side[0]).all():
+        return  # the other block of the pair is empty
     raw = [np.frombuffer(x, np.uint8) for x in t.column("sketch").to_pylist()]
     size = min(map(len, raw))
     sk = np.array([fold(x, size) for x in raw]).view(np.uint64)
-    # members of the block's most frequent component need no search among themselves
-    labels, number = np.unique(c, return_inverse=True)
-    rest = np.flatnonzero(number != np.bincount(number).argmax())
+    if side[0] == 2:
+        # members of the block's most frequent component need no search among themselves
+        labels, number = np.unique(c, return_inverse=True)
+        mine, other = np.flatnonzero(number != np.bincount(number).argmax()), np.arange(len(g))
+    else:
+        mine, other = np.flatnonzero(side == 1), np.flatnonzero(side == 0)
+        if len(mine) > len(other):
+            mine, other = other, mine
+    sk, against, co, no, go = sk[mine], sk[other], c[other], n[other], g[other]
     out_a, out_b = [], []
-    for i in rest:
-        distance = np.bitwise_count(sk ^ sk[i]).sum(axis=1, dtype=np.int64)
-        # two copied members are searched in the home block of one of them
-        ok = (c != c[i]) & law.may_link(n, n[i], distance) & (own | own[i])
-        hit = np.flatnonzero(ok)
-        out_a.append(np.minimum(g[hit], g[i]))
-        out_b.append(np.maximum(g[hit], g[i]))
+    for i, x in enumerate(mine):
+        distance = np.bitwise_count(against ^ sk[i]).sum(axis=1, dtype=np.int64)
+        hit = np.flatnonzero((co != c[x]) & law.may_link(no, n[x], distance))
+        out_a.append(np.minimum(go[hit], g[x]))
+        out_b.append(np.maximum(go[hit], g[x]))
     a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (out_a, out_b))
     if len(a):
         pair = np.unique(np.stack([a, b], axis=1), axis=0)

@@ -1,3 +1,5 @@
+import itertools
+from collections import Counter
 import random
 import re
 
@@ -5,6 +7,7 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import jaccard as J
 from tessera.llm import queries
@@ -152,3 +155,28 @@ def test_oracle(spark, sf):
     want = {r[0]: r[1:] for r in con.sql(queries.ORACLES["op1_parity_jaccard"]).fetchall()}
     got = result(queries.op1_parity_jaccard(spark, sf))
     assert got == want and any(c != i for i, (_, c) in got.items())
+
+
+def test_blocks_of_a_key_with_many_components(spark):
+    """10,000 sets of different components on one key: no group passes two
+    blocks, and every pair of sets meets exactly once."""
+    n, block = 10_000, 512
+    keys = spark.range(n).selectExpr("cast(7 as long) key", "id g", "id c").union(
+        spark.range(3 * block).selectExpr("cast(8 as long) key", "id + 100000 g", "if(id < 40, id, -1L) c"))
+    dealt = J.deal_blocks(keys, block)
+    sizes = dealt.groupBy("key", "j").count()
+    assert sizes.agg(F.max("count")).first()[0] <= 2 * block * 1.3
+    small = J.deal_blocks(keys.filter("g < 300 or (key = 8 and g < 100200)"), 16).groupBy("key", "j", "side").agg(F.collect_list("g").alias("g"), F.collect_list("c").alias("c")).collect()
+    groups = {}
+    for r in small:
+        groups.setdefault((r.key, r.j), {})[r.side] = list(zip(r.g, r.c))
+    met = Counter()
+    for sides in groups.values():
+        if 2 in sides:
+            met.update(frozenset((a[0], b[0])) for a, b in itertools.combinations(sides[2], 2) if a[1] != b[1])
+        met.update(frozenset((a[0], b[0])) for a in sides.get(0, ()) for b in sides.get(1, ()) if a[1] != b[1])
+    assert max(met.values()) == 1
+    first = {frozenset(p) for p in itertools.combinations(range(300), 2)}
+    label = {100000 + i: (i if i < 40 else -1) for i in range(200)}
+    second = {frozenset(p) for p in itertools.combinations(label, 2) if label[p[0]] != label[p[1]]}
+    assert set(met) == first | second
