@@ -5,7 +5,9 @@ as Parquet and read again as the next stage's ``docs``.  All but the last keep
 the columns of ``documents``:
 
 1. ``language``: documents go in which the learned languages together explain
-   less than half of the words,
+   less than half of the words, and texts that are null or have no letter; where
+   no language can be learned (no labelled row to learn from) every document
+   stays,
 2. ``quality``: documents that fail the base rule or the learned decision list
    go,
 3. ``near_duplicates``: of every group of documents that link (five-word
