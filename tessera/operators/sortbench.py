@@ -1,5 +1,6 @@
-"""Total-sort benchmark: record generator (TS1), sort (TS2), explicit range
-partition function (TS3), validator (TS4) and the size helper (FN11).
+"""Total-sort benchmark: record generator (TS1), sort and sorted table on disk
+(TS2), explicit range partition function (TS3), validators (TS4) and the size
+helper (FN11).
 
 Records are 100 bytes: a 10-byte key and a 90-byte value, held as two
 binary columns.  Spark compares binary values as unsigned bytes, which is
@@ -116,56 +117,106 @@ def range_bucket(key: Column, parts: int) -> Column:
     return F.least(F.floor(prefix / F.lit(step)).cast("int"), F.lit(parts - 1))
 
 
+def write_sorted(df: DataFrame, path: str, parts: int | None = None, key: str = "key") -> None:
+    """TS2 / SNK2: the totally sorted table on disk, as Parquet with a ``part``
+    column.  Every range partition is one task, and the writer numbers its
+    files by task, so the order of the file names is the order of the keys;
+    Spark's committer makes the files visible once the job is complete."""
+    total_sort(df, parts, key).withColumn("part", F.spark_partition_id()).write.parquet(path)
+
+
+def read_sorted(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of a table that ``write_sorted`` made, with their place: ``file``
+    (task and file number from the file's name) and ``row`` in it."""
+    number = lambda pattern: F.lpad(F.regexp_extract("_metadata.file_name", pattern, 1), 12, "0")
+    return spark.read.parquet(path).select("*", F.concat(number(r"^part-(\d+)"), number(r"-c(\d+)")).alias("file"),
+                                           F.col("_metadata.row_index").alias("row"))
+
+
 def validate(sorted_df: DataFrame, key: str = "key", value: str = "value") -> DataFrame:
-    """TS4: one row ``(records, checksum, full_checksum, partitions,
-    violations)``.
-
-    Per partition (no shuffle: the statistics are taken where the rows
-    lie): record count, sums of CRC-32, first and last key and the number of
-    adjacent pairs out of order, by Arrow batches (whole-column comparisons of
-    neighbouring keys).  Then across partitions (one row each): every
-    partition must start at or after the previous one's last key.  Sums are
-    decimal(38,0), wide enough for any 128-bit total the benchmark can reach.
-    """
-    tagged = sorted_df.select(
-        F.spark_partition_id().alias("pid"), F.col(key).alias("k"),
+    """TS4 on a DataFrame: one row ``(records, checksum, full_checksum,
+    partitions, violations)``, each partition validated where it lies and its
+    first key compared with the previous partition's last."""
+    return _verdict(sorted_df.withColumns({"_run": F.format_string("%012d", F.spark_partition_id()), "_row": F.lit(None).cast("long"),
+                                           "_part": F.lit(0)}), key, value)
+
+
+def validate_files(spark: SparkSession, path: str, key: str = "key", value: str = "value") -> DataFrame:
+    """TS4 on files: ``validate``'s row for the table under ``path``, with the
+    order taken from the files on disk.  A task reads some splits of some
+    files; every piece of a file that it meets is validated row by row, and
+    the pieces are compared in the order of file name and row number: a piece
+    must start where the last one of its file ended, its first key must not be
+    smaller than the last key before it, and ``part`` must not fall."""
+    return _verdict(read_sorted(spark, path).withColumns({"_run": F.col("file"), "_row": F.col("row"), "_part": F.col("part")}), key, value)
+
+
+def _verdict(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """Statistics of every run (rows of one ``_run`` that follow each other in
+    a task; no shuffle): record count, sums of CRC-32, first and last key and
+    row, and neighbours out of order, by Arrow batches (whole-column
+    comparisons of neighbouring keys).  Then, one row per run: order across
+    runs.  Sums are decimal(38,0), wide enough for any 128-bit total the
+    benchmark can reach."""
+    tagged = rows.select(
+        F.col("_run").alias("run"), F.col("_row").alias("row"), F.col("_part").cast("long").alias("part"), F.col(key).alias("k"),
         F.crc32(F.col(key)).alias("crc"),
         F.crc32(F.concat(F.col(key), F.col(value))).alias("crc_full"))
 
-    def per_part(batches):
+    def per_run(batches):
+        import numpy as np
         import pyarrow as pa
         import pyarrow.compute as pc
-        pid = first = last = None
-        n = total = full = bad = 0
+        now = None  # run, first row, last row, records, sums, first and last key, violations, first and last part
+
+        def out():
+            names = ("run", "low", "high", "n", "sum", "sumf", "first", "last", "bad", "part_low", "part_high")
+            kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
+            cells = [str(x) if n in ("sum", "sumf") else x for n, x in zip(names, now)]
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(cells, kinds)], names=list(names))
+
         for b in batches:
             if not b.num_rows:
                 continue
-            k = b.column("k")
-            if first is None:
-                pid, first = b.column("pid")[0].as_py(), k[0].as_py()
-            elif k[0].as_py() < last:
-                bad += 1
-            bad += pc.sum(pc.less(k.slice(1), k.slice(0, len(k) - 1))).as_py() or 0
-            last = k[len(k) - 1].as_py()
-            n += b.num_rows
-            total += pc.sum(b.column("crc")).as_py()
-            full += pc.sum(b.column("crc_full")).as_py()
-        if n:
-            yield pa.RecordBatch.from_pydict({
-                "pid": pa.array([pid], pa.int32()), "n": [n], "sum": [str(total)], "sumf": [str(full)],
-                "first": pa.array([first], pa.binary()), "last": pa.array([last], pa.binary()), "bad": [bad]})
-
-    stats = tagged.mapInArrow(
-        per_part, "pid int, n long, sum string, sumf string, first binary, last binary, bad long")
-    # one row per partition from here on
-    w = Window.orderBy("pid")
-    cross = stats.withColumn("prev_last", F.lag("last").over(w)).withColumn(
-        "cross_bad", F.when(F.col("prev_last") > F.col("first"), 1).otherwise(0))
+            run = b.column("run").dictionary_encode().indices.to_numpy()
+            row = b.column("row").to_numpy(zero_copy_only=False)
+            new = np.flatnonzero((run[1:] != run[:-1]) | (row[1:] < row[:-1])) + 1  # (null rows compare false)
+            for low, high in zip([0, *new.tolist()], [*new.tolist(), b.num_rows]):
+                p = b.slice(low, high - low)
+                k, part = p.column("k"), p.column("part")
+                name, first, at = p.column("run")[0].as_py(), k[0].as_py(), p.column("row")[0].as_py()
+                if now is not None and (now[0] != name or (at is not None and at < now[2])):
+                    yield out()
+                    now = None
+                if now is None:
+                    now = [name, at, at, 0, 0, 0, first, first, 0, part[0].as_py(), part[0].as_py()]
+                bad = pc.sum(pc.less(k.slice(1), k.slice(0, len(k) - 1))).as_py() or 0
+                bad += pc.sum(pc.less(part.slice(1), part.slice(0, len(k) - 1))).as_py() or 0
+                gap = lambda x, y: x is not None and y != x + 1
+                if at is not None:
+                    bad += int((np.diff(p.column("row").to_numpy()) != 1).sum())
+                if now[3]:
+                    bad += int(first < now[7]) + int(part[0].as_py() < now[10]) + int(gap(now[2], at))
+                now[2], now[3] = p.column("row")[len(k) - 1].as_py(), now[3] + len(k)
+                now[4] += pc.sum(p.column("crc")).as_py()
+                now[5] += pc.sum(p.column("crc_full")).as_py()
+                now[7], now[8], now[10] = k[len(k) - 1].as_py(), now[8] + bad, part[len(k) - 1].as_py()
+        if now is not None:
+            yield out()
+
+    stats = tagged.mapInArrow(per_run, "run string, low long, high long, n long, sum string, sumf string, first binary, last binary, bad long, "
+                                       "part_low long, part_high long")
+    # one row per run from here on
+    w = Window.orderBy("run", "low")
+    before = lambda c: F.lag(c).over(w)
+    place = F.when(before("run") == F.col("run"), F.col("low") != before("high") + 1).otherwise(F.col("low") > 0)
+    cross = stats.withColumn("cross_bad", sum((F.coalesce(x, F.lit(False)).cast("int") for x in
+                                               (before("last") > F.col("first"), before("part_high") > F.col("part_low"), place)), F.lit(0)))
     return cross.agg(
         F.sum("n").alias("records"),
         F.sum(F.col("sum").cast("decimal(38,0)")).alias("checksum"),
         F.sum(F.col("sumf").cast("decimal(38,0)")).alias("full_checksum"),
-        F.count(F.lit(1)).alias("partitions"),
+        F.count_distinct("run").alias("partitions"),
         (F.sum("bad") + F.sum("cross_bad")).alias("violations"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import ntz_micros
@@ -10,6 +11,7 @@ from ..operators import report as R
 from ..operators import sortbench as S
 from ..operators.learn import WHITESPACE
 from ..operators.relational import global_row_number
+from ..session import scratch_path
 from ..sources.tables import Tables, spread
 
 Q = {}
@@ -94,21 +96,44 @@ def binary_range_bucket(spark, sf):
 
 @register("terasort_valid", _TERASORT_SQL)
 def terasort_valid(spark, sf):
-    """TS2 + TS4 + SRC13/SNK2: write the lineitem records as 100-byte binary
-    files, read them back, range-sort, and validate the sorted partitions
-    where they lie: records and key checksum before and after must agree, 0
+    """TS2 + TS4 + SNK2: sort the lineitem records by key, write them as
+    Parquet into the shared folder, and validate the files in the order of
+    their names: records and key checksum before and after must agree, 0
     ordering violations."""
-    from ..session import scratch_path
-    from ..sources.records import read_records, write_records
-    src = scratch_path(spark, "sort-in")
-    write_records(lineitem_records(Tables(spark, sf)), src)
-    recs = read_records(spark, src)
+    recs = lineitem_records(Tables(spark, sf))
+    path = scratch_path(spark, "sorted")
+    S.write_sorted(recs, path)
+    after = S.validate_files(spark, path).drop("partitions")
     before = S.checksum(recs)
-    after = S.validate(S.total_sort(recs)).drop("partitions")
     return after.select("*", before.select("records").scalar().alias("records_in"),
                         before.select("checksum").scalar().alias("checksum_in"))
 
 
+@register("sorted_files", """with r as (select substr(sha256(concat_ws('|', l_orderkey, l_partkey, l_suppkey, l_linenumber)), 1, 20) k from lineitem)
+select row_number() over (order by k) - 1 place, k from r""")
+def sorted_files(spark, sf):
+    """TS2: every key with its place in the sorted table, counted along the
+    files on disk: rows in the files before, and rows before it in its own."""
+    path = scratch_path(spark, "sorted")
+    S.write_sorted(lineitem_records(Tables(spark, sf)), path)
+    rows = S.read_sorted(spark, path)
+    size = rows.groupBy("file").agg(F.count(F.lit(1)).alias("n"))  # one row per file
+    before = size.select("file", (F.sum("n").over(Window.orderBy("file")) - F.col("n")).alias("base"))
+    return rows.join(F.broadcast(before), "file").select((F.col("base") + F.col("row")).alias("place"), F.lower(F.hex("key")).alias("k"))
+
+
+@register("fixed_records", """with r as (select sha256(concat_ws('|', l_orderkey, l_partkey, l_suppkey, l_linenumber)) h from lineitem)
+select substr(h, 1, 10) k, substr(h || h, 11, 89) || chr(10) v from r""")
+def fixed_records(spark, sf):
+    """SRC13: the fixed-width reader over files of 100-byte records (10-byte
+    key; 89 characters and a line break), which the text sink writes."""
+    from ..sources.records import read_records
+    h = F.sha2(F.concat_ws("|", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"), 256)
+    path = scratch_path(spark, "records")
+    spread(Tables(spark, sf).lineitem).select(F.concat(F.substring(h, 1, 10), F.substring(F.concat(h, h), 11, 89)).alias("value")).write.text(path)
+    return read_records(spark, path).select(F.decode("key", "UTF-8").alias("k"), F.decode("value", "UTF-8").alias("v"))
+
+
 # ------------------------------------------------------------------ preparation
 
 def _review_blocks(t: Tables):

@@ -1,4 +1,4 @@
-"""Fixed-width binary records (SRC13 / SNK2) as a Python Data Source.
+"""Reader of fixed-width binary records (SRC13) as a Python Data Source.
 
 Files hold back-to-back records of ``record_len`` bytes (default 100: a
 10-byte key and a 90-byte value).  The reader lists the files in path
@@ -6,23 +6,20 @@ order and cuts each into splits of about ``split_bytes``, moved to record
 boundaries, so every split is read by its own task; records are sliced
 with numpy and handed to Spark as Arrow batches.  A file whose size is not
 a whole number of records is an error (never a silently short record).
-The writer writes one file per task under a temporary name and moves it
-into place on commit, so a failed or retried task leaves no partial file.
+Sorted tables are written as Parquet (``operators.sortbench.write_sorted``).
 
 Paths go through ``pyarrow.fs``, which resolves local paths and cluster
 filesystems (HDFS, S3, ...) alike.
 
     register_records(spark)
     df = spark.read.format("fixedrecords").load(path)        # key, value
-    df.write.format("fixedrecords").mode("overwrite").save(path)
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql.datasource import (DataSource, DataSourceArrowWriter, DataSourceReader,
-                                    InputPartition, WriterCommitMessage)
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 FORMAT = "fixedrecords"
 
@@ -102,63 +99,6 @@ class _Reader(DataSourceReader):
                 left -= n
 
 
-@dataclass
-class _Written(WriterCommitMessage):
-    tmp: str
-    final: str
-
-
-class _Writer(DataSourceArrowWriter):
-    def __init__(self, options, overwrite: bool):
-        self.path = options["path"]
-        self.overwrite = overwrite
-
-    def write(self, iterator):
-        import uuid
-
-        import numpy as np
-        from pyspark import TaskContext
-        filesystem, root = _fs(self.path)
-        ctx = TaskContext.get()
-        pid = ctx.partitionId() if ctx else 0
-        name = f"part-{pid:010d}-{uuid.uuid4().hex[:8]}"
-        filesystem.create_dir(f"{root}/_temporary", recursive=True)
-        tmp, final = f"{root}/_temporary/{name}", f"{root}/{name}"
-        with filesystem.open_output_stream(tmp) as out:
-            for batch in iterator:
-                cols = []
-                for c in ("key", "value"):
-                    arr = batch.column(c)
-                    off = np.frombuffer(arr.buffers()[1], dtype=np.int32)[arr.offset:arr.offset + len(arr) + 1]
-                    widths = np.diff(off)
-                    if len(arr) and (widths != widths[0]).any():
-                        raise ValueError(f"{c} values must all have the same length")
-                    data = np.frombuffer(arr.buffers()[2], dtype=np.uint8)[off[0]:off[-1]]
-                    cols.append(data.reshape(len(arr), -1) if len(arr) else data.reshape(0, 0))
-                if len(batch):
-                    out.write(np.hstack(cols).tobytes())
-        return _Written(tmp, final)
-
-    def commit(self, messages):
-        from pyarrow import fs as pafs
-        filesystem, root = _fs(self.path)
-        if self.overwrite:  # earlier records go once the new ones are complete
-            for f in filesystem.get_file_info(pafs.FileSelector(root, recursive=False)):
-                if f.type == pafs.FileType.File:
-                    filesystem.delete_file(f.path)
-        for m in messages:
-            if m is not None:
-                filesystem.move(m.tmp, m.final)
-        filesystem.delete_dir(f"{root}/_temporary")
-
-    def abort(self, messages):
-        filesystem, root = _fs(self.path)
-        try:
-            filesystem.delete_dir(f"{root}/_temporary")
-        except OSError:
-            pass
-
-
 class FixedRecords(DataSource):
     @classmethod
     def name(cls):
@@ -170,9 +110,6 @@ class FixedRecords(DataSource):
     def reader(self, schema):
         return _Reader(self.options)
 
-    def writer(self, schema, overwrite):
-        return _Writer(self.options, overwrite)
-
 
 def register_records(spark) -> None:
     spark.dataSource.register(FixedRecords)
@@ -185,7 +122,3 @@ def read_records(spark, path: str, **options):
         r = r.option(k, str(v))
     return r.load(path)
 
-
-def write_records(df, path: str, mode: str = "overwrite") -> None:
-    register_records(df.sparkSession)
-    df.select("key", "value").write.format(FORMAT).mode(mode).save(path)

@@ -5,27 +5,57 @@ import pytest
 from support import rows
 from tessera.operators import sortbench as S
 from tessera.sources import sinks
-from tessera.sources.records import read_records, write_records
-
-
-def test_records_round_trip_and_sort(spark, tmp_path):
-    recs = S.generate(spark, 1000, 3)
-    p = str(tmp_path / "gen")
-    write_records(recs, p)
-    files = sorted(f for f in os.listdir(p) if f.startswith("part-"))
-    assert len(files) == 3 and not os.path.exists(os.path.join(p, "_temporary"))
-    assert sum(os.path.getsize(os.path.join(p, f)) for f in files) == 100_000
-    back = read_records(spark, p, split_bytes=10_000)  # 10 splits per file
-    assert rows(back) == rows(recs)
-    # file order then record order is preserved by the reader
-    assert [bytes(r["key"]) for r in back.collect()] == [bytes(r["key"]) for r in recs.collect()]
-    out = str(tmp_path / "sorted")
-    write_records(S.total_sort(back, 4), out)
-    v = S.validate(read_records(spark, out)).first()
-    assert v["records"] == 1000 and v["violations"] == 0
+from tessera.sources.records import read_records
+
+
+def _files(path):
+    return sorted(f for f in os.listdir(path) if f.startswith("part-"))
+
+
+def test_records_are_read_in_file_and_record_order(spark, tmp_path):
+    recs = S.generate(spark, 1000, 1).collect()
+    for i in range(3):
+        (tmp_path / f"part-{i}").write_bytes(b"".join(bytes(r["key"]) + bytes(r["value"]) for r in recs[i * 400:(i + 1) * 400]))
+    back = read_records(spark, str(tmp_path), split_bytes=10_000)  # several splits a file
+    assert [(bytes(r["key"]), bytes(r["value"])) for r in back.collect()] == [(bytes(r["key"]), bytes(r["value"])) for r in recs]
+
+
+def test_sorted_files_are_in_key_order(spark, tmp_path):
+    recs = S.generate(spark, 5000, 3)
+    path = str(tmp_path / "sorted")
+    S.write_sorted(recs, path, 4)
+    files = _files(path)
+    assert len(files) == 4 and "_SUCCESS" in os.listdir(path)
+    keys = [bytes(r["key"]) for f in files for r in spark.read.parquet(f"{path}/{f}").collect()]
+    assert keys == sorted(bytes(r["key"]) for r in recs.collect())
+    v = S.validate_files(spark, path).first()
+    assert (v["records"], v["violations"], v["partitions"]) == (5000, 0, 4)
     assert v["checksum"] == S.checksum(recs).first()["checksum"]
 
 
+@pytest.mark.parametrize("split", ["128m", "20k"])
+def test_swapped_files_are_violations(spark, tmp_path, split):
+    path = tmp_path / "sorted"
+    S.write_sorted(S.generate(spark, 5000, 3), str(path), 4)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    try:
+        assert S.validate_files(spark, str(path)).first()["violations"] == 0
+        a, b = (path / f for f in _files(path)[1:3])
+        a.rename(path / "x"), b.rename(a), (path / "x").rename(b)
+        for f in path.glob(".*.crc"):
+            f.unlink()
+        v = S.validate_files(spark, str(path)).first()
+        assert v["records"] == 5000 and v["violations"] >= 2
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_an_unsorted_row_inside_a_file_is_a_violation(spark, tmp_path):
+    rows = [(bytes([i]), b"v", 0) for i in (1, 2, 5, 4, 6)]
+    spark.createDataFrame(rows, "key binary, value binary, part int").coalesce(1).write.parquet(str(tmp_path / "one"))
+    assert S.validate_files(spark, str(tmp_path / "one")).first()["violations"] == 1
+
+
 def test_records_reject_partial_record(spark, tmp_path):
     d = tmp_path / "bad"
     d.mkdir()
@@ -45,9 +75,3 @@ def test_pairs_text_and_sampling(spark, tmp_path):
     t = sinks.take_random(big, 7, 42)
     assert t.count() == 7 and rows(t) == rows(sinks.take_random(big, 7, 42))
 
-
-def test_overwrite_replaces_earlier_records(spark, tmp_path):
-    p = str(tmp_path / "records")
-    for n in (1000, 300):
-        write_records(S.generate(spark, n, 3), p)
-    assert read_records(spark, p).count() == 300
