@@ -9,12 +9,14 @@ from ..operators import graph as G
 from ..operators import models as M
 from ..operators import prep as P
 from ..operators.iterate import cut_to_table
+from ..operators.recommend import recommend
 from ..operators.relational import bucket_split, stage
 from ..session import scratch_path
 from ..sources import sinks
 from ..sources import text as txt
 from ..sources.tables import Tables, spread
 from ..streaming import pageviews as PV
+from ..streaming import sketches as SK
 from ..streaming import words as W
 from ..streaming.runner import dir_stream, head_per_batch, run_to_table, table_stream
 from . import misc_queries, ml_queries, relational
@@ -205,6 +207,66 @@ def st_distinct_sketch(spark, sf):
     return exact.select("n_distinct", (F.abs(est.scalar() - F.col("n_distinct")) <= F.greatest(F.lit(2.0), 0.065 * F.col("n_distinct"))).alias("within_bound"))
 
 
+PARTS, PHI, WIDTH = 4, 0.005, 544  # groups of batches; share of a heavy hitter; cells of a sketch row
+
+
+def _event_parts(spark, sf):
+    """The events as a folder that files arrive in, a few for each of 4 parts,
+    read one file a micro-batch."""
+    path = scratch_path(spark, "parts")
+    e = Tables(spark, sf).events.select("user_id", F.pmod("event_id", F.lit(PARTS)).cast("int").alias("part"))
+    e.repartition(2, "user_id").withColumn("p", F.col("part")).write.partitionBy("p").parquet(path)
+    return dir_stream(spark, f"{path}/p=*", e.schema, max_files_per_trigger=1)
+
+
+def _cell_sql(a, b):
+    return f"(((user_id % {SK.PRIME}) * {a} + {b}) % {SK.PRIME} % {WIDTH})"
+
+
+_HEAVY_SQL = f"""with e as (select user_id, cast(event_id % {PARTS} as integer) part from events),
+  s as (select part, user_id from e union all select -1, user_id from e),
+  n as (select part, count(*) total from s group by part),
+  x as (select part, user_id, count(*) n from s group by all),
+  c as ({" union all ".join(f"select part, {r} as r, {_cell_sql(a, b)} as cell, sum(n) as m from x group by all" for r, (a, b) in enumerate(SK.HASHES))}),
+  at as ({" union all ".join(f"select part, user_id, n, {r} as r, {_cell_sql(a, b)} as cell from x" for r, (a, b) in enumerate(SK.HASHES))}),
+  est as (select part, user_id, n, min(m) estimate from at join c using (part, r, cell) group by all)
+select part, user_id, cast(n as bigint) n, cast(estimate as bigint) estimate,
+  estimate between n and n + ceil({2.718281828459045 / WIDTH!r}::double * total) within_bound
+from est join n using (part) where estimate >= {PHI} * total"""
+
+
+@register("st_heavy_sketch", _HEAVY_SQL.replace("at as (", "pos as (").replace("from at join", "from pos join"))
+def st_heavy_sketch(spark, sf):
+    """ST11: heavy hitters from count-min sketches that micro-batches leave
+    behind, merged for each part and for all (part -1), beside the exact
+    counts of the keys reported."""
+    per = run_to_table(_event_parts(spark, sf), per_batch=lambda b, _: SK.heavy_batch(b, "user_id", PHI, WIDTH, ("part",)))
+    both = per.unionByName(per.withColumn("part", F.lit(-1)))
+    hits = SK.heavy_hitters(both, PHI, WIDTH, ("part",)).withColumnRenamed("key", "user_id")
+    e = Tables(spark, sf).events.groupBy("user_id", F.pmod("event_id", F.lit(PARTS)).cast("int").alias("part")).agg(F.count(F.lit(1)).alias("n"))
+    exact = e.unionByName(e.groupBy("user_id").agg(F.sum("n").alias("n")).withColumn("part", F.lit(-1)))
+    return hits.join(exact, ["part", "user_id"]).select(
+        "part", "user_id", "n", "estimate",
+        F.col("estimate").between(F.col("n"), F.col("n") + SK.error_bound(F.col("total"), WIDTH)).alias("within_bound"))
+
+
+@register("st_distinct_union", f"""with e as (select user_id, cast(event_id % {PARTS} as integer) part from events),
+  s as (select * from e union all select user_id, -1 from e),
+  d as (select part, count(distinct user_id) n_distinct from s group by part)
+select part, n_distinct, cast(floor(n_distinct * 0.935) as bigint) least, cast(ceil(n_distinct * 1.065) as bigint) most,
+  n_distinct between floor(n_distinct * 0.935) and ceil(n_distinct * 1.065) within_bound from d""")
+def st_distinct_union(spark, sf):
+    """ST12: HyperLogLog sketches stored for each micro-batch, united for each
+    part and for all (part -1), beside the exact counts.  An estimate must lie
+    within four standard errors (1.04 / sqrt(2^12) each) of its count."""
+    per = run_to_table(_event_parts(spark, sf), per_batch=lambda b, _: SK.distinct_batch(b, "user_id", ("part",)))
+    est = SK.distinct_union(per.unionByName(per.withColumn("part", F.lit(-1))), ("part",))
+    e = Tables(spark, sf).events.select("user_id", F.pmod("event_id", F.lit(PARTS)).cast("int").alias("part")).distinct()
+    exact = e.unionByName(e.withColumn("part", F.lit(-1))).groupBy("part").agg(F.count_distinct("user_id").alias("n_distinct"))
+    low, high = F.floor(F.col("n_distinct") * 0.935), F.ceil(F.col("n_distinct") * 1.065)
+    return exact.join(est, "part").select("part", "n_distinct", low.alias("least"), high.alias("most"), F.col("estimate").between(low, high).alias("within_bound"))
+
+
 @register("error_marks", """select zip, case when r > 0.05 then '**' || printf('%.4f', r) || '**' else printf('%.4f', r) end mark
 from (select user_id % 20 zip, count(*) filter (where event_type = 'error') / count(*) r from events group by 1)""")
 def error_marks(spark, sf):
@@ -214,6 +276,42 @@ def error_marks(spark, sf):
     return r.select("zip", PV.marked().alias("mark"))
 
 
+# ------------------------------------------------------------------ recommendations
+
+RANK, BEST = 8, 10
+
+
+def _start_factor(j: int) -> str:
+    return f"(((item * {2 * j + 3} + {j * j + 1}) % 97) / 97.0D - 0.4931D)"
+
+
+def _recommend_sql() -> str:
+    dims = range(RANK)
+    start = ", ".join(_start_factor(j).replace("D", "::double") + f" v{j}" for j in dims)
+    half = lambda key, f, out: ", ".join(f"sum(rating * {f}{j}) / count(*) {out}{j}" for j in dims)
+    dot = " + ".join(f"u{j} * v{j}" for j in dims)
+    return relational._RATINGS_SQL + f""", r as (select *, {start} from ratings),
+  u as (select "user", {half("user", "v", "u")} from r group by "user"),
+  v as (select item, {half("item", "u", "v")} from ratings join u using ("user") group by item),
+  s as (select "user", item, round({dot}, 9) score from u cross join v
+        where not exists (select 1 from ratings x where x."user" = u."user" and x.item = v.item)),
+  t as (select *, row_number() over (partition by "user" order by score desc, item) rank from s)
+select "user", item, score, rank from t where rank <= {BEST}"""
+
+
+@register("als_recommend", _recommend_sql())
+def als_recommend(spark, sf):
+    """SRT6: the 10 best parts for every customer among those not bought,
+    from factor tables: item factors start as fixed numbers, then users and
+    items take one step of alternation each (their ratings' mean product)."""
+    r = cut_to_table(relational.ratings(Tables(spark, sf)).select("user", "item", "rating"))
+    side = lambda d, key, f: d.groupBy(key).agg(*((F.sum(F.col("rating") * f(j)) / F.count(F.lit(1))).alias(f"f{j}") for j in range(RANK)))
+    users = side(r, "user", lambda j: F.expr(_start_factor(j)))
+    items = side(r.join(cut_to_table(users), "user"), "item", lambda j: F.col(f"f{j}"))
+    factors = F.array(*(F.col(f"f{j}") for j in range(RANK))).alias("factors")
+    return recommend(cut_to_table(users.select("user", factors)), cut_to_table(items.select("item", factors)), BEST, r)
+
+
 # ------------------------------------------------------------------ model checks
 
 @register("pca_variance", """with p as (select vec_id, unnest(range(64)) j, unnest(embedding)::double x from embeddings)
