@@ -7,12 +7,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.columns import ntz_micros
 from ..operators.relational import top_n_per_group
 from ..session import scratch_path
 from ..sources.tables import Tables
 from ..streaming import pageviews as PV
 from ..streaming import words as W
-from ..streaming.runner import dir_stream, run_to_table, table_stream
+from ..streaming.runner import arrivals_by, dir_stream, run_to_table, table_stream, watch
 
 Q = {}
 SQL = {}
@@ -27,9 +28,9 @@ def register(name, sql=None):
     return deco
 
 
-# State older than this behind the latest event is dropped.  Files of a folder
-# may arrive in any order of event time, so it is far longer than a window.
-STATE_DELAY = "365 days"
+# Queries in update mode set no watermark: files of a folder may arrive in any
+# order of event time, and no row may be too late.  Their state is a counter per
+# window and key; the queries in append mode drop closed windows.
 
 
 def _events(spark, sf):
@@ -55,7 +56,7 @@ def st_page_counts(spark, sf):
 
 @register("st_sliding", _windows_sql(10, 2, "event_type", "event_type", "count(*) n"))
 def st_sliding(spark, sf):
-    return run_to_table(PV.sliding_counts(_events(spark, sf), watermark=STATE_DELAY), "update", keys=["w_start", "w_end", "event_type"])
+    return run_to_table(PV.sliding_counts(_events(spark, sf)), "update", keys=["w_start", "w_end", "event_type"])
 
 
 @register("st_sliding_append", "with m as (select max(ts) mx from events), r as (" +
@@ -71,7 +72,7 @@ def st_sliding_append(spark, sf):
     "count(*) filter (where event_type = 'error') / count(*) ratio, "
     "count(*) filter (where event_type = 'error') / count(*) > 0.05 flag"))
 def st_error_rate(spark, sf):
-    return run_to_table(PV.error_rate_per_zip(_events(spark, sf), watermark=STATE_DELAY), "update", keys=["w_start", "w_end", "zip"])
+    return run_to_table(PV.error_rate_per_zip(_events(spark, sf)), "update", keys=["w_start", "w_end", "zip"])
 
 
 @register("st_active_users", """with e as (select *, time_bucket(interval '2 days', ts, timestamp '1970-01-01') b from events),
@@ -79,7 +80,15 @@ def st_error_rate(spark, sf):
   y as (select * from x where ts < w_start + to_days(15))
 select w_start, w_start + to_days(15) w_end, count(distinct user_id) users from y group by w_start""")
 def st_active_users(spark, sf):
-    return run_to_table(PV.active_users(_events(spark, sf)), "complete")
+    """ST4: the events arrive in slices of 15 days, in order, and two closing
+    rows at last; each window is emitted once and its state goes."""
+    e = Tables(spark, sf).events.select("ts", "user_id")
+    day = F.floor(ntz_micros("ts") / 86_400_000_000)
+    end = PV.closing_events(e)
+    slices = e.withColumn("slice", F.floor(day / 15).cast("int")).unionByName(
+        end.select("ts", "user_id", (F.lit(1 << 30) + F.col("k")).alias("slice")))
+    folder, schema, arrivals = arrivals_by(slices, "slice")
+    return run_to_table(PV.active_users(watch(spark, folder, schema), watermark="1 day"), "append", arrivals=arrivals)
 
 
 @register("st_popular_users", """select c_name, count(*) n from events join customer on c_custkey = user_id
@@ -156,7 +165,7 @@ def st_top_tags(spark, sf):
     reference's 60 s / 10 s windows, scaled to the table's time span)."""
     out = None
     for span in (6, 1):
-        c = run_to_table(W.tag_counts(_events(spark, sf), f"{span} days", "1 day", STATE_DELAY), "update", keys=["w_start", "tag"])
+        c = run_to_table(W.tag_counts(_events(spark, sf), f"{span} days", "1 day"), "update", keys=["w_start", "tag"])
         c = c.withColumn("span", F.lit(span))
         top = top_n_per_group(c, ["w_start"], [F.col("n").desc(), F.col("tag")], 10).drop("rank")
         out = top if out is None else out.unionByName(top)
@@ -170,27 +179,22 @@ ONLINE_YEARS = range(1990, 2011)
 
 @register("st_logreg", None)
 def st_logreg(spark, sf):
-    """ML16: streaming logistic regression.  Each ship year of lineitem, in
-    order, is a micro-batch of returned-line labelled points: a file stream of
-    the table with the year as a date range, which reaches the scan.  Each
+    """ML16: streaming logistic regression as one stream.  The returned-line
+    labelled points arrive by ship year, in order, each year a micro-batch; a
     batch runs 3 gradient steps (step 0.1/sqrt(t)) from the weights so far.
     Result: the final weights ``(j, w)``."""
-    import datetime
-
     from ..operators.learn import weights_frame
     from ..streaming.online import streaming_sgd
     from .ml_queries import DIM
-    years = Tables(spark, sf).lineitem.agg(F.min(F.year("l_shipdate")), F.max(F.year("l_shipdate"))).first()
-    w = [0.0] * DIM
-    for y in range(years[0], years[1] + 1) if years[0] is not None else ():
-        day = lambda k: F.lit(datetime.date(k, 1, 1))
-        points = (table_stream(spark, sf, "lineitem").filter((F.col("l_shipdate") >= day(y)) & (F.col("l_shipdate") < day(y + 1)))
-                  .select(F.when(F.col("l_returnflag") == "R", 1.0).otherwise(0.0).alias("label"),
-                          F.array(F.lit(1.0), F.col("l_quantity") / 50.0, F.col("l_discount") * 10.0,
-                                  F.col("l_tax") * 10.0).alias("features")))
-        rows, _ = streaming_sgd(points, DIM, "logistic", ONLINE_STEPS, ONLINE_STEP_SIZE, start=w)
-        w = [r["w"] for r in rows.orderBy("j").collect()]
-    return weights_frame(spark, w)
+    points = (Tables(spark, sf).lineitem
+              .select(F.when(F.col("l_returnflag") == "R", 1.0).otherwise(0.0).alias("label"),
+                      F.array(F.lit(1.0), F.col("l_quantity") / 50.0, F.col("l_discount") * 10.0, F.col("l_tax") * 10.0).alias("features"),
+                      F.year("l_shipdate").alias("year")).filter("year is not null"))
+    folder, schema, arrivals = arrivals_by(points, "year")
+    if not arrivals:
+        return weights_frame(spark, [0.0] * DIM)
+    rows, _ = streaming_sgd(watch(spark, folder, schema), DIM, "logistic", ONLINE_STEPS, ONLINE_STEP_SIZE, arrivals=arrivals)
+    return weights_frame(spark, [r["w"] for r in rows.orderBy("j").collect()])
 
 
 def _online_sql() -> str:

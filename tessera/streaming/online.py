@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..operators.learn import sgd
 from ..session import scratch_path
+from .runner import drive
 
 
 def _last_weights(spark, base: str):
@@ -31,7 +32,7 @@ def _last_weights(spark, base: str):
 
 def streaming_sgd(train: DataFrame, dim: int, kind: str = "logistic", num_iter: int = 1,
                   step: float = 0.1, reg: float = 0.0, test: DataFrame | None = None,
-                  state_dir: str | None = None, start: list[float] | None = None):
+                  state_dir: str | None = None, start: list[float] | None = None, arrivals=None):
     """Train on a streaming DataFrame of ``(label, features)``.  Returns
     ``(weights, per_batch)``: the final weights as rows ``(j, w)`` and, when
     ``test`` (a static labelled set) is given, the error rate on it after
@@ -41,7 +42,8 @@ def streaming_sgd(train: DataFrame, dim: int, kind: str = "logistic", num_iter:
     ``state_dir`` (in the shared folder) holds the stream checkpoint and the
     weights of every committed batch; a query restarted on the same folder
     resumes from the last committed weights, and a replayed batch is not
-    applied twice."""
+    applied twice.  With ``arrivals`` (``runner.arrivals_by``) the query runs
+    while input arrives, each arrival trained before the next."""
     spark = train.sparkSession
     base = state_dir or scratch_path(spark, "online")
     # only a caller-given folder can hold earlier batches (a fresh one is empty)
@@ -66,10 +68,7 @@ def streaming_sgd(train: DataFrame, dim: int, kind: str = "logistic", num_iter:
             .write.mode("overwrite").parquet(f"{base}/weights/b{epoch:09d}")
         state["last"] = epoch
 
-    q = (train.writeStream.foreachBatch(on_batch)
-         .option("checkpointLocation", f"{base}/chk")
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
+    drive(train.writeStream.foreachBatch(on_batch).option("checkpointLocation", f"{base}/chk"), arrivals)
     weights = spark.createDataFrame([(j, float(v)) for j, v in enumerate(state["w"])], "j int, w double")
     if state["last"] < 0:
         raise RuntimeError("the stream found no input")

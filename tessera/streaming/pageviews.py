@@ -67,7 +67,9 @@ def active_users(events: DataFrame, length: str = "15 days", slide: str = "2 day
                  watermark: str | None = None) -> DataFrame:
     """ST4: distinct users per sliding window, exact.  Streams dedupe
     (window, user) in keyed state and count the survivors — a chained
-    stateful plan that never gathers a window's users into one row."""
+    stateful plan that never gathers a window's users into one row.  With a
+    watermark, append mode emits a window once it is closed and drops the
+    state of its users, so the state holds the open windows alone."""
     e = event_time(events)
     if watermark:
         e = e.withWatermark("et", watermark)
@@ -77,6 +79,17 @@ def active_users(events: DataFrame, length: str = "15 days", slide: str = "2 day
     return a.select(*_window_cols(), "users")
 
 
+def closing_events(events: DataFrame, after_days: int = 400) -> DataFrame:
+    """Two rows, far behind the last event and a day apart, that close every
+    window of ``events`` when they arrive last: the first moves the watermark,
+    the second lets the stream run once more with it.  Their own windows stay
+    open, so they are never in an append-mode result."""
+    last = events.agg(F.max("ts").alias("ts"))
+    rows = last.select(F.explode(F.array(F.lit(0), F.lit(1))).alias("k"), "ts").filter("ts is not null")
+    return rows.select(*(((F.col("ts") + F.make_dt_interval(F.col("k") + after_days)) if f.name == "ts" else F.lit(None).cast(f.dataType)).alias(f.name)
+                         for f in events.schema.fields), "k")
+
+
 def popular_users(events: DataFrame, users: DataFrame) -> DataFrame:
     """ST5: events joined with a static user table (stream–static join),
     counted per user name."""

@@ -9,8 +9,12 @@ there — nothing passes through driver memory (no memory sink).
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.types import StructType
 
 from ..session import scratch_path
 from ..sources.tables import table_path
@@ -41,10 +45,59 @@ def dir_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet",
     return r.load(path)
 
 
+def arrivals_by(df: DataFrame, by: str) -> tuple[str, StructType, list]:
+    """(folder, schema, arrivals): a folder to watch, and one call for every
+    value of ``by``, in order, that makes the value's rows arrive in it.
+
+    The table is read once and written by value beside the folder; an arrival
+    moves a value's directory in, so its files become visible together and
+    are one micro-batch.  The list has one entry per value of ``by``."""
+    spark = df.sparkSession
+    base = scratch_path(spark, "arrivals")
+    df.write.partitionBy(by).parquet(f"{base}/staged")
+    jvm = spark._jvm
+    path = lambda x: jvm.org.apache.hadoop.fs.Path(x)
+    fs = path(base).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(path(f"{base}/arrived"))
+    names = [f.getPath().getName() for f in fs.listStatus(path(f"{base}/staged")) if f.isDirectory()]
+    field = df.schema[by].dataType.simpleString()
+    order = sorted(names, key=lambda n: int(n.split("=")[1]) if field in ("int", "bigint") else n)
+
+    def arrive(name: str) -> None:
+        if not fs.rename(path(f"{base}/staged/{name}"), path(f"{base}/arrived/{name}")):
+            raise RuntimeError(f"{name} could not be moved into {base}/arrived")
+
+    schema = StructType([f for f in df.schema.fields if f.name != by])
+    return f"{base}/arrived", schema, [partial(arrive, n) for n in order]
+
+
+def watch(spark: SparkSession, path: str, schema) -> DataFrame:
+    """A stream of the files in a folder and the folders below it."""
+    return spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(path)
+
+
+def drive(writer: DataStreamWriter, arrivals=None):
+    """Run a stream to its end: over what is there now, or as one query over
+    ``arrivals`` (calls that make input arrive), each of them one or more
+    micro-batches that are finished before the next.  Returns the query."""
+    if arrivals is None:
+        q = writer.trigger(availableNow=True).start()
+        q.awaitTermination()
+        return q
+    q = writer.start()
+    try:
+        for arrive in arrivals:
+            arrive()
+            q.processAllAvailable()
+    finally:
+        q.stop()
+    return q
+
+
 def run_to_table(df: DataFrame, mode: str = "complete",
-                 per_batch=None, keys: list[str] | None = None) -> DataFrame:
-    """Run ``df`` (a streaming DataFrame) with ``trigger(availableNow)`` and
-    return its result.
+                 per_batch=None, keys: list[str] | None = None, arrivals=None) -> DataFrame:
+    """Run ``df`` (a streaming DataFrame) to its end (``drive``: over the files
+    there are, or over ``arrivals``) and return its result.
 
     * ``complete``: the last epoch holds the whole answer;
     * ``update`` (needs ``keys``): each epoch writes only the groups it
@@ -68,11 +121,8 @@ def run_to_table(df: DataFrame, mode: str = "complete",
         out.write.mode("overwrite").parquet(f"{base}/out/e{epoch:09d}")
         last = max(last, epoch)
 
-    q = (df.writeStream.outputMode("append" if per_batch is not None else mode)
-         .foreachBatch(sink)
-         .option("checkpointLocation", f"{base}/chk")
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
+    drive(df.writeStream.outputMode("append" if per_batch is not None else mode)
+          .foreachBatch(sink).option("checkpointLocation", f"{base}/chk"), arrivals)
     if last < 0:
         raise RuntimeError("the stream found no input")
     if mode == "complete" and per_batch is None:

@@ -186,3 +186,50 @@ def test_unreadable_weights_are_an_error(spark, tmp_path):
     (bad / "part-0.parquet").write_bytes(b"not parquet at all")
     with pytest.raises(Exception):
         _last_weights(spark, str(tmp_path))
+
+
+def test_active_users_drop_the_state_of_closed_windows(spark):
+    """Several batches in time order: the answer is the batch answer, and the
+    state rows fall once windows close."""
+    from tessera.plans.stream_queries import ntz_micros
+    from tessera.streaming.runner import arrivals_by, watch
+    ev = load(spark, SF_SMALL, "events").select("ts", "user_id")
+    want = rows(PV.active_users(ev))
+    end = PV.closing_events(ev)
+    slices = ev.withColumn("slice", F.floor(ntz_micros("ts") / 86_400_000_000 / 5).cast("int")).unionByName(
+        end.select("ts", "user_id", (F.lit(1 << 30) + F.col("k")).alias("slice")))
+    folder, schema, arrivals = arrivals_by(slices, "slice")
+    assert len(arrivals) >= 6
+    got, sizes = [], []
+    q = (PV.active_users(watch(spark, folder, schema), length="4 days", slide="2 days", watermark="1 day").writeStream.outputMode("append")
+         .foreachBatch(lambda b, _: got.extend(map(tuple, b.collect()))).start())
+    try:
+        for arrive in arrivals:
+            arrive()
+            q.processAllAvailable()
+            sizes.append(sum(op["numRowsTotal"] for op in q.lastProgress["stateOperators"]))
+    finally:
+        q.stop()
+    assert sorted(got) == rows(PV.active_users(ev, length="4 days", slide="2 days")) and len(got) == len(set(r[0] for r in got))
+    assert sizes[-1] < max(sizes) / 3 and want
+
+
+def test_one_training_stream_restarted_in_the_middle(spark, tmp_path):
+    from tessera.streaming.online import streaming_sgd
+    from tessera.streaming.runner import arrivals_by, watch
+    pts = spark.range(400).selectExpr("cast(id % 7 > 3 as double) label", "array(1.0D, cast(id % 7 as double) / 7) features", "cast(1990 + id % 5 as int) year")
+
+    def run(stops, state):
+        folder, schema, arrivals = arrivals_by(pts, "year")
+        for low, high in zip([0, *stops], [*stops, len(arrivals)]):
+            w, _ = streaming_sgd(watch(spark, folder, schema), 2, num_iter=2, state_dir=state, arrivals=arrivals[low:high])
+        return rows(w)
+
+    whole = run([], str(tmp_path / "a"))
+    assert run([2], str(tmp_path / "b")) == whole == run([1, 4], str(tmp_path / "c"))
+    assert spark.read.parquet(str(tmp_path / "a" / "weights" / "*")).count() == 5
+    from tessera.operators.learn import sgd
+    w = [0.0, 0.0]
+    for y in range(1990, 1995):
+        w = sgd(pts.filter(F.col("year") == y), "logistic", 2, 2, step=0.1, w0=w)
+    assert [r[1] for r in whole] == pytest.approx(w)
