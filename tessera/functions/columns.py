@@ -11,34 +11,15 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_TWO32 = 4294967296
-_TWO31 = 2147483648
-
-
-def _wrap32(x: Column) -> Column:
-    """Two's-complement wrap of a bigint to the signed 32-bit range."""
-    return F.pmod(x + F.lit(_TWO31), F.lit(_TWO32)) - F.lit(_TWO31)
-
-
 def java_hash_code(s: Column | str) -> Column:
-    """FN4: ``String.hashCode`` of a string, as a 32-bit int.
+    """FN4: ``String.hashCode`` of a string, as a 32-bit int (null for null).
 
-    h = 31*h + unit over the UTF-16 code units; characters outside the BMP
-    contribute their surrogate pair.
+    The function is the JVM's own: one call a row instead of a lambda over the
+    characters.
     """
     s = F.col(s) if isinstance(s, str) else s
-    cps = F.transform(F.split(s, ""), lambda c: F.ascii(c).cast("long"))
-
-    def step(h, cp):
-        bmp = _wrap32(h * 31 + cp)
-        off = cp - 65536
-        hi = F.lit(55296) + F.shiftright(off, 10)
-        lo = F.lit(56320) + off.bitwiseAND(F.lit(1023))
-        astral = _wrap32(_wrap32(h * 31 + hi) * 31 + lo)
-        return F.when(cp > 65535, astral).otherwise(bmp)
-
-    h = F.aggregate(cps, F.lit(0).cast("long"), step)
-    return F.when(F.length(s) == 0, F.lit(0)).otherwise(h).cast("int")
+    s = s.cast("string")
+    return F.when(s.isNotNull(), F.reflect(F.lit("java.util.Objects"), F.lit("hashCode"), s).cast("int"))
 
 
 def sig(x: Column | str, digits: int = 9) -> Column:

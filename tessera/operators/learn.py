@@ -100,37 +100,25 @@ def exact_auc(df: DataFrame, score: Column, label: Column, parts: int | None = N
     """AUC = P(score_pos > score_neg) + P(equal)/2, exactly (ties averaged).
 
     Rows are first reduced to one row per distinct score with its positive
-    and negative counts; the distinct scores are range-partitioned and sorted,
-    so a running sum over a task's batches gives the negatives below each
-    score in its partition, and the negatives in all lower partitions come
-    from a table of one row per partition.  One shuffle beside the reduction;
-    no step gathers the scores in one task.
+    and negative counts; the distinct scores are range-partitioned, so a
+    window per range partition gives the negatives below each score there.
+    Each partition becomes one row (its part of the sum, and its positives and
+    negatives); the negatives in all lower partitions come from a running sum
+    over these rows.  No step gathers the scores in one task.
     """
     g = (df.select(score.cast("double").alias("s"), label.cast("double").alias("y"))
          .groupBy("s").agg(F.sum("y").alias("pos"), F.sum(1.0 - F.col("y")).alias("neg")))
     ranged = g.repartitionByRange(parts, "s") if parts else g.repartitionByRange("s")
-
-    def below(batches):
-        import numpy as np
-        import pyarrow as pa
-        total = 0.0
-        for b in batches:
-            neg = b.column("neg").to_numpy(zero_copy_only=False)
-            run = total + np.cumsum(neg)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(run - neg)], names=[*b.schema.names, "below"])
-            total = float(run[-1]) if len(run) else total
-
-    r = cut(ranged.sortWithinPartitions("s").withColumn("pid", F.spark_partition_id()).select("pid", "pos", "neg")
-            .mapInArrow(below, "pid int, pos double, neg double, below double"))
-    per = r.groupBy("pid").agg(F.sum("neg").alias("pneg"))
-    # one row per partition: a bounded table, broadcast by construction
-    off = F.broadcast(per.select("pid", F.coalesce(
-        F.sum("pneg").over(Window.orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)),
-        F.lit(0.0)).alias("off")))
-    j = r.join(off, "pid")
+    before = Window.partitionBy("pid").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+    below = F.coalesce(F.sum("neg").over(before), F.lit(0.0))
+    per = (ranged.select(F.spark_partition_id().alias("pid"), "s", "pos", "neg").withColumn("below", below)
+           .groupBy("pid").agg(F.sum(F.col("pos") * (F.col("below") + 0.5 * F.col("neg"))).alias("area"),
+                               F.sum("pos").alias("p"), F.sum("neg").alias("n")))
+    # one row per partition from here on
+    lower = F.coalesce(F.sum("n").over(Window.orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     # null, not an error, when one class is absent
-    return j.agg(F.try_divide(F.sum(F.col("pos") * (F.col("off") + F.col("below") + 0.5 * F.col("neg"))),
-                              F.sum("pos") * F.sum("neg")).alias("auc"))
+    return (per.withColumn("area", F.col("area") + F.col("p") * lower)
+            .agg(F.try_divide(F.sum("area"), F.sum("p") * F.sum("n")).alias("auc")))
 
 
 # --------------------------------------------------------------------------
@@ -218,6 +206,86 @@ def covariance(df: DataFrame, cols: list[str]) -> DataFrame:
         for i, j in pairs])).alias("p")).select("p.i", "p.j", "p.cov")
 
 
+# --------------------------------------------------------------------------
+# Principal components by orthogonal iteration (ML11)
+# --------------------------------------------------------------------------
+
+def covariance_matrix(points: DataFrame, features: str = "features"):
+    """Sample covariance of array<double> rows as a dim x dim numpy matrix (the
+    model size, not the data): tasks add up sums and products of whole Arrow
+    batches, and one row per matrix cell and task is summed by key."""
+    import numpy as np
+
+    def task(batches):
+        import pyarrow as pa
+        total = None
+        for b in batches:
+            col = b.column(0)
+            if not b.num_rows:
+                continue
+            x = np.asarray(col.flatten(), dtype=float).reshape(b.num_rows, -1)
+            x = np.concatenate([np.ones((len(x), 1)), x], axis=1)
+            total = x.T @ x if total is None else total + x.T @ x
+        if total is not None:
+            i, j = np.indices(total.shape)
+            yield pa.RecordBatch.from_arrays([pa.array(i.ravel().astype(np.int32)), pa.array(j.ravel().astype(np.int32)), pa.array(total.ravel())], names=["i", "j", "s"])
+
+    cells = points.select(features).dropna().mapInArrow(task, "i int, j int, s double").groupBy("i", "j").agg(F.sum("s").alias("s")).toPandas()
+    dim = 1 + int(cells["i"].max()) if len(cells) else 1
+    m = np.zeros((dim, dim))
+    m[cells["i"], cells["j"]] = cells["s"]
+    n, mean = m[0, 0], m[0, 1:] / max(m[0, 0], 1.0)
+    return (m[1:, 1:] - n * np.outer(mean, mean)) / max(n - 1.0, 1.0)
+
+
+def principal_components(cov, k: int, iters: int | None = None, tol: float = 1e-12):
+    """The first ``k`` principal directions of a covariance matrix, as rows, by
+    orthogonal iteration: each direction is multiplied by the matrix, made
+    orthogonal to those before it and scaled to 1, ``iters`` times or until it
+    moves by less than ``tol``.  The start is the vector of ones; a direction's
+    largest component (the first of equals) is positive."""
+    import numpy as np
+    dim = len(cov)
+    if not 0 < k <= dim:
+        raise ValueError(f"1 to {dim} components")
+    found = np.zeros((0, dim))
+    for c in range(k):
+        def free(x):
+            x = x - found.T @ (found @ x)
+            x = x - found.T @ (found @ x)
+            return x / np.linalg.norm(x)
+
+        v = free(np.ones(dim) + np.arange(dim) * (c + 1) / dim)
+        step = 0
+        while iters is None or step < iters:
+            w = cov @ v
+            if np.linalg.norm(w - found.T @ (found @ w)) <= 1e-14 * max(1.0, np.abs(cov).max()):
+                break  # nothing is left to explain; any free direction will do
+            w, step = free(w), step + 1
+            moved, v = np.abs(w - v).max(), w
+            if iters is None and moved < tol:
+                break
+        found = np.concatenate([found, [v * (1.0 if v[np.abs(v).round(9).argmax()] > 0 else -1.0)]])
+    return found
+
+
+def project(points: DataFrame, directions, features: str = "features", out: str = "projected") -> DataFrame:
+    """Adds the coordinates of every row along ``directions`` (not centred)."""
+    import numpy as np
+    from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
+    v = np.asarray(directions)
+
+    def task(batches):
+        import pyarrow as pa
+        for b in batches:
+            x = np.asarray(b.column(features).flatten(), dtype=float).reshape(b.num_rows, -1) if b.num_rows else np.zeros((0, v.shape[1]))
+            y = x @ v.T
+            col = pa.ListArray.from_arrays(pa.array(np.arange(len(y) + 1, dtype=np.int32) * len(v)), pa.array(y.ravel()))
+            yield pa.RecordBatch.from_arrays([*b.columns, col], names=[*b.schema.names, out])
+
+    return points.mapInArrow(task, StructType([*points.schema.fields, StructField(out, ArrayType(DoubleType()))]))
+
+
 # --------------------------------------------------------------------------
 # TF-IDF (ML13, ML14)
 # --------------------------------------------------------------------------

@@ -331,6 +331,39 @@ def pca_project(spark, sf):
     return proj.select("vec_id", "projected")
 
 
+PCA_K, PCA_STEPS, DIMS = 3, 12, 64
+
+
+def _pca_sql() -> str:
+    s = f"""with p as (select vec_id, unnest(range({DIMS})) i, unnest(embedding)::double x from embeddings),
+  m as (select i, avg(x) mu from p group by i),
+  d as (select vec_id, i, x - mu x from p join m using (i)),
+  c as materialized (select a.i, b.i j, sum(a.x * b.x) / (select count(*) - 1 from embeddings) x from d a join d b using (vec_id) group by 1, 2),
+  u0 as (select 0 k, 0 i, 0.0::double x where false)"""
+    for k in range(PCA_K):
+        s += f",\n  w{k}_0 as (select i, 1 + i * {k + 1} / {DIMS}::double x from range({DIMS}) t(i))"
+        for t in range(PCA_STEPS + 1):
+            if t:
+                s += f",\n  w{k}_{t} as (select c.i, sum(c.x * v.x) x from c join v{k}_{t - 1} v on v.i = c.j group by c.i)"
+            w = f"w{k}_{t}"
+            s += f""",\n  o{k}_{t} as (select w.i, w.x - coalesce(h.x, 0) x from {w} w left join (select u.i, sum(u.x * g.d) x from u{k} u join
+    (select u.k, sum(u.x * w.x) d from u{k} u join {w} w using (i) group by u.k) g using (k) group by u.i) h using (i)),
+  v{k}_{t} as materialized (select i, x / sqrt((select sum(x * x) from o{k}_{t})) x from o{k}_{t})"""
+        s += f""",\n  u{k + 1} as materialized (select * from u{k} union all select {k}, i, x * sign((select x from v{k}_{PCA_STEPS} order by round(abs(x), 9) desc, i limit 1))
+    from v{k}_{PCA_STEPS})"""
+    return s + f"\nselect vec_id, k component, round(sum(p.x * u.x), 6) score from p join u{PCA_K} u using (i) group by vec_id, k"
+
+
+@register("pca_power", _pca_sql())
+def pca_power(spark, sf):
+    """ML11: the first 3 principal directions of the embeddings by 12 steps of
+    orthogonal iteration each, and every row's coordinates along them."""
+    pts = _points(Tables(spark, sf))
+    v = L.principal_components(L.covariance_matrix(pts), PCA_K, PCA_STEPS)
+    return (L.project(pts, v).select("vec_id", F.posexplode("projected").alias("component", "score"))
+            .select("vec_id", "component", F.round("score", 6).alias("score")))
+
+
 @register("hashing_tfidf", _TFIDF_SQL.split("  m as")[0].replace("tf as (", "tf0 as (") + """
   hb as (select doc, ((""" + "cast(list_reduce(list_transform(string_split(term, ''), lambda c: cast(unicode(c) as bigint)),"
     " lambda h, c: ((h*31 + c + 2147483648) % 4294967296 + 4294967296) % 4294967296 - 2147483648, cast(0 as bigint)) as integer)"

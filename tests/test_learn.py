@@ -147,3 +147,25 @@ def test_dense_ids(spark):
 def test_auc_one_class_is_null(spark):
     df = spark.createDataFrame([(1.0, 1.0), (2.0, 1.0)], "s double, y double")
     assert L.exact_auc(df, F.col("s"), F.col("y")).first()[0] is None
+
+
+def test_principal_components_equal_eigenvectors(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(500, 6)) @ rng.normal(size=(6, 6)) + 3.0
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, features array<double>").repartition(3)
+    cov = L.covariance_matrix(df)
+    assert np.allclose(cov, np.cov(x.T))
+    v = L.principal_components(cov, 6)
+    assert np.abs(v @ v.T - np.eye(6)).max() < 1e-6
+    values, vectors = np.linalg.eigh(np.cov(x.T))
+    for row, want in zip(v, vectors.T[::-1]):
+        assert min(np.abs(row - want).max(), np.abs(row + want).max()) < 1e-5 and row[np.abs(row).argmax()] > 0
+    got = {r.id: r.projected for r in L.project(df, v[:2]).collect()}
+    assert all(np.allclose(got[i], v[:2] @ x[i]) for i in range(500))
+    from tessera.operators.models import pca_project
+    theirs = {r.id: r.projected for r in pca_project(df, 2)[1].collect()}
+    assert all(np.allclose(np.abs(got[i]), np.abs(theirs[i]), atol=1e-4) for i in range(500))
+    flat = L.principal_components(np.zeros((3, 3)), 3)
+    assert np.abs(flat @ flat.T - np.eye(3)).max() < 1e-6
+    with pytest.raises(ValueError):
+        L.principal_components(cov, 7)
