@@ -331,6 +331,77 @@ def pca_project(spark, sf):
     return proj.select("vec_id", "projected")
 
 
+TREE_DEPTH, TREE_BINS = 5, 32
+
+
+def _tree_sql(rows: str, kind: str) -> str:
+    """Level-wise growth, unrolled; ``rows`` gives (rid, y, f, x)."""
+    cost = {"class": lambda p: f"case when {p}n > 0 then {p}n - {p}q / {p}n else 0 end",
+            "number": lambda p: f"case when {p}n > 0 then {p}q - {p}s * {p}s / {p}n else 0 end"}[kind]
+    k = "cast(y as integer)" if kind == "class" else "0"
+    s = f"""with r as materialized ({rows}),
+  e as (select f, min(x) low, max(x) high from r group by f),
+  b as materialized (select rid, y, {k} k, f, len(list_filter(range(1, {TREE_BINS}), lambda i: x > low + (high - low) * i / {TREE_BINS}::double)) bin from r join e using (f)),
+  n0 as (select distinct rid, 1::bigint node from r)"""
+    for t in range(TREE_DEPTH + 1):
+        s += f""",
+  h{t} as (select node, f, bin, k, count(*)::double n, sum(y)::double s, sum(y * y)::double q from b join n{t} using (rid) group by all),
+  g{t} as (select * from (select distinct node, f, bin from h{t}) join (select distinct node, f, k from h{t}) using (node, f)
+           left join h{t} using (node, f, bin, k)),
+  c{t} as (select node, f, bin, k, sum(coalesce(n, 0)) over w ln, sum(coalesce(s, 0)) over w ls, sum(coalesce(q, 0)) over w lq,
+             sum(coalesce(n, 0)) over v tn, sum(coalesce(s, 0)) over v ts, sum(coalesce(q, 0)) over v tq from g{t}
+           window w as (partition by node, f, k order by bin), v as (partition by node, f, k)),
+  a{t} as (select node, f, bin, sum(ln) ln, sum(ls) ls, {"sum(ln * ln)" if kind == "class" else "sum(lq)"} lq, sum(tn) tn, sum(ts) ts,
+             {"sum(tn * tn)" if kind == "class" else "sum(tq)"} tq, sum(tn - ln) rn, sum(ts - ls) rs,
+             {"sum((tn - ln) * (tn - ln))" if kind == "class" else "sum(tq - lq)"} rq from c{t} group by all),
+  s{t} as (select *, case when ln > 0 and rn > 0 and {cost("t")} > 0
+             then round(({cost("t")} - ({cost("l")}) - ({cost("r")})) / ({cost("t")}), 9) else 0 end gain from a{t}),
+  v{t} as materialized (select node, f, bin, gain, tn size, {"x.k::double" if kind == "class" else "x.m"} prediction
+    from (select * from s{t} qualify row_number() over (partition by node order by gain desc, f, bin) = 1)
+    join (select node, {"k" if kind == "class" else "sum(s) / sum(n) m"} from h{t} where f = 0
+          group by {"node, k" if kind == "class" else "node"}{" qualify row_number() over (partition by node order by sum(n) desc, k) = 1" if kind == "class" else ""}) x using (node)),
+  n{t + 1} as materialized (select rid, 2 * node + case when b.bin > v.bin then 1 else 0 end node
+    from n{t} join v{t} v using (node) join b using (rid, f) where gain > 1e-9)"""
+    level = lambda t: f"""select node, case when {"true" if t < TREE_DEPTH else "false"} and gain > 1e-9 then f end feature,
+  case when {"true" if t < TREE_DEPTH else "false"} and gain > 1e-9 then round(low + (high - low) * (bin + 1) / {TREE_BINS}::double, 9) end threshold,
+  cast(size as bigint) size, round(prediction, 6) prediction from v{t} join e using (f)"""
+    return s + "\n" + " union all ".join(level(t) for t in range(TREE_DEPTH + 1))
+
+
+_TREE_REG_ROWS = """select rid, l_extendedprice::double y, f, x from (
+  select rid, l_extendedprice, unnest([0, 1, 2, 3]) f, unnest([l_quantity::double, l_discount::double, l_tax::double, p_retailprice::double]) x
+  from (select row_number() over () rid, * from lineitem join part on l_partkey = p_partkey) w) z"""  # (order and line number repeat in these tables)
+_TREE_CLS_ROWS = "select vec_id rid, label::double y, unnest(range(64))::integer f, unnest(embedding)::double x from embeddings"
+
+
+def _tree_rows(t: Tables, kind: str):
+    if kind == "class":
+        return t.embeddings.select(F.col("label").cast("double").alias("label"), F.transform("embedding", lambda x: x.cast("double")).alias("features"))
+    return (t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey"))
+            .select(F.col("l_extendedprice").cast("double").alias("label"), F.array(*(F.col(c).cast("double") for c in ("l_quantity", "l_discount", "l_tax", "p_retailprice"))).alias("features")))
+
+
+def _tree_nodes(rows, kind: str, dim: int, classes: int = 1):
+    from ..operators import trees
+    from ..operators.iterate import cut_to_table
+    rows = cut_to_table(rows)
+    tree = trees.grow(rows, kind, TREE_DEPTH, trees.equal_widths(rows, dim, TREE_BINS), classes)
+    return tree.frame(rows.sparkSession).select("node", "feature", F.round("threshold", 9).alias("threshold"), "size", F.round("prediction", 6).alias("prediction"))
+
+
+@register("tree_cls_levels", _tree_sql(_TREE_CLS_ROWS, "class"))
+def tree_cls_levels(spark, sf):
+    """ML4: a 10-class tree on the embeddings, grown level by level: every node
+    with its split, size and prediction."""
+    return _tree_nodes(_tree_rows(Tables(spark, sf), "class"), "class", 64, 10)
+
+
+@register("tree_reg_levels", _tree_sql(_TREE_REG_ROWS, "number"))
+def tree_reg_levels(spark, sf):
+    """ML5: a regression tree for the line price, grown level by level."""
+    return _tree_nodes(_tree_rows(Tables(spark, sf), "number"), "number", 4)
+
+
 PCA_K, PCA_STEPS, DIMS = 3, 12, 64
 
 
