@@ -20,7 +20,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .iterate import Loop, cut, hold, rounds
+from .iterate import Loop, cut, cut_to_table, hold, release, rounds
 
 INF = float("inf")
 
@@ -213,24 +213,25 @@ def connected_components(edges: DataFrame, max_iter: int | None = None) -> DataF
     verts = vertices_of(edges)
     e = (edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v"))
          .filter(F.col("u") != F.col("v")).distinct())
-    e = cut(e)
+    e = cut_to_table(e)
     for _ in rounds(max_iter, "connected_components"):
         both = e.select(F.col("u").alias("a"), F.col("v").alias("b")).union(
             e.select(F.col("v").alias("a"), F.col("u").alias("b")))
-        m = cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("ma")))
-        large = (both.filter(F.col("b") > F.col("a")).join(m, "a")
+        m = cut_to_table(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("ma"), F.max("b").alias("mb")))
+        # stars: no vertex has a smaller and a larger neighbour
+        if m.filter("ma < a and mb > a").limit(1).count() == 0:
+            break
+        large = (both.filter(F.col("b") > F.col("a")).join(m.drop("mb"), "a")
                  .select(F.col("b").alias("u"), F.col("ma").alias("v")).distinct())
-        m2 = cut(large.groupBy("u").agg(F.min("v").alias("mu")))
+        m2 = cut_to_table(large.groupBy("u").agg(F.min("v").alias("mu")))
         small = (large.join(m2, "u").select(F.col("v").alias("x"), F.col("mu").alias("y"))
                  .union(m2.select(F.col("u").alias("x"), F.col("mu").alias("y")))
                  .filter(F.col("x") != F.col("y"))
                  .select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v"))
                  .distinct())
-        e = cut(small)
-        his = e.select(F.col("u").alias("h")).distinct()
-        not_star = e.join(his, e.v == his.h, "left_semi").limit(1).count()
-        if not_star == 0:
-            break
+        old, e = e, cut_to_table(small)
+        for done in (old, m, m2):
+            release(done)
     leaf = e.select(F.col("u").alias("id"), F.col("v").alias("component"))
     return (verts.join(leaf, "id", "left")
             .select("id", F.coalesce("component", "id").alias("component")))
