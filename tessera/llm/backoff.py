@@ -68,7 +68,7 @@ class Tokens:
             own[inner] = w.hash.view(np.int64)
             tag = np.zeros(n, np.int64)
             length = w.end - w.start
-            tag[inner] = (length << 16) | (w.data[w.start].astype(np.int64) << 8) | w.data[w.end - 1]
+            tag[inner] = ((length & 0x7FFF) << 16) | (w.data[w.start].astype(np.int64) << 8) | w.data[w.end - 1]
             left = np.empty(n, np.int64)
             left[1:] = own[:-1]
             left[np.concatenate([[0], last[:-1] + 1])] = _START
@@ -125,14 +125,19 @@ class Question:
         """A row for every bucket, also for those without a stripe."""
         ends = np.searchsorted(self.bucket, np.arange(buckets), side="right")
         last = np.append(0, np.cumsum(self.size))[ends]
-        return T.batch(["bucket", "block", "owners", "shards", "checks", "sizes", "nexts", "counts"], [
+        return T.batch(_names(_QUESTION), [
             np.arange(buckets, dtype=np.int32), np.full(buckets, block, np.int32),
-            S.as_binary(self.vocab[self.owner], ends), S.as_binary(self.shard.astype(np.int32), ends), S.as_binary(self.check[self.owner], ends),
-            S.as_binary(self.size.astype(np.int32), ends), S.as_binary(self.vocab[self.next], last), S.as_binary(self.seen, last)])
+            S.as_binary(self.vocab[self.owner], ends), S.as_binary(self.shard.astype(np.int32), ends), S.as_binary(self.check[self.owner].astype(np.int32), ends),
+            *S.halves(self.size, ends), S.as_binary(self.vocab[self.next], last), *S.halves(self.seen, last)])
 
 
-_QUESTION = "bucket int, block int, owners binary, shards binary, checks binary, sizes binary, nexts binary, counts binary"
-_ANSWER = "block int, bucket int, n long, v long, occurs binary, kinds binary, counts binary"
+# Sizes and counts travel as low bytes and the rest (``stripes.halves``).
+_QUESTION = "bucket int, block int, owners binary, shards binary, checks binary, sizes binary, sizes_high binary, nexts binary, counts binary, counts_high binary"
+_ANSWER = "block int, bucket int, n long, v long, occurs binary, occurs_high binary, kinds binary, kinds_high binary, counts binary, counts_high binary"
+
+
+def _names(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
 
 
 def answer(t: pa.Table, hot: dict[int, int]) -> pa.Table:
@@ -141,10 +146,9 @@ def answer(t: pa.Table, hot: dict[int, int]) -> pa.Table:
     pairs, and the bucket's tokens and known words (those of hot prefixes and
     the end are counted by the block)."""
     owner, stripes = S.entries(t.column("owners"), np.int64)
-    shard, check = S.entries(t.column("shards"), np.int32)[0], S.entries(t.column("checks"), np.int64)[0]
-    size = S.entries(t.column("sizes"), np.int32)[0].astype(np.int64)
+    shard, check = S.entries(t.column("shards"), np.int32)[0], S.entries(t.column("checks"), np.int32)[0]
+    size, n = (S.whole(t.column(c), t.column(f"{c}_high")) for c in ("sizes", "counts"))
     following, pairs = S.entries(t.column("nexts"), np.int64)
-    n = S.entries(t.column("counts"), np.uint32)[0].astype(np.int64)
     order = np.lexsort((shard, owner))
     at = S.starts(owner[order], shard[order])
     mark = np.zeros(len(order), np.int64)
@@ -165,8 +169,8 @@ def answer(t: pa.Table, hot: dict[int, int]) -> pa.Table:
     word = name != _START
     known = (occurs > 0) & word & ~np.isin(name, np.array(list(hot), np.int64))
     ends, last, m = np.cumsum(stripes), np.cumsum(pairs), t.num_rows
-    return pa.table({"block": t.column("block"), "bucket": t.column("bucket"), "n": np.full(m, occurs[word].sum(), np.int64), "v": np.full(m, known.sum(), np.int64),
-                     "occurs": S.as_binary(occurs[group], ends), "kinds": S.as_binary(kinds[group], ends), "counts": S.as_binary(merged, last)})
+    return pa.table([t.column("block"), t.column("bucket"), pa.array(np.full(m, occurs[word].sum(), np.int64)), pa.array(np.full(m, known.sum(), np.int64)),
+                     *S.halves(occurs[group], ends), *S.halves(kinds[group], ends), *S.halves(merged, last)], names=_names(_ANSWER))
 
 
 class Automaton:
@@ -175,7 +179,7 @@ class Automaton:
 
     def __init__(self, q: Question, answers: pa.Table, hot: dict[int, int]):
         a = answers.sort_by("bucket")
-        occurs, kinds, count = (S.entries(a.column(c), np.int64)[0] for c in ("occurs", "kinds", "counts"))
+        occurs, kinds, count = (S.whole(a.column(c), a.column(f"{c}_high")) for c in ("occurs", "kinds", "counts"))
         if len(occurs) != len(q.owner) or len(count) != len(q.prefix):
             raise RuntimeError("answers do not fit a block's question")
         v = len(q.vocab)

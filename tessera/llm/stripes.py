@@ -122,6 +122,18 @@ def entries(col: pa.Array, dtype) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data.tobytes(), dtype), np.diff(off) // np.dtype(dtype).itemsize
 
 
+def halves(values: np.ndarray, ends: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """Non-negative numbers as two binary columns: low bytes, and the rest.
+    Most counts are small, so the rest is mostly zeros, which a shuffle
+    compresses away."""
+    values = values.astype(np.int64)
+    return as_binary((values & 255).astype(np.uint8), ends), as_binary(values >> 8, ends)
+
+
+def whole(low: pa.Array, rest: pa.Array) -> np.ndarray:
+    return entries(low, np.uint8)[0].astype(np.int64) + (entries(rest, np.int64)[0] << 8)
+
+
 def by_key(batches, keys: list[str], weight: str, limit: int, compact=None):
     """Cut batches that are sorted by ``keys`` into tables of whole key groups
     with about ``limit`` bytes of the binary column ``weight`` (one key's
