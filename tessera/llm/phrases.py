@@ -218,5 +218,6 @@ def mine(docs: DataFrame, least: int = LEAST, subsumed: int = SUBSUMED, top: int
     threes = cuts.select("lang", F.concat_ws(" ", "w1", "w2", "w3").alias("phrase"), "a", pick("l1", "l2", "l"), pick("r1", "r2", "r"), pick("s1", "s2", "score"))
 
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    best = twos.unionByName(threes).withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= top)
-    return best.join(F.broadcast(size) if size.count() < 10_000 else size, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    # the filter on the plain row number lets every task drop what cannot be among the first
+    best = twos.unionByName(threes).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
+    return best.join(size, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
