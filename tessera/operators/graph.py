@@ -217,11 +217,12 @@ def connected_components(edges: DataFrame, max_iter: int | None = None) -> DataF
     for _ in rounds(max_iter, "connected_components"):
         both = e.select(F.col("u").alias("a"), F.col("v").alias("b")).union(
             e.select(F.col("v").alias("a"), F.col("u").alias("b")))
-        m = cut_to_table(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("ma"), F.max("b").alias("mb")))
-        # stars: no vertex has a smaller and a larger neighbour
-        if m.filter("ma < a and mb > a").limit(1).count() == 0:
+        m = cut_to_table(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("ma"), F.max("b").alias("mb"),
+                                               F.max(F.when(F.col("b") < F.col("a"), F.col("b"))).alias("below")))
+        # stars: a vertex with a smaller neighbour has one of them, and no larger one
+        if m.filter("ma < a and (mb > a or below > ma)").limit(1).count() == 0:
             break
-        large = (both.filter(F.col("b") > F.col("a")).join(m.drop("mb"), "a")
+        large = (both.filter(F.col("b") > F.col("a")).join(m.select("a", "ma"), "a")
                  .select(F.col("b").alias("u"), F.col("ma").alias("v")).distinct())
         m2 = cut_to_table(large.groupBy("u").agg(F.min("v").alias("mu")))
         small = (large.join(m2, "u").select(F.col("v").alias("x"), F.col("mu").alias("y"))

@@ -260,3 +260,21 @@ def test_hot_key_join_can_be_split(spark):
     finally:
         for k, v in old.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_components_of_bipartite_edges(spark):
+    """Every edge goes from a large to a small id, and large ids have several:
+    no vertex has neighbours on both sides, yet these are no stars."""
+    pairs = [(100 + i, j) for i in range(30) for j in (i, (i * 7 + 1) % 30)] + [(500, 40), (500, 41), (501, 41), (600, 601)]
+    got = rows(G.connected_components(spark.createDataFrame(pairs, "src long, dst long")))
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    assert got == sorted((x, find(x)) for x in {v for p in pairs for v in p})
