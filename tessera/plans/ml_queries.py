@@ -160,9 +160,13 @@ def _init_centres(pts, k):
     return [list(r["features"]) for r in rows]
 
 
-def kmeans_sql(steps: int) -> str:
-    s = f"""with p as (select vec_id id, unnest(range(64)) j, unnest(embedding)::double x from embeddings),
-  ids as (select vec_id id, (row_number() over (order by vec_id) - 1)::int k from embeddings order by vec_id limit {K}),
+_FIRST_K_SQL = f"""
+  ids as (select vec_id id, (row_number() over (order by vec_id) - 1)::int k from embeddings order by vec_id limit {K})"""
+
+
+def kmeans_sql(steps: int, ids: str = _FIRST_K_SQL) -> str:
+    """Lloyd steps from the points ``ids(id, k)``."""
+    s = f"""with p as materialized (select vec_id id, unnest(range(64)) j, unnest(embedding)::double x from embeddings),{ids},
   c0 as materialized (select ids.k, p.j, p.x c from p join ids on ids.id = p.id)"""
     for i in range(1, steps + 2):
         s += (f",\n  a{i} as materialized (select id, arg_min(k, (d, k)) k, min(d) d from (select p.id, c.k,"
@@ -308,19 +312,62 @@ def als_grid(spark, sf):
     return grid(r.filter(b < 6), r.filter((b >= 6) & (b < 8)), r.filter(b >= 8))
 
 
-@register("kmeans_parallel")
+KP_ROUNDS, KP_SEED = 5, 127
+
+
+def _draw_sql(text: str) -> str:
+    return f"(('0x' || substr(md5({text}), 1, 12))::bigint::double / {float(16 ** 12)!r}::double)"
+
+
+def _seeding_sql() -> str:
+    """K-means|| unrolled: g<i> the candidates after round i, w their weights,
+    q<j> the j-th centre drawn from them."""
+    dist = "round(sum((p.x - c.x) * (p.x - c.x)), 9)"
+    s = f"""
+  g0 as materialized (select vec_id id from embeddings order by {_draw_sql(f"'{KP_SEED}:0:' || vec_id")}, vec_id limit 1)"""
+    for i in range(KP_ROUNDS + 1):
+        s += f""",
+  n{i} as materialized (select id, min(d) d, arg_min(cid, (d, cid)) cid from (select p.id, c.id cid, {dist} d
+     from p join p c on c.j = p.j and c.id in (select id from g{i}) group by p.id, c.id) z group by id)"""
+        if i < KP_ROUNDS:
+            s += f""",
+  g{i + 1} as materialized (select id from g{i} union select id from n{i}
+     where {_draw_sql(f"'{KP_SEED}:{i + 1}:' || id")} < {2.0 * K!r}::double * d / (select sum(d::decimal(28,9))::double from n{i}))"""
+    s += f""",
+  w as materialized (select g.id, count(n.id)::double w from g{KP_ROUNDS} g left join n{KP_ROUNDS} n on n.cid = g.id group by g.id),
+  dd as materialized (select p.id, c.id cid, {dist} d from p join p c on c.j = p.j
+     where p.id in (select id from w) and c.id in (select id from w) group by p.id, c.id),
+  m0 as (select id, w least, w mass from w)"""
+    for j in range(K):
+        after = f"least(m{j}.least, dd.d)" if j else "dd.d"
+        s += f""",
+  q{j} as materialized (select id from (select id, sum(mass) over (order by id) run, sum(mass) over () total from m{j})
+     where run > {_draw_sql(f"'{KP_SEED}:pick:{j}'")} * total order by id limit 1),
+  m{j + 1} as materialized (select id, {after} least, w * {after} mass from m{j} join w using (id) join dd using (id)
+     where dd.cid = (select id from q{j}))"""
+    return s + ",\n  ids as (" + " union all ".join(f"select id, {j} k from q{j}" for j in range(K)) + ")"
+
+
+def _seeded(spark, sf):
+    from ..operators.seeding import kmeans_parallel_init
+    pts = _points(Tables(spark, sf))
+    c = kmeans_parallel_init(pts, K, "vec_id", rounds=KP_ROUNDS, seed=KP_SEED)
+    return pts, L.kmeans_lloyd(pts, c, KM_STEPS)
+
+
+@register("kmeans_parallel", kmeans_sql(KM_STEPS, _seeding_sql()) + f"\nselect id vec_id, k cluster from a{KM_STEPS + 1}")
 def kmeans_parallel(spark, sf):
-    """ML10: K-means|| (k=10, seed 127) assignments of the embeddings."""
-    from ..operators.models import kmeans_parallel as kp
-    _, assigned, _ = kp(_points(Tables(spark, sf)), k=K, seed=127)
-    return assigned.select("vec_id", "cluster")
+    """ML10: K-means|| (k=10, seed 127, 5 rounds) and 5 Lloyd steps over the embeddings."""
+    pts, c = _seeded(spark, sf)
+    return L.kmeans_assign(pts, c).select("vec_id", "cluster")
 
 
-@register("kmeans_parallel_cost")
+@register("kmeans_parallel_cost", kmeans_sql(KM_STEPS, _seeding_sql()) +
+          f"\nselect cast(printf('%.8e', sum(d)) as double) wssse from (select p.id, min(s) d from (select p.id, c.k,"
+          f" sum((p.x - c.c) * (p.x - c.c)) s from p join c{KM_STEPS} c on c.j = p.j group by p.id, c.k) p group by p.id) q")
 def kmeans_parallel_cost(spark, sf):
-    from ..operators.models import kmeans_parallel as kp
-    _, _, cost = kp(_points(Tables(spark, sf)), k=K, seed=127)
-    return cost
+    pts, c = _seeded(spark, sf)
+    return L.wssse(pts, c).select(sig("wssse", 9).alias("wssse"))
 
 
 @register("pca_project")
