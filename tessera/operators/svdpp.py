@@ -5,10 +5,8 @@ vertex-centric form of the graph library the reference calls.
 State per vertex ``(id, v1, v2, b, n)``: for a user v1 = p (factors), v2 =
 p + |N(u)|^-1/2 * sum of its items' y; for an item v1 = q, v2 = y; b the
 bias; n = |N|^-1/2 (after the final error pass, an item's n holds the sum of
-its squared training errors).  Every step is an edge-parallel map plus a
-keyed aggregate: element-wise vector sums are one partial aggregate with one
-sum per component, so high-degree vertices are combined map-side before the
-shuffle.
+its squared training errors).  Every step is a join of the edges with one end's
+state and a keyed sum, combined map-side before the shuffle.
 """
 
 from __future__ import annotations
@@ -37,89 +35,130 @@ class SvdConf:
     gamma7: float = 0.015
 
 
-def _uniform_vec(id_col: Column, rank: int, seed: int, salt: int) -> Column:
-    """Deterministic U[0,1) vector per vertex (hash-seeded, no driver state)."""
-    return F.transform(F.sequence(F.lit(0), F.lit(rank - 1)),
-                       lambda k: F.pmod(F.xxhash64(id_col, k, F.lit(seed), F.lit(salt)),
-                                        F.lit(1 << 53)).cast("double") / float(1 << 53))
+_PRIME = (1 << 31) - 1  # modulus of the initial factors' congruences
+_ROOT = 48271           # a primitive root of it
 
 
-def _axpy(a: Column, x: Column, y: Column) -> Column:
-    """a*x + y for arrays x, y and scalar column a."""
-    return F.zip_with(x, y, lambda xi, yi: a * xi + yi)
+def start_constants(rank: int, seed: int, salt: int) -> list[int]:
+    """One multiplier a component; see :func:`_start`."""
+    return [pow(_ROOT, ((2 * seed + salt) * rank + k) * 2 + 1, _PRIME) for k in range(rank)]
 
 
-def _vsum(df: DataFrame, key: str, arrays: list[str], scalars: list[str], rank: int) -> DataFrame:
-    """Element-wise sum of array columns (and plain sums of scalars) per key."""
-    aggs = []
-    for a in arrays:
-        aggs += [F.sum(F.col(a)[k]).alias(f"{a}_{k}") for k in range(rank)]
-    aggs += [F.sum(s).alias(s) for s in scalars]
-    g = df.groupBy(key).agg(*aggs)
-    return g.select(key, *[F.array(*[F.col(f"{a}_{k}") for k in range(rank)]).alias(a) for a in arrays],
-                    *scalars)
+def _start(id_col: Column, rank: int, seed: int, salt: int) -> Column:
+    """Initial factors in [0, 1): ``(id + 48271) * a_k mod p / p`` for
+    component k, whole-number arithmetic that any engine repeats exactly."""
+    base = F.pmod(id_col.cast("long"), F.lit(_PRIME)) + F.lit(_ROOT)
+    return F.array(*[base * F.lit(a) % F.lit(_PRIME) / F.lit(float(_PRIME)) for a in start_constants(rank, seed, salt)])
+
+
+def _dot(a: Column, b: Column) -> Column:
+    """Dot product of two array columns on Arrow batches."""
+    def task(x, y):
+        import numpy as np
+        import pyarrow as pa
+        if not len(x):
+            return pa.array([], pa.float64())
+        u, v = (c.flatten().to_numpy().reshape(len(c), -1) for c in (x, y))
+        return pa.array(np.einsum("ij,ij->i", u, v))
+
+    return F.arrow_udf(task, "double")(a, b)
+
+
+_WIDTH = 10  # components that one row of an aggregate sums
+
+
+def _sums(df: DataFrame, key: str, vectors: dict[str, tuple[Column | None, str]], scalars: dict[str, Column], rank: int) -> DataFrame:
+    """Per key, ``sum(factor * array)`` element by element for each named
+    ``(factor, array)`` and the sums of the scalars, in one partial aggregate,
+    so that a vertex of many edges is combined before the shuffle.
+
+    An edge has a row for every ``_WIDTH`` components: an aggregate of a few
+    sums is compiled to machine code, one of a hundred sums is not.
+    """
+    blocks = -(-rank // _WIDTH)
+    x = df.withColumn("_at", F.explode(F.array(*[F.lit(i) for i in range(blocks)])))
+    at = lambda a, j: F.get(F.col(a), F.col("_at") * F.lit(_WIDTH) + F.lit(j))
+    aggs = [F.sum(at(a, j) if f is None else f * at(a, j)).alias(f"{n}_{j}")
+            for n, (f, a) in vectors.items() for j in range(_WIDTH)]
+    g = x.groupBy(key, "_at").agg(*aggs, *[F.sum(c).alias(n) for n, c in scalars.items()])
+    rows = F.array_sort(F.collect_list(F.struct(
+        "_at", *scalars, *[F.array(*[F.col(f"{n}_{j}") for j in range(_WIDTH)]).alias(n) for n in vectors])))
+    g = g.groupBy(F.col(key).alias("id")).agg(rows.alias("_rows"))
+    return g.select("id", *[F.col("_rows")[0][n].alias(n) for n in scalars],
+                    *[F.slice(F.flatten(F.col(f"_rows.{n}")), 1, rank).alias(n) for n in vectors])
 
 
 def svd_plus_plus(edges: DataFrame, conf: SvdConf = SvdConf(), seed: int = 0):
     """Train on ``edges(src=user, dst=item, rating)``; returns
-    ``(vertices, mean)`` where vertices is ``(id, v1, v2, b, n)``."""
+    ``(vertices, mean)`` where vertices is ``(id, v1, v2, b, n)``.
+
+    No vector is computed for an edge: an edge's part of every gradient is its
+    error times its other end's vector, summed in the aggregate, and what
+    depends on the vertex alone is added once a vertex.  Every join is between
+    written tables, plain shuffles on both sides, so AQE may split the
+    partition of an item with many ratings.
+    """
     r = conf.rank
     e = cut(edges.select("src", "dst", F.col("rating").cast("double").alias("r")))
     u = e.agg(F.avg("r")).first()[0]
     ends = e.select(F.col("src").alias("id"), "r").union(e.select(F.col("dst").alias("id"), "r"))
     t0 = ends.groupBy("id").agg(F.count(F.lit(1)).alias("c"), F.sum("r").alias("s"))
-    v = cut(t0.select("id", _uniform_vec(F.col("id"), r, seed, 1).alias("v1"),
-                      _uniform_vec(F.col("id"), r, seed, 2).alias("v2"),
+    v = cut(t0.select("id", _start(F.col("id"), r, seed, 1).alias("v1"), _start(F.col("id"), r, seed, 2).alias("v2"),
                       (F.col("s") / F.col("c") - F.lit(u)).alias("b"),
                       (F.lit(1.0) / F.sqrt(F.col("c"))).alias("n")))
 
-    def triplets(vs: DataFrame) -> DataFrame:
-        us = vs.select(F.col("id").alias("src"), F.col("v1").alias("p"), F.col("v2").alias("z"),
-                       F.col("b").alias("bu"), F.col("n").alias("nu"))
-        it = vs.select(F.col("id").alias("dst"), F.col("v1").alias("q"), F.col("v2").alias("y"),
-                       F.col("b").alias("bi"))
-        t = e.join(us, "src").join(it, "dst")
-        dot = F.aggregate(F.zip_with("q", "z", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-        pred = F.least(F.greatest(F.lit(u) + F.col("bu") + F.col("bi") + dot, F.lit(conf.min_val)),
-                       F.lit(conf.max_val))
-        return t.withColumn("err", F.col("r") - pred)
+    def users(vs: DataFrame) -> DataFrame:
+        return vs.select(F.col("id").alias("src"), F.col("v2").alias("z"), F.col("b").alias("bu"), F.col("n").alias("nu"))
+
+    def items(vs: DataFrame) -> DataFrame:
+        return vs.select(F.col("id").alias("dst"), F.col("v1").alias("q"), F.col("v2").alias("y"), F.col("b").alias("bi"))
+
+    def errors(vs: DataFrame) -> DataFrame:
+        """``(src, dst, err)`` of every edge."""
+        t = e.join(users(vs).drop("nu"), "src").join(items(vs).drop("y"), "dst")
+        pred = F.lit(u) + F.col("bu") + F.col("bi") + _dot(F.col("q"), F.col("z"))
+        return t.select("src", "dst", (F.col("r") - F.least(F.greatest(pred, F.lit(conf.min_val)),
+                                                            F.lit(conf.max_val))).alias("err"))
 
+    g1, g2, g6, g7 = (F.lit(g) for g in (conf.gamma1, conf.gamma2, conf.gamma6, conf.gamma7))
+    one, err = F.lit(1.0), F.col("err")
     for _ in range(conf.max_iters):
         # phase 1: users' v2 = p + n * sum of their items' y
-        ysum = _vsum(e.join(v.select(F.col("id").alias("dst"), F.col("v2").alias("y")), "dst"),
-                     "src", ["y"], [], r)
+        ysum = _sums(e.join(items(v).select("dst", "y"), "dst"), "src", {"y": (None, "y")}, {}, r)
         before = v
-        v = cut(v.join(ysum.withColumnRenamed("src", "id"), "id", "left").select(
-            "id", "v1", F.when(F.col("y").isNotNull(), _axpy(F.col("n"), F.col("y"), F.col("v1")))
-            .otherwise(F.col("v2")).alias("v2"), "b", "n"))
+        v = cut(v.join(ysum, "id", "left").select(
+            "id", "v1", F.coalesce(F.zip_with("v1", "y", lambda p, y: p + F.col("n") * y), F.col("v2")).alias("v2"),
+            "b", "n"))
         release(before)
-        # phase 2: gradient messages along every rating edge
-        g2, g7, err = F.lit(conf.gamma2), F.lit(conf.gamma7), F.col("err")
-        t = triplets(v).withColumn(
-            "upd_y", F.zip_with("q", "y", lambda q, y: (err * F.col("nu") * q - g7 * y) * g2))
-        upd_p = F.zip_with("q", "p", lambda q, p: (err * q - g7 * p) * g2)
-        upd_q = F.zip_with("z", "q", lambda z, q: (err * z - g7 * q) * g2)
-        # both endpoint messages come out of one pass over the triplets
-        both = t.select(F.explode(F.array(
-            F.struct(F.col("src").alias("id"), upd_p.alias("m1"), F.col("upd_y").alias("m2"),
-                     ((err - F.lit(conf.gamma6) * F.col("bu")) * F.lit(conf.gamma1)).alias("m3")),
-            F.struct(F.col("dst").alias("id"), upd_q.alias("m1"), F.col("upd_y").alias("m2"),
-                     ((err - F.lit(conf.gamma6) * F.col("bi")) * F.lit(conf.gamma1)).alias("m3"))
-        )).alias("m")).select("m.*")
-        msgs = _vsum(both, "id", ["m1", "m2"], ["m3"], r)
+        # phase 2: gradients, summed on the users and on the items
+        x = cut(errors(v))
+        scalars = {"deg": one, "es": err}
+        mine = _sums(x.join(items(v).drop("bi"), "dst"), "src", {"eq": (err, "q"), "ys": (None, "y")}, scalars, r)
+        theirs = _sums(x.join(users(v).drop("bu"), "src"), "dst", {"ez": (err, "z")},
+                       {**scalars, "en": err * F.col("nu")}, r)
+        step = lambda old, grad: F.coalesce(F.zip_with(old, grad, lambda o, g: o + g2 * g), F.col(old))
+        as_user = v.join(mine, "id", "left").select(
+            "id", F.col("v1").alias("w1"), F.col("v2").alias("w2"), "b", "n",
+            F.zip_with("eq", "v1", lambda q, p: q - g7 * F.col("deg") * p).alias("d1"),
+            F.zip_with("eq", "ys", lambda q, y: F.col("n") * q - g7 * y).alias("d2"),
+            (g1 * (F.col("es") - g6 * F.col("deg") * F.col("b"))).alias("d3"))
+        both = as_user.join(theirs, "id", "left").select(
+            "id", "b", "n", "w1", "w2", "d1", "d2", "d3",
+            F.zip_with("ez", "w1", lambda z, q: z - g7 * F.col("deg") * q).alias("i1"),
+            F.zip_with("w1", "w2", lambda q, y: F.col("en") * q - g7 * F.col("deg") * y).alias("i2"),
+            (g1 * (F.col("es") - g6 * F.col("deg") * F.col("b"))).alias("i3"),
+            F.col("deg").isNotNull().alias("rated"))
         before = v
-        v = cut(v.join(msgs, "id", "left").select(
-            "id",
-            F.coalesce(F.zip_with("v1", "m1", lambda a, b: a + b), F.col("v1")).alias("v1"),
-            F.coalesce(F.zip_with("v2", "m2", lambda a, b: a + b), F.col("v2")).alias("v2"),
-            (F.col("b") + F.coalesce("m3", F.lit(0.0))).alias("b"), "n"))
+        v = cut(both.select("id", "w1", "w2", "b", "n", "d1", "d2", "d3", "i1", "i3",
+                            F.when(F.col("rated"), F.col("i2")).alias("i2"))
+                .withColumns({"w1": step("w1", "d1"), "w2": step("w2", "d2")})
+                .select("id", step("w1", "i1").alias("v1"), step("w2", "i2").alias("v2"),
+                        (F.col("b") + F.coalesce("d3", F.lit(0.0)) + F.coalesce("i3", F.lit(0.0))).alias("b"), "n"))
         release(before)
+        release(x)
     # final pass: squared training error summed on each item
-    t = triplets(v)
-    se = t.groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("err") * F.col("err")).alias("se"))
-    v = v.join(se, "id", "left").select("id", "v1", "v2", "b",
-                                        F.coalesce("se", "n").alias("n"))
-    return v, u
+    se = errors(v).groupBy(F.col("dst").alias("id")).agg(F.sum(err * err).alias("se"))
+    return v.join(se, "id", "left").select("id", "v1", "v2", "b", F.coalesce("se", "n").alias("n")), u
 
 
 def training_error(vertices: DataFrame, edges: DataFrame, items: Column) -> DataFrame:

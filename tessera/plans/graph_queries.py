@@ -6,7 +6,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.columns import sig
 from ..operators import graph as G
+from ..operators.iterate import cut_to_table
 from ..sources.tables import Tables
 from .graphs import order_part, order_part_sql, user_next, user_next_sql, view_buy, view_buy_sql
 
@@ -190,7 +192,41 @@ def triangles(spark, sf):
     return G.triangle_count(user_next(Tables(spark, sf)))
 
 
-@register("svdpp")
+def _svdpp_sql() -> str:
+    """One step of SVD++ with a row for each vertex and component."""
+    from ..operators.svdpp import _PRIME, _ROOT, SvdConf, start_constants
+    from .graphs import PART_OFFSET
+    from .relational import _RATINGS_SQL
+    c = SvdConf()
+    start = lambda salt: f"(id % {_PRIME} + {_ROOT}) * {start_constants(c.rank, 0, salt)}[k + 1] % {_PRIME} / {float(_PRIME)!r}::double"
+    g1, g2, g6, g7 = (f"{g!r}::double" for g in (c.gamma1, c.gamma2, c.gamma6, c.gamma7))
+    err = lambda v, s: (f"select e.i, src, dst, r - least(greatest(u + a.b + c.b + d.dot, {c.min_val!r}::double), {c.max_val!r}::double) err from e"
+                        f" join (select e.i, sum(q.v1 * z.v2) dot from e join {v} z on z.id = e.src join {v} q on q.id = e.dst and q.k = z.k group by e.i) d using (i)"
+                        f" join {s} a on a.id = src join {s} c on c.id = dst, mu")
+    return _RATINGS_SQL + f""",
+  e as materialized (select row_number() over () i, "user"::bigint src, (item + {PART_OFFSET})::bigint dst, rating::double r from ratings),
+  mu as materialized (select avg(r) u from e),
+  s as materialized (select id, sum(r) / count(*) - any_value(u) b, 1.0::double / sqrt(count(*)) n, count(*)::double deg
+     from (select src id, r from e union all select dst, r from e), mu group by id),
+  v as materialized (select id, k, {start(1)} v1, {start(2)} v2 from s, range({c.rank}) t(k)),
+  ys as materialized (select src id, k, sum(v2) y from e join v on v.id = dst group by all),
+  z as materialized (select v.id, v.k, v1, case when y is null then v2 else v1 + n * y end v2 from v join s using (id) left join ys using (id, k)),
+  x as materialized ({err("z", "s")}),
+  m as materialized (select src id, q.k k, {g2} * (sum(err * q.v1) - {g7} * any_value(p.v1) * count(*)) m1,
+       {g2} * (any_value(s.n) * sum(err * q.v1) - {g7} * sum(q.v2)) m2
+     from x join z q on q.id = dst join z p on p.id = src and p.k = q.k join s on s.id = src group by src, q.k
+     union all
+     select dst, p.k, {g2} * (sum(err * p.v2) - {g7} * any_value(q.v1) * count(*)),
+       {g2} * (any_value(q.v1) * sum(err * s.n) - {g7} * any_value(q.v2) * count(*))
+     from x join z p on p.id = src join z q on q.id = dst and p.k = q.k join s on s.id = src group by dst, p.k),
+  s1 as materialized (select s.id, b + coalesce({g1} * (es - {g6} * b * c), 0) b from s left join
+     (select id, sum(err) es, count(*) c from (select src id, err from x union all select dst, err from x) group by id) using (id)),
+  v1 as materialized (select id, k, z.v1 + m1 v1, z.v2 + m2 v2 from z join m using (id, k)),
+  y as materialized ({err("v1", "s1")})
+select cast(printf('%.8e', sum(err * err) / count(*)) as double) mse, cast(printf('%.8e', any_value(u)) as double) mean, count(*) edges from y, mu"""
+
+
+@register("svdpp", _svdpp_sql())
 def svdpp(spark, sf):
     """SVD++ (rank 50, 1 iteration, gammas 0.007/0.007/0.005/0.015,
     predictions clamped to [0, 5]) on customer→part ratings (quantity/10);
@@ -198,11 +234,12 @@ def svdpp(spark, sf):
     from ..operators.svdpp import SvdConf, svd_plus_plus, training_error
     from .graphs import PART_OFFSET
     from .relational import ratings
-    r = ratings(Tables(spark, sf)).select(F.col("user").alias("src"),
-                                          (F.col("item") + F.lit(PART_OFFSET)).alias("dst"), "rating")
+    r = cut_to_table(ratings(Tables(spark, sf)).select(F.col("user").alias("src"),
+                                                       (F.col("item") + F.lit(PART_OFFSET)).alias("dst"), "rating"))
     v, u = svd_plus_plus(r, SvdConf())
+    n = r.agg(F.count(F.lit(1)).alias("edges"))
     return training_error(v, r, F.col("id") >= PART_OFFSET).select(
-        "mse", F.lit(u).alias("mean"), F.lit(r.count()).alias("edges"))
+        sig("mse", 9).alias("mse"), sig(F.lit(u), 9).alias("mean"), n.scalar().alias("edges"))
 
 
 def _pr_dynamic_sql(max_steps: int = 200, tol: float = 1e-6) -> str:

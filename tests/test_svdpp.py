@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from tessera.operators.svdpp import SvdConf, svd_plus_plus
+from tessera.operators.svdpp import SvdConf, start_constants, svd_plus_plus
 
 
 def test_svdpp_one_step_matches_numpy(spark):
@@ -58,3 +58,35 @@ def test_svdpp_one_step_matches_numpy(spark):
         assert got[k]["b"] == pytest.approx(b[k])
         want_n = se[k] if k in se else n[k]
         assert got[k]["n"] == pytest.approx(want_n)
+
+
+def test_rank_over_several_blocks_and_vertices_on_both_sides(spark):
+    """Rank 23 takes three blocks of components; vertex 2 is user and item."""
+    E = [(1, 2, 4.0), (2, 3, 1.0), (2, 9, 5.0), (1, 9, 2.0), (5, 2, 3.0)]
+    edges = spark.createDataFrame(E, "src long, dst long, rating double")
+    conf = SvdConf(rank=23)
+    v0, u = svd_plus_plus(edges, SvdConf(rank=23, max_iters=0))
+    old = {r["id"]: r for r in v0.collect()}
+    deg = {x: sum(x in (s, d) for s, d, _ in E) for x in old}
+    n = {x: deg[x] ** -0.5 for x in old}
+    v1, b = {x: np.array(r["v1"]) for x, r in old.items()}, {x: r["b"] for x, r in old.items()}
+    first = {x: np.array(r["v2"]) for x, r in old.items()}
+    v2 = {x: v1[x] + n[x] * sum(first[d] for s, d, _ in E if s == x) if any(s == x for s, _, _ in E) else first[x] for x in old}
+    m1, m2 = {x: np.zeros(23) for x in old}, {x: np.zeros(23) for x in old}
+    for s, d, r in E:
+        err = r - min(max(u + b[s] + b[d] + v1[d] @ v2[s], 0.0), 5.0)
+        up_y = (err * n[s] * v1[d] - conf.gamma7 * v2[d]) * conf.gamma2
+        m1[s] += (err * v1[d] - conf.gamma7 * v1[s]) * conf.gamma2
+        m1[d] += (err * v2[s] - conf.gamma7 * v1[d]) * conf.gamma2
+        m2[s] += up_y
+        m2[d] += up_y
+    for r in svd_plus_plus(edges, conf)[0].collect():
+        assert np.allclose(r["v1"], v1[r["id"]] + m1[r["id"]])
+        assert np.allclose(r["v2"], v2[r["id"]] + m2[r["id"]])
+
+
+def test_start_is_the_stated_rule(spark):
+    v, _ = svd_plus_plus(spark.createDataFrame([(7, 11, 1.0)], "src long, dst long, rating double"), SvdConf(rank=3, max_iters=0))
+    for r in v.collect():
+        want = [(r["id"] + 48271) * a % (2 ** 31 - 1) / (2 ** 31 - 1) for a in start_constants(3, 0, 1)]
+        assert r["v1"] == pytest.approx(want, abs=1e-15)
