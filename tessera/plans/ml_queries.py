@@ -312,6 +312,79 @@ def als_grid(spark, sf):
     return grid(r.filter(b < 6), r.filter((b >= 6) & (b < 8)), r.filter(b >= 8))
 
 
+AN_ITERS, AN_REG, AN_RANKS = 2, 0.1, (1, 2)
+
+
+def _als_sql(rank: int) -> str:
+    """Rounds of alternating least squares unrolled, each id's system of one or
+    two equations in closed form: u<rank>, v<rank> are the factors."""
+    from ..operators.svdpp import _PRIME, _ROOT, start_constants
+    dims = range(rank)
+    start = ", ".join(f"(item % {_PRIME} + {_ROOT}) * {a} % {_PRIME} / {float(_PRIME)!r}::double f{j}"
+                      for j, a in enumerate(start_constants(rank, 0, 1)))
+    sums = ", ".join([f"sum(f{i} * f{j}) g{i}{j}" for i in dims for j in dims if i <= j] + [f"sum(rating * f{j}) b{j}" for j in dims])
+    ridge = f"{AN_REG!r}::double * n"
+    solved = f"b0 / (g00 + {ridge}) f0" if rank == 1 else (
+        f"(b0 * (g11 + {ridge}) - g01 * b1) / ((g00 + {ridge}) * (g11 + {ridge}) - g01 * g01) f0,"
+        f" ((g00 + {ridge}) * b1 - g01 * b0) / ((g00 + {ridge}) * (g11 + {ridge}) - g01 * g01) f1")
+    half = lambda key, other, side: (f"select {key}, {solved} from (select {key}, count(*)::double n, {sums}"
+                                     f" from train join {side} using ({other}) group by {key})")
+    s = f""",
+  v{rank}_0 as materialized (select item, {start} from (select distinct item from train))"""
+    for i in range(1, AN_ITERS + 1):
+        s += f""",
+  u{rank}_{i} as materialized ({half('"user"', "item", f"v{rank}_{i - 1}")}),
+  v{rank}_{i} as materialized ({half("item", '"user"', f"u{rank}_{i}")})"""
+    dot = " + ".join(f"u.f{j} * v.f{j}" for j in dims)
+    return s + f""",
+  p{rank} as materialized (select r.*, coalesce({dot}, mu) prediction from ratings r
+     left join u{rank}_{AN_ITERS} u on u."user" = r."user" left join v{rank}_{AN_ITERS} v on v.item = r.item, mean)"""
+
+
+def _als_with(*ranks: int) -> str:
+    from .relational import _RATINGS_SQL
+    return _RATINGS_SQL + """, train as materialized (select * from ratings where split = 'train'),
+  mean as materialized (select avg(rating) mu from ratings where split <> 'test')""" + "".join(_als_sql(r) for r in ranks)
+
+
+def _splits(spark, sf):
+    from ..operators.iterate import cut_to_table
+    from .relational import ratings
+    r = cut_to_table(ratings(Tables(spark, sf)))
+    b = F.col("bucket")
+    return r.filter(b < 6), r.filter((b >= 6) & (b < 8)), r.filter(b >= 8)
+
+
+@register("als_normal_predict", _als_with(2) + """
+select "user", item, rating, round(prediction, 6) prediction from p2 where split = 'test'""")
+def als_normal_predict(spark, sf):
+    """ML7 / JN6: ALS by normal equations (rank 2) on the train split; every
+    test rating with its prediction, the mean for unseen ids."""
+    from ..operators.als import als_normal, score_factors
+    train, valid, test = _splits(spark, sf)
+    users, items = als_normal(train, 2, AN_ITERS, AN_REG)
+    mu = train.unionByName(valid).agg(F.avg("rating")).first()[0]
+    p = score_factors(test.select("user", "item", "rating"), users, items, 2, mu)
+    return p.withColumn("prediction", F.round("prediction", 6))
+
+
+@register("als_normal_grid", _als_with(*AN_RANKS) + f""",
+  e as (select *, sqrt(v1 / n_valid) valid_rmse from (
+     {" union all ".join(f"select {r}::int rank, count(*) filter (where split = 'validation') n_valid, count(*) filter (where split = 'test') n_test, sum((prediction - rating) ** 2) filter (where split = 'validation') v1, sum((prediction - rating) ** 2) filter (where split = 'test') t1 from p{r}" for r in AN_RANKS)})),
+  base as (select sqrt(avg((rating - mu) ** 2)) b from ratings, mean where split = 'test'),
+  f as (select *, row_number() over (order by valid_rmse, rank) = 1 best from e, base)
+select rank, {AN_REG!r}::double reg, {AN_ITERS}::int iters, n_valid, round(valid_rmse, 7) valid_rmse, best,
+  case when best then n_test end n_test, case when best then round(sqrt(t1 / n_test), 7) end test_rmse,
+  case when best then round((b - sqrt(t1 / n_test)) / b * 100, 5) end improvement_pct from f""")
+def als_normal_grid(spark, sf):
+    """ML8: ranks {1, 2} of ALS by normal equations on the 60/20/20 split, best
+    by validation error, its test error and the gain over the mean."""
+    from ..operators.als import als_search
+    g = als_search(*_splits(spark, sf), AN_RANKS, (AN_REG,), (AN_ITERS,))
+    return g.withColumns({"valid_rmse": F.round("valid_rmse", 7), "test_rmse": F.round("test_rmse", 7),
+                          "improvement_pct": F.round("improvement_pct", 5)})
+
+
 KP_ROUNDS, KP_SEED = 5, 127
 
 
