@@ -14,8 +14,11 @@ cut with reliable checkpoints (``iterate.Loop``).
 from __future__ import annotations
 
 import itertools
+from collections.abc import Iterator
 from typing import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -200,20 +203,65 @@ def ranks_named(ranks: DataFrame, names: DataFrame, id_col: str, name_col: str)
 # Connected components (G6): alternating large-star / small-star
 # --------------------------------------------------------------------------
 
+_SLICE = 1 << 19  # edges that a task holds at once in _forests
+
+
+def _forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(vertex, smallest vertex it reaches over these edges), one row a vertex.
+    Every round hooks each root that has a smaller neighbour to the smallest one
+    and then points all vertices at their roots, which halves the open roots."""
+    ids, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[:len(u)], at[len(u):]
+    root = np.arange(len(ids))
+    while True:
+        a, b = root[a], root[b]
+        a, b = a[a != b], b[a != b]
+        if not len(a):
+            return ids, ids[root]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while not np.array_equal(up := root[root], root):
+            root = up
+
+
+def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges -> edges from each vertex to the smallest one that it reaches within
+    a slice of the partition.  The forest so far counts as edges of the next slice
+    until it fills half a slice, so that a task holds a slice at most."""
+    def flush(held):
+        u, v = (np.concatenate([h[i] for h in held]) for i in (0, 1))
+        return _forest(u, v)
+
+    held, n = [], 0
+    for batch in batches:
+        held.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+        n += batch.num_rows
+        if n >= _SLICE:
+            held = [flush(held)]
+            n = len(held[0][0])
+            if n >= _SLICE // 2:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(held[0], batch.schema.types)], ["u", "v"])
+                held, n = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(flush(held), batch.schema.types)], ["u", "v"])
+
+
 def connected_components(edges: DataFrame, max_iter: int | None = None) -> DataFrame:
     """Undirected components, label = smallest vertex id.
 
-    Alternating large-star / small-star rounds (Kiveris et al., SoCC 2014):
-    each round is two aggregates and two joins over the edge list, and the
-    number of rounds grows with log(n), not with the graph diameter.  Stops
-    when the edges form stars (no edge ends at a vertex that itself has a
-    smaller neighbour).  The smallest neighbours are cut before they are
-    joined, so that AQE can split the root of a giant component.
+    Each task first replaces its edges, slice by slice, by a forest (every vertex
+    and the smallest one it reaches there), as a partial aggregate would: at most
+    one edge a vertex and slice is left, and long paths are short.  Alternating
+    large-star / small-star rounds (Kiveris et al., SoCC 2014) do the rest: each
+    is two aggregates and two joins over the edge list, and their number grows
+    with log(n), not with the graph diameter.  Stops when the edges form stars (no
+    edge ends at a vertex that itself has a smaller neighbour).  The smallest
+    neighbours are cut before they are joined, so that AQE can split the root of a
+    giant component.  A null end is no vertex; the other end of its edge is one.
     """
-    verts = vertices_of(edges)
-    e = (edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v"))
-         .filter(F.col("u") != F.col("v")).distinct())
-    e = cut_to_table(e)
+    ends = edges.select(F.coalesce("src", "dst").alias("u"), F.coalesce("dst", "src").alias("v")).filter("u is not null")
+    forest = cut_to_table(ends.mapInArrow(_forests, ends.schema))
+    verts = forest.select(F.col("u").alias("id")).distinct()
+    e = forest.filter("u <> v")
     for _ in rounds(max_iter, "connected_components"):
         both = e.select(F.col("u").alias("a"), F.col("v").alias("b")).union(
             e.select(F.col("v").alias("a"), F.col("u").alias("b")))
@@ -233,8 +281,7 @@ def connected_components(edges: DataFrame, max_iter: int | None = None) -> DataF
         old, e = e, cut_to_table(small)
         for done in (old, m, m2):
             release(done)
-    leaf = e.select(F.col("u").alias("id"), F.col("v").alias("component"))
-    return (verts.join(leaf, "id", "left")
+    return (verts.join(m.select(F.col("a").alias("id"), F.col("ma").alias("component")), "id", "left")
             .select("id", F.coalesce("component", "id").alias("component")))
 
 

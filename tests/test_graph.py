@@ -1,6 +1,8 @@
 import random
 from collections import defaultdict, deque
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from support import rows
@@ -278,3 +280,24 @@ def test_components_of_bipartite_edges(spark):
         a, b = find(a), find(b)
         parent[max(a, b)] = min(a, b)
     assert got == sorted((x, find(x)) for x in {v for p in pairs for v in p})
+
+
+def test_forest_of_slices(spark, monkeypatch):
+    """Slices far smaller than a partition: forests are carried on or put out, and no link is lost."""
+    monkeypatch.setattr(G, "_SLICE", 16)
+    ends = [np.array(x, np.int64) for x in zip(*[(i, i + 1) for i in range(100)], *[(7, 300 + i) for i in range(40)], (900, 900))]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c[i:i + 5]) for c in ends], ["u", "v"]) for i in range(0, len(ends[0]), 5)]
+    out = [p for b in G._forests(iter(batches)) for p in zip(*(c.to_pylist() for c in b.columns))]
+    assert all(v <= u for u, v in out) and max(b.num_rows for b in G._forests(iter(batches))) <= 16 + 2 * 5
+    seen = {u for u, _ in out}
+    assert seen == set(range(101)) | {300 + i for i in range(40)} | {900}
+    got = dict(rows(G.connected_components(edges(spark, out))))
+    assert got == {u: 900 if u == 900 else 0 for u in seen}
+    assert list(G._forests(iter([]))) == []
+
+
+def test_components_null_ends_and_text_ids(spark):
+    """A null end is no vertex; ids may be texts; without edges there are no rows."""
+    e = spark.createDataFrame([("b", "c"), ("c", "a"), ("d", None), (None, "e"), (None, None), ("é", "z"), ("z", "z")], "src string, dst string")
+    assert rows(G.connected_components(e)) == [("a", "a"), ("b", "a"), ("c", "a"), ("d", "d"), ("e", "e"), ("z", "z"), ("é", "z")]
+    assert rows(G.connected_components(e.filter("src = 'none'"))) == []
