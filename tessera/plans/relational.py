@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import dec, java_hash_code, sig
 from ..operators.iterate import join_plain
-from ..operators.relational import bucket_split, subtract_all_equal, top_n_per_group
+from ..operators.relational import bucket_split, distinct_counts, subtract_all_equal, top_n_per_group
 from ..sources import text as txt
 from ..sources.tables import Tables, spread
 from .graphs import user_next, user_next_sql
@@ -318,9 +318,7 @@ def split_counts(spark, sf):
 @register("user_item_counts", _RATINGS_SQL +
           'select count(*) n_ratings, count(distinct "user") n_users, count(distinct item) n_items from ratings')
 def user_item_counts(spark, sf):
-    r = ratings(Tables(spark, sf))
-    return r.agg(F.count(F.lit(1)).alias("n_ratings"), F.count_distinct("user").alias("n_users"),
-                 F.count_distinct("item").alias("n_items"))
+    return distinct_counts(ratings(Tables(spark, sf)), {"n_users": "user", "n_items": "item"}, rows="n_ratings")
 
 
 @register("mean_baseline", _RATINGS_SQL + """

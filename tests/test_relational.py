@@ -50,3 +50,21 @@ def test_global_row_number_matches_sort(spark):
     got = [(r["a"], r["b"]) for r in sorted(out.collect(), key=lambda r: r["rank"])]
     assert got == sorted((i % 7, i) for i in range(200))
     assert sorted(r["rank"] for r in out.collect()) == list(range(1, 201))
+
+
+def test_distinct_counts(spark, monkeypatch):
+    """Dense, spread, negative, repeated and null ids; many slices; equal to count(distinct)."""
+    monkeypatch.setattr(R, "_SLICE", 50)
+    df = spark.range(0, 3000, 1, 5).select(
+        (F.col("id") % 137).cast("int").alias("dense"),
+        F.when(F.col("id") % 3 == 0, F.xxhash64(F.col("id") % 500)).alias("spread"),
+        (F.col("id") % 130 - 64).alias("signed"), F.lit(None).cast("long").alias("none"))
+    ends = spark.createDataFrame([(0, -2**63, 2**63 - 1, None), (1, 2**63 - 1, -2**63, None)], "dense int, spread long, signed long, none long")
+    df = df.union(ends)
+    out = R.distinct_counts(df, {f"n_{c}": c for c in df.columns}, rows="n")
+    want = df.agg(F.count(F.lit(1)).alias("n"), *[F.count_distinct(c).alias(f"n_{c}") for c in df.columns])
+    assert out.columns == want.columns and out.collect() == want.collect()
+    assert "Expand" not in out._jdf.queryExecution().executedPlan().toString()
+    assert rows(R.distinct_counts(df.filter("dense > 1000"), {"a": "dense"}, rows="n")) == [(0, 0)]
+    with pytest.raises(TypeError):
+        R.distinct_counts(df.withColumn("t", F.lit("x")), {"a": "t"})
