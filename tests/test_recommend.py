@@ -51,3 +51,17 @@ def test_empty_sides(spark):
     u = spark.createDataFrame([(1, [1.0])], "user long, factors array<double>")
     i = spark.createDataFrame([], "item long, factors array<double>")
     assert recommend(u, i, 3).collect() == []
+
+
+def test_users_go_only_to_blocks_that_can_reach_their_floor(spark, monkeypatch):
+    """Far fewer copies of users than users times blocks, and the same lists."""
+    from tessera.operators import recommend as R
+    rng = np.random.default_rng(3)
+    users = [(u, [float(x) for x in rng.normal(size=3)]) for u in range(60)]
+    items = [(i, [float(x) for x in rng.normal(size=3) * rng.exponential()]) for i in range(900)]
+    rated = {(int(u), int(i)) for u, i in zip(rng.integers(0, 60, 400), rng.integers(0, 900, 400))}
+    copies, whole = [], R._products
+    monkeypatch.setattr(R, "_products", lambda left, right, n: copies.append(left.filter("item is null").count()) or whole(left, right, n))
+    sides = (spark.createDataFrame(users, "user long, factors array<double>"), spark.createDataFrame(items, "item long, factors array<double>"))
+    assert got(recommend(*sides, 3, spark.createDataFrame([*rated], "user long, item long"), 16)) == brute(users, items, 3, rated)
+    assert copies[0] == 60 and sum(copies) < 60 * 900 / (16 * R.WIDE) / 2
