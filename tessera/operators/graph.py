@@ -23,7 +23,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .iterate import Loop, cut, cut_to_table, hold, release, rounds
+from .iterate import Loop, cut, cut_to_table, hold, is_table, release, rounds
 
 INF = float("inf")
 
@@ -64,7 +64,8 @@ class KeyedEdges:
 
     def __init__(self, edges: DataFrame, key: str, other: str, parts: int | None = None):
         self.key = key
-        edges = cut(edges)  # usually a lazy plan (a derived graph): compute it once
+        if not is_table(edges):  # usually a lazy plan (a derived graph): compute it once
+            edges = cut(edges)
         deg = edges.groupBy(key).agg(F.count(F.lit(1)).alias("_c"))
         total, top = deg.agg(F.sum("_c"), F.max("_c")).first()  # one pass: size and largest degree
         total, top = total or 0, top or 0
@@ -431,21 +432,19 @@ def label_propagation(edges: DataFrame, max_steps: int = 20, cut_every: int = 5)
 
 def _min_label_forward(e: DataFrame, verts: DataFrame) -> DataFrame:
     """colour(v) = smallest id that reaches v (within the given edges); the
-    edges are held keyed by source for the whole propagation."""
+    edges are held keyed by source for the whole propagation.  One table a
+    round: every vertex, its colour and whether that moved."""
     ke = KeyedEdges(e, "src", "dst")
-    col = cut(verts.select("id", F.col("id").alias("c")))
-    changed = col
+    col = cut_to_table(verts.select("id", F.col("id").alias("c"), F.lit(True).alias("moved")))
     while True:
-        cand = (ke.join_state(changed)
-                .groupBy(F.col("dst").alias("id")).agg(F.min("c").alias("nc")))
-        imp = cut(cand.join(col, "id").filter(F.col("nc") < F.col("c"))
-                  .select("id", F.col("nc").alias("c")))
-        if imp.limit(1).count() == 0:
+        cand = (ke.join_state(col.filter("moved").select(F.col("id").alias("sid"), F.col("c").alias("sc")), "sid")
+                .groupBy(F.col("dst").alias("id")).agg(F.min("sc").alias("nc")))
+        old, col = col, cut_to_table(col.join(cand, "id", "left").select(
+            "id", F.least("c", "nc").alias("c"), F.coalesce(F.col("nc") < F.col("c"), F.lit(False)).alias("moved")))
+        release(old)
+        if col.filter("moved").limit(1).count() == 0:
             ke.unpersist()
             return col
-        col = cut(col.join(imp.withColumnRenamed("c", "n"), "id", "left")
-                  .select("id", F.coalesce("n", "c").alias("c")))
-        changed = imp
 
 
 def _union_all(pieces: list[DataFrame]) -> DataFrame:
@@ -455,64 +454,82 @@ def _union_all(pieces: list[DataFrame]) -> DataFrame:
     return out
 
 
+def _merged(pieces: list[DataFrame], keep: DataFrame | None = None) -> list[DataFrame]:
+    """The rows of some tables in one; the tables are deleted, all but ``keep``."""
+    one = cut_to_table(_union_all(pieces))
+    for p in pieces:
+        if p is not keep:
+            release(p)
+    return [one]
+
+
 def strongly_connected_components(edges: DataFrame, max_rounds: int | None = None,
                                   trim_passes: int | None = None) -> DataFrame:
     """Strongly connected components, label = lowest id in the component.
 
-    Colouring algorithm: repeatedly (1) peel vertices with no remaining in-
-    or out-edge (singletons), (2) colour each vertex with the smallest id
-    that reaches it, (3) from each colour root walk backwards inside its
-    colour — the vertices reached form the root's component.  Assigned
-    vertices are removed and the loop repeats on the rest.  Trimming runs
-    to a fixpoint by default (``trim_passes`` can end it earlier: colouring
-    finds the singletons too, but needs more rounds for them).  More than
-    ``max_rounds`` rounds, where given, are an error.  Results and
-    BFS frontiers are kept as unions of already-materialised pieces, so a
-    round never recomputes an earlier one.
+    Colouring algorithm: repeatedly (1) peel edges that no cycle can use: an
+    end without a remaining in- or out-edge is a singleton, (2) colour each
+    vertex with the smallest id that reaches it, (3) from each colour root walk
+    backwards inside its colour — the vertices reached form the root's
+    component.  Assigned vertices are removed with their edges and the loop
+    repeats on the rest; a vertex that no round assigns is its own component.
+    Trimming runs to a fixpoint by default (``trim_passes`` can end it earlier:
+    colouring finds the singletons too, but needs more rounds for them).  More
+    than ``max_rounds`` rounds, where given, are an error.  Every step writes
+    one table and deletes the one that it replaces, so that the driver keeps
+    neither plans nor lineage of earlier steps.
     """
-    e = cut(edges.select("src", "dst").filter(F.col("src") != F.col("dst")).distinct())
-    remaining = cut(vertices_of(edges))
+    given = cut_to_table(edges.select("src", "dst"))
+    e = cut_to_table(given.filter(F.col("src") != F.col("dst")).distinct())
     pieces: list[DataFrame] = []
     for _ in rounds(max_rounds, "strongly_connected_components"):
-        # (1) trim vertices without in- or out-edges among the remaining ones
+        # (1) trim edges that start at a vertex without in-edges or end at one without out-edges
+        size = e.count()
         for _ in itertools.count() if trim_passes is None else range(trim_passes):
-            outs = e.select(F.col("src").alias("id")).distinct()
-            ins = e.select(F.col("dst").alias("id")).distinct()
-            keep = cut(remaining.join(outs, "id", "left_semi").join(ins, "id", "left_semi"))
-            trimmed = cut(remaining.join(keep, "id", "left_anti").select("id", F.col("id").alias("scc")))
-            if trimmed.limit(1).count() == 0:
+            before, old = size, e
+            e = cut_to_table(e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
+                             .join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi"))
+            release(old)
+            size = e.count()
+            if size == before:
                 break
-            pieces.append(trimmed)
-            remaining = keep
-            e = cut(e.join(keep.withColumnRenamed("id", "src"), "src", "left_semi")
-                    .join(keep.withColumnRenamed("id", "dst"), "dst", "left_semi"))
-        if remaining.limit(1).count() == 0:
+        if size == 0:
             break
         # (2) forward colouring
-        col = _min_label_forward(e, remaining)
+        col = _min_label_forward(e, vertices_of(e))
         # (3) backward closure from each root inside its colour
-        ce = KeyedEdges(e.join(col.select(F.col("id").alias("src"), F.col("c").alias("cs")), "src")
-                        .join(col.select(F.col("id").alias("dst"), F.col("c").alias("cd")), "dst")
-                        .filter(F.col("cs") == F.col("cd"))
-                        .select("src", "dst", F.col("cs").alias("c")), "dst", "src")
-        frontier = cut(col.filter(F.col("id") == F.col("c")).select("id", F.col("c").alias("scc")))
+        inside = cut_to_table(e.join(col.select(F.col("id").alias("src"), F.col("c").alias("cs")), "src")
+                              .join(col.select(F.col("id").alias("dst"), F.col("c").alias("cd")), "dst")
+                              .filter(F.col("cs") == F.col("cd"))
+                              .select("src", "dst", F.col("cs").alias("c")))
+        ce = KeyedEdges(inside, "dst", "src")
+        frontier = cut_to_table(col.filter(F.col("id") == F.col("c")).select("id", F.col("c").alias("scc")))
         found = [frontier]
         while True:
-            nxt = cut(ce.join_state(frontier)
-                      .filter(F.col("c") == F.col("scc"))
-                      .select(F.col("src").alias("id"), "scc").distinct()
-                      .join(_union_all(found), "id", "left_anti"))
+            nxt = cut_to_table(ce.join_state(frontier)
+                               .filter(F.col("c") == F.col("scc"))
+                               .select(F.col("src").alias("id"), "scc").distinct()
+                               .join(_union_all(found), "id", "left_anti"))
             if nxt.limit(1).count() == 0:
                 break
             found.append(nxt)
             frontier = nxt
+            if len(found) > 16:  # merged now and then, not rewritten every step
+                found = _merged(found, frontier)
         ce.unpersist()
-        done = cut(_union_all(found))
-        pieces.append(done)
-        remaining = cut(remaining.join(done, "id", "left_anti"))
-        e = cut(e.join(remaining.withColumnRenamed("id", "src"), "src", "left_semi")
-                .join(remaining.withColumnRenamed("id", "dst"), "dst", "left_semi"))
-    return _union_all(pieces) if pieces else remaining.select("id", F.col("id").alias("scc"))
+        pieces += _merged(found)
+        done = pieces[-1].select("id")
+        rest = cut_to_table(e.join(done.withColumnRenamed("id", "src"), "src", "left_anti")
+                            .join(done.withColumnRenamed("id", "dst"), "dst", "left_anti"))
+        for old in (e, col, inside, frontier, nxt):
+            release(old)
+        e = rest
+        if len(pieces) > 16:
+            pieces = _merged(pieces)
+    out = vertices_of(given)
+    if not pieces:
+        return out.select("id", F.col("id").alias("scc"))
+    return out.join(_union_all(pieces), "id", "left").select("id", F.coalesce("scc", "id").alias("scc"))
 
 
 # --------------------------------------------------------------------------

@@ -63,7 +63,7 @@ def cut_to_table(df: DataFrame) -> DataFrame:
     from ..session import scratch_path
     path = scratch_path(df.sparkSession, "state")
     df.write.parquet(path)
-    out = df.sparkSession.read.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)  # the schema is known: no job to infer it
     _PATHS[id(out)] = path
     weakref.finalize(out, _PATHS.pop, id(out), None)
     return out
@@ -72,6 +72,11 @@ def cut_to_table(df: DataFrame) -> DataFrame:
 _PATHS: dict[int, str] = {}
 
 
+def is_table(df: DataFrame) -> bool:
+    """Whether ``df`` is a table just as ``cut_to_table`` returned it."""
+    return id(df) in _PATHS
+
+
 def release(df: DataFrame) -> None:
     """Delete a table made by ``cut_to_table`` that nothing will read again (a
     superseded loop state)."""

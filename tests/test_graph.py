@@ -301,3 +301,18 @@ def test_components_null_ends_and_text_ids(spark):
     e = spark.createDataFrame([("b", "c"), ("c", "a"), ("d", None), (None, "e"), (None, None), ("é", "z"), ("z", "z")], "src string, dst string")
     assert rows(G.connected_components(e)) == [("a", "a"), ("b", "a"), ("c", "a"), ("d", "d"), ("e", "e"), ("z", "z"), ("é", "z")]
     assert rows(G.connected_components(e.filter("src = 'none'"))) == []
+
+
+def test_scc_leaves_no_plans_or_lineage_behind(spark, monkeypatch):
+    """Steps are written tables, not checkpoints that the driver keeps, and superseded ones are deleted."""
+    cuts, tables, cut, table, gone = [], [], G.cut, G.cut_to_table, G.release
+    monkeypatch.setattr(G, "cut", lambda d: cuts.append(d) or cut(d))
+    monkeypatch.setattr(G, "cut_to_table", lambda d: tables.append(table(d)) or tables[-1])
+    path = [(i, i + 1) for i in range(9)] + [(9, 20), (20, 21), (21, 22), (22, 20), (22, 30), (30, 31), (31, 30), (40, 40)]
+    got = G.strongly_connected_components(edges(spark, path))
+    want = {v: v for p in path for v in p} | {20: 20, 21: 20, 22: 20, 30: 30, 31: 30}
+    assert dict(rows(got)) == want
+    assert len(cuts) <= 4  # at most the salts of hot vertices, for each held edge table
+    assert sum(G.is_table(t) for t in tables) <= 4
+    with pytest.raises(RuntimeError):
+        G.strongly_connected_components(edges(spark, path), max_rounds=1)
