@@ -19,12 +19,10 @@ def convert_reviews(blocks: DataFrame, col: str = "value") -> DataFrame:
     """Each row is one blank-line separated block of ``key: value`` lines
     (``spark.read.option('lineSep', '\\n\\n').text``).  Lines without a
     ``:`` are skipped; a block must then hold exactly 8 fields; output is
-    ``hashCode(field0)::hashCode(field1)::field4::field5``."""
-    lines = F.filter(F.transform(F.split(F.col(col), "\n"), lambda l: F.trim(l)),
-                     lambda l: F.length(l) > 0)
-    kv = F.filter(F.transform(lines, lambda l: F.split(l, r"\s*:\s*", 2)),
-                  lambda p: F.size(p) == 2)
-    vals = F.transform(kv, lambda p: p[1])
+    ``hashCode(field0)::hashCode(field1)::field4::field5``.  One compiled
+    expression reads a block; a lambda over its lines would be interpreted."""
+    # of every line with a colon, what follows the first one, without white space before and blanks after it
+    vals = F.regexp_extract_all(F.col(col), F.lit(r"(?dm)^[^\n:]*:[^\S\n]*([^\n]*?) *$"), 1)
     b = blocks.select(vals.alias("f")).filter(F.size("f") == REVIEW_FIELDS)
     return b.select(F.concat_ws("::", java_hash_code(F.col("f")[0]).cast("string"),
                                 java_hash_code(F.col("f")[1]).cast("string"),

@@ -69,3 +69,23 @@ def test_generators(spark):
     assert d.count() == 100 and set(rows(d.select("label").distinct())) <= {(0.0,), (1.0,)}
     v = P.page_views(spark, 1000)
     assert v.filter("user < 1 or user > 100").count() == 0
+
+
+def test_review_blocks_by_one_expression(spark):
+    """The compiled expression reads lines as trimming and splitting them does."""
+    import random
+    import re
+    rng = random.Random(5)
+    blocks = ["\n".join("".join(rng.choice("ab:  \t\r ") for _ in range(rng.randrange(9))) for _ in range(rng.randrange(8, 14))) for _ in range(3000)]
+    blocks += ["\n".join(f"k{i}: v:{i} \t  " for i in range(8)), "", None, "\n" + "\n\n".join(f" : {i}" for i in range(8)) + "\n"]
+
+    def fields(block):
+        lines = [x.strip(" ") for x in (block or "").split("\n")]
+        return [m[1] for m in (re.split(r"[ \t\n\x0b\f\r]*:[ \t\n\x0b\f\r]*", x, maxsplit=1) for x in lines if x) if len(m) == 2]
+
+    from tessera.operators.prep import convert_reviews
+    df = convert_reviews(spark.createDataFrame([(b,) for b in blocks], "value string"))
+    assert "lambda" not in df._jdf.queryExecution().toString()
+    got = sorted(tuple(r.line.split("::", 2)[2:]) for r in df.collect())
+    want = sorted((f"{f[4]}::{f[5]}",) for f in map(fields, blocks) if len(f) == 8)
+    assert got == want and len(want) > 40
