@@ -71,12 +71,13 @@ def als(ratings: DataFrame, rank: int = 10, iters: int = 3, reg: float = 0.01, s
 
 
 def score(model, data: DataFrame, default: float) -> DataFrame:
-    """JN6: every row of ``data`` with the prediction for its (user, item),
-    joined on both columns; a pair that the model cannot score (an unseen user
-    or item) gets ``default``, so every row is scored."""
-    p = model.transform(data.select("user", "item").distinct())
-    return (data.join(p, ["user", "item"])
-            .withColumn("prediction", F.when(F.isnan("prediction"), F.lit(default)).otherwise(F.col("prediction"))))
+    """JN6: every row of ``data`` with the prediction for its (user, item): it
+    is joined with the factors of both, which are unique by id, and is neither
+    reduced to distinct pairs nor joined with them again; a pair that the model
+    cannot score (an unseen user or item) gets ``default``, so every row with
+    both ids is scored."""
+    p = model.transform(data.dropna(subset=["user", "item"]))
+    return (p.withColumn("prediction", F.when(F.isnan("prediction"), F.lit(default)).otherwise(F.col("prediction"))))
 
 
 def rmse(model, data: DataFrame, default: float) -> float | None:

@@ -65,3 +65,14 @@ def test_users_go_only_to_blocks_that_can_reach_their_floor(spark, monkeypatch):
     sides = (spark.createDataFrame(users, "user long, factors array<double>"), spark.createDataFrame(items, "item long, factors array<double>"))
     assert got(recommend(*sides, 3, spark.createDataFrame([*rated], "user long, item long"), 16)) == brute(users, items, 3, rated)
     assert copies[0] == 60 and sum(copies) < 60 * 900 / (16 * R.WIDE) / 2
+
+
+def test_scores_join_each_rating_once(spark):
+    """Repeated pairs keep their rows, unseen ones get the default; no pass over distinct pairs."""
+    data = [(u, i, float(u + i)) for u in range(4) for i in range(3)]
+    m = M.als(spark.createDataFrame(data, "user int, item int, rating double"), rank=2, iters=1)
+    d = spark.createDataFrame([(0, 0, 1.0), (0, 0, 2.0), (9, 1, 3.0), (None, 1, 4.0)], "user int, item int, rating double")
+    s = M.score(m, d, -1.0)
+    out = sorted((r.user, r.item, r.rating, r.prediction == -1.0) for r in s.collect())
+    assert out == [(0, 0, 1.0, False), (0, 0, 2.0, False), (9, 1, 3.0, True)]
+    assert "Aggregate" not in s._jdf.queryExecution().optimizedPlan().toString()
