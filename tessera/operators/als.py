@@ -3,10 +3,10 @@ and the scoring join (JN6), on 64-bit ids.
 
 One half step joins the ratings with the factors of one side and sums, for every
 id of the other, the outer products of those factors and their products with
-the ratings; ids are then solved for in Arrow batches.  The sums are one partial
-aggregate, so an item of many ratings is combined before the shuffle, and the
-joined tables are written ones, plain shuffles on both sides, which AQE may
-split.  Nothing of the model passes through the driver.
+the ratings; ids are then solved for in Arrow batches.  A rating is sent with its
+vector to the id that is summed, where the sums run in place, whatever the number
+of ratings; the joined tables are written ones, plain shuffles on both sides,
+which AQE may split.  Nothing of the model passes through the driver.
 """
 
 from __future__ import annotations
@@ -40,7 +40,8 @@ def _solve(rank: int, gram: Column, rhs: Column, ridge: Column) -> Column:
 def _half(ratings: DataFrame, factors: DataFrame, key: str, other: str, rank: int, reg: float) -> DataFrame:
     """Factors ``(key, factors)`` that fit the ratings best, given the other side's."""
     f = lambda i: F.get(F.col("factors"), i)
-    x = (ratings.join(factors, other)
+    # a rating moves once, with one vector: partial sums, of few ratings each, would be rank + 3 times as many numbers
+    x = (ratings.join(factors, other).select(key, "rating", "factors").repartition(key)
          .withColumn("_i", F.explode(F.array(*[F.lit(i) for i in range(rank)]))))  # a row of the matrix each
     g = x.groupBy(key, "_i").agg(
         *[F.sum(f(F.col("_i")) * f(F.lit(j))).alias(f"g{j}") for j in range(rank)],

@@ -65,3 +65,13 @@ def test_search_keeps_the_best(spark):
 def test_settings_are_checked(spark):
     with pytest.raises(ValueError):
         als_normal(spark.createDataFrame([], SCHEMA), 2, 1, 0.0)
+
+
+def test_ratings_are_summed_where_they_are_sent(spark):
+    """No partial sums of one vector each go through a shuffle."""
+    from tessera.operators import als
+    from tessera.operators.iterate import cut_to_table
+    r = cut_to_table(spark.createDataFrame([(u, i, 1.0 * (u + i)) for u in range(9) for i in range(4)], "user long, item long, rating double"))
+    f = cut_to_table(spark.createDataFrame([(i, [1.0, 2.0 + i]) for i in range(4)], "item long, factors array<double>"))
+    plan = als._half(r, f, "user", "item", 2, 0.1)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_COL" in plan and "_i#" not in "".join(x for x in plan.splitlines() if "Exchange hashpartitioning" in x)
