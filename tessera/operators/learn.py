@@ -296,9 +296,10 @@ WHITESPACE = r"[ \t\n\r\f\x0B]+"
 def term_frequencies(docs: DataFrame, doc_col: str, text_col: str,
                      pattern: str = WHITESPACE) -> DataFrame:
     """(doc, term, tf) with tokens = text split on ``pattern``, empty tokens
-    dropped.  Counting is a partial aggregate per (doc, term)."""
-    tok = docs.select(F.col(doc_col).alias("doc"),
-                      F.explode(F.split(F.col(text_col), pattern)).alias("term"))
+    dropped.  What is shuffled is each text, once, to its document's place;
+    its terms are split and counted there."""
+    tok = docs.select(F.col(doc_col).alias("doc"), F.col(text_col).alias("text")).repartition("doc")
+    tok = tok.select("doc", F.explode(F.split("text", pattern)).alias("term"))
     return (tok.filter(F.length("term") > 0)
             .groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf")))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import java_hash_code, sig
 from ..operators import learn as L
-from ..sources.tables import Tables, spread
+from ..sources.tables import Tables
 
 Q = {}
 SQL = {}
@@ -234,8 +234,7 @@ _TFIDF_SQL = r"""with tok as (select doc_id doc, unnest(regexp_split_to_array(te
 
 @register("tfidf_terms", _TFIDF_SQL + "select doc doc_id, term, tf, round(tfidf, 9) tfidf from x")
 def tfidf_terms(spark, sf):
-    d = spread(Tables(spark, sf).documents)
-    x = L.tfidf(d, "doc_id", "text")
+    x = L.tfidf(Tables(spark, sf).documents, "doc_id", "text")
     return x.select(F.col("doc").alias("doc_id"), "term", "tf", F.round("tfidf", 9).alias("tfidf"))
 
 
@@ -248,7 +247,7 @@ from documents d left join x on x.doc = d.doc_id group by d.doc_id, d.lang""")
 def tfidf_labelled(spark, sf):
     """ML14: TF-IDF rows labelled by the document's category (here the
     language) through its 32-bit string hash."""
-    d = spread(Tables(spark, sf).documents)
+    d = Tables(spark, sf).documents
     x = L.tfidf(d, "doc_id", "text")
     agg = x.groupBy("doc").agg(F.count_if(F.col("tfidf") > 0).alias("n_terms"),
                                F.sqrt(F.sum(F.col("tfidf") * F.col("tfidf"))).alias("norm"))
@@ -567,6 +566,6 @@ select doc doc_id, count(*) filter (where tfidf <> 0) nnz, cast(printf('%.8e', s
 def hashing_tfidf(spark, sf):
     """ML13b: hashed TF-IDF (2^20 buckets, minDocFreq 2) per document:
     non-zero buckets and L1 norm."""
-    x = L.hashed_tfidf(spread(Tables(spark, sf).documents), "doc_id", "text")
+    x = L.hashed_tfidf(Tables(spark, sf).documents, "doc_id", "text")
     return x.groupBy(F.col("doc").alias("doc_id")).agg(
         F.count_if(F.col("tfidf") != 0).alias("nnz"), sig(F.sum("tfidf"), 9).alias("l1"))

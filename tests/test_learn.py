@@ -169,3 +169,10 @@ def test_principal_components_equal_eigenvectors(spark):
     assert np.abs(flat @ flat.T - np.eye(3)).max() < 1e-6
     with pytest.raises(ValueError):
         L.principal_components(cov, 7)
+
+
+def test_texts_move_once_and_terms_are_counted_there(spark):
+    docs = spark.createDataFrame([(1, "a b a"), (1, "a  c"), (None, "b"), (2, None)], "id long, text string")
+    tf = L.term_frequencies(docs, "id", "text")
+    assert sorted(map(tuple, tf.collect()), key=str) == sorted([(1, "a", 3), (1, "b", 1), (1, "c", 1), (None, "b", 1)], key=str)
+    assert tf._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange hashpartitioning") == 1
