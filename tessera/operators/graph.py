@@ -23,7 +23,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .iterate import Loop, cut, cut_to_table, hold, is_table, release, rounds
+from .iterate import Loop, cut, cut_to_table, hold, is_table, release, rounds, small_tasks
 
 INF = float("inf")
 
@@ -257,10 +257,17 @@ def connected_components(edges: DataFrame, max_iter: int | None = None) -> DataF
     with log(n), not with the graph diameter.  Stops when the edges form stars (no
     edge ends at a vertex that itself has a smaller neighbour).  The smallest
     neighbours are cut before they are joined, so that AQE can split the root of a
-    giant component.  A null end is no vertex; the other end of its edge is one.
+    giant component, and a task's rows are few whatever the size of the graph
+    (:func:`small_tasks`).  A null end is no vertex; the other end of its edge is one.
     """
     ends = edges.select(F.coalesce("src", "dst").alias("u"), F.coalesce("dst", "src").alias("v")).filter("u is not null")
     forest = cut_to_table(ends.mapInArrow(_forests, ends.schema))
+    with small_tasks(edges.sparkSession, forest.count()):
+        return _stars(forest, max_iter)
+
+
+def _stars(forest: DataFrame, max_iter: int | None) -> DataFrame:
+    """Star rounds over the forest's edges until they form stars."""
     verts = forest.select(F.col("u").alias("id")).distinct()
     e = forest.filter("u <> v")
     for _ in rounds(max_iter, "connected_components"):
@@ -282,8 +289,8 @@ def connected_components(edges: DataFrame, max_iter: int | None = None) -> DataF
         old, e = e, cut_to_table(small)
         for done in (old, m, m2):
             release(done)
-    return (verts.join(m.select(F.col("a").alias("id"), F.col("ma").alias("component")), "id", "left")
-            .select("id", F.coalesce("component", "id").alias("component")))
+    return cut_to_table(verts.join(m.select(F.col("a").alias("id"), F.col("ma").alias("component")), "id", "left")
+                        .select("id", F.coalesce("component", "id").alias("component")))
 
 
 # --------------------------------------------------------------------------

@@ -11,9 +11,10 @@ from __future__ import annotations
 
 import weakref
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from ..session import checkpoint_root
 
@@ -49,6 +50,22 @@ def rounds(limit: int | None, what: str) -> Iterator[int]:
     raise RuntimeError(f"{what}: not finished after {limit} rounds")
 
 
+@contextmanager
+def small_tasks(spark: SparkSession, rows: int, each: int = 500_000) -> Iterator[None]:
+    """Within it a task of a shuffle or a file scan gets about ``each`` of ``rows``
+    rows, whatever the session's settings are for the table sizes it knows: the
+    memory of a task then does not grow with the data.  Only for plans that run
+    inside; AQE still merges small partitions."""
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.files.maxPartitionBytes")}
+    spark.conf.set("spark.sql.shuffle.partitions", str(max(int(old["spark.sql.shuffle.partitions"]), -(-rows // each))))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8m")  # two long columns that repeat take a few bytes a row
+    try:
+        yield
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
 def join_plain(big: DataFrame, side: DataFrame, on) -> DataFrame:
     """Inner join with a grouped side of one row per key, which is written
     first.  AQE splits a hot key's partition only where both sides of the join

@@ -316,3 +316,18 @@ def test_scc_leaves_no_plans_or_lineage_behind(spark, monkeypatch):
     assert sum(G.is_table(t) for t in tables) <= 4
     with pytest.raises(RuntimeError):
         G.strongly_connected_components(edges(spark, path), max_rounds=1)
+
+
+def test_components_run_in_small_tasks(spark, monkeypatch):
+    """Star rounds run with partitions by their rows, and the settings are as before afterwards."""
+    from tessera.operators import iterate
+    key, seen, whole = "spark.sql.shuffle.partitions", [], G._stars
+    before = spark.conf.get(key)
+    with iterate.small_tasks(spark, 10, each=1):
+        assert spark.conf.get(key) == "10"
+    with pytest.raises(ZeroDivisionError), iterate.small_tasks(spark, 10 ** 6, each=10):
+        assert 1 // int(spark.conf.get(key) != "100000")
+    monkeypatch.setattr(G, "small_tasks", lambda s, rows: iterate.small_tasks(s, rows, 1))
+    monkeypatch.setattr(G, "_stars", lambda *a: seen.append(spark.conf.get(key)) or whole(*a))
+    assert rows(G.connected_components(edges(spark, [(i, i + 1) for i in range(7)]))) == [(i, 0) for i in range(8)]
+    assert int(seen[0]) > int(before) and spark.conf.get(key) == before
