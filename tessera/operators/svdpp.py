@@ -5,8 +5,11 @@ vertex-centric form of the graph library the reference calls.
 State per vertex ``(id, v1, v2, b, n)``: for a user v1 = p (factors), v2 =
 p + |N(u)|^-1/2 * sum of its items' y; for an item v1 = q, v2 = y; b the
 bias; n = |N|^-1/2 (after the final error pass, an item's n holds the sum of
-its squared training errors).  Every step is a join of the edges with one end's
-state and a keyed sum, combined map-side before the shuffle.
+its squared training errors).
+
+The edges lie in a grid of cells, a block of users by a block of items.  A step
+sends a vertex's vectors once to each cell where it has edges, not once with each
+edge, and gets back a sum for each vertex and cell.
 """
 
 from __future__ import annotations
@@ -67,98 +70,212 @@ def _dot(a: Column, b: Column) -> Column:
 _WIDTH = 10  # components that one row of an aggregate sums
 
 
-def _sums(df: DataFrame, key: str, vectors: dict[str, tuple[Column | None, str]], scalars: dict[str, Column], rank: int) -> DataFrame:
-    """Per key, ``sum(factor * array)`` element by element for each named
-    ``(factor, array)`` and the sums of the scalars, in one partial aggregate,
-    so that a vertex of many edges is combined before the shuffle.
+def _sums(df: DataFrame, vectors: list[str], scalars: list[str], rank: int) -> DataFrame:
+    """Per id, the sums of the vectors, element by element, and of the scalars,
+    where each row is shuffled once.
 
-    An edge has a row for every ``_WIDTH`` components: an aggregate of a few
+    A row becomes one for every ``_WIDTH`` components: an aggregate of a few
     sums is compiled to machine code, one of a hundred sums is not.
     """
     blocks = -(-rank // _WIDTH)
-    x = df.withColumn("_at", F.explode(F.array(*[F.lit(i) for i in range(blocks)])))
-    at = lambda a, j: F.get(F.col(a), F.col("_at") * F.lit(_WIDTH) + F.lit(j))
-    aggs = [F.sum(at(a, j) if f is None else f * at(a, j)).alias(f"{n}_{j}")
-            for n, (f, a) in vectors.items() for j in range(_WIDTH)]
-    g = x.groupBy(key, "_at").agg(*aggs, *[F.sum(c).alias(n) for n, c in scalars.items()])
+    x = df.repartition("id").withColumn("_at", F.explode(F.array(*[F.lit(i) for i in range(blocks)])))
+    aggs = [F.sum(F.get(F.col(n), F.col("_at") * F.lit(_WIDTH) + F.lit(j))).alias(f"{n}_{j}")
+            for n in vectors for j in range(_WIDTH)]
+    g = x.groupBy("id", "_at").agg(*aggs, *[F.sum(n).alias(n) for n in scalars])
     rows = F.array_sort(F.collect_list(F.struct(
         "_at", *scalars, *[F.array(*[F.col(f"{n}_{j}") for j in range(_WIDTH)]).alias(n) for n in vectors])))
-    g = g.groupBy(F.col(key).alias("id")).agg(rows.alias("_rows"))
+    g = g.groupBy("id").agg(rows.alias("_rows"))
     return g.select("id", *[F.col("_rows")[0][n].alias(n) for n in scalars],
                     *[F.slice(F.flatten(F.col(f"_rows.{n}")), 1, rank).alias(n) for n in vectors])
 
 
+_BLOCK = 250_000    # users or items of a cell, on average: what bounds a task's memory
+_EDGES = 2_000_000  # edges of a cell, on average
+
+_EDGE, _USER, _ITEM = 0, 1, 2  # kinds of rows that a cell gets
+_OUT = {"ys": "id long, ys array<double>",
+        "step": "id long, c double, ci double, es double, en double, w1 array<double>, w2 array<double>",
+        "error": "id long, se double"}
+
+
+def _cell(what: str, mean: float | None, conf: SvdConf, seed: int):
+    """Arrow function of a cell's rows ``(cell, kind, src, dst, x, n, a, b)``:
+    edges with their rating x; users with bias x, n and a = v2; items with bias
+    x, a = v1 and b = v2.  An empty vector is still at its start.
+
+    * ``ys``: each user's sum of its items' v2 (an item without a row: the start);
+    * ``step``: for users and items the edges c, those as item ci, the errors es,
+      en = sum of err * n, w1 = sum of err * the other end's vector and, for users,
+      w2 = sum of err * n * v1 - gamma7 * v2 of the items;
+    * ``error``: each item's sum of squared errors.
+
+    An edge without a rating has no error, but is counted.  The work goes
+    component by component, so that no vector is made for an edge.
+    """
+    rank, lo, hi, g7 = conf.rank, conf.min_val, conf.max_val, conf.gamma7
+    prime, root = _PRIME, _ROOT
+    starts = {salt: start_constants(rank, seed, salt) for salt in (1, 2)}
+    kinds = _EDGE, _USER, _ITEM
+
+    def task(t):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        def numbers(col):
+            return pc.fill_null(col, float("nan")).to_numpy()
+
+        def component(ids, col, salt):
+            """Component k of the vectors of ``ids``, for any k."""
+            col = col.combine_chunks()
+            known = pc.list_value_length(col).to_numpy() > 0
+            flat = col.flatten().to_numpy(zero_copy_only=False).reshape(-1, rank)
+            base = ids % prime + root
+
+            def of(k):
+                if known.all():
+                    return np.ascontiguousarray(flat[:, k])
+                x = base * starts[salt][k] % prime / float(prime)
+                x[known] = flat[:, k]
+                return x
+            return of
+
+        def places(ids, ends):
+            order = np.argsort(ids)
+            return order[np.searchsorted(ids, ends, sorter=order)]
+
+        def lists(m):
+            return pa.ListArray.from_arrays(np.arange(0, m.size + 1, rank, dtype=np.int32), m.reshape(-1))
+
+        def batches(*tables):
+            return pa.Table.from_batches([b for x in tables for b in x.to_batches(max_chunksize=10_000)], tables[0].schema)
+
+        edges, users, items = (t.filter(pc.equal(t["kind"], k)) for k in kinds)
+        del t
+        src, dst = edges["src"].to_numpy(), edges["dst"].to_numpy()
+        if what == "ys":
+            uid, s = np.unique(src, return_inverse=True)
+            iid, d = np.unique(dst, return_inverse=True)
+            vectors = pa.chunked_array([pa.array([[]] * len(iid), pa.list_(pa.float64()))])
+            if len(items):
+                iid, vectors = items["dst"].to_numpy(), items["b"]
+                d = places(iid, dst)
+            y = component(iid, vectors, 2)
+            w = np.empty((len(uid), rank))
+            for k in range(rank):
+                w[:, k] = np.bincount(s, y(k)[d], len(uid))
+            return batches(pa.table({"id": uid, "ys": lists(w)}))
+
+        uid, iid = users["src"].to_numpy(), items["dst"].to_numpy()
+        s, d = places(uid, src), places(iid, dst)
+        z, q = component(uid, users["a"], 2), component(iid, items["a"], 1)
+        pred = mean + numbers(users["x"])[s] + numbers(items["x"])[d] if mean is not None else np.full(len(s), np.nan)
+        for k in range(rank):
+            pred += z(k)[s] * q(k)[d]
+        rated = edges["x"].is_valid().to_numpy()
+        # a prediction that is not a number counts as the largest, as in least(greatest())
+        err = np.where(rated, numbers(edges["x"]) - np.fmin(np.maximum(pred, lo), hi), 0.0)
+        if what == "error":
+            any_rated = np.bincount(d, rated, len(iid)) > 0
+            return batches(pa.table({"id": iid[any_rated], "se": np.bincount(d, err * err, len(iid))[any_rated]}))
+
+        y, n = component(iid, items["b"], 2), numbers(users["n"])
+        w1, w2, i1 = np.empty((len(uid), rank)), np.empty((len(uid), rank)), np.empty((len(iid), rank))
+        for k in range(rank):
+            w1[:, k] = np.bincount(s, err * q(k)[d], len(uid))
+            w2[:, k] = n * w1[:, k] - g7 * np.bincount(s, y(k)[d], len(uid))
+            i1[:, k] = np.bincount(d, err * z(k)[s], len(iid))
+        cu, ci = np.bincount(s, minlength=len(uid)).astype(float), np.bincount(d, minlength=len(iid)).astype(float)
+        return batches(
+            pa.table({"id": uid, "c": cu, "ci": np.zeros(len(uid)), "es": np.bincount(s, err, len(uid)),
+                      "en": np.zeros(len(uid)), "w1": lists(w1), "w2": lists(w2)}),
+            pa.table({"id": iid, "c": ci, "ci": ci, "es": np.bincount(d, err, len(iid)),
+                      "en": np.bincount(d, err * n[s], len(iid)), "w1": lists(i1),
+                      "w2": pa.nulls(len(iid), pa.list_(pa.float64()))}))
+
+    return task
+
+
 def svd_plus_plus(edges: DataFrame, conf: SvdConf = SvdConf(), seed: int = 0):
     """Train on ``edges(src=user, dst=item, rating)``; returns
     ``(vertices, mean)`` where vertices is ``(id, v1, v2, b, n)``.
 
-    No vector is computed for an edge: an edge's part of every gradient is its
-    error times its other end's vector, summed in the aggregate, and what
-    depends on the vertex alone is added once a vertex.  Every join is between
-    written tables, plain shuffles on both sides, so AQE may split the
-    partition of an item with many ratings.
+    A vector that no step has changed yet is kept as null and computed from the
+    id where it is used, so it is neither written nor sent.
     """
     r = conf.rank
     e = cut(edges.select("src", "dst", F.col("rating").cast("double").alias("r")))
-    u = e.agg(F.avg("r")).first()[0]
-    ends = e.select(F.col("src").alias("id"), "r").union(e.select(F.col("dst").alias("id"), "r"))
-    t0 = ends.groupBy("id").agg(F.count(F.lit(1)).alias("c"), F.sum("r").alias("s"))
-    v = cut(t0.select("id", _start(F.col("id"), r, seed, 1).alias("v1"), _start(F.col("id"), r, seed, 2).alias("v2"),
-                      (F.col("s") / F.col("c") - F.lit(u)).alias("b"),
-                      (F.lit(1.0) / F.sqrt(F.col("c"))).alias("n")))
+    u, n_edges, n_users, n_items = e.agg(F.avg("r"), F.count(F.lit(1)), F.approx_count_distinct("src"),
+                                         F.approx_count_distinct("dst")).first()
+    gu = max(1, -(-n_users // _BLOCK))
+    gi = max(1, -(-n_items // _BLOCK), -(-n_edges // (gu * _EDGES)))
+
+    def block(c: str, blocks: int) -> Column:
+        return F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(blocks)).cast("int")
+
+    def row(cell: Column, kind: int, src=None, dst=None, x=None, n=None, a=None, b=None) -> list[Column]:
+        numbers = {"src": (src, "long"), "dst": (dst, "long"), "x": (x, "double"), "n": (n, "double")}
+        empty = F.array().cast("array<double>")  # not null: Spark looks at all nulls before a row to size an Arrow batch
+        return [cell.alias("cell"), F.lit(kind).cast("tinyint").alias("kind"),
+                *[(F.lit(None) if c is None else F.col(c)).cast(t).alias(k) for k, (c, t) in numbers.items()],
+                *[(empty if c is None else F.coalesce(c, empty)).alias(k) for k, c in (("a", a), ("b", b))]]
 
-    def users(vs: DataFrame) -> DataFrame:
-        return vs.select(F.col("id").alias("src"), F.col("v2").alias("z"), F.col("b").alias("bu"), F.col("n").alias("nu"))
+    pairs = e.filter(F.col("src").isNotNull() & F.col("dst").isNotNull())
+    in_grid = block("src", gu) * F.lit(gi) + block("dst", gi)
 
-    def items(vs: DataFrame) -> DataFrame:
-        return vs.select(F.col("id").alias("dst"), F.col("v1").alias("q"), F.col("v2").alias("y"), F.col("b").alias("bi"))
+    def cells(cell: Column, v: DataFrame | None, what: str, users: dict | None, items: dict | None) -> DataFrame:
+        rows = pairs.select(*row(cell, _EDGE, "src", "dst", "r"))
+        if users is not None:
+            rows = rows.unionByName(v.withColumn("_to", F.explode("to_items")).select(
+                *row(block("id", gu) * F.lit(gi) + F.col("_to"), _USER, src="id", x="b", n="n", **users)))
+        if items is not None:
+            rows = rows.unionByName(v.withColumn("_to", F.explode("to_users")).select(
+                *row(F.col("_to") * F.lit(gi) + block("id", gi), _ITEM, dst="id", x="b", **items)))
+        return rows.groupBy("cell").applyInArrow(_cell(what, u, conf, seed), _OUT[what])
 
-    def errors(vs: DataFrame) -> DataFrame:
-        """``(src, dst, err)`` of every edge."""
-        t = e.join(users(vs).drop("nu"), "src").join(items(vs).drop("y"), "dst")
-        pred = F.lit(u) + F.col("bu") + F.col("bi") + _dot(F.col("q"), F.col("z"))
-        return t.select("src", "dst", (F.col("r") - F.least(F.greatest(pred, F.lit(conf.min_val)),
-                                                            F.lit(conf.max_val))).alias("err"))
+    def reached(end: str, other: Column, name: str) -> DataFrame:
+        """The blocks of the other side where a vertex has edges."""
+        p = pairs.select(F.col(end).alias("id"), other.alias("_to")).distinct()
+        return p.groupBy("id").agg(F.collect_list("_to").alias(name))
+
+    ends = e.select(F.col("src").alias("id"), "r").union(e.select(F.col("dst").alias("id"), "r"))
+    t0 = ends.groupBy("id").agg(F.count(F.lit(1)).alias("c"), F.sum("r").alias("s"))
+    none = F.lit(None).cast("array<double>")
+    v = cut(t0.join(reached("src", block("dst", gi), "to_items"), "id", "left")
+            .join(reached("dst", block("src", gu), "to_users"), "id", "left")
+            .select("id", none.alias("v1"), none.alias("v2"), (F.col("s") / F.col("c") - F.lit(u)).alias("b"),
+                    (F.lit(1.0) / F.sqrt(F.col("c"))).alias("n"), "to_items", "to_users"))
+    v1 = F.coalesce("v1", _start(F.col("id"), r, seed, 1))
+    v2 = F.coalesce("v2", _start(F.col("id"), r, seed, 2))
 
     g1, g2, g6, g7 = (F.lit(g) for g in (conf.gamma1, conf.gamma2, conf.gamma6, conf.gamma7))
-    one, err = F.lit(1.0), F.col("err")
-    for _ in range(conf.max_iters):
-        # phase 1: users' v2 = p + n * sum of their items' y
-        ysum = _sums(e.join(items(v).select("dst", "y"), "dst"), "src", {"y": (None, "y")}, {}, r)
+    c, ci, en = F.col("c"), F.col("ci"), F.col("en")
+    for i in range(conf.max_iters):
+        # phase 1: users' v2 = p + n * sum of their items' y; the items' start takes
+        # no vectors, so that a user's edges may all lie in one cell
+        if i == 0:
+            ysum = cells(block("src", gu * gi), None, "ys", None, None)
+        else:
+            ysum = _sums(cells(in_grid, v, "ys", None, {"b": "v2"}), ["ys"], [], r)
         before = v
         v = cut(v.join(ysum, "id", "left").select(
-            "id", "v1", F.coalesce(F.zip_with("v1", "y", lambda p, y: p + F.col("n") * y), F.col("v2")).alias("v2"),
-            "b", "n"))
+            "id", "v1", F.coalesce(F.zip_with(v1, "ys", lambda p, y: p + F.col("n") * y), F.col("v2")).alias("v2"),
+            "b", "n", "to_items", "to_users"))
         release(before)
         # phase 2: gradients, summed on the users and on the items
-        x = cut(errors(v))
-        scalars = {"deg": one, "es": err}
-        mine = _sums(x.join(items(v).drop("bi"), "dst"), "src", {"eq": (err, "q"), "ys": (None, "y")}, scalars, r)
-        theirs = _sums(x.join(users(v).drop("bu"), "src"), "dst", {"ez": (err, "z")},
-                       {**scalars, "en": err * F.col("nu")}, r)
-        step = lambda old, grad: F.coalesce(F.zip_with(old, grad, lambda o, g: o + g2 * g), F.col(old))
-        as_user = v.join(mine, "id", "left").select(
-            "id", F.col("v1").alias("w1"), F.col("v2").alias("w2"), "b", "n",
-            F.zip_with("eq", "v1", lambda q, p: q - g7 * F.col("deg") * p).alias("d1"),
-            F.zip_with("eq", "ys", lambda q, y: F.col("n") * q - g7 * y).alias("d2"),
-            (g1 * (F.col("es") - g6 * F.col("deg") * F.col("b"))).alias("d3"))
-        both = as_user.join(theirs, "id", "left").select(
-            "id", "b", "n", "w1", "w2", "d1", "d2", "d3",
-            F.zip_with("ez", "w1", lambda z, q: z - g7 * F.col("deg") * q).alias("i1"),
-            F.zip_with("w1", "w2", lambda q, y: F.col("en") * q - g7 * F.col("deg") * y).alias("i2"),
-            (g1 * (F.col("es") - g6 * F.col("deg") * F.col("b"))).alias("i3"),
-            F.col("deg").isNotNull().alias("rated"))
+        grad = _sums(cells(in_grid, v, "step", {"a": "v2"}, {"a": "v1", "b": "v2"}),
+                     ["w1", "w2"], ["c", "ci", "es", "en"], r)
+        m2 = F.zip_with("w2", v1, lambda w, q: F.coalesce(w, F.lit(0.0)) + en * q)
         before = v
-        v = cut(both.select("id", "w1", "w2", "b", "n", "d1", "d2", "d3", "i1", "i3",
-                            F.when(F.col("rated"), F.col("i2")).alias("i2"))
-                .withColumns({"w1": step("w1", "d1"), "w2": step("w2", "d2")})
-                .select("id", step("w1", "i1").alias("v1"), step("w2", "i2").alias("v2"),
-                        (F.col("b") + F.coalesce("d3", F.lit(0.0)) + F.coalesce("i3", F.lit(0.0))).alias("b"), "n"))
+        v = cut(v.join(grad, "id", "left").select(
+            "id", F.coalesce(F.zip_with(v1, "w1", lambda o, g: o + g2 * (g - g7 * c * o)), F.col("v1")).alias("v1"),
+            F.coalesce(F.zip_with(v2, m2, lambda o, g: o + g2 * (g - g7 * ci * o)), F.col("v2")).alias("v2"),
+            (F.col("b") + F.coalesce(g1 * (F.col("es") - g6 * c * F.col("b")), F.lit(0.0))).alias("b"),
+            "n", "to_items", "to_users"))
         release(before)
-        release(x)
     # final pass: squared training error summed on each item
-    se = errors(v).groupBy(F.col("dst").alias("id")).agg(F.sum(err * err).alias("se"))
-    return v.join(se, "id", "left").select("id", "v1", "v2", "b", F.coalesce("se", "n").alias("n")), u
+    se = cells(in_grid, v, "error", {"a": "v2"}, {"a": "v1"}).groupBy("id").agg(F.sum("se").alias("se"))
+    return v.join(se, "id", "left").select("id", v1.alias("v1"), v2.alias("v2"), "b", F.coalesce("se", "n").alias("n")), u
 
 
 def training_error(vertices: DataFrame, edges: DataFrame, items: Column) -> DataFrame:

@@ -90,3 +90,52 @@ def test_start_is_the_stated_rule(spark):
     for r in v.collect():
         want = [(r["id"] + 48271) * a % (2 ** 31 - 1) / (2 ** 31 - 1) for a in start_constants(3, 0, 1)]
         assert r["v1"] == pytest.approx(want, abs=1e-15)
+
+
+def _by_loops(E, start, b, n, u, conf):
+    """SVD++ edge by edge; edges without an end are out, without a rating they have no error."""
+    v1, v2, b = ({k: np.array(start[k][0]) for k in start}, {k: np.array(start[k][1]) for k in start}, dict(b))
+    E = [x for x in E if x[0] is not None and x[1] is not None]
+
+    def error(s, d, r):
+        return 0.0 if r is None else r - min(max(u + b[s] + b[d] + v1[d] @ v2[s], conf.min_val), conf.max_val)
+
+    for _ in range(conf.max_iters):
+        v2 |= {k: v1[k] + n[k] * sum(v2[d] for s, d, _ in E if s == k) for k in {s for s, _, _ in E}}
+        m1, m2, m3 = {k: 0 * x for k, x in v1.items()}, {k: 0 * x for k, x in v2.items()}, dict.fromkeys(b, 0.0)
+        for s, d, r in E:
+            err = error(s, d, r)
+            for k, other in ((s, v1[d]), (d, v2[s])):
+                m1[k] += conf.gamma2 * (err * other - conf.gamma7 * v1[k])
+                m2[k] += conf.gamma2 * (err * n[s] * v1[d] - conf.gamma7 * v2[d])
+                m3[k] += conf.gamma1 * (err - conf.gamma6 * b[k])
+        v1, v2, b = ({k: x[k] + m[k] for k in x} for x, m in ((v1, m1), (v2, m2), (b, m3)))
+    se = {}
+    for s, d, r in E:
+        if r is not None:
+            se[d] = se.get(d, 0.0) + error(s, d, r) ** 2
+    return v1, v2, b, {**n, **se}
+
+
+def test_many_cells_and_steps_match_loops_and_no_edge_carries_a_vector(spark, monkeypatch):
+    """Cells of a few vertices, repeated edges, vertex 2 on both sides, nulls; two steps, the second with sent vectors."""
+    from tessera.operators import svdpp
+    for name, few in (("_BLOCK", 3), ("_EDGES", 8)):
+        monkeypatch.setattr(svdpp, name, few, raising=False)
+    rng = np.random.default_rng(5)
+    E = [(int(s), int(d), float(r)) for s, d, r in zip(rng.integers(0, 8, 60), rng.integers(20, 30, 60), rng.integers(1, 6, 60))]
+    E += [E[0], E[0], (1, 2, 4.0), (2, 25, 1.0), (3, 21, None), (None, 22, 3.0), (4, None, 2.0)]
+    edges = spark.createDataFrame(E, "src long, dst long, rating double")
+    v0, u = svd_plus_plus(edges, SvdConf(rank=13, max_iters=0))
+    assert v0._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1  # of the vertices, none of the edges
+    rows = {r["id"]: r for r in v0.collect() if r["id"] is not None}
+    deg = {k: sum(k in (s, d) for s, d, _ in E) for k in rows}
+    n = {k: c ** -0.5 for k, c in deg.items()}
+    conf = SvdConf(rank=13, max_iters=2)
+    v1, v2, b, last = _by_loops(E, {k: (r["v1"], r["v2"]) for k, r in rows.items()},
+                                {k: r["b"] for k, r in rows.items()}, n, u, conf)
+    got = {r["id"]: r for r in svd_plus_plus(edges, conf)[0].collect() if r["id"] is not None}
+    assert got.keys() == rows.keys()
+    for k, r in got.items():
+        assert np.allclose(r["v1"], v1[k]) and np.allclose(r["v2"], v2[k])
+        assert r["b"] == pytest.approx(b[k]) and r["n"] == pytest.approx(last[k])
