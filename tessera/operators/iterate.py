@@ -66,6 +66,21 @@ def small_tasks(spark: SparkSession, rows: int, each: int = 500_000) -> Iterator
             spark.conf.set(k, v)
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Within it Spark deletes the shuffle files of every query as soon as it has
+    ended, not when the driver's JVM happens to collect its plan: a loop of written
+    states then takes the disk of one step, not of all.  For results that are written
+    or collected once; a plan that runs inside must not be run again."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    old = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if old is None else spark.conf.set(key, old)
+
+
 def join_plain(big: DataFrame, side: DataFrame, on) -> DataFrame:
     """Inner join with a grouped side of one row per key, which is written
     first.  AQE splits a hot key's partition only where both sides of the join

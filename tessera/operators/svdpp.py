@@ -7,9 +7,12 @@ p + |N(u)|^-1/2 * sum of its items' y; for an item v1 = q, v2 = y; b the
 bias; n = |N|^-1/2 (after the final error pass, an item's n holds the sum of
 its squared training errors).
 
-The edges lie in a grid of cells, a block of users by a block of items.  A step
-sends a vertex's vectors once to each cell where it has edges, not once with each
-edge, and gets back a sum for each vertex and cell.
+The edges lie in a grid of cells, a block of users by a block of items; a task does
+one cell.  A step sends a vertex's vector once to each cell where it has edges, not
+once with each edge, and gets back a sum for each vertex and cell.  The task holds its
+users and reads items and edges in the order of the items, so that few blocks of users
+are enough.  Columns of the grid are done a few at a time, and what they shuffled is
+dropped before the next ones.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .iterate import cut_to_table as cut
-from .iterate import release
+from .iterate import is_table, release, shuffles_dropped
 
 
 @dataclass
@@ -89,109 +92,155 @@ def _sums(df: DataFrame, vectors: list[str], scalars: list[str], rank: int) -> D
                     *[F.slice(F.flatten(F.col(f"_rows.{n}")), 1, rank).alias(n) for n in vectors])
 
 
-_BLOCK = 250_000    # users or items of a cell, on average: what bounds a task's memory
-_EDGES = 2_000_000  # edges of a cell, on average
+_BLOCK = 500_000    # users of a block, on average: what bounds a task's memory
+_EDGES = 8_000_000  # edges of a cell, on average; down to a 16th where cores would be idle
 
-_EDGE, _USER, _ITEM = 0, 1, 2  # kinds of rows that a cell gets
 _OUT = {"ys": "id long, ys array<double>",
         "step": "id long, c double, ci double, es double, en double, w1 array<double>, w2 array<double>",
         "error": "id long, se double"}
 
 
-def _cell(what: str, mean: float | None, conf: SvdConf, seed: int):
-    """Arrow function of a cell's rows ``(cell, kind, src, dst, x, n, a, b)``:
-    edges with their rating x; users with bias x, n and a = v2; items with bias
-    x, a = v1 and b = v2.  An empty vector is still at its start.
+def _cell(what: str, mean: float | None, conf: SvdConf, seed: int, both: bool):
+    """Arrow function of a cell's rows ``(src, dst, x, vec)``: first its users (no
+    dst; vec is b, n and v2), then, ordered by dst, each item (no src; vec is b and a
+    vector) before its edges with their rating x.  A vector that is left out is still
+    at its start, as is that of an item without a row.
 
-    * ``ys``: each user's sum of its items' v2 (an item without a row: the start);
-    * ``step``: for users and items the edges c, those as item ci, the errors es,
-      en = sum of err * n, w1 = sum of err * the other end's vector and, for users,
-      w2 = sum of err * n * v1 - gamma7 * v2 of the items;
-    * ``error``: each item's sum of squared errors.
+    * ``ys`` (items with v2): each user's sum of its items' v2;
+    * ``step`` (items with v1): for users and items the edges c, those as item ci, the
+      errors es, en = sum of err * n, w1 = sum of err * the other end's vector; if
+      ``both`` (items with v1 and v2), for users also w2 = n * w1 - gamma7 * sum of
+      the items' v2;
+    * ``error`` (items with v1): each item's sum of squared errors.
 
-    An edge without a rating has no error, but is counted.  The work goes
-    component by component, so that no vector is made for an edge.
+    An item's sums may come in parts.  An edge without a rating has no error, but is
+    counted.
     """
     rank, lo, hi, g7 = conf.rank, conf.min_val, conf.max_val, conf.gamma7
     prime, root = _PRIME, _ROOT
     starts = {salt: start_constants(rank, seed, salt) for salt in (1, 2)}
-    kinds = _EDGE, _USER, _ITEM
+    item_salt = 2 if what == "ys" else 1
 
-    def task(t):
+    def task(batches):
         import numpy as np
         import pyarrow as pa
         import pyarrow.compute as pc
 
         def numbers(col):
-            return pc.fill_null(col, float("nan")).to_numpy()
-
-        def component(ids, col, salt):
-            """Component k of the vectors of ``ids``, for any k."""
-            col = col.combine_chunks()
-            known = pc.list_value_length(col).to_numpy() > 0
-            flat = col.flatten().to_numpy(zero_copy_only=False).reshape(-1, rank)
-            base = ids % prime + root
-
-            def of(k):
-                if known.all():
-                    return np.ascontiguousarray(flat[:, k])
-                x = base * starts[salt][k] % prime / float(prime)
-                x[known] = flat[:, k]
-                return x
-            return of
-
-        def places(ids, ends):
-            order = np.argsort(ids)
-            return order[np.searchsorted(ids, ends, sorter=order)]
+            return pc.fill_null(col, float("nan")).to_numpy(zero_copy_only=False)
+
+        def start(ids, salt):
+            return (ids % prime + root)[:, None] * np.array(starts[salt]) % prime / float(prime)
+
+        def unpacked(col, heads):
+            """Rows' leading numbers, the vectors after them and which rows have these."""
+            size = pc.list_value_length(col).to_numpy(zero_copy_only=False)
+            at, flat = np.cumsum(size) - size, numbers(col.flatten())
+            known = size > heads
+            wide = int(size.max(initial=heads)) - heads
+            return [flat[at + i] for i in range(heads)], flat[at[known][:, None] + heads + np.arange(wide)], known
+
+        def groups(keys):
+            """Order that puts equal keys together, the place of each group's first, the keys."""
+            order = np.argsort(keys, kind="stable")
+            k = keys[order]
+            first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]][:len(k)])
+            return order, first, k[first]
 
         def lists(m):
             return pa.ListArray.from_arrays(np.arange(0, m.size + 1, rank, dtype=np.int32), m.reshape(-1))
 
-        def batches(*tables):
-            return pa.Table.from_batches([b for x in tables for b in x.to_batches(max_chunksize=10_000)], tables[0].schema)
-
-        edges, users, items = (t.filter(pc.equal(t["kind"], k)) for k in kinds)
-        del t
-        src, dst = edges["src"].to_numpy(), edges["dst"].to_numpy()
-        if what == "ys":
-            uid, s = np.unique(src, return_inverse=True)
-            iid, d = np.unique(dst, return_inverse=True)
-            vectors = pa.chunked_array([pa.array([[]] * len(iid), pa.list_(pa.float64()))])
-            if len(items):
-                iid, vectors = items["dst"].to_numpy(), items["b"]
-                d = places(iid, dst)
-            y = component(iid, vectors, 2)
-            w = np.empty((len(uid), rank))
-            for k in range(rank):
-                w[:, k] = np.bincount(s, y(k)[d], len(uid))
-            return batches(pa.table({"id": uid, "ys": lists(w)}))
-
-        uid, iid = users["src"].to_numpy(), items["dst"].to_numpy()
-        s, d = places(uid, src), places(iid, dst)
-        z, q = component(uid, users["a"], 2), component(iid, items["a"], 1)
-        pred = mean + numbers(users["x"])[s] + numbers(items["x"])[d] if mean is not None else np.full(len(s), np.nan)
-        for k in range(rank):
-            pred += z(k)[s] * q(k)[d]
-        rated = edges["x"].is_valid().to_numpy()
-        # a prediction that is not a number counts as the largest, as in least(greatest())
-        err = np.where(rated, numbers(edges["x"]) - np.fmin(np.maximum(pred, lo), hi), 0.0)
-        if what == "error":
-            any_rated = np.bincount(d, rated, len(iid)) > 0
-            return batches(pa.table({"id": iid[any_rated], "se": np.bincount(d, err * err, len(iid))[any_rated]}))
-
-        y, n = component(iid, items["b"], 2), numbers(users["n"])
-        w1, w2, i1 = np.empty((len(uid), rank)), np.empty((len(uid), rank)), np.empty((len(iid), rank))
-        for k in range(rank):
-            w1[:, k] = np.bincount(s, err * q(k)[d], len(uid))
-            w2[:, k] = n * w1[:, k] - g7 * np.bincount(s, y(k)[d], len(uid))
-            i1[:, k] = np.bincount(d, err * z(k)[s], len(iid))
-        cu, ci = np.bincount(s, minlength=len(uid)).astype(float), np.bincount(d, minlength=len(iid)).astype(float)
-        return batches(
-            pa.table({"id": uid, "c": cu, "ci": np.zeros(len(uid)), "es": np.bincount(s, err, len(uid)),
-                      "en": np.zeros(len(uid)), "w1": lists(w1), "w2": lists(w2)}),
-            pa.table({"id": iid, "c": ci, "ci": ci, "es": np.bincount(d, err, len(iid)),
-                      "en": np.bincount(d, err * n[s], len(iid)), "w1": lists(i1),
-                      "w2": pa.nulls(len(iid), pa.list_(pa.float64()))}))
+        def batch(**columns):
+            return pa.RecordBatch.from_pydict(columns)
+
+        read, users, last = [], None, None
+
+        def hold(read):
+            """The block's users, in order of id, and their sums."""
+            uid = np.concatenate([r[0] for r in read])
+            b, n = (np.concatenate([r[1][i] for r in read]) for i in (0, 1))
+            u = {"id": uid, "b": b, "n": n, "c": np.zeros(len(uid)), "es": np.zeros(len(uid))}
+            if what != "ys":
+                u["z"], at = np.empty((len(uid), rank)), 0
+                while read:  # vectors move one batch at a time
+                    ids, _, z, known = read.pop(0)
+                    to = u["z"][at:at + len(ids)]
+                    if known.any():
+                        to[known] = z
+                    to[~known] = start(ids[~known], 2)
+                    at += len(ids)
+            for name in {"ys": ["y"], "step": ["w1", "y"] if both else ["w1"], "error": []}[what]:
+                u[name] = np.zeros((len(uid), rank))
+            return u
+
+        for t in batches:
+            first = t.column("dst").null_count
+            if first:
+                u = t.slice(0, first)
+                read.append((u.column("src").to_numpy(), *unpacked(u.column("vec"), 2)))
+                t = t.slice(first)
+            if not len(t):
+                continue
+            if users is None:
+                users, read = hold(read), []
+            dst, is_edge = t.column("dst").to_numpy(), t.column("src").is_valid().to_numpy(zero_copy_only=False)
+            begin = np.r_[True, dst[1:] != dst[:-1]]
+            of, at = np.cumsum(begin) - 1, np.flatnonzero(begin)
+            ids = dst[at]
+            own = ~is_edge[at]  # the item's own row is in this batch
+            (bias,), vec, known = unpacked(t.column("vec").filter(pa.array(~is_edge)), 1)
+            b = np.full(len(ids), np.nan)
+            b[own] = bias
+            q = start(ids, item_salt)
+            y = start(ids, 2) if both else None
+            rows = np.flatnonzero(own)[known]
+            if len(rows):
+                q[rows] = vec[:, :rank]
+                if both:
+                    y[rows] = vec[:, rank:]
+            if not own[0] and last is not None and last[0] == ids[0]:  # the last batch's last item goes on
+                b[0], q[0] = last[1:3]
+                if both:
+                    y[0] = last[3]
+            last = (ids[-1], b[-1], q[-1].copy(), y[-1].copy() if both else None)
+            if not is_edge.any():
+                continue
+
+            d = of[is_edge]
+            s = np.searchsorted(users["id"], t.column("src").filter(pa.array(is_edge)).to_numpy())
+            by_user, us, u = groups(s)
+            if what == "ys":
+                users["y"][u] += np.add.reduceat(q[d[by_user]], us)
+                continue
+            x = t.column("x").filter(pa.array(is_edge))
+            rated, z, qd = x.is_valid().to_numpy(zero_copy_only=False), users["z"][s], q[d]
+            pred = np.full(len(s), np.nan) if mean is None else mean + users["b"][s] + b[d]
+            pred += np.einsum("ij,ij->i", z, qd)
+            # a prediction that is not a number counts as the largest, as in least(greatest())
+            err = np.where(rated, numbers(x) - np.fmin(np.maximum(pred, lo), hi), 0.0)
+            i_at = np.flatnonzero(np.r_[True, d[1:] != d[:-1]])
+            i, ci = d[i_at], np.diff(np.r_[i_at, len(d)]).astype(float)
+            if what == "error":
+                any_rated = np.add.reduceat(rated.astype(int), i_at) > 0
+                yield batch(id=ids[i][any_rated], se=np.add.reduceat(err * err, i_at)[any_rated])
+                continue
+            users["c"][u] += np.diff(np.r_[us, len(s)])
+            users["es"][u] += np.add.reduceat(err[by_user], us)
+            users["w1"][u] += np.add.reduceat((err[:, None] * qd)[by_user], us)
+            if both:
+                users["y"][u] += np.add.reduceat(y[d[by_user]], us)
+            yield batch(id=ids[i], c=ci, ci=ci, es=np.add.reduceat(err, i_at), en=np.add.reduceat(err * users["n"][s], i_at),
+                        w1=lists(np.add.reduceat(err[:, None] * z, i_at)), w2=pa.nulls(len(i), pa.list_(pa.float64())))
+
+        if users is not None and what != "error":
+            for at in range(0, len(users["id"]), 10_000):
+                u = {k: m[at:at + 10_000] for k, m in users.items()}
+                if what == "ys":
+                    yield batch(id=u["id"], ys=lists(u["y"]))
+                else:
+                    none = np.zeros(len(u["id"]))
+                    w2 = lists(u["n"][:, None] * u["w1"] - g7 * u["y"]) if both else pa.nulls(len(none), pa.list_(pa.float64()))
+                    yield batch(id=u["id"], c=u["c"], ci=none, es=u["es"], en=none, w1=lists(u["w1"]), w2=w2)
 
     return task
 
@@ -203,35 +252,63 @@ def svd_plus_plus(edges: DataFrame, conf: SvdConf = SvdConf(), seed: int = 0):
     A vector that no step has changed yet is kept as null and computed from the
     id where it is used, so it is neither written nor sent.
     """
-    r = conf.rank
-    e = cut(edges.select("src", "dst", F.col("rating").cast("double").alias("r")))
+    with shuffles_dropped(edges.sparkSession):
+        return _trained(edges, conf, seed)
+
+
+def _trained(edges: DataFrame, conf: SvdConf, seed: int):
+    r, given = conf.rank, edges
+    edges = edges.select("src", "dst", F.col("rating").cast("double").alias("r"))
+    e = edges if is_table(given) else cut(edges)
     u, n_edges, n_users, n_items = e.agg(F.avg("r"), F.count(F.lit(1)), F.approx_count_distinct("src"),
                                          F.approx_count_distinct("dst")).first()
     gu = max(1, -(-n_users // _BLOCK))
-    gi = max(1, -(-n_items // _BLOCK), -(-n_edges // (gu * _EDGES)))
+    cores = e.sparkSession.sparkContext.defaultParallelism
+    cells = max(-(-n_edges // _EDGES), min(cores, n_edges // max(1, _EDGES // 16)))
+    gi = max(1, min(n_items, -(-cells // gu)))
+    some = max(1, cores // gu)  # columns done at once: as many as give every core a cell
 
     def block(c: str, blocks: int) -> Column:
         return F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(blocks)).cast("int")
 
-    def row(cell: Column, kind: int, src=None, dst=None, x=None, n=None, a=None, b=None) -> list[Column]:
-        numbers = {"src": (src, "long"), "dst": (dst, "long"), "x": (x, "double"), "n": (n, "double")}
+    def row(cell: Column, src=None, dst=None, x=None, vec: Column | None = None) -> list[Column]:
+        numbers = {"src": (src, "long"), "dst": (dst, "long"), "x": (x, "double")}
         empty = F.array().cast("array<double>")  # not null: Spark looks at all nulls before a row to size an Arrow batch
-        return [cell.alias("cell"), F.lit(kind).cast("tinyint").alias("kind"),
-                *[(F.lit(None) if c is None else F.col(c)).cast(t).alias(k) for k, (c, t) in numbers.items()],
-                *[(empty if c is None else F.coalesce(c, empty)).alias(k) for k, c in (("a", a), ("b", b))]]
+        return [cell.alias("cell"), *[(F.lit(None) if c is None else F.col(c)).cast(t).alias(k) for k, (c, t) in numbers.items()],
+                (empty if vec is None else vec).alias("vec")]
+
+    def packed(numbers: list[str], vectors: list[Column]) -> Column:
+        return F.concat(F.array(*numbers), *[F.coalesce(c, F.array().cast("array<double>")) for c in vectors])
 
     pairs = e.filter(F.col("src").isNotNull() & F.col("dst").isNotNull())
-    in_grid = block("src", gu) * F.lit(gi) + block("dst", gi)
-
-    def cells(cell: Column, v: DataFrame | None, what: str, users: dict | None, items: dict | None) -> DataFrame:
-        rows = pairs.select(*row(cell, _EDGE, "src", "dst", "r"))
-        if users is not None:
-            rows = rows.unionByName(v.withColumn("_to", F.explode("to_items")).select(
-                *row(block("id", gu) * F.lit(gi) + F.col("_to"), _USER, src="id", x="b", n="n", **users)))
-        if items is not None:
-            rows = rows.unionByName(v.withColumn("_to", F.explode("to_users")).select(
-                *row(F.col("_to") * F.lit(gi) + block("id", gi), _ITEM, dst="id", x="b", **items)))
-        return rows.groupBy("cell").applyInArrow(_cell(what, u, conf, seed), _OUT[what])
+
+    def work(rows: DataFrame, n: int, what: str, both: bool) -> DataFrame:
+        rows = rows.repartitionById(n, "cell").sortWithinPartitions(F.asc_nulls_first("dst"), F.asc_nulls_first("src"))
+        return rows.drop("cell").mapInArrow(_cell(what, u, conf, seed, both), _OUT[what])
+
+    def column(v: DataFrame, low: int, what: str, items: list[Column], both: bool) -> DataFrame:
+        """What the cells of ``some`` columns from ``low`` on return."""
+        n = min(some, gi - low)
+        here = lambda c: (c >= low) & (c < low + n)
+        cell = lambda of_user, of_item: of_user * F.lit(n) + of_item - F.lit(low)
+        to, mine = F.col("_to"), block("id", gi)
+        users = v.withColumn("_to", F.explode("to_items")).filter(here(to))
+        rows = (pairs.filter(here(block("dst", gi))).select(*row(cell(block("src", gu), block("dst", gi)), "src", "dst", "r"))
+                .unionByName(users.select(*row(cell(block("id", gu), to), src="id",
+                                               vec=packed(["b", "n"], [] if what == "ys" else [F.col("v2")]))))
+                .unionByName(v.filter(here(mine)).withColumn("_to", F.explode("to_users")).select(
+                    *row(cell(to, mine), dst="id", vec=packed(["b"], items)))))
+        return work(rows, gu * n, what, both)
+
+    def summed(v: DataFrame, what: str, items: list[Column], vectors: list[str], scalars: list[str], both: bool = False):
+        """Sums of all columns by id, and the tables they lie in."""
+        parts = [cut(_sums(column(v, low, what, items, both), vectors, scalars, r)) for low in range(0, gi, some)]
+        if len(parts) == 1:
+            return parts[0], parts
+        all_parts = parts[0]
+        for p in parts[1:]:
+            all_parts = all_parts.unionByName(p)
+        return _sums(all_parts, vectors, scalars, r), parts
 
     def reached(end: str, other: Column, name: str) -> DataFrame:
         """The blocks of the other side where a vertex has edges."""
@@ -247,6 +324,7 @@ def svd_plus_plus(edges: DataFrame, conf: SvdConf = SvdConf(), seed: int = 0):
                     (F.lit(1.0) / F.sqrt(F.col("c"))).alias("n"), "to_items", "to_users"))
     v1 = F.coalesce("v1", _start(F.col("id"), r, seed, 1))
     v2 = F.coalesce("v2", _start(F.col("id"), r, seed, 2))
+    both = not v.filter(F.col("to_items").isNotNull() & F.col("to_users").isNotNull()).isEmpty()
 
     g1, g2, g6, g7 = (F.lit(g) for g in (conf.gamma1, conf.gamma2, conf.gamma6, conf.gamma7))
     c, ci, en = F.col("c"), F.col("ci"), F.col("en")
@@ -254,27 +332,40 @@ def svd_plus_plus(edges: DataFrame, conf: SvdConf = SvdConf(), seed: int = 0):
         # phase 1: users' v2 = p + n * sum of their items' y; the items' start takes
         # no vectors, so that a user's edges may all lie in one cell
         if i == 0:
-            ysum = cells(block("src", gu * gi), None, "ys", None, None)
+            of = block("src", gu * gi)
+            rows = pairs.select(*row(of, "src", "dst")).unionByName(v.filter(F.col("to_items").isNotNull()).select(
+                *row(block("id", gu * gi), src="id", vec=packed(["b", "n"], []))))
+            ysum, parts = work(rows, gu * gi, "ys", False), []
         else:
-            ysum = _sums(cells(in_grid, v, "ys", None, {"b": "v2"}), ["ys"], [], r)
+            ysum, parts = summed(v, "ys", [F.col("v2")], ["ys"], [])
         before = v
         v = cut(v.join(ysum, "id", "left").select(
             "id", "v1", F.coalesce(F.zip_with(v1, "ys", lambda p, y: p + F.col("n") * y), F.col("v2")).alias("v2"),
             "b", "n", "to_items", "to_users"))
-        release(before)
+        for old in (before, *parts):
+            release(old)
         # phase 2: gradients, summed on the users and on the items
-        grad = _sums(cells(in_grid, v, "step", {"a": "v2"}, {"a": "v1", "b": "v2"}),
-                     ["w1", "w2"], ["c", "ci", "es", "en"], r)
-        m2 = F.zip_with("w2", v1, lambda w, q: F.coalesce(w, F.lit(0.0)) + en * q)
+        grad, parts = summed(v, "step", [v1, v2] if both else [F.col("v1")], ["w1", "w2"] if both else ["w1"],
+                             ["c", "ci", "es", "en"], both)
+        if both:
+            m2 = F.zip_with("w2", v1, lambda w, q: F.coalesce(w, F.lit(0.0)) + en * q)
+        else:  # the sum of a user's y is still what phase 1 put into its v2
+            ys = F.zip_with("v2", v1, lambda z, p: (z - p) / F.col("n"))
+            m2 = (F.when(F.col("to_items").isNotNull(), F.zip_with("w1", ys, lambda w, y: F.col("n") * w - g7 * y))
+                  .when(en.isNotNull(), F.transform(v1, lambda q: en * q)))
         before = v
         v = cut(v.join(grad, "id", "left").select(
             "id", F.coalesce(F.zip_with(v1, "w1", lambda o, g: o + g2 * (g - g7 * c * o)), F.col("v1")).alias("v1"),
             F.coalesce(F.zip_with(v2, m2, lambda o, g: o + g2 * (g - g7 * ci * o)), F.col("v2")).alias("v2"),
             (F.col("b") + F.coalesce(g1 * (F.col("es") - g6 * c * F.col("b")), F.lit(0.0))).alias("b"),
             "n", "to_items", "to_users"))
-        release(before)
+        for old in (before, *parts):
+            release(old)
     # final pass: squared training error summed on each item
-    se = cells(in_grid, v, "error", {"a": "v2"}, {"a": "v1"}).groupBy("id").agg(F.sum("se").alias("se"))
+    se = None
+    for low in range(0, gi, some):
+        part = cut(column(v, low, "error", [F.col("v1")], False).groupBy("id").agg(F.sum("se").alias("se")))
+        se = part if se is None else se.unionByName(part)
     return v.join(se, "id", "left").select("id", v1.alias("v1"), v2.alias("v2"), "b", F.coalesce("se", "n").alias("n")), u
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import sig
 from ..operators import graph as G
-from ..operators.iterate import cut_to_table
+from ..operators.iterate import cut_to_table, shuffles_dropped
 from ..sources.tables import Tables
 from .graphs import order_part, order_part_sql, user_next, user_next_sql, view_buy, view_buy_sql
 
@@ -234,8 +234,9 @@ def svdpp(spark, sf):
     from ..operators.svdpp import SvdConf, svd_plus_plus, training_error
     from .graphs import PART_OFFSET
     from .relational import ratings
-    r = cut_to_table(ratings(Tables(spark, sf)).select(F.col("user").alias("src"),
-                                                       (F.col("item") + F.lit(PART_OFFSET)).alias("dst"), "rating"))
+    with shuffles_dropped(spark):
+        r = cut_to_table(ratings(Tables(spark, sf)).select(F.col("user").alias("src"),
+                                                           (F.col("item") + F.lit(PART_OFFSET)).alias("dst"), "rating"))
     v, u = svd_plus_plus(r, SvdConf())
     n = r.agg(F.count(F.lit(1)).alias("edges"))
     return training_error(v, r, F.col("id") >= PART_OFFSET).select(
