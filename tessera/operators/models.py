@@ -16,6 +16,9 @@ from pyspark.ml.classification import DecisionTreeClassifier
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import checkpoint_root
+from .iterate import shuffles_dropped
+
 
 def _vec(df: DataFrame, features: str = "features") -> DataFrame:
     return df.withColumn("fv", array_to_vector(F.col(features)))
@@ -64,9 +67,14 @@ def dense_ids(ratings: DataFrame, col: str) -> DataFrame:
 def als(ratings: DataFrame, rank: int = 10, iters: int = 3, reg: float = 0.01, seed: int = 7,
         implicit: bool = False):
     """ML7: ALS factorisation of ``(user, item, rating)`` (int ids, see
-    :func:`dense_ids`).  Unknown users and items score NaN, see :func:`score`."""
+    :func:`dense_ids`).  Unknown users and items score NaN, see :func:`score`.
+
+    Factors are checkpointed every round, upon which Spark deletes what the round
+    shuffled."""
+    checkpoint_root(ratings.sparkSession)
     est = ALS(rank=rank, maxIter=iters, regParam=reg, userCol="user", itemCol="item",
-              ratingCol="rating", seed=seed, coldStartStrategy="nan", implicitPrefs=implicit)
+              ratingCol="rating", seed=seed, coldStartStrategy="nan", implicitPrefs=implicit,
+              checkpointInterval=1)
     return est.fit(ratings)
 
 
@@ -81,7 +89,8 @@ def score(model, data: DataFrame, default: float) -> DataFrame:
 
 
 def rmse(model, data: DataFrame, default: float) -> float | None:
-    v = score(model, data, default).agg(F.avg((F.col("prediction") - F.col("rating")) ** 2)).first()[0]
+    with shuffles_dropped(data.sparkSession):
+        v = score(model, data, default).agg(F.avg((F.col("prediction") - F.col("rating")) ** 2)).first()[0]
     return None if v is None else math.sqrt(v)
 
 

@@ -260,10 +260,16 @@ def tfidf_labelled(spark, sf):
 # ------------------------------------------------------------------ ML estimators (rows-only checks)
 
 def _ratings(t):
-    from ..operators.iterate import cut_to_table
+    """Ratings with dense ids; each step is written, as the next reads it twice."""
+    from ..operators.iterate import cut_to_table, release, shuffles_dropped
     from ..operators.models import dense_ids
     from .relational import ratings
-    return cut_to_table(dense_ids(dense_ids(ratings(t), "user"), "item"))
+    with shuffles_dropped(t.spark):
+        r = cut_to_table(ratings(t))
+        for col in ("user", "item"):
+            before, r = r, cut_to_table(dense_ids(r, col).drop(f"{col}_id"))
+            release(before)
+    return r
 
 
 @register("tree_cls")

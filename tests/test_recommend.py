@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from support import shuffle_files
 from tessera.operators import models as M
 from tessera.operators.recommend import DIGITS, recommend
 
@@ -76,3 +77,25 @@ def test_scores_join_each_rating_once(spark):
     out = sorted((r.user, r.item, r.rating, r.prediction == -1.0) for r in s.collect())
     assert out == [(0, 0, 1.0, False), (0, 0, 2.0, False), (9, 1, 3.0, True)]
     assert "Aggregate" not in s._jdf.queryExecution().optimizedPlan().toString()
+
+
+def _some_ratings(spark):
+    rng = np.random.default_rng(4)
+    data = [(int(u), int(i), float(rng.integers(1, 6))) for u in range(30) for i in rng.choice(25, 5, replace=False)]
+    return spark.createDataFrame(data, "user int, item int, rating double").repartition(3, "user").sortWithinPartitions("user", "item")
+
+
+def test_rounds_leave_no_shuffles(spark):
+    """Eight rounds of ALS leave no more shuffle files than two."""
+    import time
+    r, left, models = _some_ratings(spark), [], []
+    for iters in (2, 8):
+        before = shuffle_files(spark)
+        models.append(M.als(r, rank=2, iters=iters, reg=0.1))  # kept, and with it what it still needs
+        for _ in range(30):
+            time.sleep(0.1)
+            n = len(shuffle_files(spark) - before)
+            if left and n <= left[0]:
+                break
+        left.append(n)
+    assert left[1] <= left[0]

@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 
+from support import shuffle_files
 from tessera.operators.svdpp import SvdConf, start_constants, svd_plus_plus
 
 
@@ -141,22 +142,17 @@ def test_many_cells_and_steps_match_loops_and_no_edge_carries_a_vector(spark, mo
         assert r["b"] == pytest.approx(b[k]) and r["n"] == pytest.approx(last[k])
 
 
-def _shuffle_files(spark):
-    at = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
-    return {at.apply(i).getName() for i in range(at.size()) if at.apply(i).getName().startswith("shuffle_")}
-
-
 def test_shuffle_files_of_finished_steps_are_gone(spark):
     """Training leaves no shuffle on disk; the last plan still runs, more than once."""
     import time
     rng = np.random.default_rng(9)
     E = [(int(s), int(d), float(r)) for s, d, r in zip(rng.integers(0, 8, 60), rng.integers(20, 30, 60), rng.integers(1, 6, 60))]
     edges = spark.createDataFrame(E, "src long, dst long, rating double")
-    before, key = _shuffle_files(spark), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, key = shuffle_files(spark), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     was = spark.conf.get(key, None)
     v, _ = svd_plus_plus(edges, SvdConf(rank=3, max_iters=2))
     for _ in range(50):
-        left = _shuffle_files(spark) - before
+        left = shuffle_files(spark) - before
         if not left:
             break
         time.sleep(0.1)
