@@ -64,17 +64,22 @@ def dense_ids(ratings: DataFrame, col: str) -> DataFrame:
             .withColumn(col, (F.col("_ix") - 1).cast("int")).drop("_ix"))
 
 
+_BLOCK_RATINGS = 4_000_000  # ratings of a block of users or items: what bounds the memory of a task
+
+
 def als(ratings: DataFrame, rank: int = 10, iters: int = 3, reg: float = 0.01, seed: int = 7,
         implicit: bool = False):
     """ML7: ALS factorisation of ``(user, item, rating)`` (int ids, see
     :func:`dense_ids`).  Unknown users and items score NaN, see :func:`score`.
 
-    Factors are checkpointed every round, upon which Spark deletes what the round
-    shuffled."""
+    There are as many blocks as bound the ratings of one (10, Spark's number, at
+    least).  Factors are checkpointed every round, upon which Spark deletes what
+    the round shuffled."""
     checkpoint_root(ratings.sparkSession)
+    blocks = max(10, -(-ratings.count() // _BLOCK_RATINGS))
     est = ALS(rank=rank, maxIter=iters, regParam=reg, userCol="user", itemCol="item",
               ratingCol="rating", seed=seed, coldStartStrategy="nan", implicitPrefs=implicit,
-              checkpointInterval=1)
+              numUserBlocks=blocks, numItemBlocks=blocks, checkpointInterval=1)
     return est.fit(ratings)
 
 

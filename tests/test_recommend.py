@@ -85,6 +85,17 @@ def _some_ratings(spark):
     return spark.createDataFrame(data, "user int, item int, rating double").repartition(3, "user").sortWithinPartitions("user", "item")
 
 
+def test_blocks_grow_with_the_ratings(spark, monkeypatch):
+    """150 ratings at 10 a block make 15 blocks; few ratings leave Spark's own 10."""
+    r = _some_ratings(spark)
+    few = M.als(r, rank=2, iters=1)
+    assert few.userFactors.rdd.getNumPartitions() == few.itemFactors.rdd.getNumPartitions() == 10
+    monkeypatch.setattr(M, "_BLOCK_RATINGS", 10, raising=False)
+    many = M.als(r, rank=2, iters=3, reg=0.01)
+    assert many.userFactors.rdd.getNumPartitions() == many.itemFactors.rdd.getNumPartitions() == 15
+    assert many.userFactors.count() == 30 and many.itemFactors.count() == r.select("item").distinct().count()
+
+
 def test_rounds_leave_no_shuffles(spark):
     """Eight rounds of ALS leave no more shuffle files than two."""
     import time
