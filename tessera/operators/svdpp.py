@@ -153,36 +153,28 @@ def _cell(what: str, mean: float | None, conf: SvdConf, seed: int, both: bool):
         def batch(**columns):
             return pa.RecordBatch.from_pydict(columns)
 
-        read, users, last = [], None, None
-
-        def hold(read):
-            """The block's users, in order of id, and their sums."""
-            uid = np.concatenate([r[0] for r in read])
-            b, n = (np.concatenate([r[1][i] for r in read]) for i in (0, 1))
-            u = {"id": uid, "b": b, "n": n, "c": np.zeros(len(uid)), "es": np.zeros(len(uid))}
-            if what != "ys":
-                u["z"], at = np.empty((len(uid), rank)), 0
-                while read:  # vectors move one batch at a time
-                    ids, _, z, known = read.pop(0)
-                    to = u["z"][at:at + len(ids)]
-                    if known.any():
-                        to[known] = z
-                    to[~known] = start(ids[~known], 2)
-                    at += len(ids)
-            for name in {"ys": ["y"], "step": ["w1", "y"] if both else ["w1"], "error": []}[what]:
-                u[name] = np.zeros((len(uid), rank))
-            return u
+        read, z, n_read, users, last = [], np.empty((0, rank)), 0, None, None
 
         for t in batches:
             first = t.column("dst").null_count
-            if first:
+            if first:  # the block's users, in order of id
                 u = t.slice(0, first)
-                read.append((u.column("src").to_numpy(), *unpacked(u.column("vec"), 2)))
+                ids, (b, n), vec, known = u.column("src").to_numpy().copy(), *unpacked(u.column("vec"), 2)  # a copy lets the batch go
+                read.append((ids, b, n))
+                if what != "ys":
+                    at, n_read = n_read, n_read + first
+                    if n_read > len(z):
+                        z.resize((n_read + n_read // 4, rank), refcheck=False)  # in place: a task never holds two copies
+                    if known.any():
+                        z[at:n_read][known] = vec
+                    z[at:n_read][~known] = start(ids[~known], 2)
                 t = t.slice(first)
             if not len(t):
                 continue
             if users is None:
-                users, read = hold(read), []
+                users = {k: np.concatenate([r[i] for r in read]) for i, k in enumerate(("id", "b", "n"))}
+                sums = {"ys": ["y"], "step": ["w1", "y"] if both else ["w1"], "error": []}[what]
+                users |= {k: np.zeros((len(users["id"]), rank)) for k in sums} | {k: np.zeros(len(users["id"])) for k in ("c", "es")}
             dst, is_edge = t.column("dst").to_numpy(), t.column("src").is_valid().to_numpy(zero_copy_only=False)
             begin = np.r_[True, dst[1:] != dst[:-1]]
             of, at = np.cumsum(begin) - 1, np.flatnonzero(begin)
@@ -213,9 +205,9 @@ def _cell(what: str, mean: float | None, conf: SvdConf, seed: int, both: bool):
                 users["y"][u] += np.add.reduceat(q[d[by_user]], us)
                 continue
             x = t.column("x").filter(pa.array(is_edge))
-            rated, z, qd = x.is_valid().to_numpy(zero_copy_only=False), users["z"][s], q[d]
+            rated, zs, qd = x.is_valid().to_numpy(zero_copy_only=False), z[s], q[d]
             pred = np.full(len(s), np.nan) if mean is None else mean + users["b"][s] + b[d]
-            pred += np.einsum("ij,ij->i", z, qd)
+            pred += np.einsum("ij,ij->i", zs, qd)
             # a prediction that is not a number counts as the largest, as in least(greatest())
             err = np.where(rated, numbers(x) - np.fmin(np.maximum(pred, lo), hi), 0.0)
             i_at = np.flatnonzero(np.r_[True, d[1:] != d[:-1]])
@@ -230,7 +222,7 @@ def _cell(what: str, mean: float | None, conf: SvdConf, seed: int, both: bool):
             if both:
                 users["y"][u] += np.add.reduceat(y[d[by_user]], us)
             yield batch(id=ids[i], c=ci, ci=ci, es=np.add.reduceat(err, i_at), en=np.add.reduceat(err * users["n"][s], i_at),
-                        w1=lists(np.add.reduceat(err[:, None] * z, i_at)), w2=pa.nulls(len(i), pa.list_(pa.float64())))
+                        w1=lists(np.add.reduceat(err[:, None] * zs, i_at)), w2=pa.nulls(len(i), pa.list_(pa.float64())))
 
         if users is not None and what != "error":
             for at in range(0, len(users["id"]), 10_000):
